@@ -98,14 +98,17 @@ def read_sites(
 ) -> DataFrame:
     """Headerless files of several sites in one scan, each row tagged with its site.
 
-    ``sites`` lists (file name, region, hospital id).
+    ``sites`` lists (name, region, hospital id); the name is a file or a folder of
+    part files.
     """
-    paths = [f"{folder}/{file}" for file, _, _ in sites]
-    raw = spark.read.schema(_text_schema(schema.names)).csv(paths)
-    regions = F.create_map(*[F.lit(x) for f, r, _ in sites for x in (f, r)])
-    ids = F.create_map(*[F.lit(x) for f, _, h in sites for x in (f, h)])
-    file = F.col("_metadata.file_name")
-    tagged = raw.select("*", regions[file].alias("region"), ids[file].alias("hospitalid"))
+    raw = spark.read.schema(_text_schema(schema.names)).csv([f"{folder}/{name}" for name, _, _ in sites])
+    path = F.col("_metadata.file_path")
+    region, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for name, label, hospital in sites:
+        mine = path.endswith(f"/{name}") | path.contains(f"/{name}/")
+        region = F.when(mine, F.lit(label)).otherwise(region)
+        number = F.when(mine, F.lit(hospital)).otherwise(number)
+    tagged = raw.select("*", region.alias("region"), number.alias("hospitalid"))
     return _typed(tagged, schema, missing)
 
 
