@@ -1,7 +1,8 @@
 """Random numbers that depend only on the content of a row.
 
 A draw is the hash of (seed, salt, key), so it does not change with the
-partitioning, the order of the rows or a recomputed task.
+partitioning, the order of the rows or a recomputed task.  Keys are column names
+or integer constants; each expression is parsed in one piece.
 """
 
 from __future__ import annotations
@@ -16,19 +17,23 @@ HEX_DIGITS = 13
 SCALE = float(16**HEX_DIGITS)
 
 
-def hash_text(seed: int, salt: str, *keys: Column) -> Column:
-    parts = [F.coalesce(k.cast("string"), F.lit("")) for k in keys]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *parts))
+def hash_sql(seed: int, salt: str, *keys: str | int) -> str:
+    """SQL text of the hash: 32 hex digits."""
+    parts = [str(k) if isinstance(k, int) else f"coalesce(cast(`{k}` AS string), '')" for k in keys]
+    return f"md5(concat_ws('|', '{seed}', '{salt}', {', '.join(parts)}))"
 
 
-def hash_uniform(seed: int, salt: str, *keys: Column) -> Column:
-    """Uniform in [0, 1) for each distinct (seed, salt, keys)."""
-    digits = F.substring(hash_text(seed, salt, *keys), 1, HEX_DIGITS)
-    return F.conv(digits, 16, 10).cast("bigint") / F.lit(SCALE)
+def uniform_sql(seed: int, salt: str, *keys: str | int) -> str:
+    digits = f"substring({hash_sql(seed, salt, *keys)}, 1, {HEX_DIGITS})"
+    return f"(cast(conv({digits}, 16, 10) AS bigint) / {SCALE!r}D)"
+
 
+def normal_sql(seed: int, salt: str, *keys: str | int) -> str:
+    """SQL text of a standard normal by Box-Muller on two hash uniforms."""
+    u1, u2 = (uniform_sql(seed, f"{salt}:{part}", *keys) for part in ("r", "a"))
+    return f"(sqrt(-2.0D * ln(1.0D - {u1})) * cos({2.0 * math.pi!r}D * {u2}))"
 
-def hash_normal(seed: int, salt: str, *keys: Column) -> Column:
-    """Standard normal by Box-Muller on two hash uniforms."""
-    u1 = hash_uniform(seed, salt + ":r", *keys)
-    u2 = hash_uniform(seed, salt + ":a", *keys)
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+def hash_uniform(seed: int, salt: str, *keys: str | int) -> Column:
+    """Uniform in [0, 1) for each distinct (seed, salt, keys)."""
+    return F.expr(uniform_sql(seed, salt, *keys))

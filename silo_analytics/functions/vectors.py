@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def linear(features: Column, params: Column, size: int) -> Column:
-    """x.w + b for params laid out as [w_0 .. w_{size-1}, b]."""
-    terms = [features[i] * params[i] for i in range(size)]
-    return reduce(lambda a, b: a + b, terms) + params[size]
+def constant(values: Sequence[float]) -> Column:
+    """A constant ``array<double>``, parsed in one call."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
-def sigmoid(z: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-
-
-def probability(features: Column, params: Column, size: int) -> Column:
-    return sigmoid(linear(features, params, size))
+def probability(features: str, params: str, size: int) -> Column:
+    """sigmoid(x.w + b) for params laid out as [w_0 .. w_{size-1}, b]; both are column names."""
+    terms = [f"{features}[{i}] * {params}[{i}]" for i in range(size)]
+    return F.expr(f"1.0D / (1.0D + exp(-({' + '.join(terms)} + {params}[{size}])))")
 
 
 def blend(a: Column, b: Column, share: float) -> Column:

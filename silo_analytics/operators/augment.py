@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_normal, hash_uniform
+from ..functions.hashing import hash_uniform, normal_sql
 from ..scratch import join_lookup, materialize
 from .ranking import running_total
 
@@ -30,30 +30,29 @@ def jitter_stats(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame
     """
     raw = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
+        x = f"cast(`{c}` AS double)"
         raw += [
-            F.stddev_pop(x).alias(f"sd{i}"),
-            F.avg(F.abs(x)).alias(f"ma{i}"),
-            F.coalesce(F.bool_and(x.isin(0.0, 1.0)), F.lit(True)).alias(f"bin{i}"),
+            F.expr(f"stddev_pop({x}) AS sd{i}"),
+            F.expr(f"avg(abs({x})) * {NOISE_SHARE}D AS level{i}"),
+            F.expr(f"coalesce(bool_and({x} IN (0D, 1D)), true) AS _bin{i}"),
         ]
-    stats = df.groupBy(group).agg(*raw)
-    out = [F.col(group)]
-    for i in range(len(columns)):
-        spread, level = F.col(f"sd{i}"), F.col(f"ma{i}") * NOISE_SHARE
-        scale = (
-            F.when(spread >= TINY, spread)
-            .when(level >= TINY, level)
-            .otherwise(F.lit(LAST_RESORT))
-        )
-        out += [scale.alias(f"_scale{i}"), F.col(f"bin{i}").alias(f"_bin{i}")]
-    return stats.select(*out)
+    scales = [
+        f"CASE WHEN sd{i} >= {TINY}D THEN sd{i} WHEN level{i} >= {TINY}D THEN level{i} "
+        f"ELSE {LAST_RESORT}D END AS _scale{i}"
+        for i in range(len(columns))
+    ]
+    kept = [f"_bin{i}" for i in range(len(columns))]
+    return df.groupBy(group).agg(*raw).selectExpr(f"`{group}`", *scales, *kept)
+
 
+def jitter(column: str, scale: str, is_binary: str, normal: str) -> Column:
+    """column + N(0, 5 % of scale); 0/1 columns are rounded back and null becomes 0.
 
-def jitter(value: Column, scale: Column, is_binary: Column, normal: Column) -> Column:
-    """value + N(0, 5 % of scale); 0/1 columns are rounded back and null becomes 0."""
-    moved = value.cast("double") + scale * F.lit(NOISE_SHARE) * normal
-    clipped = F.coalesce(F.least(F.greatest(F.rint(moved), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return F.when(is_binary, clipped).otherwise(moved)
+    Takes column names and the SQL text of a standard normal.
+    """
+    moved = f"(cast(`{column}` AS double) + {scale} * {NOISE_SHARE}D * {normal})"
+    clipped = f"coalesce(least(greatest(rint({moved}), 0D), 1D), 0D)"
+    return F.expr(f"CASE WHEN {is_binary} THEN {clipped} ELSE {moved} END")
 
 
 def augment_groups(
@@ -74,8 +73,7 @@ def augment_groups(
     rows get fresh ids above the largest one.
     """
     real = df.withColumn("is_synthetic", F.lit(False))
-    for c in columns:
-        real = real.withColumn(c, F.col(c).cast("double"))
+    real = real.withColumns({c: F.col(c).cast("double") for c in columns})
 
     sizes = (
         df.filter(F.col(group).isNotNull())
@@ -84,7 +82,7 @@ def augment_groups(
         .filter(F.col("_n") < target)
     )
     small = materialize(join_lookup(real, sizes, [group], "inner"), "small-groups")
-    order = Window.partitionBy(group).orderBy(hash_uniform(seed, "order", F.col(key)), key)
+    order = Window.partitionBy(group).orderBy(hash_uniform(seed, "order", key), key)
     ranked = small.withColumn("_rank", F.row_number().over(order))
 
     needs = small.groupBy(group).agg((F.lit(target) - F.max("_n")).cast("long").alias("_need"))
@@ -95,7 +93,7 @@ def augment_groups(
         .join(small.groupBy(group).agg(F.max("_n").alias("_size")), group)
         .withColumn(
             "_rank",
-            (F.floor(hash_uniform(seed, "draw", F.col(group), F.col("_i")) * F.col("_size")) + 1).cast("int"),
+            (F.floor(hash_uniform(seed, "draw", group, "_i") * F.col("_size")) + 1).cast("int"),
         )
         .select(group, "_i", "_rank", (F.lit(top) + F.col("_before") + F.col("_i")).alias("_id"))
     )
@@ -103,12 +101,7 @@ def augment_groups(
     sampled = draws.join(ranked, [group, "_rank"]).join(stats, group)
 
     replaced = {
-        c: jitter(
-            F.col(c),
-            F.col(f"_scale{i}"),
-            F.col(f"_bin{i}"),
-            hash_normal(seed, f"noise:{c}", F.col(group), F.col("_i")),
-        )
+        c: jitter(c, f"_scale{i}", f"_bin{i}", normal_sql(seed, f"noise:{c}", group, "_i"))
         for i, c in enumerate(columns)
     }
     replaced[key] = F.col("_id").cast(df.schema[key].dataType)

@@ -11,22 +11,24 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.hashing import hash_text, hash_uniform
+from ..functions.hashing import hash_sql, hash_uniform
 from .metrics import edges_below, ranking_metrics, score_edges
 from .ranking import rank_in_group
 
 # The functions that run inside tasks travel with the job; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROWS_PER_PIECE = 20_000
+ROWS_PER_PIECE = 50_000
 # Tasks among which the rows of one heavily repeated score are spread.
 POINT_SALTS = 32
 # Rows whose replicate weights are expanded at once.
@@ -47,46 +49,89 @@ def poisson_cuts() -> list[int]:
         term /= k
 
 
-def replicate_draws(seed: int, key: Column, replicates: int) -> Column:
+def replicate_draws(seed: int, key: str, replicates: int) -> Column:
     """One 16-bit draw per replicate, as the bytes of hashes of (seed, block, key)."""
     per_hash = 128 // DRAW_BITS
-    texts = [hash_text(seed, "boot", F.lit(i), key) for i in range(-(-replicates // per_hash))]
-    return F.unhex(F.concat(*texts))
+    texts = [hash_sql(seed, "boot", i, key) for i in range(-(-replicates // per_hash))]
+    return F.expr(f"unhex(concat({', '.join(texts)}))")
 
 
-def _piece_sums(by: Sequence[str], replicates: int, cuts: Sequence[int]):
-    """Weighted positives, negatives and concordant pairs of one piece, per replicate."""
+class _Unit:
+    """Running sums of one piece of the score range, for all replicates at once.
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        score = table.column("_s").to_numpy()
-        order = np.argsort(score, kind="stable")
-        score = score[order]
-        positive = table.column("_y").to_numpy()[order] == 1
-        hashes = np.frombuffer(b"".join(table.column("_h").to_pylist()), dtype=">u2")
-        draws = hashes.reshape(len(score), -1)[order, :replicates]
+    Rows come in score order; the rows of the last score are held back because the
+    next batch may go on with it.
+    """
+
+    def __init__(self, key: tuple, replicates: int):
+        self.key = key
+        self.pos, self.neg, self.pairs, self.tie_pos, self.tie_neg = np.zeros((5, replicates))
+        self.score = None
+
+    def add(self, score: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> None:
         starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-        pos, neg, pairs = (np.zeros(replicates) for _ in range(3))
-        first = 0
-        while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK)))
-            low, high = starts[first], starts[last] if last < len(starts) else len(score)
-            w = np.searchsorted(cuts, draws[low:high], side="right").astype(float)
-            y = positive[low:high, None]
-            ties = starts[first:last] - low
-            p = np.add.reduceat(w * y, ties, axis=0)
-            n = np.add.reduceat(w * ~y, ties, axis=0)
-            below = neg + np.cumsum(n, axis=0) - n
-            pairs += np.sum(p * (below + n / 2.0), axis=0)
-            pos += p.sum(axis=0)
-            neg += n.sum(axis=0)
-            first = last
-        out = {
-            name: pa.array([value.as_py()], value.type)
-            for name, value in zip([*by, "_piece", "_salt"], key)
-        }
-        out |= {"_pos": [pos], "_neg": [neg], "_u": [pairs]}
-        return pa.table(out)
+        p = np.add.reduceat(weight * positive[:, None], starts, axis=0)
+        n = np.add.reduceat(weight * ~positive[:, None], starts, axis=0)
+        if self.score is not None and self.score == score[0]:
+            p[0] += self.tie_pos
+            n[0] += self.tie_neg
+        else:
+            self.close_tie()
+        below = self.neg + np.cumsum(n, axis=0) - n
+        self.pairs += np.sum((p * (below + n / 2.0))[:-1], axis=0)
+        self.pos += p[:-1].sum(axis=0)
+        self.neg += n[:-1].sum(axis=0)
+        self.score, self.tie_pos, self.tie_neg = score[-1], p[-1], n[-1]
+
+    def close_tie(self) -> None:
+        self.pairs += self.tie_pos * (self.neg + self.tie_neg / 2.0)
+        self.pos += self.tie_pos
+        self.neg += self.tie_neg
+        self.tie_pos, self.tie_neg = np.zeros((2, len(self.pos)))
+
+
+def _piece_sums(schema: pa.Schema, replicates: int, cuts: Sequence[int]):
+    """Weighted positives, negatives and concordant pairs of every piece, per replicate.
+
+    Reads rows sorted by piece and score and holds one batch at a time.
+    """
+
+    def emit(unit: _Unit) -> pa.RecordBatch:
+        unit.close_tie()
+        values = [*unit.key, unit.pos, unit.neg, unit.pairs]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = None
+        names = schema.names[:-3]
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            change = np.zeros(rows, dtype=bool)
+            change[0] = True
+            for name in names:
+                codes = np.asarray(batch.column(name).dictionary_encode().indices)
+                change[1:] |= codes[1:] != codes[:-1]
+            score = batch.column("_s").to_numpy()
+            positive = batch.column("_y").to_numpy() == 1
+            hashes = np.frombuffer(b"".join(batch.column("_h").to_pylist()), dtype=">u2")
+            draws = hashes.reshape(rows, -1)[:, :replicates]
+            bounds = [*np.flatnonzero(change), rows]
+            for low, high in zip(bounds, bounds[1:]):
+                key = tuple(batch.column(name)[int(low)].as_py() for name in names)
+                if unit is None or unit.key != key:
+                    if unit is not None:
+                        yield emit(unit)
+                    unit = _Unit(key, replicates)
+                for at in range(low, high, BLOCK):
+                    part = slice(at, min(at + BLOCK, high))
+                    weight = np.searchsorted(cuts, draws[part], side="right").astype(float)
+                    unit.add(score[part], positive[part], weight)
+        if unit is not None:
+            yield emit(unit)
 
     return run
 
@@ -118,11 +163,14 @@ def bootstrap_auroc_replicates(
         F.col(key).alias("_k"),
     )
     unit = [*by, "_piece", "_salt"]
-    # hashed after the shuffle, so the draws are not moved
-    drawn = placed.repartition(*unit).withColumn("_h", replicate_draws(seed, F.col("_k"), replicates)).drop("_k")
-    kinds = dict(drawn.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in unit) + ", _pos array<double>, _neg array<double>, _u array<double>"
-    sums = drawn.groupBy(*unit).applyInArrow(_piece_sums(by, replicates, poisson_cuts()), schema)
+    kinds = dict(placed.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in unit) + ", _pos array<double>, _neg array<double>, _u array<double>"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    # hashed after the shuffle and the sort, so the draws are not moved
+    drawn = placed.repartition(*unit).sortWithinPartitions(*unit, "_s").select(
+        *unit, "_s", "_y", replicate_draws(seed, "_k", replicates).alias("_h")
+    )
+    sums = drawn.mapInArrow(_piece_sums(arrow, replicates, poisson_cuts()), schema)
     cells = sums.select(
         *by, "_piece", "_salt", F.posexplode(F.arrays_zip("_pos", "_neg", "_u")).alias("rep", "_c")
     )
@@ -177,7 +225,7 @@ def multinomial_resample(
     draws = (
         rows.join(sizes, given)
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("rank", F.floor(hash_uniform(seed, "pick", F.col("rep"), F.col(key)) * F.col("_n")) + 1)
+        .withColumn("rank", F.floor(hash_uniform(seed, "pick", "rep", key) * F.col("_n")) + 1)
         .groupBy(*given, "rep", "rank")
         .agg(F.count(F.lit(1)).alias("times"))
     )

@@ -23,8 +23,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import probability
-from ..scratch import JOIN_SALTS, collect_bounded, join_lookup, materialize
+from ..functions.vectors import constant, probability
+from ..scratch import JOIN_SALTS, collect_bounded, join_lookup, local_table, materialize
 
 # The functions that run inside tasks travel with the job; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,6 +37,8 @@ PARAMS_SCHEMA = (
 MODELS_PER_FIT = 20_000
 # Models whose sums a task holds at once before it hands them on.
 SUMS_PER_TASK = 2_048
+# Models whose sums one task of the second stage adds up, at least.
+MODELS_PER_TASK = 16
 # Global models whose parameters are written into the scoring expression.
 MODELS_PER_SCAN = 1_000
 _SUM_SCHEMA = "model string, sums array<double>"
@@ -238,7 +240,7 @@ def fit_grouped(
             prox_mu=prox_mu, anchor=anchor,
         )
     if not found:
-        return df.sparkSession.createDataFrame([], PARAMS_SCHEMA)
+        return local_table(df.sparkSession, [], PARAMS_SCHEMA)
 
     size = found[0].d + 1
     states: dict[str, _State] = {}
@@ -263,7 +265,7 @@ def fit_grouped(
         }
         steps = (
             rows.mapInArrow(_sums(size, current, weights), _SUM_SCHEMA)
-            .repartition(max(1, min(fan, len(current))), "model")
+            .repartition(min(fan, -(-len(current) // MODELS_PER_TASK)), "model")
             .mapInArrow(_steps(size, c, current, prox_mu, target), _STEP_SCHEMA)
             .collect()  # one row per open model, at most MODELS_PER_FIT
         )
@@ -275,7 +277,7 @@ def fit_grouped(
         params = np.zeros(size) if s.skipped else (s.accepted if s.accepted is not None else s.params)
         converged = s.done and not s.skipped
         result.append((name, s.n, s.n_pos, s.skipped, s.iterations, converged, params.tolist()))
-    return spark.createDataFrame(result, PARAMS_SCHEMA)
+    return local_table(spark, result, PARAMS_SCHEMA)
 
 
 def _fit_in_chunks(rows: DataFrame, stats: DataFrame, **options) -> DataFrame:
@@ -304,7 +306,7 @@ def _fit_in_chunks(rows: DataFrame, stats: DataFrame, **options) -> DataFrame:
 def score_by_key(df: DataFrame, params: DataFrame, on: str, size: int, features: str = "features") -> DataFrame:
     """Score each row with the parameters of its own key (``params``: on, params)."""
     joined = join_lookup(df, params.select(on, "params"), [on], "inner")
-    return joined.withColumn("score", probability(F.col(features), F.col("params"), size)).drop("params")
+    return joined.withColumn("score", probability(features, "params", size)).drop("params")
 
 
 def score_models(
@@ -317,14 +319,10 @@ def score_models(
     """
     if len(params) > MODELS_PER_SCAN:
         raise ValueError(f"at most {MODELS_PER_SCAN} global models are scored in one scan")
-    table = F.array(
-        *[
-            F.struct(F.lit(m).alias("model"), F.array(*[F.lit(float(v)) for v in w]).alias("params"))
-            for m, w in params.items()
-        ]
-    )
+    entries = [F.struct(F.lit(m).alias("model"), constant(w).alias("params")) for m, w in params.items()]
+    table = F.array(*entries)
     spread = df.withColumn("_m", F.explode(table))
-    scored = spread.withColumn("score", probability(F.col(features), F.col("_m.params"), size))
+    scored = spread.withColumn("score", probability(features, "_m.params", size))
     return scored.withColumn("model", F.col("_m.model")).drop("_m")
 
 

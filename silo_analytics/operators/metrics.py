@@ -13,16 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PIECES = 1024
+from ..functions.vectors import constant
+
+MAX_PIECES = 256
+# Rank error of the edges: far below the width of a piece.
+EDGE_ACCURACY = 2_560
 SCORES_PER_PIECE = 500_000
-_FRACTIONS = [i / MAX_PIECES for i in range(1, MAX_PIECES)]
 
 
 def score_edges(df: DataFrame, by: Sequence[str], score: str, per_piece: int) -> DataFrame:
     """Per group, the score values that cut it into pieces of about ``per_piece`` rows."""
     sketch = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.percentile_approx(score, _FRACTIONS, 10_000).alias("_all"),
+        F.percentile_approx(score, constant([i / MAX_PIECES for i in range(1, MAX_PIECES)]), EDGE_ACCURACY).alias("_all"),
     )
     pieces = F.least(F.greatest(F.ceil(F.col("_rows") / per_piece), F.lit(1)), F.lit(MAX_PIECES))
     step = F.floor(F.lit(MAX_PIECES) / pieces)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import local_table
 from .quantiles import exact_medians
 
 
@@ -22,16 +23,17 @@ class FittedPrep:
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = list(zip(self.features, self.median, self.mean, self.std))
-        return spark.createDataFrame(rows, "feature string, median double, mean double, std_pop double")
+        return local_table(spark, rows, "feature string, median double, mean double, std_pop double")
 
-    def scaled(self, feature: str) -> Column:
+    def scaled(self, feature: str) -> str:
+        """SQL text of the filled and scaled feature."""
         i = self.features.index(feature)
-        filled = F.coalesce(F.col(feature).cast("double"), F.lit(self.median[i]))
-        return (filled - F.lit(self.mean[i])) / F.lit(self.std[i] if self.std[i] > 0 else 1.0)
+        filled = f"coalesce(cast(`{feature}` AS double), {self.median[i]!r}D)"
+        return f"({filled} - {self.mean[i]!r}D) / {(self.std[i] if self.std[i] > 0 else 1.0)!r}D"
 
     def transform(self, df: DataFrame, name: str = "features") -> DataFrame:
         """Add the filled and scaled feature vector."""
-        return df.withColumn(name, F.array(*[self.scaled(f) for f in self.features]))
+        return df.withColumn(name, F.expr(f"array({', '.join(map(self.scaled, self.features))})"))
 
 
 def fit_prep(df: DataFrame, features: Sequence[str]) -> FittedPrep:
@@ -43,10 +45,10 @@ def fit_prep(df: DataFrame, features: Sequence[str]) -> FittedPrep:
     empty = [f for f in features if medians[f] is None]
     if empty:
         raise ValueError(f"no values to fit: {empty}")
-    filled = [F.coalesce(F.col(f).cast("double"), F.lit(medians[f])) for f in features]
+    filled = [f"coalesce(cast(`{f}` AS double), {medians[f]!r}D)" for f in features]
     row = df.agg(
-        *[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)],
-        *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)],
+        *[F.expr(f"avg({x}) AS m{i}") for i, x in enumerate(filled)],
+        *[F.expr(f"stddev_pop({x}) AS s{i}") for i, x in enumerate(filled)],
     ).first()
     n = len(features)
     return FittedPrep(

@@ -25,14 +25,12 @@ def exact_quantiles(
     """
     asks = [(c, float(p)) for c, ps in wanted.items() for p in ps]
     columns = list(wanted)
-    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    values = df.selectExpr(*[f"cast(`{c}` AS double) AS c{i}" for i, c in enumerate(columns)])
 
-    sketches = [F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))]
+    sketches = [F.expr(f"count(c{i}) AS n{i}") for i in range(len(columns))]
     for j, (c, p) in enumerate(asks):
-        fractions = F.array(F.lit(max(p - _SLACK, 0.0)), F.lit(min(p + _SLACK, 1.0)))
-        sketches.append(
-            F.percentile_approx(f"c{columns.index(c)}", fractions, ACCURACY).alias(f"q{j}")
-        )
+        around = f"array({max(p - _SLACK, 0.0)!r}D, {min(p + _SLACK, 1.0)!r}D)"
+        sketches.append(F.expr(f"percentile_approx(c{columns.index(c)}, {around}, {ACCURACY}) AS q{j}"))
     sketch = values.agg(*sketches).first()
 
     out: dict[tuple[str, float], float | None] = {}
@@ -61,28 +59,23 @@ def _read_brackets(values, columns, asks) -> list[float | None]:
     """Exact order statistics around each ask, or None when the bracket missed them."""
     entries = []
     for j, (c, _, _, low, high) in enumerate(asks):
-        x = F.col(f"c{columns.index(c)}")
-        inside = F.when(x >= F.lit(low), x)  # null stands for "below the bracket"
-        entries.append(
-            F.when(x <= F.lit(high), F.struct(F.lit(j).alias("ask"), inside.alias("v")))
-        )
+        x, low, high = f"c{columns.index(c)}", f"double('{low!r}')", f"double('{high!r}')"
+        # a null value stands for "below the bracket"
+        inside = f"CASE WHEN {x} >= {low} THEN {x} END"
+        entries.append(f"CASE WHEN {x} <= {high} THEN named_struct('ask', {j}, 'v', {inside}) END")
     counted = (
-        values.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        values.select(F.expr(f"explode(array_compact(array({', '.join(entries)})))").alias("e"))
         .groupBy("e.ask", "e.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     order = Window.partitionBy("ask").orderBy(F.col("v").asc_nulls_first())
     ranked = counted.withColumn("upto", F.sum("n").over(order))
-    targets = []
+    wanted = set()
     for j, (_, p, n, _, _) in enumerate(asks):
-        position = (n - 1) * p
-        first = int(position) + 1
-        targets += [(j, first), (j, min(first + 1, n))]
-    hits = F.lit(False)
-    for j, rank in set(targets):
-        covers = (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
-        hits = hits | ((F.col("ask") == j) & covers)
-    rows = ranked.filter(hits & F.col("v").isNotNull()).collect()  # at most 2 per ask
+        first = int((n - 1) * p) + 1
+        wanted |= {(j, first), (j, min(first + 1, n))}
+    hits = " OR ".join(f"(ask = {j} AND upto >= {rank} AND upto - n < {rank})" for j, rank in sorted(wanted))
+    rows = ranked.filter(f"v IS NOT NULL AND ({hits})").collect()  # at most 2 per ask
 
     out: list[float | None] = []
     for j, (_, p, n, _, _) in enumerate(asks):

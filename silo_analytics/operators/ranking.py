@@ -37,7 +37,7 @@ def rank_in_group(
 
     Group columns must not be null.
     """
-    spread = df.withColumn("_u", hash_uniform(seed, salt, F.col(key)))
+    spread = df.withColumn("_u", hash_uniform(seed, salt, key))
     spread = spread.withColumn("_b", _bucket(F.col("_u"), buckets))
     counts = spread.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +55,7 @@ def rank_in_group(
 
 def running_total(df: DataFrame, key: str, amount: str, name: str, buckets: int = 64) -> DataFrame:
     """Add the sum of ``amount`` over all rows earlier in hash order of ``key``."""
-    spread = df.withColumn("_u", hash_uniform(0, "total", F.col(key)))
+    spread = df.withColumn("_u", hash_uniform(0, "total", key))
     spread = spread.withColumn("_b", _bucket(F.col("_u"), buckets))
     sums = spread.groupBy("_b").agg(F.sum(amount).alias("_s"))  # at most `buckets` rows
     whole = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,15 +87,14 @@ def rank_cuts(
     salt: str,
     wanted: DataFrame,
     buckets: int = CUT_BUCKETS,
-) -> DataFrame:
-    """Where in hash order the wanted ranks of each group lie.
+) -> tuple[DataFrame, bool]:
+    """Where in hash order the wanted ranks of each group lie, and whether there are few of them.
 
     ``wanted`` has the group columns, ``cut`` and ``rank`` (1-based; 0 lies before
     every row).  Counts per bucket find the bucket of every cut; only the rows of
     those buckets, about one in ``buckets``, are ordered.
     """
-    wanted, _ = settle(wanted, CUT_ROWS, "wanted")
-    u = hash_uniform(seed, salt, F.col(key))
+    u = hash_uniform(seed, salt, key)
     spread = df.select(*group, F.col(key).alias("_k"), u.alias("_u"))
     spread = spread.withColumn("_b", _bucket(F.col("_u"), buckets))
     upto = Window.partitionBy(*group).orderBy("_b")
@@ -104,42 +103,45 @@ def rank_cuts(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.sum("_n").over(upto))
     )
-    inside = (F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n"))
+    rank, before = F.col("rank"), F.col("_upto") - F.col("_n")
+    # a cut of rank 0 is kept with the first bucket
+    inside = (rank <= F.col("_upto")) & ((rank > before) | ((rank <= 0) & (before == 0)))
     hits = (
         counts.join(wanted, list(group))
         .filter(inside)
-        .select(*group, "_b", "cut", (F.col("rank") - F.col("_upto") + F.col("_n")).alias("_local"))
+        .select(*group, "_b", "cut", F.greatest(rank - before, F.lit(0)).alias("_local"))
     )
-    hits, bounded = settle(hits, CUT_ROWS, "hits")
+    hits, few = settle(hits, CUT_ROWS, "hits")
+    inner = hits.filter(F.col("_local") > 0)
     order = Window.partitionBy(*group, "_b", "cut").orderBy("_u", "_k")
     found = (
-        spread.join(F.broadcast(hits) if bounded else hits, [*group, "_b"])
+        spread.join(F.broadcast(inner) if few else inner, [*group, "_b"])
         .withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") == F.col("_local"))
         .select(*group, "cut", F.col("_u").alias("cut_u"), F.col("_k").alias("cut_key"))
     )
-    start = wanted.filter(F.col("rank") <= 0).select(
+    start = hits.filter(F.col("_local") == 0).select(
         *group,
         "cut",
         F.lit(-1.0).alias("cut_u"),
         F.lit(None).cast(df.schema[key].dataType).alias("cut_key"),
     )
-    return found.unionByName(start)
+    return found.unionByName(start), few
 
 
-def assign_segments(
-    df: DataFrame, group: Sequence[str], key: str, seed: int, salt: str, cuts: DataFrame, name: str
+def cut_segments(
+    df: DataFrame, group: Sequence[str], key: str, seed: int, salt: str, wanted: DataFrame, name: str
 ) -> DataFrame:
     """Add the number of the group's cuts that lie before the row (0 = up to the first cut).
 
     A scan with a comparison per cut: no row of ``df`` is shuffled while the cut
     table stays within its checked size.
     """
-    cuts, bounded = settle(cuts, CUT_ROWS, "cuts")
-    place = F.struct(hash_uniform(seed, salt, F.col(key)).alias("u"), F.col(key).alias("k"))
+    cuts, few = rank_cuts(df, group, key, seed, salt, wanted)
+    place = F.struct(hash_uniform(seed, salt, key).alias("u"), F.col(key).alias("k"))
     cut = F.struct(F.col("cut_u").alias("u"), F.col("cut_key").alias("k"))
     arrays = cuts.groupBy(*group).agg(F.collect_list(cut).alias("_cuts"))  # a few cuts per group
-    if bounded:
+    if few:
         joined = df.join(F.broadcast(arrays), list(group), "left")
     else:
         joined = join_lookup(df, arrays, group)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import assign_segments, rank_cuts, wanted_ranks
+from .ranking import cut_segments, wanted_ranks
 
 
 def class_counts(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
@@ -76,8 +76,8 @@ def stratified_split(
     counts = class_counts(df, by, label)
     quotas = _by_class(counts, by, label, test_quotas(counts, fraction, bool(by)))
     salt = "split" + "".join(f":{c}" for c in by)
-    cuts = rank_cuts(df, group, key, seed, salt, wanted_ranks(quotas, group, [F.col("quota")]))
-    marked = assign_segments(df, group, key, seed, salt, cuts, "_segment")
+    wanted = wanted_ranks(quotas, group, [F.col("quota")])
+    marked = cut_segments(df, group, key, seed, salt, wanted, "_segment")
     return marked.withColumn(name, F.col("_segment") == 0).drop("_segment")
 
 
@@ -88,8 +88,7 @@ def stratified_folds(
     counts = class_counts(df, (), label)
     sizes = _by_class(counts, (), label, [F.col("n0"), F.col("n1")])
     ranks = [F.floor(F.col("n") * j / folds) for j in range(1, folds)]
-    cuts = rank_cuts(df, [label], key, seed, "fold", wanted_ranks(sizes, [label], ranks))
-    return assign_segments(df, [label], key, seed, "fold", cuts, name)
+    return cut_segments(df, [label], key, seed, "fold", wanted_ranks(sizes, [label], ranks), name)
 
 
 def skew_proportions(silos: int, alpha: float, seed: int) -> dict[int, list[float]]:
@@ -123,5 +122,4 @@ def skew_partition(
         ranks.append(running)
     if not ranks:
         return df.withColumn(name, F.lit(0))
-    cuts = rank_cuts(df, [label], key, seed, "skew", wanted_ranks(sizes, [label], ranks))
-    return assign_segments(df, [label], key, seed, "skew", cuts, name)
+    return cut_segments(df, [label], key, seed, "skew", wanted_ranks(sizes, [label], ranks), name)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import relabel_null
-from ..functions.vectors import pull_coefficients, relative_importance
+from ..functions.vectors import constant, pull_coefficients, relative_importance
 from ..operators.averaging import average_importances, average_vectors
 from ..operators.bootstrap import bootstrap_auroc
 from ..operators.logistic import fit_grouped, fold_models, score_by_key, score_models
@@ -25,7 +25,7 @@ from ..operators.metrics import ranking_metrics, threshold_metrics
 from ..operators.neural import ROUND_EPOCHS, POOLED_EPOCHS, federated_mlp, fit_mlp, fit_silos, score_mlp, usable_silos
 from ..operators.relational import group_label_counts, size_gate
 from ..operators.sampling import skew_partition, stratified_folds
-from ..scratch import join_lookup, materialize
+from ..scratch import join_lookup, local_table, materialize
 from ..spec import STRATEGIES, DatasetSpec, RunConfig
 
 GLOBAL_METRICS = (
@@ -119,7 +119,7 @@ def averaging_rounds(
         if mu == 0.0 and out:
             out.append(out[-1])  # same silo optima, same weights, same mean
             continue
-        target = F.array(*[F.lit(float(v)) for v in current])
+        target = constant(current)
         moved = local if mu == 0.0 else local.withColumn(
             "params", pull_coefficients(F.col("params"), target, mu, size)
         )
@@ -184,7 +184,6 @@ def run_linear(prepared: Prepared, strategies: Sequence[int]) -> StrategyResults
         "memberships",
     )
     fitted = fit_grouped(rows, "_models", spec.label, c=cfg.c).select("model", "n", "n_pos", "skipped", "params")
-    fitted = materialize(fitted, "fitted")
     usable = fitted.filter(~F.col("skipped"))
 
     def of(prefix: str) -> DataFrame:
@@ -207,7 +206,7 @@ def run_linear(prepared: Prepared, strategies: Sequence[int]) -> StrategyResults
         else:
             averaged = averaging_rounds(of("region"), cfg.fl_rounds, size, start, cfg.fedprox_mu)
             for before in [start, *averaged[:-1]]:
-                target = F.array(*[F.lit(float(v)) for v in before])
+                target = constant(before)
                 pulled.append(
                     of("region").withColumn("params", pull_coefficients(F.col("params"), target, cfg.fedprox_mu, size))
                 )
@@ -241,8 +240,7 @@ def run_linear(prepared: Prepared, strategies: Sequence[int]) -> StrategyResults
             gate.filter(F.col("status") == "in").select(F.concat(F.lit("hospital:"), "silo").alias("model")),
             "model", "left_semi",
         )
-        passed = materialize(passed, "passed")
-        if passed.limit(1).count():
+        if not gate.filter(F.col("status") == "in").isEmpty():
             for r, w in enumerate(averaging_rounds(passed, cfg.fl_rounds, size, start), 1):
                 globals_[3, r] = w
         usable = usable.join(
@@ -254,7 +252,7 @@ def run_linear(prepared: Prepared, strategies: Sequence[int]) -> StrategyResults
     metrics = metrics.unionByName(_label_profile(prepared, strategies, usable))
     if gate is not None:
         metrics = metrics.unionByName(_gate_counts(gate))
-    params = spark.createDataFrame(
+    params = local_table(spark, 
         [(STRATEGIES[s], r, list(map(float, w))) for (s, r), w in sorted(globals_.items())], PARAMS
     )
     result = StrategyResults(materialize(metrics, "metrics"), params, gate, fitted)
@@ -297,7 +295,7 @@ def _evaluate_rounds(prepared: Prepared, globals_: dict[tuple[int, int], list[fl
         name = distinct.setdefault(tuple(w), f"m{len(distinct)}")
         where.append((STRATEGIES[s], r, name))
     if not where:
-        return spark.createDataFrame([], METRICS)
+        return local_table(spark, [], METRICS)
     scored = score_models(
         prepared.test.select(prepared.spec.key, prepared.spec.label, "features"),
         {name: w for w, name in distinct.items()},
@@ -305,7 +303,7 @@ def _evaluate_rounds(prepared: Prepared, globals_: dict[tuple[int, int], list[fl
     ).drop("features")
     scored = materialize(scored, "scored")
     values = global_metrics(scored, prepared.spec, prepared.cfg)
-    table = F.broadcast(spark.createDataFrame(where, "strategy string, round int, model string"))
+    table = F.broadcast(local_table(spark, where, "strategy string, round int, model string"))
     long = values.join(table, "model").unpivot(
         ["strategy", "round", "n"], list(GLOBAL_METRICS), "metric", "value"
     )
@@ -436,10 +434,10 @@ def run_mlp(
         scored = scored.unionByName(p)
     values = global_metrics(materialize(scored, "scored"), spec, cfg)
     where = [(STRATEGIES[s], r, names[w.tobytes()]) for (s, r), w in found.items()]
-    table = F.broadcast(spark.createDataFrame(where, "strategy string, round int, model string"))
+    table = F.broadcast(local_table(spark, where, "strategy string, round int, model string"))
     long = values.join(table, "model").unpivot(["strategy", "round", "n"], list(GLOBAL_METRICS), "metric", "value")
     metrics = long.select("strategy", "round", F.lit(None).cast("string").alias("silo"), "metric", "value", "n")
-    params = spark.createDataFrame([(STRATEGIES[s], r, w.tolist()) for (s, r), w in found.items()], PARAMS)
+    params = local_table(spark, [(STRATEGIES[s], r, w.tolist()) for (s, r), w in found.items()], PARAMS)
     return StrategyResults(materialize(metrics, "metrics"), params)
 
 

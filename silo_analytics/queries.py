@@ -92,7 +92,7 @@ def scored(df: DataFrame) -> DataFrame:
     """A score with ties that leans on the label."""
     raw = (
         F.col("price") / 500000.0 * 0.6
-        + hash_uniform(1, "score", F.col("id")) * 0.3
+        + hash_uniform(1, "score", "id") * 0.3
         + F.col("label") * 0.1
     )
     return df.withColumn("score", F.floor(raw * 1000.0) / 1000.0)
@@ -939,7 +939,7 @@ def grouped_lr_at_optimum(spark, folder):
     joined = rows.join(F.broadcast(params), "silo")  # one row per nation
     n, pos, size = F.col("n"), F.col("n_pos"), len(FEATURES)
     weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-    residual = weight * (probability(F.col("features"), F.col("params"), size) - F.col("label"))
+    residual = weight * (probability("features", "params", size) - F.col("label"))
     sums = [F.sum(residual * F.col("features")[i]).alias(f"g{i}") for i in range(size)]
     totals = joined.groupBy("silo", "n", "n_pos", "params").agg(*sums, F.sum(residual).alias(f"g{size}"))
     gradient = [F.abs(0.01 * F.col(f"g{i}") + F.col("params")[i]) for i in range(size)]

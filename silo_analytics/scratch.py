@@ -13,11 +13,16 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A lookup side is broadcast only when a count has shown it to be this small.
 BROADCAST_ROWS = 200_000
+# Results up to this size are held by the driver between two steps.
+DRIVER_ROWS = 10_000
 # Copies of each lookup row when a join has to spread a hot key over tasks.
 JOIN_SALTS = 16
 
@@ -55,15 +60,24 @@ def collect_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A few driver-side rows as a table whose size the optimizer knows."""
+    fields = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [() for _ in fields]
+    arrow = to_arrow_schema(fields)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), fields)
+
+
 def settle(df: DataFrame, limit: int, name: str) -> tuple[DataFrame, bool]:
     """Fix a result that later steps read again: as local rows up to ``limit``, else as a table.
 
     The flag tells whether the size bound held, i.e. whether it may be broadcast.
     """
-    rows = collect_bounded(df, limit)
-    if rows is None:
+    found = df.limit(limit + 1).toArrow()
+    if found.num_rows > limit:
         return materialize(df, name), False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    return df.sparkSession.createDataFrame(found, df.schema), True
 
 
 def join_lookup(
@@ -75,23 +89,15 @@ def join_lookup(
 ) -> DataFrame:
     """Equi-join a large table to a lookup with unique keys, safe for hot keys.
 
-    ``lookup`` is written once and counted.  Within ``limit`` rows it is
+    ``lookup`` is computed once and counted.  Within ``limit`` rows it is
     broadcast.  Above that it is copied ``JOIN_SALTS`` times and joined on
     (key, salt), so that the rows of one hot key are spread over several tasks.
     """
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"join_lookup cannot do a {how} join")
-    small = materialize(lookup, "lookup")
-    if small.count() <= limit:
+    small, fits = settle(lookup, min(limit, DRIVER_ROWS), "lookup")
+    if fits or small.count() <= limit:
         return big.join(F.broadcast(small), list(on), how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(JOIN_SALTS)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
-
-
-def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
-    """Join condition under which null keys match null keys."""
-    cond = F.lit(True)
-    for name in on:
-        cond = cond & left[name].eqNullSafe(right[name])
-    return cond

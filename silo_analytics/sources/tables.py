@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import local_table
+
 # Texts that a CSV reader of the pandas family takes for "missing".
 MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -139,4 +141,4 @@ def check_sources(
             continue
         have = set(tables[table].columns)
         problems += [(table, f"column {c} is missing") for c in columns if c not in have]
-    return spark.createDataFrame(problems, "table string, problem string")
+    return local_table(spark, problems, "table string, problem string")
