@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .functions import scalar as S
 from .functions.hashing import hash_uniform
@@ -36,6 +35,7 @@ from .plans import orders as O
 from .plans.orchestrate import prepare, run
 from .plans.regional import compare_regions
 from .plans.strategies import averaging_rounds, run_linear
+from .schemas import schema
 from .scratch import materialize, scratch_path
 from .sources import tables as src
 from .spec import RunConfig
@@ -366,10 +366,10 @@ def csv_scan(spark, folder):
         "c_mktsegment", F.when(F.col("c_custkey") % 4 == 0, "NA").otherwise(F.col("c_mktsegment"))
     )
     out.write.option("header", True).option("compression", "gzip").csv(f"{path}/customer.csv.gz")
-    schema = T.StructType.fromDDL(
+    fields = schema(
         "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
     )
-    return src.read_table(spark, path, "customer", schema)
+    return src.read_table(spark, path, "customer", fields)
 
 
 @query("site_scan", """
@@ -388,7 +388,7 @@ def site_scan(spark, folder):
     sites = [("filled.data", "Filled", 1), ("open.data", "Open", 2), ("partial.data", "Partial", 3)]
     for (file, _, _), status in zip(sites, "FOP"):
         orders.filter(F.col("status") == status).drop("status").write.csv(f"{path}/{file}")
-    return src.read_sites(spark, path, sites, T.StructType.fromDDL("key double, price double, cust double"))
+    return src.read_sites(spark, path, sites, schema("key double, price double, cust double"))
 
 
 @query("stack_tables", """
