@@ -33,6 +33,9 @@ PARAMS_SCHEMA = (
     "model string, n long, n_pos long, skipped boolean, iterations int, converged boolean, "
     "params array<double>"
 )
+# Rows of one silo that go into one partition, and the parts for rows without a silo.
+ROWS_PER_PART = 1_000_000
+UNKNOWN_PARTS = 64
 # Models whose parameters are held on the driver and broadcast in one step.
 MODELS_PER_FIT = 20_000
 # Models whose sums a task holds at once before it hands them on.
@@ -76,13 +79,22 @@ def fit_pooled(
     return np.append(model.coefficients.toArray(), model.intercept)
 
 
-def balanced_training_table(df: DataFrame, silo: str, key: str, name: str = "training") -> DataFrame:
-    """Write the training rows ordered by (silo, hash of key).
+def balanced_training_table(
+    df: DataFrame, silo: str, key: str, sizes_from: DataFrame, name: str = "training"
+) -> DataFrame:
+    """Write the training rows with each silo kept together, large silos in several parts.
 
-    Range partitions split a big silo and pack small ones together, so a partition
-    meets few models.
+    A partition then meets few models.  ``sizes_from`` is a cheaper table with the
+    same large silos; those above ``ROWS_PER_PART`` rows are split by a hash of the
+    key.
     """
-    return materialize(df.repartitionByRange(F.col(silo), F.xxhash64(F.col(key))), name)
+    sizes = sizes_from.groupBy(silo).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_PART).alias("_parts"))
+    large = sizes.filter((F.col("_parts") > 1) & F.col(silo).isNotNull())
+    marked = join_lookup(df, large, [silo], "left")
+    # rows without a silo have no size entry and are always spread
+    parts = F.when(F.col(silo).isNull(), F.lit(UNKNOWN_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
+    part = F.pmod(F.xxhash64(key), parts)
+    return materialize(marked.withColumn("_part", part).repartition(silo, "_part").drop("_parts", "_part"), name)
 
 
 # ------------------------------------------------------------------ grouped Newton

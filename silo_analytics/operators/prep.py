@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import local_table
-from .quantiles import exact_medians
+from .quantiles import exact_medians, quantiles_and
 
 
 @dataclass(frozen=True)
@@ -37,26 +37,26 @@ class FittedPrep:
 
 
 def fit_prep(df: DataFrame, features: Sequence[str]) -> FittedPrep:
-    """Exact medians, then mean and deviation of the filled columns.
+    """Exact medians, and mean and deviation of the filled columns, in two passes.
 
     A feature without any value is refused: there is nothing to fill it with.
     """
-    medians = exact_medians(df, features)
-    empty = [f for f in features if medians[f] is None]
+    moments = []
+    for i in range(len(features)):
+        moments += [F.expr(f"count(c{i}) AS k{i}"), F.expr(f"avg(c{i}) AS m{i}"), F.expr(f"stddev_pop(c{i}) AS s{i}")]
+    found, row = quantiles_and(df, {f: (0.5,) for f in features}, [F.count(F.lit(1)).alias("rows"), *moments])
+    empty = [f for f in features if found[f, 0.5] is None]
     if empty:
         raise ValueError(f"no values to fit: {empty}")
-    filled = [f"coalesce(cast(`{f}` AS double), {medians[f]!r}D)" for f in features]
-    row = df.agg(
-        *[F.expr(f"avg({x}) AS m{i}") for i, x in enumerate(filled)],
-        *[F.expr(f"stddev_pop({x}) AS s{i}") for i, x in enumerate(filled)],
-    ).first()
-    n = len(features)
-    return FittedPrep(
-        tuple(features),
-        tuple(medians[f] for f in features),
-        tuple(row[f"m{i}"] for i in range(n)),
-        tuple(row[f"s{i}"] for i in range(n)),
-    )
+    means, stds = [], []
+    for i, f in enumerate(features):
+        # the filled column is the known values plus (rows - known) copies of the median
+        known, filled, median = row[f"k{i}"], row.rows - row[f"k{i}"], found[f, 0.5]
+        mean = (known * row[f"m{i}"] + filled * median) / row.rows
+        spread = known * (row[f"s{i}"] ** 2 + (row[f"m{i}"] - mean) ** 2) + filled * (median - mean) ** 2
+        means.append(mean)
+        stds.append((spread / row.rows) ** 0.5)
+    return FittedPrep(tuple(features), tuple(found[f, 0.5] for f in features), tuple(means), tuple(stds))
 
 
 def fill_medians(df: DataFrame, columns: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
@@ -23,6 +23,16 @@ def exact_quantiles(
 
     Returns ``{(column, p): value}``; a column without values gives None.
     """
+    return quantiles_and(df, wanted, [])[0]
+
+
+def quantiles_and(
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], also: Sequence[Column]
+) -> tuple[dict[tuple[str, float], float | None], Row]:
+    """Exact quantiles, and other aggregates of the same rows taken in the same pass.
+
+    ``also`` refers to the wanted columns as c0, c1, ... in their order.
+    """
     asks = [(c, float(p)) for c, ps in wanted.items() for p in ps]
     columns = list(wanted)
     values = df.selectExpr(*[f"cast(`{c}` AS double) AS c{i}" for i, c in enumerate(columns)])
@@ -31,7 +41,7 @@ def exact_quantiles(
     for j, (c, p) in enumerate(asks):
         around = f"array({max(p - _SLACK, 0.0)!r}D, {min(p + _SLACK, 1.0)!r}D)"
         sketches.append(F.expr(f"percentile_approx(c{columns.index(c)}, {around}, {ACCURACY}) AS q{j}"))
-    sketch = values.agg(*sketches).first()
+    sketch = values.agg(*sketches, *also).first()
 
     out: dict[tuple[str, float], float | None] = {}
     open_asks = []
@@ -52,7 +62,7 @@ def exact_quantiles(
             else:
                 out[(c, p)] = value
         open_asks = retry
-    return out
+    return out, sketch
 
 
 def _read_brackets(values, columns, asks) -> list[float | None]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators.quantiles import exact_quantiles
 from ..operators.relational import attach, count_per_key, mark_exists, max_row_per_key
+from ..scratch import materialize
 from ..sources.datasets import BED_BANDS, ELECTIVE_SOURCES, HIGH_RISK_DISCHARGES, UNIT_TYPES
 
 STAY = "patientunitstayid"
@@ -59,9 +60,9 @@ def build_icu_cohort(
     kept_drugs = S.differs_or_null(F.col("drugordercancelled"), "Yes")
     kept_history = S.differs_or_null(F.col("pasthistoryvaluetext"), "NoHealthProblems")
 
-    df = first_visits(tables["patient"])
-    df = attach(df, best, STAY)
-    scored = df.select("age_num", *SCORES)
+    # written once: the statistics and the cohort both read it
+    df = materialize(attach(first_visits(tables["patient"]), best, STAY), "first-visits")
+    scored = df
     for table, name, keep in (
         ("diagnosis", "diagnosis_count", None),
         ("medication", "medication_count", kept_drugs),

@@ -67,7 +67,7 @@ def prepare(
     else:
         train = real.withColumn("is_synthetic", F.lit(False))
     kept = list(dict.fromkeys([spec.key, spec.label, spec.region, spec.hospital, "is_synthetic", "features"]))
-    table = balanced_training_table(prep.transform(train).select(*kept), spec.hospital, spec.key)
+    table = balanced_training_table(prep.transform(train).select(*kept), spec.hospital, spec.key, real)
     tested = prep.transform(test.withColumn("is_synthetic", F.lit(False))).select(*kept)
     return Prepared(table, materialize(tested, "test"), spec, cfg), prep
 

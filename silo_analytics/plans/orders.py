@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators.quantiles import exact_quantiles
 from ..operators.relational import attach, count_per_key, first_rows
+from ..scratch import materialize
 from ..spec import DatasetSpec
 
 TABLES = ("region", "nation", "customer", "orders", "lineitem", "events", "documents", "labels")
@@ -77,18 +78,17 @@ def build_orders_cohort(tables: Mapping[str, DataFrame], label: str = "label_b")
     Customers whose number ends in 0 in the Middle East have no region.
     """
     base = first_orders(tables["orders"]).withColumnRenamed("o_custkey", "id")
+    counted = ["line_count", "kept_count", "label_b"]
+    # written once: the lines are read for the quartile and for the cohort
+    base = materialize(attach(base, order_lines(tables["lineitem"]), "o_orderkey", zero=counted), "first-orders")
+    cut = exact_quantiles(base, {"top_price": (0.75,)})["top_price", 0.75]
     people = tables["customer"].select(
         F.col("c_custkey").alias("id"),
         F.col("c_nationkey").alias("silo"),
         F.col("c_acctbal").alias("acct_bal"),
         S.flag_equals(F.col("c_mktsegment"), "BUILDING").alias("is_building"),
     )
-    lines = order_lines(tables["lineitem"])
-    prices = attach(base.select("o_orderkey"), lines, "o_orderkey")
-    cut = exact_quantiles(prices, {"top_price": (0.75,)})["top_price", 0.75]
-
     df = attach(base, people, "id")
-    df = attach(df, lines, "o_orderkey", zero=["line_count", "kept_count", "label_b"])
     happened = S.differs_or_null(F.col("event_type"), "error")
     events = count_per_key(tables["events"].withColumnRenamed("user_id", "id"), "id", "event_count", happened)
     df = attach(df, events, "id", zero=["event_count"])
