@@ -32,11 +32,13 @@ from .operators import (
     store,
 )
 from .plans import orders as O
+from .plans.cohort import build_icu_cohort
 from .plans.orchestrate import prepare, run
 from .plans.regional import compare_regions
 from .plans.strategies import averaging_rounds, run_linear
 from .schemas import schema
 from .scratch import materialize, scratch_path
+from .sources import datasets
 from .sources import tables as src
 from .spec import RunConfig
 
@@ -308,6 +310,157 @@ def hospital_profile(spark, folder):
     return rounded(out, rate=6, bal=4)
 
 
+def _icu_tables(spark, folder) -> dict[str, DataFrame]:
+    """The six tables of the intensive-care cohort, derived from the order tables."""
+    orders = table(spark, folder, "orders")
+    visits = relational.first_rows(
+        orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice"),
+        "o_custkey", ("o_orderdate", "o_orderkey"), 2, "visit",
+    )
+    lines = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "patientunitstayid")
+    wards = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return {
+        "patient": visits.selectExpr(*[f"{e} AS {n}" for n, e in _ICU_PATIENT.items()]),
+        "hospital": wards.selectExpr(*[f"{e} AS {n}" for n, e in _ICU_HOSPITAL.items()]),
+        "apachePatientResult": lines.selectExpr("patientunitstayid", *[f"{e} AS {n}" for n, e in _ICU_RESULT.items()]),
+        "diagnosis": lines.select("patientunitstayid"),
+        "medication": lines.selectExpr("patientunitstayid", f"{_ICU_DRUG} AS drugordercancelled"),
+        "pastHistory": lines.selectExpr("patientunitstayid", f"{_ICU_PAST} AS pasthistoryvaluetext"),
+    }
+
+
+_ICU_PATIENT = {
+    "uniquepid": "cast(o_custkey AS string)",
+    "patientunitstayid": "o_orderkey",
+    "unitvisitnumber": "visit",
+    "age": "CASE WHEN o_custkey % 13 = 0 THEN '> 89' WHEN o_custkey % 7 = 0 THEN NULL ELSE cast(o_custkey % 80 + 18 AS string) END",
+    "gender": "CASE o_orderstatus WHEN 'F' THEN 'Female' WHEN 'O' THEN 'Male' END",
+    "hospitaladmitsource": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Operating Room' WHEN '2-HIGH' THEN 'Recovery Room' ELSE 'Ward' END",
+    "unitdischargelocation": "CASE WHEN o_orderpriority = '5-LOW' THEN 'Telemetry' WHEN o_custkey % 3 = 0 THEN NULL ELSE 'Home' END",
+    "unittype": "CASE o_custkey % 4 WHEN 0 THEN 'MICU' WHEN 1 THEN 'SICU' WHEN 2 THEN 'Elsewhere' END",
+    "hospitalid": "cast(o_custkey % 30 AS int)",
+    "admissionweight": "o_totalprice",
+}
+_ICU_HOSPITAL = {
+    "hospitalid": "n_nationkey",
+    "region": "CASE WHEN r_name <> 'MIDDLE EAST' THEN r_name END",
+    "teachingstatus": "CASE n_nationkey % 3 WHEN 0 THEN 't' WHEN 1 THEN 'f' END",
+    "numbedscategory": "CASE n_nationkey % 5 WHEN 0 THEN '<100' WHEN 1 THEN '100 - 249' WHEN 2 THEN '250 - 499' WHEN 3 THEN '>= 500' END",
+}
+_ICU_RESULT = {
+    "apachescore": "CASE WHEN l_quantity <= 48 THEN l_extendedprice END",
+    "acutephysiologyscore": "l_quantity",
+    "actualiculos": "l_partkey / 100.0",
+    "actualhospitallos": "l_suppkey / 10.0",
+    "predictedhospitalmortality": "l_discount",
+}
+_ICU_DRUG = "CASE l_returnflag WHEN 'R' THEN 'Yes' WHEN 'N' THEN 'No' END"
+_ICU_PAST = "CASE WHEN l_linestatus = 'O' THEN 'NoHealthProblems' WHEN l_quantity <= 40 THEN 'Known' END"
+_ICU_KEPT = (
+    "patientunitstayid", "readmitted", "region", "age_num", "is_male", "is_elective", "high_risk_discharge", "unittype_enc",
+    "apachescore", "acutephysiologyscore", "diagnosis_count", "medication_count", "comorbidity_count", "is_teaching",
+    "bed_size_enc", "high_risk_apache", "long_stay", "teaching_bed_interaction",
+)
+_ICU_ROUNDED = {"apache_los_interaction": 4, "severity_age": 4, "med_diag_ratio": 6, "comorbidity_severity": 2}
+
+
+def _duck(exprs: dict[str, str]) -> str:
+    return ", ".join(
+        f"{e.replace('AS string', 'AS VARCHAR').replace(' / 100.0', ' / 100.0::DOUBLE').replace(' / 10.0', ' / 10.0::DOUBLE')} AS {n}"
+        for n, e in exprs.items()
+    )
+
+
+@query("icu_cohort", f"""WITH visits AS (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS visit FROM orders),
+p AS (SELECT {_duck(_ICU_PATIENT)} FROM visits WHERE visit <= 2),
+h AS (SELECT {_duck(_ICU_HOSPITAL)} FROM nation JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stay ORDER BY apachescore DESC NULLS FIRST, acutephysiologyscore DESC,
+  actualiculos DESC, actualhospitallos DESC, predictedhospitalmortality DESC) AS r
+  FROM (SELECT l_orderkey AS stay, {_duck(_ICU_RESULT)} FROM lineitem)) WHERE r = 1),
+c AS (SELECT l_orderkey AS stay, count(*) AS dx, count(*) FILTER (WHERE {_ICU_DRUG} IS DISTINCT FROM 'Yes') AS med,
+  count(*) FILTER (WHERE {_ICU_PAST} IS DISTINCT FROM 'NoHealthProblems') AS co FROM lineitem GROUP BY 1),
+j AS (SELECT p.*, a.apachescore, a.acutephysiologyscore, a.actualiculos, h.region,
+  CASE WHEN uniquepid IN (SELECT uniquepid FROM p WHERE unitvisitnumber = 2) THEN 1 ELSE 0 END AS readmitted,
+  try_cast(replace(age, '> 89', '90') AS DOUBLE) AS age_num, coalesce(dx, 0) AS diagnosis_count, coalesce(med, 0) AS medication_count,
+  coalesce(co, 0) AS comorbidity_count,
+  CASE WHEN h.hospitalid IS NOT NULL THEN CASE WHEN teachingstatus = 't' THEN 1 ELSE 0 END END AS is_teaching,
+  CASE WHEN h.hospitalid IS NOT NULL THEN CASE numbedscategory WHEN '<100' THEN 0 WHEN '100 - 249' THEN 1 WHEN '250 - 499' THEN 2
+    WHEN '>= 500' THEN 3 ELSE 1 END END AS bed_size_enc
+  FROM p LEFT JOIN a ON patientunitstayid = a.stay LEFT JOIN c ON patientunitstayid = c.stay LEFT JOIN h ON p.hospitalid = h.hospitalid
+  WHERE unitvisitnumber = 1),
+q AS (SELECT median(age_num) AS age, quantile_cont(apachescore, 0.75) AS score, quantile_cont(actualiculos, 0.75) AS stay FROM j)
+SELECT patientunitstayid, readmitted, region, age_num, CASE WHEN gender = 'Male' THEN 1 ELSE 0 END AS is_male,
+  CASE WHEN hospitaladmitsource IN ('Operating Room', 'Recovery Room') THEN 1 ELSE 0 END AS is_elective,
+  CASE WHEN unitdischargelocation = 'Telemetry' THEN 1 ELSE 0 END AS high_risk_discharge,
+  CASE unittype WHEN 'MICU' THEN 0 WHEN 'SICU' THEN 1 ELSE -1 END AS unittype_enc, apachescore, acutephysiologyscore,
+  diagnosis_count, medication_count, comorbidity_count, is_teaching, bed_size_enc,
+  CASE WHEN coalesce(apachescore, 0) > q.score THEN 1 ELSE 0 END AS high_risk_apache,
+  CASE WHEN coalesce(actualiculos, 0) > q.stay THEN 1 ELSE 0 END AS long_stay, is_teaching * bed_size_enc AS teaching_bed_interaction,
+  round(coalesce(apachescore, 0) * coalesce(actualiculos, 0), 4) AS apache_los_interaction,
+  round(coalesce(apachescore, 0) * coalesce(age_num, q.age), 4) AS severity_age,
+  round(medication_count / (diagnosis_count + 1), 6) AS med_diag_ratio,
+  round(comorbidity_count * coalesce(apachescore, 0), 2) AS comorbidity_severity FROM j, q""")
+def icu_cohort(spark, folder):
+    out = build_icu_cohort(_icu_tables(spark, folder))
+    return rounded(out.select(*_ICU_KEPT, *_ICU_ROUNDED), **_ICU_ROUNDED)
+
+
+_HEART = {
+    "age": "l_quantity", "sex": "l_linenumber % 2", "cp": "l_linenumber % 4",
+    "trestbps": "CASE WHEN l_partkey % 9 <> 0 THEN l_quantity * 3 END",
+    "chol": "CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice END", "fbs": "l_discount", "restecg": "l_tax",
+    "thalach": "CASE WHEN l_partkey % 5 <> 0 THEN l_quantity + l_linenumber END",
+    "exang": "CASE l_linestatus WHEN 'O' THEN 1 WHEN 'F' THEN 0 END", "oldpeak": "l_tax * 10",
+    "slope": "CASE WHEN l_linenumber < 6 THEN l_linenumber END", "ca": "l_discount", "thal": "l_tax",
+    "target": "CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 0 END",
+}
+
+
+@query("heart_features", f"""WITH raw AS (SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _HEART.items())} FROM lineitem),
+f AS (SELECT * REPLACE ({', '.join(f'coalesce({c}, (SELECT median({c}) FROM raw)) AS {c}' for c in ('trestbps', 'chol', 'thalach', 'exang', 'oldpeak', 'slope'))}) FROM raw)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN target > 0 THEN 1 ELSE 0 END AS readmitted, round(trestbps, 4) AS trestbps,
+  round(chol, 4) AS chol, exang, round(age * thalach, 4) AS age_thalach, round(oldpeak * slope, 4) AS oldpeak_slope,
+  round(cp * exang, 4) AS cp_exang, FALSE AS is_synthetic FROM f""")
+def heart_features(spark, folder):
+    raw = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", *[f"cast({e} AS double) AS {n}" for n, e in _HEART.items()]
+    )
+    out = datasets.heart_features(raw).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "readmitted", "trestbps", "chol", "exang", "age_thalach", "oldpeak_slope",
+        "cp_exang", "is_synthetic",
+    )
+    return rounded(out, trestbps=4, chol=4, age_thalach=4, oldpeak_slope=4, cp_exang=4)
+
+
+_BANK = {
+    "Age": "c_nationkey + 20", "Tenure": "c_custkey % 10", "Balance": "c_acctbal", "NumOfProducts": "c_custkey % 4 + 1",
+    "IsActiveMember": "c_custkey % 2",
+    "EstimatedSalary": "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 1000 + 100 END",
+}
+_BANK_TEXT = {
+    "Gender": "CASE c_custkey % 3 WHEN 0 THEN 'MALE' WHEN 1 THEN 'Female' END",
+    "Geography": "CASE c_nationkey % 4 WHEN 0 THEN 'France' WHEN 1 THEN 'Germany' WHEN 2 THEN 'Spain' ELSE 'Italy' END",
+}
+
+
+@query("bank_features", f"""WITH raw AS (SELECT c_custkey, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _BANK.items())},
+  {', '.join(f'{e} AS {n}' for n, e in _BANK_TEXT.items())}, CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS Exited FROM customer)
+SELECT c_custkey, Exited AS readmitted, CASE WHEN lower(Gender) = 'male' THEN 1 ELSE 0 END AS "Gender_enc",
+  round(CASE WHEN EstimatedSalary > 0 THEN Balance / (EstimatedSalary + 1) ELSE 0 END, 6) AS balance_salary_ratio,
+  Age * Tenure AS age_tenure, NumOfProducts * IsActiveMember AS products_active, Geography AS region,
+  CASE Geography WHEN 'France' THEN 1 WHEN 'Germany' THEN 2 WHEN 'Spain' THEN 3 ELSE 0 END AS hospitalid FROM raw""")
+def bank_features(spark, folder):
+    raw = table(spark, folder, "customer").selectExpr(
+        "c_custkey", *[f"cast({e} AS double) AS {n}" for n, e in _BANK.items()],
+        *[f"{e} AS {n}" for n, e in _BANK_TEXT.items()], "CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS Exited",
+    )
+    out = datasets.bank_features(raw).select(
+        "c_custkey", "readmitted", "Gender_enc", "balance_salary_ratio", "age_tenure", "products_active", "region", "hospitalid"
+    )
+    return rounded(out, balance_salary_ratio=6)
+
+
 # ------------------------------------------------------------------ scalar features and sources
 @query("number_cleaning", """
 WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN '> 89' WHEN o_orderkey % 7 = 0 THEN 'x'
