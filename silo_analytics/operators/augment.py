@@ -85,12 +85,11 @@ def augment_groups(
     order = Window.partitionBy(group).orderBy(hash_uniform(seed, "order", key), key)
     ranked = small.withColumn("_rank", F.row_number().over(order))
 
-    needs = small.groupBy(group).agg((F.lit(target) - F.max("_n")).cast("long").alias("_need"))
+    needs = small.groupBy(group).agg(F.max("_n").alias("_size")).withColumn("_need", F.lit(target) - F.col("_size"))
     top = df.agg(F.max(key).alias("m")).first().m
     draws = (
         running_total(needs, group, "_need", "_before")
         .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_need").cast("int"))))
-        .join(small.groupBy(group).agg(F.max("_n").alias("_size")), group)
         .withColumn(
             "_rank",
             (F.floor(hash_uniform(seed, "draw", group, "_i") * F.col("_size")) + 1).cast("int"),

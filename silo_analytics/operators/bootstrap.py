@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.hashing import hash_sql, hash_uniform
-from .metrics import edges_below, ranking_metrics, score_edges
+from ..scratch import join_lookup
+from .metrics import edges_below, ranking_metrics, with_edges
 from .ranking import rank_in_group
 
 # The functions that run inside tasks travel with the job; executors need no copy of the package.
@@ -149,12 +150,11 @@ def bootstrap_auroc_replicates(
 
     All groups see the same weights of a row.
     """
-    edges = score_edges(df, by, score, ROWS_PER_PIECE)
     s = F.col(score).cast("double")
     # odd pieces hold the rows that equal an edge: their order does not matter, so
     # a score shared by many rows can be split over tasks
-    at_edge = F.array_contains("_edges", s)
-    placed = df.join(edges, list(by)).select(
+    at_edge = F.coalesce(F.array_contains("_edges", s), F.lit(False))
+    placed = with_edges(df, by, score, ROWS_PER_PIECE).select(
         *by,
         (2 * edges_below(s) + at_edge.cast("int")).alias("_piece"),
         F.when(at_edge, F.pmod(F.xxhash64(F.col(key)), F.lit(POINT_SALTS))).otherwise(0).cast("int").alias("_salt"),
@@ -223,7 +223,7 @@ def multinomial_resample(
     sizes = rows.groupBy(*given).agg(F.count(F.lit(1)).alias("_n"))
     ranked = rank_in_group(rows, given, key, seed, "resample")
     draws = (
-        rows.join(sizes, given)
+        join_lookup(rows, sizes, given, "inner")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
         .withColumn("rank", F.floor(hash_uniform(seed, "pick", "rep", key) * F.col("_n")) + 1)
         .groupBy(*given, "rep", "rank")

@@ -14,18 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import constant
+from ..scratch import join_lookup, settle
 
 MAX_PIECES = 256
 # Rank error of the edges: far below the width of a piece.
 EDGE_ACCURACY = 2_560
 SCORES_PER_PIECE = 500_000
+# Groups whose edges the driver holds between the two steps.
+EDGE_GROUPS = 10_000
 
 
 def score_edges(df: DataFrame, by: Sequence[str], score: str, per_piece: int) -> DataFrame:
     """Per group, the score values that cut it into pieces of about ``per_piece`` rows."""
     sketch = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.percentile_approx(score, constant([i / MAX_PIECES for i in range(1, MAX_PIECES)]), EDGE_ACCURACY).alias("_all"),
+        F.percentile_approx(F.col(score).cast("double"), constant([i / MAX_PIECES for i in range(1, MAX_PIECES)]), EDGE_ACCURACY).alias("_all"),
     )
     pieces = F.least(F.greatest(F.ceil(F.col("_rows") / per_piece), F.lit(1)), F.lit(MAX_PIECES))
     step = F.floor(F.lit(MAX_PIECES) / pieces)
@@ -37,8 +40,24 @@ def score_edges(df: DataFrame, by: Sequence[str], score: str, per_piece: int) ->
     )
 
 
+def with_edges(df: DataFrame, by: Sequence[str], score: str, per_piece: int) -> DataFrame:
+    """Add the edges of the row's group (null for a group that is one piece).
+
+    The edges come from one scan whose sketches are merged, not from a shuffle of
+    the rows; they are few and are broadcast while their number is within bounds.
+    """
+    edges, few = settle(
+        score_edges(df, by, score, per_piece).filter(F.size("_edges") > 0), EDGE_GROUPS, "edges"
+    )
+    if not few:
+        return join_lookup(df, edges, by)
+    if edges.isEmpty():
+        return df.withColumn("_edges", F.lit(None).cast("array<double>"))
+    return df.join(F.broadcast(edges), list(by), "left")
+
+
 def edges_below(score: Column) -> Column:
-    return F.size(F.filter("_edges", lambda e: e < score))
+    return F.coalesce(F.size(F.filter("_edges", lambda e: e < score)), F.lit(0))
 
 
 def score_counts(
@@ -65,10 +84,11 @@ def ranking_metrics(
     Returns the ``by`` columns, ``n``, ``n_pos``, ``auroc``, ``ap``.  A group with
     one class scores 0.
     """
-    counts = score_counts(df, by, label, score, weight)
-    edges = score_edges(counts, by, "_score", SCORES_PER_PIECE)
-    placed = counts.join(edges, list(by)).withColumn("_piece", edges_below(F.col("_score")))
-    placed = placed.select(*by, "_piece", "_score", "_pos", "_neg")
+    placed = with_edges(df, by, score, SCORES_PER_PIECE)
+    placed = placed.withColumn("_piece", edges_below(F.col(score).cast("double")))
+    counts = score_counts(placed, [*by, "_piece"], label, score, weight)
+    # by piece and not by group alone, whatever the partitioning so far would allow
+    placed = counts.repartition(*by, "_piece")
 
     group = Window.partitionBy(*by)
     before = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
