@@ -22,8 +22,8 @@ from silo_analytics.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
     "cohort_features", "max_row_per_key", "exact_quantiles", "stratified_split", "skew_partition", "augment_groups",
-    "prep_transform", "auroc_pooled", "bootstrap_auroc", "param_average", "grouped_lr_at_optimum", "fedavg_region",
-    "gated_hospital", "strategy_summary", "regional_comparison",
+    "prep_transform", "auroc_pooled", "bootstrap_auroc", "param_average", "grouped_lr_at_optimum",
+    "strategy_summary", "regional_comparison",
 )
 
 
