@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, tokens
+from ..scratch import scratch_path
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,19 @@ def simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def token_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents written to token files and read back from them."""
+    import public_tokenizers
+
+    folder = scratch_path(spark, "tokens")
+    written = tokens.write_tokens(
+        docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, separable=True
+    )
+    return tokens.read_tokens(spark, folder, written).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_zstd_token_frames")
+def zstd_token_frames(spark: SparkSession, folder: str) -> DataFrame:
+    return token_table(spark, table(spark, folder, "documents"))
