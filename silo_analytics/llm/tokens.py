@@ -40,7 +40,7 @@ SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
-_INDEX = struct.Struct("<4sIIQ")  # mark, bytes per id, number of file, number of documents
+_INDEX = "<4sIIQ"  # mark, bytes per id, number of file, number of documents
 _MARK = b"TIX1"
 
 
@@ -187,7 +187,7 @@ def write_token_file(out, number: int, width: int, documents: Iterable[tuple[int
             close_frame()
     if held:
         close_frame()
-    body = _INDEX.pack(_MARK, width, number, len(index))
+    body = struct.pack(_INDEX, _MARK, width, number, len(index))
     for k, kind in enumerate(("<i8", "u1", "<u4", "<u4", "<u4")):
         body += np.array([row[k] for row in index], kind).tobytes()
     body += struct.pack("<I", zlib.crc32(body))
@@ -213,10 +213,10 @@ class TokenFile:
         body = self._at(int(self.begin[-2]) + 8, int(self.packed[-1]) - 8)
         if zlib.crc32(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
             raise ValueError("the document index is damaged")
-        mark, self.width, self.number, n = _INDEX.unpack_from(body)
+        mark, self.width, self.number, n = struct.unpack_from(_INDEX, body)
         if mark != _MARK:
             raise ValueError("unknown document index")
-        at, parts = _INDEX.size, []
+        at, parts = struct.calcsize(_INDEX), []
         for kind in ("<i8", "u1", "<u4", "<u4", "<u4"):
             parts.append(np.frombuffer(body, kind, n, at))
             at += parts[-1].nbytes
