@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, tokens, winnow
+from . import recompress, simhash, tokens, winnow
 from ..scratch import scratch_path
 from .common import table
 
@@ -77,3 +77,27 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 def winnowing(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return winnow.contamination_report(winnow.contamination(docs, items, window=10))
+
+
+_REPEATS_SQL = """
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM docs, unnest(range(1, len(w) - 33)) AS t(i)),
+twice AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS g
+  FROM windows JOIN twice USING (k), unnest(range(i, i + 35)) AS t(p) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, coalesce(len(g), 0) AS n, CASE WHEN g IS NULL THEN array_to_string(w, ' ')
+    ELSE (SELECT coalesce(string_agg(w[p], ' ' ORDER BY p), '') FROM unnest(range(1, len(w) + 1)) AS t(p)
+          WHERE NOT list_contains(g, p)) END AS text
+  FROM docs LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
+@query("op7_recompression", _REPEATS_SQL)
+def recompression(spark: SparkSession, folder: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, folder, "documents"), window=35).withColumnRenamed("id", "doc_id")
