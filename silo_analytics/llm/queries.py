@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import recompress, simhash, tokens, winnow
+from . import quality, recompress, simhash, tokens, toxicity, winnow
 from ..scratch import scratch_path
 from .common import table
 
@@ -101,3 +101,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed
 @query("op7_recompression", _REPEATS_SQL)
 def recompression(spark: SparkSession, folder: str) -> DataFrame:
     return recompress.remove_repeats(table(spark, folder, "documents"), window=35).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_bradley_terry")
+def bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.quality_scores(docs, labels).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_boosted_toxicity")
+def boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.toxicity_scores(docs, labels, threshold=0.7).withColumnRenamed("id", "doc_id")
