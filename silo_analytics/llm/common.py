@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,21 +109,77 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-class WordHashes:
-    """64-bit hashes of byte words with a bounded memory of the words met so far."""
+BLANKS = np.isin(np.arange(256), [32, *range(9, 14)])
 
-    def __init__(self, seed: int, limit: int = 500_000) -> None:
-        self.seed, self.limit, self.known = seed, limit, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
+class Words:
+    """Places and hashes of the words of some texts, without an object per word.
 
-        known, seed = self.known, self.seed
-        if len(known) > self.limit:
-            known.clear()
-        new = set(words).difference(known)
-        known.update((w, xxhash.xxh64_intdigest(w, seed)) for w in new)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    ``start`` and ``stop`` are byte places in ``data``, ``inside`` tells the bytes of words, ``text`` numbers the text of each word and
+    ``first`` has the number of the first word of each text, and of one more.
+    """
+
+    def __init__(self, column: pa.Array, separators: np.ndarray) -> None:
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        n = len(column)
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+        low, high = (int(offsets[0]), int(offsets[-1])) if n else (0, 0)
+        self.offsets = offsets - low if n else np.zeros(1, np.int64)
+        buffer = column.buffers()[2]
+        self.data = np.frombuffer(buffer, np.uint8)[low:high] if buffer is not None else np.zeros(0, np.uint8)
+        size = high - low
+        inside = np.zeros(size + 1, bool)  # one blank more
+        np.logical_not(separators[self.data], out=inside[:size])
+        fresh = np.zeros(size + 1, bool)
+        fresh[self.offsets] = True
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | fresh[1:]
+        ends = inside[:size] & (~inside[1:] | fresh[1:])
+        self.inside = inside[:size]
+        self.start, self.stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.first = np.searchsorted(self.start, self.offsets)
+        self.counts = np.diff(self.first)
+        self.text = np.repeat(np.arange(n), self.counts)
+
+    def hashes(self, seed: int, same: bytes | None = None) -> np.ndarray:
+        """A 64-bit hash per word; ``same`` maps bytes that count as equal to one byte."""
+        draw = np.random.default_rng(seed)
+        letters = draw.integers(0, 2**64, 256, dtype=np.uint64)
+        if same is not None:
+            letters = letters[np.frombuffer(same, np.uint8)]
+        base = int(draw.integers(0, 2**64, dtype=np.uint64)) | 1
+        up, down = _powers(base, len(self.data) + 1)
+        total = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(letters[self.data] * up[: len(self.data)], out=total[1:])
+        value = (total[self.stop] - total[self.start]) * down[self.start]
+        return mix(value, (self.stop - self.start).astype(np.uint64))
+
+
+def _powers(base: int, n: int, _held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """base**i and base**-i modulo 2**64 for i < n; the longest asked for so far is held."""
+    if base not in _held or len(_held[base][0]) < n:
+        size = max(n, 1 << 20)
+        up = np.full(size, base, np.uint64)
+        down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _held[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _held[base]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with about ``size`` bytes of text; a longer text is a slice by itself."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths, dtype=np.int64) // size
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if j > i:
+                yield batch.slice(i, j - i)
+
+
+def lists(owner: np.ndarray, count: int, values: pa.Array) -> pa.ListArray:
+    """One list per owner 0 to count - 1, from values in the order of their owners."""
+    return pa.ListArray.from_arrays(pa.array(starts(np.bincount(owner, minlength=count)), pa.int32()), values)
 
 
 def starts(lengths: Iterable[int]) -> np.ndarray:

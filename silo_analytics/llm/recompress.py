@@ -28,11 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import WordHashes, col, mix, starts, texts_of
+from .common import BLANKS, Words, col, lists, mix, pieces, texts_of
 
 ROUNDS = ("run", "pair", "pair", "run", "pair", "pair")
-# Words worked on together in a task; a longer document is worked on by itself.
-BATCH_WORDS = 300_000
 _PLACE = np.uint64((1 << 30) - 1)
 _FREE = np.uint64(2**64 - 1)
 
@@ -125,56 +123,55 @@ def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
         run, size = mix(run[: max(n, 0)], run[size:]), size * 2
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of rows with the words of each text, of about BATCH_WORDS words."""
-    for batch in batches:
-        words, total, begin = [], 0, 0
-        for row, text in enumerate(texts_of(batch.column("text"))):
-            words.append(text.split() if text else [])
-            total += len(words[-1])
-            if total >= BATCH_WORDS:
-                yield batch.slice(begin, row + 1 - begin), words
-                words, total, begin = [], 0, row + 1
-        if words:
-            yield batch.slice(begin), words
-
-
-def _laid_out(hashes: WordHashes, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of several texts with a 0 before, between and after, and the place of each first word."""
-    parts = [np.zeros(1, np.uint64)]
-    for w in words:
-        h = hashes(w)
-        h[h == 0] = 1
-        parts += [h, np.zeros(1, np.uint64)]
-    return np.concatenate(parts), starts(len(w) + 1 for w in words)[:-1] + 1
-
-
-def _window_places(firsts: np.ndarray, words: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of every window."""
-    counts = np.array([max(len(w) - window + 1, 0) for w in words])
-    text = np.repeat(np.arange(len(words)), counts)
+def _laid_out(words: Words, seed: int) -> np.ndarray:
+    """Word hashes of several texts with a 0 before, between and after the texts."""
+    laid = np.zeros(len(words.text) + len(words.counts) + 1, np.uint64)
+    hashes = words.hashes(seed)
+    hashes[hashes == 0] = 1
+    laid[np.arange(len(hashes)) + words.text + 1] = hashes
+    return laid
+
+
+def _window_places(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place among the words laid out) of every window."""
+    counts = np.maximum(words.counts - window + 1, 0)
+    text = np.repeat(np.arange(len(counts)), counts)
     within = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return text, firsts[text] + within
+    return text, _firsts(words)[text] + within
+
+
+def _firsts(words: Words) -> np.ndarray:
+    return words.first[:-1] + np.arange(len(words.counts)) + 1
+
+
+def joined_words(words: Words) -> list[bytes]:
+    """Each text with its words joined by one blank."""
+    size = len(words.data)
+    inside = words.inside
+    keep = inside.copy()
+    after = words.stop[words.stop < size]
+    keep[after[~inside[after]]] = True
+    out = np.where(inside, words.data, 32)[keep].astype(np.uint8).tobytes()
+    at = np.concatenate([[0], np.cumsum(keep)])[words.offsets].tolist()
+    return [out[i:j].strip(b" ") for i, j in zip(at, at[1:])]
 
 
 def _pick(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes(21)
-    for rows, words in _groups(batches):
-        laid, firsts = _laid_out(hashes, words)
+    for rows in pieces(batches, "text"):
+        words = Words(rows.column("text"), BLANKS)
+        laid, n = _laid_out(words, 21), rows.num_rows
         sym, low, high = symbols(laid)
-        text, place = _window_places(firsts, words, window)
+        text, place = _window_places(words, window)
         picked = picks(sym, low, high, len(laid), window)[place] if len(place) else place
-        bare = np.zeros(len(words), bool)
+        bare = np.zeros(n, bool)
         bare[text[picked < 0]] = True
         chosen = np.unique(picked[picked >= 0])
-        owner = np.searchsorted(firsts, low[chosen], "right") - 1
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
-        names = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sym[chosen].view(np.int64)))
-        sums = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+        owner = np.searchsorted(_firsts(words), low[chosen], "right") - 1
+        sums = [hashlib.sha256(t).hexdigest() for t in joined_words(words)]
         yield pa.record_batch(
             [
-                rows.column("id"), rows.column("key"), rows.column("size"), pa.array([len(w) for w in words], pa.int64()),
-                pa.array(sums), names, pa.array(bare),
+                rows.column("id"), rows.column("key"), rows.column("size"), pa.array(words.counts), pa.array(sums),
+                lists(owner, n, pa.array(sym[chosen].view(np.int64))), pa.array(bare),
             ],
             ["id", "key", "size", "n_words", "whole", "names", "bare"],
         )
@@ -182,23 +179,24 @@ def _pick(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 
 def _verify(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Place and hash of the windows that may be found elsewhere."""
-    first, second = WordHashes(21), WordHashes(22)
-    for rows, words in _groups(batches):
-        laid, firsts = _laid_out(first, words)
-        sym, low, high = symbols(laid)
-        text, place = _window_places(firsts, words, window)
+    for rows in pieces(batches, "text"):
+        words = Words(rows.column("text"), BLANKS)
+        text, place = _window_places(words, window)
         if not len(place):
             continue
+        laid = _laid_out(words, 21)
+        sym, low, high = symbols(laid)
         shared = np.unique(rows.column("names").flatten().to_numpy())
         picked = picks(sym, low, high, len(laid), window)[place]
-        open_ = (picked < 0) | np.isin(sym[picked].view(np.int64), shared)
+        known = np.isin(sym.view(np.int64), shared)
+        open_ = (picked < 0) | known[picked]
         text, place = text[open_], place[open_]
         a = window_hashes(laid, window)[place]
-        b = window_hashes(_laid_out(second, words)[0], window)[place]
+        b = window_hashes(_laid_out(words, 22), window)[place]
         key, size = (rows.column(c).to_numpy()[text] for c in ("key", "size"))
         yield pa.record_batch(
             [
-                pa.array(key), pa.array(size), pa.array((place - firsts[text]).astype(np.int32)),
+                pa.array(key), pa.array(size), pa.array((place - _firsts(words)[text]).astype(np.int32)),
                 pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
             ],
             ["key", "size", "place", "a", "b"],

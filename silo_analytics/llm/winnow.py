@@ -14,7 +14,7 @@ tasks that read the documents.  A larger benchmark has more blocks, i.e. more pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import WordHashes, col, mix, starts, texts_of
+from .common import Words, col, lists, mix, pieces
 
 WINDOW = 10
 GRAM = 5
@@ -32,19 +32,10 @@ BLOCK_WORDS = 400_000
 _NONE = np.uint64(2**64 - 1)
 
 
-def _word_table() -> bytes:
-    """Byte map: A-Z to a-z, and a blank for every byte that is no part of a word."""
-    table = bytearray(range(256))
-    for b in range(128):
-        if 65 <= b <= 90:
-            table[b] = b + 32
-        elif not (48 <= b <= 57 or 97 <= b <= 122):
-            table[b] = 32
-    return bytes(table)
-
-
-def words_of(text: bytes | None, table: bytes) -> list[bytes]:
-    return text.translate(table).split() if text else []
+def _word_bytes() -> tuple[np.ndarray, bytes]:
+    """Which bytes are no part of a word, and the byte map of A-Z to a-z."""
+    parts = [b > 127 or chr(b).isalnum() for b in range(256)]
+    return ~np.array(parts), bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _chain(hashes: np.ndarray, length: int, keep: set[int]) -> dict[int, np.ndarray]:
@@ -75,21 +66,24 @@ class ItemIndex:
     """Windows and fingerprints of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int, gram: int) -> None:
-        table, first, second = _word_table(), WordHashes(11), WordHashes(12)
+        separators, same = _word_bytes()
         self.window, self.gram = window, min(gram, window)
+        words = Words(pa.array([t for _, t in items], pa.binary()), separators)
+        hashes = words.hashes(11, same), words.hashes(12, same)
         rows: dict[int, list] = {}
         marks = []
-        for item, text in items:
-            words = words_of(text, table)
-            if not words:
+        for k, (item, _) in enumerate(items):
+            a, b = (h[words.first[k] : words.first[k + 1]] for h in hashes)
+            n = min(window, len(a))
+            if not n:
                 continue
-            n = min(window, len(words))
-            a, b = first(words), second(words)
             if n == window:
                 grams = _chain(a, self.gram, {self.gram})[self.gram]
                 marks.append(np.unique(winnow(grams, window - self.gram + 1)))
             rows.setdefault(n, []).append((item, _chain(a, n, {n})[n], _chain(b, n, {n})[n]))
         self.marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a fingerprint
+        self.maybe[self.marks >> np.uint64(44)] = True
         self.by_length = {}
         self.names: list[str] = []
         for n, entries in rows.items():
@@ -111,55 +105,61 @@ class ItemIndex:
         return place[same], item[entry[same]]
 
 
-def _find(index: ItemIndex, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, length, item) of the item windows in one stretch of words."""
-    found = []
+def _find(
+    index: ItemIndex, text: np.ndarray, a: np.ndarray, second: Callable[[], np.ndarray]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, length, item) of the item windows in the words of several texts."""
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none)]
     short = sorted(n for n in index.by_length if n < index.window)
     if short:
-        runs_a, runs_b = (_chain(h, short[-1], set(short)) for h in (a, b))
+        runs_a, runs_b = (_chain(h, short[-1], set(short)) for h in (a, second()))
         for n in short:
-            place, item = index.lookup(n, runs_a[n], runs_b[n])
-            found.append((place, np.full(len(place), n), item))
+            at = np.flatnonzero(text[: len(runs_a[n])] == text[n - 1 :])
+            place, item = index.lookup(n, runs_a[n][at], runs_b[n][at])
+            found.append((at[place], np.full(len(place), n), item))
     if index.window in index.by_length and len(a) >= index.window:
         n = index.window
-        grams = _chain(a, index.gram, {index.gram})[index.gram]
-        low = winnow(grams, n - index.gram + 1)
+        low = winnow(_chain(a, index.gram, {index.gram})[index.gram], n - index.gram + 1)
         # Extend: of the windows whose fingerprint is one of the items', hash the whole window.
-        hit = np.flatnonzero(np.isin(low, index.marks))
+        hit = np.flatnonzero(index.maybe[low >> np.uint64(44)] & (text[: len(low)] == text[n - 1 :]))
+        hit = hit[np.isin(low[hit], index.marks)] if len(hit) else hit
         if len(hit):
+            b = second()
             wide_a, wide_b = a[hit], b[hit]
             for k in range(1, n):
                 wide_a, wide_b = mix(wide_a, a[hit + k]), mix(wide_b, b[hit + k])
             place, item = index.lookup(n, wide_a, wide_b)
             found.append((hit[place], np.full(len(place), n), item))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
-    table, first, second = _word_table(), WordHashes(11), WordHashes(12)
-    names = np.array(index.names, object)
-    for batch in batches:
-        counts, spans, items = [], [], []
-        for text in texts_of(batch.column("text")):
-            words = words_of(text, table)
-            counts.append(len(words))
-            a, b = first(words), second(words)
-            place, length, item = _find(index, a, b)
-            edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, place, 1)
-            np.add.at(edge, place + length, -1)
-            hit = np.cumsum(edge)[: len(words)] > 0
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            spans.append([{"first": f, "last": l} for f, l in turns.reshape(-1, 2).tolist()])
-            items.append(names[np.unique(item)].tolist())
+    separators, same = _word_bytes()
+    names = pa.array(index.names, pa.string())
+    for batch in pieces(batches, "text"):
+        words = Words(batch.column("text"), separators)
+        n, total = batch.num_rows, len(words.text)
+        place, length, item = _find(index, words.text, words.hashes(11, same), lambda: words.hashes(12, same))
+        edge = np.zeros(total + 1, np.int64)
+        np.add.at(edge, place, 1)
+        np.add.at(edge, place + length, -1)
+        hit = np.zeros(total + 1, bool)
+        hit[:total] = np.cumsum(edge)[:total] > 0
+        fresh = np.zeros(total + 1, bool)
+        fresh[words.first] = True
+        begin = hit.copy()
+        begin[1:] &= ~hit[:-1] | fresh[1:]
+        first = np.flatnonzero(begin)
+        last = np.flatnonzero(hit[:total] & (~hit[1:] | fresh[1:])) + 1
+        owner = words.text[first]
+        shift = words.first[owner]
+        spans = pa.StructArray.from_arrays([pa.array(first - shift), pa.array(last - shift)], ["first", "last"])
+        pairs = np.unique(words.text[place] * max(len(names), 1) + item)
         yield pa.record_batch(
             [
-                batch.column("row"), batch.column("id"), pa.array(counts, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                pa.array(items, pa.list_(pa.string())),
+                batch.column("row"), batch.column("id"), pa.array(words.counts), lists(owner, n, spans),
+                lists(pairs // max(len(names), 1), n, names.take(pa.array(pairs % max(len(names), 1)))),
             ],
             ["row", "id", "n_words", "spans", "items"],
         )
