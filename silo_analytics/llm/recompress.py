@@ -8,12 +8,12 @@ thing and equal passages get equal symbols, except near their ends.
 
 For every symbol the words are known that decide it: its own and those of the neighbours that
 could have joined it.  If these lie inside a window, every copy of the window has the symbol
-at the same place.  Each window of ``window`` words picks one such symbol, the smallest by
-name.  A job counts the picked symbols of all documents; a window whose symbol is found once
-is nowhere else.  The other windows, and the few without such a symbol, are verified: a
-128-bit hash of all their words is counted, and windows found twice are removed.
-
-Equal texts are worked on once.  All counts are over all documents.
+at the same place.  Each window of ``window`` words picks one such symbol, the longest.  A job
+counts the picked symbols of all documents; a window whose symbol is found once is nowhere
+else.  The other windows, and the few without such a symbol, are verified by a 96-bit hash of
+all their words.  One aggregate finds those that are there once and tells where; the rest are
+repeated.  Copies of a passage are combined before the shuffle, so a passage that very many
+documents share is no hot key, and equal windows are never listed together.
 """
 
 from __future__ import annotations
@@ -24,24 +24,32 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import BLANKS, Words, col, lists, mix, pieces, texts_of
+from .common import BLANKS, Words, col, lists, mix, pieces
 
 ROUNDS = ("run", "pair", "pair", "run", "pair", "pair")
-_PLACE = np.uint64((1 << 30) - 1)
+# Names of shared symbols that a task may hold (8 bytes each).
+HELD_NAMES = 4_000_000
+PLACE_BITS = 30
+_PLACE = np.uint64((1 << PLACE_BITS) - 1)
 _FREE = np.uint64(2**64 - 1)
 
 
-def symbols(words: np.ndarray, rounds: tuple[str, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols and the words [low, high) that decide each, for word hashes with 0 between documents.
+def symbols(
+    words: np.ndarray, rounds: tuple[str, ...] = ROUNDS
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, the words [low, high) that decide each, and the number of words in each.
+
+    ``words`` are word hashes, with 0 between documents.
 
     ``words`` starts and ends with 0.  A 0 stays as it is and joins nothing.
     """
     sym, low = words, np.arange(len(words))
-    high = low + 1
+    high, width = low + 1, np.ones(len(words), np.int64)
     for number, kind in enumerate(rounds):
         m = len(sym)
         if kind == "run":
@@ -56,6 +64,7 @@ def symbols(words: np.ndarray, rounds: tuple[str, ...] = ROUNDS) -> tuple[np.nda
             before, after = np.maximum(first - 1, 0), np.minimum(last + 1, m - 1)
             if runs.any():
                 own_low, own_high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+                width = np.add.reduceat(width, first)
             else:
                 own_low, own_high = low, high
             sym, low, high = named, np.minimum(own_low, low[before]), np.maximum(own_high, high[after])
@@ -72,14 +81,19 @@ def symbols(words: np.ndarray, rounds: tuple[str, ...] = ROUNDS) -> tuple[np.nda
             after, before = np.minimum(head + 1, m - 1), np.maximum(head - 1, 0)
             named = sym[head]
             named[joined] = mix(named[joined], sym[after][joined])
+            width = width[head] + np.where(joined, width[after], 0)
             next_low = np.where(joined, low[after], np.where(is_right, low[before], low[head]))
             next_high = np.where(joined | ~is_right, high[after], high[head])
             sym, low, high = named, np.minimum(low[head], next_low), np.maximum(high[head], next_high)
-    return sym, low, high
+    return sym, low, high, width
+
 
+def picks(
+    sym: np.ndarray, low: np.ndarray, high: np.ndarray, width: np.ndarray, words: int, window: int
+) -> np.ndarray:
+    """For the window from each word on: the number of its symbol of most words, or -1.
 
-def picks(sym: np.ndarray, low: np.ndarray, high: np.ndarray, words: int, window: int) -> np.ndarray:
-    """For the window from each word on: the number of its smallest symbol, or -1.
+    Long symbols are rarer.  Among equally long ones the smaller name is taken, then the first.
 
     Every symbol counts for the windows that hold all its deciding words; the intervals are
     laid out as two overlapping powers of two and passed down by halves.
@@ -88,7 +102,8 @@ def picks(sym: np.ndarray, low: np.ndarray, high: np.ndarray, words: int, window
     start, stop = np.maximum(high - window, 0), np.minimum(low, n - 1)
     good = np.flatnonzero((sym != 0) & (start <= stop))
     start, stop = start[good], stop[good]
-    value = (sym[good] & ~_PLACE) | good.astype(np.uint64)
+    rank = np.uint64(63) - np.minimum(width[good], 63).astype(np.uint64)
+    value = (rank << np.uint64(58)) | ((sym[good] >> np.uint64(6)) & ~_PLACE) | good.astype(np.uint64)
     level = np.zeros(len(good), np.int64)
     for j in range(1, window.bit_length()):
         level += (stop - start + 1) >> j > 0
@@ -144,12 +159,13 @@ def _firsts(words: Words) -> np.ndarray:
     return words.first[:-1] + np.arange(len(words.counts)) + 1
 
 
-def joined_words(words: Words) -> list[bytes]:
-    """Each text with its words joined by one blank."""
-    size = len(words.data)
-    inside = words.inside
+def joined_words(words: Words, stay: np.ndarray) -> list[bytes]:
+    """Each text's words that stay, joined by one blank."""
+    size, inside = len(words.data), words.inside
     keep = inside.copy()
-    after = words.stop[words.stop < size]
+    keep[inside] = np.repeat(stay, words.stop - words.start)
+    after = words.stop[stay]
+    after = after[after < size]
     keep[after[~inside[after]]] = True
     out = np.where(inside, words.data, 32)[keep].astype(np.uint8).tobytes()
     at = np.concatenate([[0], np.cumsum(keep)])[words.offsets].tolist()
@@ -159,145 +175,107 @@ def joined_words(words: Words) -> list[bytes]:
 def _pick(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for rows in pieces(batches, "text"):
         words = Words(rows.column("text"), BLANKS)
-        laid, n = _laid_out(words, 21), rows.num_rows
-        sym, low, high = symbols(laid)
-        text, place = _window_places(words, window)
-        picked = picks(sym, low, high, len(laid), window)[place] if len(place) else place
-        bare = np.zeros(n, bool)
-        bare[text[picked < 0]] = True
+        laid = _laid_out(words, 21)
+        sym, low, high, width = symbols(laid)
+        place = _window_places(words, window)[1]
+        picked = picks(sym, low, high, width, len(laid), window)[place] if len(place) else place
         chosen = np.unique(picked[picked >= 0])
         owner = np.searchsorted(_firsts(words), low[chosen], "right") - 1
-        sums = [hashlib.sha256(t).hexdigest() for t in joined_words(words)]
-        yield pa.record_batch(
-            [
-                rows.column("id"), rows.column("key"), rows.column("size"), pa.array(words.counts), pa.array(sums),
-                lists(owner, n, pa.array(sym[chosen].view(np.int64))), pa.array(bare),
-            ],
-            ["id", "key", "size", "n_words", "whole", "names", "bare"],
-        )
-
-
-def _verify(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Place and hash of the windows that may be found elsewhere."""
+        names = lists(owner, rows.num_rows, pa.array(sym[chosen].view(np.int64)))
+        yield pa.record_batch([rows.column("key"), rows.column("size"), names], ["key", "size", "names"])
+
+
+def _open_windows(words: Words, laid: np.ndarray, shared: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place among the words laid out) of the windows that may be found elsewhere."""
+    text, place = _window_places(words, window)
+    if not len(place):
+        return text, place
+    sym, low, high, width = symbols(laid)
+    picked = picks(sym, low, high, width, len(laid), window)[place]
+    names = sym.view(np.int64)
+    at = np.minimum(np.searchsorted(shared, names), max(len(shared) - 1, 0))
+    known = shared[at] == names if len(shared) else np.zeros(len(names), bool)
+    open_ = (picked < 0) | known[picked]
+    return text[open_], place[open_]
+
+
+def _shared(rows: pa.RecordBatch, shared: np.ndarray | None) -> np.ndarray:
+    return np.unique(rows.column("names").flatten().to_numpy()) if shared is None else shared
+
+
+def _verify(batches: Iterator[pa.RecordBatch], window: int, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A 96-bit hash and the spot of the windows that may be found elsewhere."""
     for rows in pieces(batches, "text"):
         words = Words(rows.column("text"), BLANKS)
-        text, place = _window_places(words, window)
+        laid = _laid_out(words, 21)
+        text, place = _open_windows(words, laid, _shared(rows, shared), window)
         if not len(place):
             continue
-        laid = _laid_out(words, 21)
-        sym, low, high = symbols(laid)
-        shared = np.unique(rows.column("names").flatten().to_numpy())
-        picked = picks(sym, low, high, len(laid), window)[place]
-        known = np.isin(sym.view(np.int64), shared)
-        open_ = (picked < 0) | known[picked]
-        text, place = text[open_], place[open_]
         a = window_hashes(laid, window)[place]
-        b = window_hashes(_laid_out(words, 22), window)[place]
+        b = window_hashes(_laid_out(words, 22), window)[place] >> np.uint64(32)
         key, size = (rows.column(c).to_numpy()[text] for c in ("key", "size"))
-        yield pa.record_batch(
-            [
-                pa.array(key), pa.array(size), pa.array((place - _firsts(words)[text]).astype(np.int32)),
-                pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-            ],
-            ["key", "size", "place", "a", "b"],
-        )
-
-
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Number and hash of the words that stay, from the places of the windows to remove."""
-    for batch in batches:
-        removed, sums = [], []
-        for text, places in zip(texts_of(batch.column("text")), batch.column("places")):
-            words = text.split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            at = np.unique(np.asarray(places.values))
-            edge[at] += 1
-            edge[at + window] -= 1
-            gone = np.cumsum(edge)[:-1] > 0
-            removed.append(int(gone.sum()))
-            sums.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist()) if not g)).hexdigest())
-        yield pa.record_batch(
-            [batch.column("key"), batch.column("size"), pa.array(removed, pa.int64()), pa.array(sums)],
-            ["key", "size", "n_removed", "kept"],
-        )
-
-
-def repeated_windows(
-    docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """(texts, places): every row's text key, and the places of its repeated windows.
-
-    ``texts``: id, key, size, n_words, whole (sha256 of the words joined by blanks), copies (rows
-    with this text).  ``places``: key, size, rep, places (array of first words), for texts with
-    a repeated window; of texts with several copies every window is repeated.
-    """
-    rows = _keyed(docs, id_col, text_col)
-    kind = rows.schema["id"].dataType.simpleString()
-    picked = rows.mapInArrow(
-        partial(_pick, window=window),
-        f"id {kind}, key long, size long, n_words long, whole string, names array<long>, bare boolean",
-    )
-    picked = materialize(picked, "picked-symbols")
-    texts = picked.groupBy("key", "size").agg(
-        F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("names").alias("names"),
-        F.first("bare").alias("bare"),
-    )
-    texts = materialize(texts, "distinct-texts")
-    names = texts.select("key", "size", F.explode("names").alias("name"))
-    shared = materialize(names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared-symbols")
-    found = names.join(shared, "name").groupBy("key", "size").agg(F.collect_set("name").alias("shared"))
-    found = materialize(found, "shared-by-text")
-    asked = texts.select("key", "size", "rep", "bare").join(found, ["key", "size"], "left")
-    asked = asked.where("bare OR shared IS NOT NULL").select(
-        "key", "size", "rep", F.coalesce("shared", F.array().cast("array<long>")).alias("names")
-    )
-    asked = materialize(asked, "texts-to-verify")
-    windows = _of_representative(rows, asked).select("key", "size", "text", "names").mapInArrow(
-        partial(_verify, window=window), "key long, size long, place int, a long, b long"
-    )
-    windows = materialize(windows, "windows-to-verify")
-    twice = materialize(
-        windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "repeated-windows"
-    )
-    places = windows.join(twice, ["a", "b"]).groupBy("key", "size").agg(F.collect_set("place").alias("places"))
-    places = materialize(places, "repeated-places").join(texts.select("key", "size", "rep"), ["key", "size"])
-    counts = texts.select("key", "size", "copies")
-    return picked.select("id", "key", "size", "n_words", "whole").join(counts, ["key", "size"]), places
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(col(text_col), F.lit(""))
-    return docs.select(
-        col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"),
-        F.octet_length(text).cast("long").alias("size"),
-    )
-
+        spot = (size << PLACE_BITS) + place - _firsts(words)[text]
+        columns = [pa.array(a.view(np.int64)), pa.array(b.astype(np.int64)), pa.array(key), pa.array(spot)]
+        yield pa.record_batch(columns, ["a", "b", "key", "spot"])
 
-def _of_representative(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The text of each asked key, from the row of its smallest id, so that copies meet no other rows."""
-    named = asked.withColumn("no_id", F.col("rep").isNull()).withColumnRenamed("rep", "id")
-    zero = F.lit(0).cast(rows.schema["id"].dataType)
-    left = rows.withColumn("no_id", F.col("id").isNull()).withColumn("id", F.coalesce("id", zero))
-    return left.join(named.withColumn("id", F.coalesce("id", zero)), ["key", "size", "id", "no_id"])
 
-
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch], window: int, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Number of words removed, and hash of those that stay, from the places of the windows found once."""
+    for rows in pieces(batches, "text"):
+        words = Words(rows.column("text"), BLANKS)
+        laid, n = _laid_out(words, 21), rows.num_rows
+        text, place = _open_windows(words, laid, _shared(rows, shared), window)
+        once = rows.column("once")
+        owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(once), 0).to_numpy(zero_copy_only=False))
+        single = np.zeros(len(laid) + 1, bool)
+        single[once.flatten().to_numpy() + _firsts(words)[owner]] = True
+        place = place[~single[place]]
+        edge = np.zeros(len(laid) + 1, np.int64)
+        edge[place] += 1
+        edge[place + window] -= 1
+        gone = np.cumsum(edge)[np.arange(len(words.text)) + words.text + 1] > 0
+        removed = np.bincount(words.text[gone], minlength=n)
+        kept = [hashlib.sha256(t).hexdigest() for t in joined_words(words, ~gone)]
+        columns = [rows.column("id"), pa.array(words.counts), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+        yield pa.record_batch(columns, ["id", "n_words", "n_removed", "kept_sha256"])
+
+
+def remove_repeats(
+    docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", held_names: int = HELD_NAMES
+) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, without the repeated passages.
 
     A word goes if a window over it has the words of another window, in any text or the same.
     Null and empty texts have no words and nothing removed.  Repeated rows are copies of each
     other and lose all windows.  Null ids are kept as they are.  Other columns are not read.
+
+    Up to ``held_names`` names of shared symbols are held by every task that reads the texts;
+    more are joined to the texts, which are then shuffled for it.
     """
-    texts, places = repeated_windows(docs, window, id_col, text_col)
-    rows = _keyed(docs, id_col, text_col)
-    cut = _of_representative(rows, places).select("key", "size", "text", "places").mapInArrow(
-        partial(_cut, window=window), "key long, size long, n_removed long, kept string"
+    text = F.coalesce(col(text_col), F.lit(""))
+    rows = docs.select(
+        col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"),
+        F.octet_length(text).cast("long").alias("size"),
     )
-    cut = materialize(cut.dropDuplicates(["key", "size"]), "cut-texts")
-    all_gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    removed = F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    nothing = hashlib.sha256(b"").hexdigest()
-    kept = F.when(all_gone, F.lit(nothing)).otherwise(F.coalesce("kept", "whole"))
-    return texts.join(cut, ["key", "size"], "left").select(
-        "id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256")
+    kind = rows.schema["id"].dataType.simpleString()
+    picked = rows.mapInArrow(partial(_pick, window=window), "key long, size long, names array<long>")
+    names = picked.select("key", "size", F.explode("names").alias("name"))
+    shared = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    shared = materialize(shared, "shared-symbols")
+    held = None
+    if shared.count() <= held_names:
+        held = np.sort(shared.toArrow().column("name").to_numpy())
+        named = rows
+    else:
+        found = names.distinct().join(shared, "name").groupBy("key", "size").agg(F.collect_list("name").alias("names"))
+        named = rows.join(materialize(found, "shared-by-text"), ["key", "size"], "left")
+        named = named.withColumn("names", F.coalesce("names", F.array().cast("array<long>")))
+    windows = named.mapInArrow(partial(_verify, window=window, shared=held), "a long, b long, key long, spot long")
+    # Of a window found once, the minima are its own key and spot.
+    once = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("spot").alias("spot"))
+    size, place = F.shiftright("spot", PLACE_BITS), F.col("spot").bitwiseAND((1 << PLACE_BITS) - 1)
+    once = once.where("n = 1").select("key", size.alias("size"), place.alias("place"))
+    once = materialize(once.groupBy("key", "size").agg(F.collect_list("place").alias("once")), "found-once")
+    return named.join(once, ["key", "size"], "left").mapInArrow(
+        partial(_cut, window=window, shared=held), f"id {kind}, n_words long, n_removed long, kept_sha256 string"
     )
