@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, recompress, simhash, tokens, toxicity, winnow
+from . import linedup, quality, recompress, sharding, simhash, tokens, toxicity, winnow
 from ..scratch import scratch_path
 from .common import table
 
@@ -113,3 +113,36 @@ def bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
 def boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return toxicity.toxicity_scores(docs, labels, threshold=0.7).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_two_pass_shuffle")
+def two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"), shards=40)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+_LINES_SQL = """
+WITH docs AS (
+  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(l[i : i + 2], chr(10)) AS k FROM docs, unnest(range(1, len(l) - 1)) AS t(i)),
+later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM later, unnest(range(i, i + 3)) AS t(p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN g IS NULL THEN array_to_string(l, chr(10))
+    ELSE (SELECT coalesce(string_agg(l[p], chr(10) ORDER BY p), '') FROM unnest(range(1, len(l) + 1)) AS t(p)
+          WHERE NOT list_contains(g, p)) END) AS kept_sha256
+FROM docs LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op5_line_windows", _LINES_SQL)
+def line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    kept = linedup.remove_later_windows(table(spark, folder, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
