@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linedup, quality, recompress, sharding, simhash, tokens, toxicity, winnow
+from . import linedup, mixing, quality, recompress, sharding, simhash, tokens, topk, toxicity, winnow
 from ..scratch import scratch_path
 from .common import table
 
@@ -146,3 +146,101 @@ FROM docs LEFT JOIN gone USING (doc_id)
 def line_windows(spark: SparkSession, folder: str) -> DataFrame:
     kept = linedup.remove_later_windows(table(spark, folder, "documents"))
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query("op3_uniform_threshold", _TOP_SQL)
+def uniform_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, folder, "embeddings"), scale=256)
+    return topk.top_inner_products(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+# The tree of the mix: domains are groups of sources; numbers are weights among siblings.
+DOMAIN_WEIGHTS = {"d0": 40, "d1": 30, "d2": 20, "d3": 10}
+LANGUAGE_WEIGHTS = {"en": 50, "fr": 20, "de": 20, "es": 10}
+MIX_SHARE = 0.6
+MIX_EPOCHS = 2
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The domain of a document is the last digit of its source's number modulo 4; "d3" without one."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9])$", 1)
+    digit = F.when(number == "", F.lit(3)).otherwise(number.cast("int") % 4)
+    return docs.withColumn("domain", F.concat(F.lit("d"), digit.cast("string")))
+
+
+def mixed(docs: DataFrame, share: float, max_epochs: int) -> DataFrame:
+    return mixing.choose_documents(
+        with_domain(docs), ["domain", "lang", "source"], [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, {}], [5, 5, 1],
+        share=share, max_epochs=max_epochs, seed=3,
+    )
+
+
+def _level_sql(name: str, parents: list[str], source: str, weight: str) -> str:
+    """SQL of one level of the tree: ``source`` has the parents' budgets."""
+    path = ", ".join([*parents, name])
+    by = "PARTITION BY " + (", ".join(parents) or "1")
+    budget = f"JOIN {source} USING ({', '.join(parents)})" if parents else f"CROSS JOIN {source}"
+    order = f"({by} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+{name}_caps AS (
+  SELECT {path}, CAST(sum(tokens) * {MIX_EPOCHS} AS DOUBLE) AS cap, CAST({weight} AS DOUBLE) AS weight
+  FROM docs GROUP BY {path} HAVING sum(tokens) > 0),
+{name}_rows AS (
+  SELECT *, row_number() OVER ({by} ORDER BY cap / weight, {name}) AS place,
+    (budget - coalesce(sum(cap) OVER {order}, 0)) / (sum(weight) OVER ({by}) - coalesce(sum(weight) OVER {order}, 0)) AS level
+  FROM {name}_caps {budget}),
+{name}_first AS (
+  SELECT *, min(CASE WHEN cap / weight > level THEN place END) OVER ({by}) AS stop FROM {name}_rows),
+{name}_budget AS (
+  SELECT {path}, CASE WHEN stop IS NULL OR place < stop THEN cap
+    ELSE weight * max(CASE WHEN place = stop THEN level END) OVER ({by}) END AS budget
+  FROM {name}_first)"""
+
+
+def _case(name: str, weights: dict[str, int], default: int) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + f" ELSE {default} END"
+
+
+_MIX_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    'd' || coalesce(CAST(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9])$', 1) AS INTEGER) % 4 AS VARCHAR), '3') AS domain,
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS tokens
+  FROM documents),
+top_budget AS (SELECT CAST(floor({MIX_SHARE} * sum(tokens)) AS DOUBLE) AS budget FROM docs),
+{_level_sql("domain", [], "top_budget", _case("domain", DOMAIN_WEIGHTS, 5))},
+{_level_sql("lang", ["domain"], "domain_budget", _case("lang", LANGUAGE_WEIGHTS, 5))},
+{_level_sql("source", ["domain", "lang"], "lang_budget", "1")},
+leaves AS (SELECT domain, lang, source, sum(tokens) AS size FROM docs GROUP BY ALL),
+plan AS (
+  SELECT domain, lang, source, size, CAST(floor(coalesce(budget, 0)) AS BIGINT) AS budget
+  FROM leaves LEFT JOIN source_budget USING (domain, lang, source)),
+epochs AS (SELECT *, CASE WHEN size > 0 THEN budget // size ELSE 0 END AS whole FROM plan),
+placed AS (
+  SELECT docs.*, whole, budget - whole * size AS rest, sum(tokens) OVER (
+    PARTITION BY domain, lang, source
+    ORDER BY md5(concat_ws('|', '3', CAST(whole AS VARCHAR), CAST(doc_id AS VARCHAR), domain, lang, source))) AS upto
+  FROM docs JOIN epochs USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens,
+  CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM placed
+"""
+
+
+@query("op10_tree_budgets", _MIX_SQL)
+def tree_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    taken = mixed(table(spark, folder, "documents"), MIX_SHARE, MIX_EPOCHS)
+    return taken.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "tokens", "epochs")
