@@ -123,6 +123,8 @@ def picks(
 
 def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
     """A hash of the words of every window, by doubling."""
+    if len(hashes) < window:
+        return hashes[:0]
     out, have, run, size = None, 0, hashes, 1
     while True:
         if window & size:

@@ -12,6 +12,7 @@ and the calibration are fitted on separate parts of a bounded sample of the trai
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,8 +43,6 @@ _LOOKALIKE = str.maketrans("013457@$!|*", "oieastasiix")
 _MIXED = re.compile(rb"[a-z][0-9@$!|*#]+[a-z]")
 _STRETCHED = re.compile(rb"([a-z])\1\1")
 _SPACED = re.compile(rb"(?:\b[a-z][ .\-_]){3,}[a-z]\b")
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _blanks() -> bytes:
@@ -51,34 +50,62 @@ def _blanks() -> bytes:
     return bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
+def _terms(text: bytes | None, blanks: bytes) -> tuple[list[str], list[str]]:
+    """The words of a text and, marked by ^, the beginnings of the longer ones."""
+    words = [w.decode("utf-8", "replace") for w in (text or b"").lower().translate(blanks).split()]
+    return words, ["^" + w[:BEGINNING] if len(w) > BEGINNING else "" for w in words]
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (term, word before) of each text."""
+    blanks = _blanks()
+    for batch in batches:
+        for text in texts_of(batch.column("text")):
+            words, begins = _terms(text, blanks)
+            before = ["", *words]
+            pairs = list({*zip(words, before), *((b, w) for b, w in zip(begins, before) if b)})
+            yield pa.record_batch([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["term", "before"])
+
+
+def _found(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """How many distinct (term, word before) the texts of a task have, by wanted term."""
+    blanks, counts = _blanks(), Counter()
+    for batch in batches:
+        for text in texts_of(batch.column("text")):
+            words, begins = _terms(text, blanks)
+            before = ["", *words]
+            counts.update(t for t, _ in {*zip(words, before), *zip(begins, before)} if t in wanted)
+    yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+
 def learn_lexicon(drawn: DataFrame, words: int = LEXICON) -> tuple[frozenset[bytes], frozenset[bytes]]:
-    """(words, beginnings) typical of toxic rows of (text, y), at most ``words`` of each."""
-    split = F.split(F.translate("text", _CAPITALS, _SMALL), _SEPARATORS)
-    pairs = drawn.withColumn("w", split).select(
-        "y", F.explode(F.array_distinct(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), "w").alias("before")))).alias("p")
-    )
-    pairs = pairs.select("y", F.col("p.word").alias("word"), F.col("p.before").alias("before")).where("word <> ''")
-    begin = pairs.where(F.length("word") > BEGINNING).select(
-        "y", F.concat(F.lit("^"), F.substring("word", 1, BEGINNING)).alias("word"), "before"
-    )
-    terms = pairs.unionByName(begin).groupBy("word").agg(
-        F.sum("y").alias("toxic"), F.count("*").alias("all"),
-        F.count_distinct(F.when(F.col("y") == 1, F.col("before"))).alias("around"),
-    )
-    total = pairs.agg(F.sum("y"), F.count("*")).first()
-    if not total[1] or not total[0]:
-        return frozenset(), frozenset()
-    usual = total[0] / total[1]
-    # Toxic documents hold such a word at least six times as often as their share of the words.
-    lift = F.col("toxic") / F.col("all") / F.lit(usual)
-    chosen = terms.where((F.col("around") >= F.when(F.col("word").startswith("^"), 12).otherwise(4)))
-    chosen = chosen.where((lift >= min(6.0, 0.5 / usual)) & (F.col("toxic") >= 0.8 * F.col("all")))
-    rows = chosen.orderBy(F.desc("around"), "word").limit(2 * words).collect()
-    found = [r.word.encode() for r in rows]
-    return (
-        frozenset([w for w in found if not w.startswith(b"^")][:words]),
-        frozenset([w[1:] for w in found if w.startswith(b"^")][:words]),
+    """(words, beginnings) typical of toxic rows of (text, y), at most ``words`` of each.
+
+    Terms with few different words before them are left out: chance and copied passages give
+    such.  Toxic documents must have the term at least six times as often as clean ones, and by
+    more than chance explains.
+    """
+    toxic, clean = drawn.where("y = 1").select("text"), drawn.where("y = 0").select("text")
+    around = toxic.mapInArrow(_surroundings, "term string, before string").groupBy("term").agg(
+        F.count_distinct("before").alias("around")
     )
+    enough = F.when(F.col("term").startswith("^"), 12).otherwise(4)
+    rows = around.where(F.col("around") >= enough).orderBy(F.desc("around"), "term").limit(20 * words).collect()
+    wanted = frozenset(r.term for r in rows)
+    seen = clean.mapInArrow(partial(_found, wanted=wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    usual = {r.term: r.n for r in seen.collect()}
+    share = toxic.count() / max(clean.count(), 1)
+    chance = share / (1 + share)
+
+    def surprise(r) -> float:
+        """Standard deviations by which toxic texts have more of the surroundings than their share."""
+        known = r.around + usual.get(r.term, 0)
+        return (r.around - chance * known) / (known * chance * (1 - chance)) ** 0.5
+
+    chosen = [r.term for r in rows if surprise(r) >= 5 and r.around >= 6 * share * usual.get(r.term, 0)]
+    plain = [t.encode() for t in chosen if not t.startswith("^")][:words]
+    begin = [t[1:].encode() for t in chosen if t.startswith("^")][:words]
+    return frozenset(plain), frozenset(begin)
 
 
 def features(text: bytes, lexicon: frozenset[bytes], begins: frozenset[bytes], blanks: bytes) -> list[float]:
@@ -152,7 +179,7 @@ def toxicity_scores(
     known = drawn.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(4)))
     known = known.select("text", F.struct(F.col("y").cast("double").alias("label"), "part").alias("y"))
     known = materialize(known.mapInArrow(partial(read, keep="y"), "y struct<label:double,part:long>, x array<double>"), "features")
-    known = known.select("y.label", "y.part", array_to_vector("x").alias("features")).repartition(2, "part", "features")
+    known = known.select("y.label", "y.part", array_to_vector("x").alias("features")).coalesce(2)
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, seed=seed, checkpointInterval=-1, cacheNodeIds=False)
     fit_part, held_part = known.where("part > 0"), known.where("part = 0")
     if fit_part.select("label").distinct().count() < 2 or held_part.select("label").distinct().count() < 2:
