@@ -90,7 +90,7 @@ def choose_documents(
     ``levels`` are columns of ``docs``; null counts as "".  The budget is ``share`` of all tokens
     (words between blanks).  A taken document is always whole: a leaf's last epoch ends before
     the document that would pass its budget.  Documents without words are taken in every epoch
-    that reaches their place.  Rows that agree in leaf, id and text share one place and are
+    that reaches their place, and an epoch without budget takes none.  Rows that agree in leaf, id and text share one place and are
     taken together.  No rows give no rows.
     """
     rows = docs.select(
@@ -121,7 +121,8 @@ def choose_documents(
     sums = sums.withColumn("upto", F.sum("held").over(running))
     edges = sums.select(
         *names, "bucket", (F.col("upto") - F.col("held")).alias("before"),
-        F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(F.col("upto") - F.col("held") > F.col("rest"), F.lit(0)).alias("all"),
+        F.when((F.col("rest") <= 0) | (F.col("upto") - F.col("held") > F.col("rest")), F.lit(0))
+        .when(F.col("upto") <= F.col("rest"), F.lit(1)).alias("all"),
     )
     edges = materialize(edges, "leaf-buckets")
     marked = drawn.join(edges, [*names, "bucket"])

@@ -236,7 +236,7 @@ placed AS (
     ORDER BY md5(concat_ws('|', '3', CAST(whole AS VARCHAR), CAST(doc_id AS VARCHAR), domain, lang, source))) AS upto
   FROM docs JOIN epochs USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens,
-  CAST(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM placed
+  CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM placed
 """
 
 
