@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..scratch import quoted
+
 # 13 hex digits = 52 bits: exact in a double.
 HEX_DIGITS = 13
 SCALE = float(16**HEX_DIGITS)
@@ -19,8 +21,9 @@ SCALE = float(16**HEX_DIGITS)
 
 def hash_sql(seed: int, salt: str, *keys: str | int) -> str:
     """SQL text of the hash: 32 hex digits."""
-    parts = [str(k) if isinstance(k, int) else f"coalesce(cast(`{k}` AS string), '')" for k in keys]
-    return f"md5(concat_ws('|', '{seed}', '{salt}', {', '.join(parts)}))"
+    parts = [str(k) if isinstance(k, int) else f"coalesce(cast({quoted(k)} AS string), '')" for k in keys]
+    literal = salt.replace("\\", "\\\\").replace("'", "\\'")
+    return f"md5(concat_ws('|', '{seed}', '{literal}', {', '.join(parts)}))"
 
 
 def uniform_sql(seed: int, salt: str, *keys: str | int) -> str:

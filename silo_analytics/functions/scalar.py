@@ -64,24 +64,29 @@ def to_number(col: Column, replace: Mapping[str, str] | None = None) -> Column:
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
 
 
+def known(col: Column) -> Column:
+    """The column as a double, with null for NaN: both mean that the value is missing."""
+    return F.nanvl(col.cast("double"), F.lit(None).cast("double"))
+
+
 def zero_product(*cols: Column) -> Column:
     """Product in which null counts as zero."""
-    return reduce(lambda a, b: a * b, [F.coalesce(c, F.lit(0.0)) for c in cols])
+    return reduce(lambda a, b: a * b, [F.coalesce(known(c), F.lit(0.0)) for c in cols])
 
 
 def product(*cols: Column) -> Column:
     """Product that is null when a factor is null."""
-    return reduce(lambda a, b: a * b, cols)
+    return reduce(lambda a, b: a * b, [known(c) for c in cols])
 
 
 def smoothed_ratio(top: Column, bottom: Column) -> Column:
     """top / (bottom + 1)."""
-    return top / (bottom + F.lit(1))
+    return known(top) / (known(bottom) + F.lit(1))
 
 
 def guarded_ratio(top: Column, bottom: Column) -> Column:
     """top / (bottom + 1) where bottom > 0, else 0."""
-    return F.when(bottom > 0, smoothed_ratio(top, bottom)).otherwise(F.lit(0.0))
+    return F.when(known(bottom) > 0, smoothed_ratio(top, bottom)).otherwise(F.lit(0.0))
 
 
 def differs_or_null(col: Column, value) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform, normal_sql
-from ..scratch import join_lookup, materialize
+from ..scratch import join_lookup, materialize, quoted
 from .ranking import running_total
 
 # Noise relative to the spread of the column in the group, and the smallest usable spread.
@@ -30,7 +30,7 @@ def jitter_stats(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame
     """
     raw = []
     for i, c in enumerate(columns):
-        x = f"cast(`{c}` AS double)"
+        x = f"nanvl(cast({quoted(c)} AS double), NULL)"
         raw += [
             F.expr(f"stddev_pop({x}) AS sd{i}"),
             F.expr(f"avg(abs({x})) * {NOISE_SHARE}D AS level{i}"),
@@ -42,7 +42,7 @@ def jitter_stats(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame
         for i in range(len(columns))
     ]
     kept = [f"_bin{i}" for i in range(len(columns))]
-    return df.groupBy(group).agg(*raw).selectExpr(f"`{group}`", *scales, *kept)
+    return df.groupBy(group).agg(*raw).selectExpr(quoted(group), *scales, *kept)
 
 
 def jitter(column: str, scale: str, is_binary: str, normal: str) -> Column:
@@ -50,7 +50,7 @@ def jitter(column: str, scale: str, is_binary: str, normal: str) -> Column:
 
     Takes column names and the SQL text of a standard normal.
     """
-    moved = f"(cast(`{column}` AS double) + {scale} * {NOISE_SHARE}D * {normal})"
+    moved = f"(nanvl(cast({quoted(column)} AS double), NULL) + {scale} * {NOISE_SHARE}D * {normal})"
     clipped = f"coalesce(least(greatest(rint({moved}), 0D), 1D), 0D)"
     return F.expr(f"CASE WHEN {is_binary} THEN {clipped} ELSE {moved} END")
 

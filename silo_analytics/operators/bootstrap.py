@@ -23,15 +23,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.hashing import hash_sql, hash_uniform
 from ..scratch import join_lookup
-from .metrics import edges_below, ranking_metrics, with_edges
+from .metrics import edges_below, ranking_metrics, scored_rows, with_edges
 from .ranking import rank_in_group
 
 # The functions that run inside tasks travel with the job; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS_PER_PIECE = 50_000
-# Tasks among which the rows of one heavily repeated score are spread.
-POINT_SALTS = 32
 # Rows whose replicate weights are expanded at once.
 BLOCK = 4_096
 DRAW_BITS = 16
@@ -154,10 +152,11 @@ def bootstrap_auroc_replicates(
     # odd pieces hold the rows that equal an edge: their order does not matter, so
     # a score shared by many rows can be split over tasks
     at_edge = F.coalesce(F.array_contains("_edges", s), F.lit(False))
-    placed = with_edges(df, by, score, ROWS_PER_PIECE).select(
+    # and into as many parts as the group has pieces
+    placed = with_edges(scored_rows(df, label, score), by, score, ROWS_PER_PIECE).select(
         *by,
         (2 * edges_below(s) + at_edge.cast("int")).alias("_piece"),
-        F.when(at_edge, F.pmod(F.xxhash64(F.col(key)), F.lit(POINT_SALTS))).otherwise(0).cast("int").alias("_salt"),
+        F.when(at_edge, F.pmod(F.xxhash64(F.col(key)), F.col("_pieces"))).otherwise(0).cast("int").alias("_salt"),
         s.alias("_s"),
         F.col(label).cast("int").alias("_y"),
         F.col(key).alias("_k"),

@@ -14,6 +14,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import constant, probability
-from ..scratch import JOIN_SALTS, collect_bounded, join_lookup, local_table, materialize
+from ..scratch import collect_bounded, join_lookup, local_table, materialize
 
 # The functions that run inside tasks travel with the job; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,16 +34,15 @@ PARAMS_SCHEMA = (
     "model string, n long, n_pos long, skipped boolean, iterations int, converged boolean, "
     "params array<double>"
 )
-# Rows of one silo that go into one partition, and the parts for rows without a silo.
+# Rows of one silo that go into one partition.
 ROWS_PER_PART = 1_000_000
-UNKNOWN_PARTS = 64
 # Models whose parameters are held on the driver and broadcast in one step.
 MODELS_PER_FIT = 20_000
 # Models whose sums a task holds at once before it hands them on.
 SUMS_PER_TASK = 2_048
 # Models whose sums one task of the second stage adds up, at least.
 MODELS_PER_TASK = 16
-# Global models whose parameters are written into the scoring expression.
+# Global models whose parameters are written into one scoring expression.
 MODELS_PER_SCAN = 1_000
 _SUM_SCHEMA = "model string, sums array<double>"
 _STEP_SCHEMA = "model string, loss double, gmax double, step array<double>"
@@ -89,11 +89,9 @@ def balanced_training_table(
     key.
     """
     sizes = sizes_from.groupBy(silo).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_PART).alias("_parts"))
-    large = sizes.filter((F.col("_parts") > 1) & F.col(silo).isNotNull())
-    marked = join_lookup(df, large, [silo], "left")
-    # rows without a silo have no size entry and are always spread
-    parts = F.when(F.col(silo).isNull(), F.lit(UNKNOWN_PARTS)).otherwise(F.coalesce("_parts", F.lit(1)))
-    part = F.pmod(F.xxhash64(key), parts)
+    # the rows without a silo are counted and spread like a silo
+    marked = join_lookup(df, sizes.filter(F.col("_parts") > 1), [silo], "left")
+    part = F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)))
     return materialize(marked.withColumn("_part", part).repartition(silo, "_part").drop("_parts", "_part"), name)
 
 
@@ -298,11 +296,12 @@ def _fit_in_chunks(rows: DataFrame, stats: DataFrame, **options) -> DataFrame:
     The rows are written once per chunk they matter to, so each chunk's steps scan
     only their own folder.
     """
-    total = stats.count()
-    chunks = -(-total // (MODELS_PER_FIT // 2))
+    sizes = stats.agg(F.count(F.lit(1)).alias("models"), F.sum("n").alias("rows")).first()
+    chunks = -(-sizes.models // (MODELS_PER_FIT // 2))
+    salts = max(1, -(-sizes.rows // (chunks * ROWS_PER_PART)))
     number = F.pmod(F.xxhash64("model"), F.lit(chunks)).cast("int")
     single = rows.select(F.explode("models").alias("model"), "y", "x").withColumn("chunk", number)
-    spread = single.repartition(F.col("chunk"), F.pmod(F.xxhash64("model", "x"), F.lit(JOIN_SALTS)))
+    spread = single.repartition(F.col("chunk"), F.pmod(F.xxhash64("model", "x"), F.lit(salts)))
     table = materialize(spread, "chunks", partition_by=["chunk"])
     parts = []
     for i in range(chunks):
@@ -324,13 +323,15 @@ def score_by_key(df: DataFrame, params: DataFrame, on: str, size: int, features:
 def score_models(
     df: DataFrame, params: Mapping[str, Sequence[float]], size: int, features: str = "features"
 ) -> DataFrame:
-    """Score each row with every model: one output row per (row, model), in one scan.
+    """Score each row with every model: one output row per (row, model).
 
-    For the few global models of a run; their parameters become constants of the
-    expression.
+    For the global models of a run; their parameters become constants of the expression,
+    those of ``MODELS_PER_SCAN`` models in every scan.
     """
     if len(params) > MODELS_PER_SCAN:
-        raise ValueError(f"at most {MODELS_PER_SCAN} global models are scored in one scan")
+        names = list(params)
+        blocks = [names[i : i + MODELS_PER_SCAN] for i in range(0, len(names), MODELS_PER_SCAN)]
+        return reduce(DataFrame.unionByName, [score_models(df, {m: params[m] for m in b}, size, features) for b in blocks])
     entries = [F.struct(F.lit(m).alias("model"), constant(w).alias("params")) for m, w in params.items()]
     table = F.array(*entries)
     spread = df.withColumn("_m", F.explode(table))

@@ -14,29 +14,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import constant
-from ..scratch import join_lookup, settle
+from ..scratch import join_lookup, null_safe_join, settle
 
-MAX_PIECES = 256
-# Rank error of the edges: far below the width of a piece.
-EDGE_ACCURACY = 2_560
+# Rank error of the edges: this share of the width of a piece.
+EDGE_ERROR = 0.1
 SCORES_PER_PIECE = 500_000
 # Groups whose edges the driver holds between the two steps.
 EDGE_GROUPS = 10_000
 
 
 def score_edges(df: DataFrame, by: Sequence[str], score: str, per_piece: int) -> DataFrame:
-    """Per group, the score values that cut it into pieces of about ``per_piece`` rows."""
+    """Per group, the score values that cut it into pieces of about ``per_piece`` rows.
+
+    As many pieces as the counted rows of the largest group need; ``_pieces`` is the number
+    that the group itself needs.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    most = -(-(sizes.agg(F.max("_rows")).first()[0] or 0) // per_piece)
+    if most <= 1:
+        return sizes.filter("false").select(*by, F.array().cast("array<double>").alias("_edges"), F.lit(1).alias("_pieces"))
+    shares = constant([i / most for i in range(1, most)])
     sketch = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.percentile_approx(F.col(score).cast("double"), constant([i / MAX_PIECES for i in range(1, MAX_PIECES)]), EDGE_ACCURACY).alias("_all"),
+        F.percentile_approx(F.col(score).cast("double"), shares, int(most / EDGE_ERROR)).alias("_all"),
     )
-    pieces = F.least(F.greatest(F.ceil(F.col("_rows") / per_piece), F.lit(1)), F.lit(MAX_PIECES))
-    step = F.floor(F.lit(MAX_PIECES) / pieces)
+    pieces = F.greatest(F.ceil(F.col("_rows") / per_piece), F.lit(1))
     kept = F.filter("_all", lambda e, i: (i + 1) % F.col("_step") == 0)
     return (
-        sketch.withColumn("_step", step)
-        .withColumn("_edges", F.array_distinct(kept))
-        .select(*by, "_edges")
+        sketch.withColumn("_pieces", pieces.cast("int"))
+        .withColumn("_step", F.floor(F.lit(most) / F.col("_pieces")))
+        .withColumn("_edges", F.array_sort(F.array_distinct(kept)))
+        .select(*by, "_edges", "_pieces")
     )
 
 
@@ -52,12 +60,25 @@ def with_edges(df: DataFrame, by: Sequence[str], score: str, per_piece: int) ->
     if not few:
         return join_lookup(df, edges, by)
     if edges.isEmpty():
-        return df.withColumn("_edges", F.lit(None).cast("array<double>"))
-    return df.join(F.broadcast(edges), list(by), "left")
+        return df.withColumns({"_edges": F.lit(None).cast("array<double>"), "_pieces": F.lit(1)})
+    return null_safe_join(df, F.broadcast(edges), by, "left")
 
 
 def edges_below(score: Column) -> Column:
-    return F.coalesce(F.size(F.filter("_edges", lambda e: e < score)), F.lit(0))
+    """How many of the sorted ``_edges`` are below the score: first among every so many, then between."""
+    edges, n = F.col("_edges"), F.size("_edges")
+    stride = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    heads = F.filter(edges, lambda e, i: (i % stride == 0) & (e < score))
+    from_ = (F.size(heads) - 1) * stride
+    inside = F.size(F.filter(F.slice(edges, from_ + 1, stride), lambda e: e < score))
+    below = F.when(F.size(heads) == 0, F.lit(0)).otherwise(from_ + inside)
+    return F.when(n > 0, below).otherwise(F.lit(0))
+
+
+def scored_rows(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Rows that can be judged: the label is 0 or 1 and the score a number."""
+    s = F.col(score).cast("double")
+    return df.filter(F.col(label).isin(0, 1) & s.isNotNull() & ~F.isnan(s))
 
 
 def score_counts(
@@ -82,9 +103,9 @@ def ranking_metrics(
     """Exact AUROC (a tie counts one half) and average precision per group.
 
     Returns the ``by`` columns, ``n``, ``n_pos``, ``auroc``, ``ap``.  A group with
-    one class scores 0.
+    one class scores 0.  Rows without a score or a label of 0 or 1 do not count.
     """
-    placed = with_edges(df, by, score, SCORES_PER_PIECE)
+    placed = with_edges(scored_rows(df, label, score), by, score, SCORES_PER_PIECE)
     placed = placed.withColumn("_piece", edges_below(F.col(score).cast("double")))
     counts = score_counts(placed, [*by, "_piece"], label, score, weight)
     # by piece and not by group alone, whatever the partitioning so far would allow
@@ -109,7 +130,8 @@ def ranking_metrics(
             "_lp": F.coalesce(F.sum("_pos").over(inside), F.lit(0)),
             "_ln": F.coalesce(F.sum("_neg").over(inside), F.lit(0)),
         }
-    ).join(offsets, [*by, "_piece"])
+    )
+    lower = null_safe_join(lower, offsets, [*by, "_piece"])
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
     neg_below = F.col("_neg_before") + F.col("_ln")
     true_pos = (F.col("_P") - F.col("_pos_before") - F.col("_lp")).cast("double")
@@ -133,9 +155,12 @@ def ranking_metrics(
 def threshold_metrics(
     df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score", cut: float = 0.5
 ) -> DataFrame:
-    """Precision, recall, F1 and accuracy of score >= cut; an undefined ratio is 0."""
+    """Precision, recall, F1 and accuracy of score >= cut; an undefined ratio is 0.
+
+    Rows without a score or a label of 0 or 1 do not count.
+    """
     hit, true = F.col(score) >= cut, F.col(label) == 1
-    counts = df.groupBy(*by).agg(
+    counts = scored_rows(df, label, score).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(hit & true).alias("tp"),
         F.count_if(hit & ~true).alias("fp"),

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import local_table
+from ..functions.scalar import known
+from ..scratch import local_table, quoted
 from .quantiles import exact_medians, quantiles_and
 
 
@@ -28,7 +29,7 @@ class FittedPrep:
     def scaled(self, feature: str) -> str:
         """SQL text of the filled and scaled feature."""
         i = self.features.index(feature)
-        filled = f"coalesce(cast(`{feature}` AS double), {self.median[i]!r}D)"
+        filled = f"coalesce(nanvl(cast({quoted(feature)} AS double), NULL), {self.median[i]!r}D)"
         return f"({filled} - {self.mean[i]!r}D) / {(self.std[i] if self.std[i] > 0 else 1.0)!r}D"
 
     def transform(self, df: DataFrame, name: str = "features") -> DataFrame:
@@ -60,8 +61,8 @@ def fit_prep(df: DataFrame, features: Sequence[str]) -> FittedPrep:
 
 
 def fill_medians(df: DataFrame, columns: Sequence[str], stats_from: DataFrame | None = None) -> DataFrame:
-    """Replace nulls by the column median of ``stats_from`` (default: the same rows)."""
+    """Replace nulls and NaN by the column median of ``stats_from`` (default: the same rows)."""
     medians = exact_medians(df if stats_from is None else stats_from, columns)
     return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns if medians[c] is not None}
+        {c: F.coalesce(known(F.col(c)), F.lit(medians[c])) for c in columns if medians[c] is not None}
     )

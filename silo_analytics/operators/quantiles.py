@@ -1,8 +1,8 @@
 """Exact quantiles of many columns without gathering a column in one place.
 
 A mergeable sketch brackets every wanted rank; one more pass counts the values
-below the bracket and, by distinct value, inside it.  The bracket holds a small
-known share of the rows, so only that share is ordered.
+below the bracket and, by distinct value, inside it.  A bracket that may hold more
+than ``BRACKET_ROWS`` rows is narrowed by further passes before it is ordered.
 """
 
 from __future__ import annotations
@@ -12,14 +12,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..scratch import quoted
+
 ACCURACY = 20_000
+# Rows of a column that one task may order.
+BRACKET_ROWS = 500_000
 _SLACK = 3.0 / ACCURACY
 
 
 def exact_quantiles(
     df: DataFrame, wanted: Mapping[str, Sequence[float]]
 ) -> dict[tuple[str, float], float | None]:
-    """Linear-interpolation quantiles of numeric columns; nulls are skipped.
+    """Linear-interpolation quantiles of numeric columns; nulls and NaN are skipped.
 
     Returns ``{(column, p): value}``; a column without values gives None.
     """
@@ -35,7 +39,7 @@ def quantiles_and(
     """
     asks = [(c, float(p)) for c, ps in wanted.items() for p in ps]
     columns = list(wanted)
-    values = df.selectExpr(*[f"cast(`{c}` AS double) AS c{i}" for i, c in enumerate(columns)])
+    values = df.selectExpr(*[f"nanvl(cast({quoted(c)} AS double), NULL) AS c{i}" for i, c in enumerate(columns)])
 
     sketches = [F.expr(f"count(c{i}) AS n{i}") for i in range(len(columns))]
     for j, (c, p) in enumerate(asks):
@@ -53,18 +57,68 @@ def quantiles_and(
             low, high = sketch[f"q{j}"]
             open_asks.append((c, p, n, low, high))
     while open_asks:
-        found = _read_brackets(values, columns, open_asks)
+        narrow = [a for a in open_asks if a[2] * 2 * _SLACK > BRACKET_ROWS]
+        if narrow:
+            found = dict(zip(narrow, _narrowed(values, columns, narrow)))
+            open_asks = [found.get(a, a) for a in open_asks]
         retry = []
-        for ask, value in zip(open_asks, found):
+        for ask, value in zip(open_asks, _read_brackets(values, columns, open_asks)):
             c, p, n, _, _ = ask
-            if value is None:
-                retry.append((c, p, n, float("-inf"), float("inf")))
+            if value is None:  # the sketch was off by more than its bound
+                retry += _narrowed(values, columns, [(c, p, n, float("-inf"), float("inf"))])
             else:
                 out[(c, p)] = value
         open_asks = retry
     return out, sketch
 
 
+def _narrowed(values, columns, asks) -> list[tuple]:
+    """Brackets that surely hold the wanted ranks and few rows besides.
+
+    Every pass counts the rows below and inside the brackets; a bracket that lacks its ranks
+    is opened on that side, one that holds too many rows is cut by a sketch of the rows inside.
+    A bracket of one value is final, however many rows have it.
+    """
+    asks, done = list(asks), [False] * len(asks)
+    while not all(done):
+        parts = []
+        for j, (c, _, _, low, high) in enumerate(asks):
+            x, low, high = f"c{columns.index(c)}", f"double('{low!r}')", f"double('{high!r}')"
+            parts += [
+                F.expr(f"count_if({x} < {low}) AS b{j}"), F.expr(f"count_if({x} BETWEEN {low} AND {high}) AS i{j}"),
+                F.expr(f"min({x}) AS l{j}"), F.expr(f"max({x}) AS h{j}"),
+            ]
+        row = values.agg(*parts).first()
+        cuts = []
+        for j, (c, p, n, low, high) in enumerate(asks):
+            below, inside = row[f"b{j}"], row[f"i{j}"]
+            first = int((n - 1) * p) + 1
+            last = min(first + 1, n)
+            low, high = max(low, row[f"l{j}"]), min(high, row[f"h{j}"])
+            if first <= below or last > below + inside:
+                asks[j] = (c, p, n, low if first > below else row[f"l{j}"], high if last <= below + inside else row[f"h{j}"])
+                done[j] = False
+            else:
+                asks[j] = (c, p, n, low, high)
+                done[j] = done[j] or inside <= BRACKET_ROWS or low == high
+                if not done[j]:
+                    cuts.append((j, (first - below) / inside))
+        if cuts:
+            sketches = []
+            for j, share in cuts:
+                c, _, _, low, high = asks[j]
+                x = f"c{columns.index(c)}"
+                around = f"array({max(share - _SLACK, 0.0)!r}D, {min(share + _SLACK, 1.0)!r}D)"
+                inside = f"CASE WHEN {x} BETWEEN double('{low!r}') AND double('{high!r}') THEN {x} END"
+                sketches.append(F.expr(f"percentile_approx({inside}, {around}, {ACCURACY}) AS q{j}"))
+            row = values.agg(*sketches).first()
+            for j, _ in cuts:
+                c, p, n, low, high = asks[j]
+                done[j] = (low, high) == tuple(row[f"q{j}"])  # as narrow as the values allow
+                asks[j] = (c, p, n, *row[f"q{j}"])
+    return asks
+
+
 def _read_brackets(values, columns, asks) -> list[float | None]:
     """Exact order statistics around each ask, or None when the bracket missed them."""
     entries = []

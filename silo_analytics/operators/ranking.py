@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
-from ..scratch import join_lookup, settle
+from ..scratch import join_lookup, null_safe_join, settle
 
 CUT_BUCKETS = 4096
+# Rows that one task may order, on average.
+ROWS_PER_BUCKET = 200_000
 # Cuts kept on the driver: (groups x cuts) rows of three values.
 CUT_ROWS = 100_000
 
@@ -24,6 +26,12 @@ def _bucket(u: Column, buckets: int) -> Column:
     return F.floor(u * F.lit(float(buckets))).cast("int")
 
 
+def buckets_for(df: DataFrame, group: Sequence[str], per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets that leave about ``per_bucket`` rows of the largest group in each."""
+    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return max(1, -(-largest // per_bucket))
+
+
 def rank_in_group(
     df: DataFrame,
     group: Sequence[str],
@@ -31,12 +39,14 @@ def rank_in_group(
     seed: int,
     salt: str,
     name: str = "rank",
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add the 1-based rank of each row in its group, in hash order.
 
-    Group columns must not be null.
+    A null group is a group like any other.  ``buckets`` follows from the largest group
+    unless it is given.
     """
+    buckets = buckets or buckets_for(df, group)
     spread = df.withColumn("_u", hash_uniform(seed, salt, key))
     spread = spread.withColumn("_b", _bucket(F.col("_u"), buckets))
     counts = spread.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -46,18 +56,18 @@ def rank_in_group(
     )
     local = Window.partitionBy(*group, "_b").orderBy("_u", key)
     return (
-        spread.withColumn("_r", F.row_number().over(local))
-        .join(offsets, [*group, "_b"])
+        null_safe_join(spread.withColumn("_r", F.row_number().over(local)), offsets, [*group, "_b"])
         .withColumn(name, (F.col("_r") + F.col("_earlier")).cast("long"))
         .drop("_u", "_b", "_r", "_earlier")
     )
 
 
-def running_total(df: DataFrame, key: str, amount: str, name: str, buckets: int = 64) -> DataFrame:
+def running_total(df: DataFrame, key: str, amount: str, name: str, buckets: int | None = None) -> DataFrame:
     """Add the sum of ``amount`` over all rows earlier in hash order of ``key``."""
+    buckets = buckets or buckets_for(df, [])
     spread = df.withColumn("_u", hash_uniform(0, "total", key))
     spread = spread.withColumn("_b", _bucket(F.col("_u"), buckets))
-    sums = spread.groupBy("_b").agg(F.sum(amount).alias("_s"))  # at most `buckets` rows
+    sums = spread.groupBy("_b").agg(F.sum(amount).alias("_s"))  # one row per bucket
     whole = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_b", F.coalesce(F.sum("_s").over(whole), F.lit(0)).alias("_earlier"))
     local = Window.partitionBy("_b").orderBy("_u", key).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +117,7 @@ def rank_cuts(
     # a cut of rank 0 is kept with the first bucket
     inside = (rank <= F.col("_upto")) & ((rank > before) | ((rank <= 0) & (before == 0)))
     hits = (
-        counts.join(wanted, list(group))
+        null_safe_join(counts, wanted, group)
         .filter(inside)
         .select(*group, "_b", "cut", F.greatest(rank - before, F.lit(0)).alias("_local"))
     )
@@ -115,7 +125,7 @@ def rank_cuts(
     inner = hits.filter(F.col("_local") > 0)
     order = Window.partitionBy(*group, "_b", "cut").orderBy("_u", "_k")
     found = (
-        spread.join(F.broadcast(inner) if few else inner, [*group, "_b"])
+        null_safe_join(spread, F.broadcast(inner) if few else inner, [*group, "_b"])
         .withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") == F.col("_local"))
         .select(*group, "cut", F.col("_u").alias("cut_u"), F.col("_k").alias("cut_key"))
@@ -134,6 +144,8 @@ def cut_segments(
 ) -> DataFrame:
     """Add the number of the group's cuts that lie before the row (0 = up to the first cut).
 
+    Null where the group has no cuts: such rows, e.g. those without a label, are in no segment.
+
     A scan with a comparison per cut: no row of ``df`` is shuffled while the cut
     table stays within its checked size.
     """
@@ -142,8 +154,8 @@ def cut_segments(
     cut = F.struct(F.col("cut_u").alias("u"), F.col("cut_key").alias("k"))
     arrays = cuts.groupBy(*group).agg(F.collect_list(cut).alias("_cuts"))  # a few cuts per group
     if few:
-        joined = df.join(F.broadcast(arrays), list(group), "left")
+        joined = null_safe_join(df, F.broadcast(arrays), group, "left")
     else:
         joined = join_lookup(df, arrays, group)
     passed = F.size(F.filter("_cuts", lambda c: c < place))
-    return joined.withColumn(name, F.coalesce(F.when(F.col("_cuts").isNotNull(), passed), F.lit(0))).drop("_cuts")
+    return joined.withColumn(name, F.when(F.col("_cuts").isNotNull(), passed)).drop("_cuts")

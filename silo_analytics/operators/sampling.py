@@ -70,7 +70,8 @@ def stratified_split(
     """Mark an exact, seeded, class-stratified share of the rows as test rows.
 
     With ``by`` the split is done inside every group and keeps a row of each
-    class on both sides.
+    class on both sides; a null group is a group.  A row whose label is not 0 or 1
+    gets null: it is on neither side.
     """
     group = [*by, label]
     counts = class_counts(df, by, label)
@@ -84,7 +85,10 @@ def stratified_split(
 def stratified_folds(
     df: DataFrame, label: str, key: str, folds: int, seed: int, name: str = "fold"
 ) -> DataFrame:
-    """Add a fold number 0 .. folds-1; each class is spread evenly, to within one row."""
+    """Add a fold number 0 .. folds-1; each class is spread evenly, to within one row.
+
+    A row whose label is not 0 or 1 gets null.
+    """
     counts = class_counts(df, (), label)
     sizes = _by_class(counts, (), label, [F.col("n0"), F.col("n1")])
     ranks = [F.floor(F.col("n") * j / folds) for j in range(1, folds)]
@@ -108,7 +112,8 @@ def skew_partition(
 ) -> DataFrame:
     """Spread each class over ``silos`` by Dirichlet shares (small alpha = strong skew).
 
-    Sizes are rounded down and the last silo takes what is left.
+    Sizes are rounded down and the last silo takes what is left.  A row whose label is not 0
+    or 1 gets null.
     """
     if silos < 1 or alpha <= 0:
         raise ValueError("silos must be at least 1 and alpha positive")
@@ -121,5 +126,5 @@ def skew_partition(
         running = running + F.floor(share * F.col("n"))
         ranks.append(running)
     if not ranks:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, F.when(F.col(label).isin(0, 1), F.lit(0)))
     return cut_segments(df, [label], key, seed, "skew", wanted_ranks(sizes, [label], ranks), name)

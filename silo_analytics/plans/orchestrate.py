@@ -14,7 +14,7 @@ from ..operators.logistic import balanced_training_table
 from ..operators.prep import FittedPrep, fit_prep
 from ..operators.sampling import stratified_split
 from ..operators.store import MODEL_SCHEMA, config_column, save_metrics, save_models, summarize
-from ..scratch import materialize
+from ..scratch import join_lookup, materialize, null_safe_join, quoted
 from ..spec import DatasetSpec, RunConfig
 from .regional import RegionalComparison, compare_regions
 from .strategies import GLOBAL_METRICS, Prepared, StrategyResults, run_linear, run_mlp
@@ -36,8 +36,22 @@ class RunResult:
 
 
 def with_row_ids(df: DataFrame, key: str) -> DataFrame:
-    """Number the rows of a table that has no key; the numbers are fixed by writing it."""
-    return materialize(df.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    """Give the rows of a table without a key ids that follow from their content.
+
+    The id is a hash of all columns.  Rows that agree in a hash, copies mostly, are told apart
+    by their number among them, so any file split or order of the rows gives the same ids.
+    """
+    content = F.xxhash64(*[F.col(quoted(c)) for c in sorted(df.columns)])
+    rows = materialize(df.withColumn(key, content), "numbered")
+    twice = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twice = materialize(twice, "copies")
+    single = null_safe_join(rows, twice, [key], "left").filter("_n IS NULL").drop("_n")
+    copies = join_lookup(rows, twice.select(key), [key], "left_semi")
+    # equal rows are interchangeable, so one row per distinct content is counted out again
+    counted = copies.groupBy(*[F.col(quoted(c)) for c in copies.columns]).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    numbered = counted.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    numbered = numbered.withColumn(key, F.xxhash64(key, "_i", *[F.col(quoted(c)) for c in sorted(df.columns)]))
+    return materialize(single.unionByName(numbered.select(*single.columns)), "numbered")
 
 
 def prepare(
@@ -54,6 +68,9 @@ def prepare(
         cohort = with_row_ids(cohort, spec.key)
     else:
         cohort = materialize(cohort, "cohort")
+    unlabelled = cohort.filter(~F.coalesce(F.col(spec.label).isin(0, 1), F.lit(False))).count()
+    if unlabelled:
+        raise ValueError(f"{unlabelled} rows have a {spec.label} that is not 0 or 1")
     marked = materialize(
         stratified_split(cohort, spec.label, spec.key, cfg.global_test_size, cfg.random_state), "split"
     )

@@ -56,12 +56,14 @@ def first_orders(orders: DataFrame) -> DataFrame:
 def order_lines(lineitem: DataFrame) -> DataFrame:
     """Per order: line counts, the dearest line and whether any line was returned."""
     price = F.col("l_extendedprice")
+    # of equally dear lines the one of the larger number counts
+    rank = F.when(price.isNotNull(), F.struct(price, "l_linenumber"))
     return lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("line_count"),
         F.count_if(S.differs_or_null(F.col("l_returnflag"), "R")).alias("kept_count"),
         F.max(price).alias("top_price"),
-        F.max_by("l_quantity", price).alias("top_qty"),
-        F.max_by("l_discount", price).alias("top_discount"),
+        F.max_by("l_quantity", rank).alias("top_qty"),
+        F.max_by("l_discount", rank).alias("top_discount"),
         F.max(S.flag_equals(F.col("l_returnflag"), "R")).alias("label_b"),
     )
 

@@ -319,7 +319,7 @@ def _silo_metrics(usable: DataFrame, local: DataFrame, cfg: RunConfig, strategie
         rounds = F.explode(F.sequence(F.lit(1), F.lit(cfg.fl_rounds)))
         if s in kinds:
             mine = silos.filter(F.col("model").startswith(kinds[s] + ":")).withColumn("round", rounds)
-            mine = mine.withColumn("silo", F.substring_index("model", ":", -1))
+            mine = mine.withColumn("silo", F.regexp_replace("model", "^[a-z]+:", ""))
         elif s == 4:
             found = local.filter(F.col("model").rlike("^pulled[0-9]+:"))
             mine = found.withColumn("round", F.regexp_extract("model", "^pulled([0-9]+):", 1).cast("int"))
@@ -423,6 +423,8 @@ def run_mlp(
             )
             found |= {(s, r): w for r, w in enumerate(rounds, 1)}
 
+    if not found:
+        return StrategyResults(local_table(spark, [], METRICS), local_table(spark, [], PARAMS))
     test = prepared.test.select(spec.key, spec.label, "features")
     parts, names = [], {}
     for (s, r), w in found.items():

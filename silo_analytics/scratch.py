@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# A lookup side is broadcast only when a count has shown it to be this small.
-BROADCAST_ROWS = 200_000
+# A lookup side is broadcast only when a count and the width of its rows show it to be this small.
+BROADCAST_BYTES = 64 << 20
 # Results up to this size are held by the driver between two steps.
 DRIVER_ROWS = 10_000
-# Copies of each lookup row when a join has to spread a hot key over tasks.
-JOIN_SALTS = 16
+# Rows of one key that a task may join when a lookup is too large to be broadcast.
+ROWS_PER_SALT = 1_000_000
 
 _numbers = itertools.count()
 
@@ -80,24 +80,49 @@ def settle(df: DataFrame, limit: int, name: str) -> tuple[DataFrame, bool]:
     return df.sparkSession.createDataFrame(found, df.schema), True
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null; the key columns are those of ``left``."""
+    a, b = left.alias("_a"), right.alias("_b")
+    same = [F.col(f"_a.{quoted(c)}").eqNullSafe(F.col(f"_b.{quoted(c)}")) for c in on]
+    condition = same[0]
+    for part in same[1:]:
+        condition = condition & part
+    joined = a.join(b, condition, how)
+    if how == "left_semi":
+        return joined
+    added = [F.col(f"_b.{quoted(c)}") for c in right.columns if c not in on]
+    return joined.select(*[F.col(f"_a.{quoted(c)}") for c in left.columns], *added)
+
+
+def quoted(name: str) -> str:
+    """A column name for SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def join_lookup(
     big: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    limit: int = BROADCAST_ROWS,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Equi-join a large table to a lookup with unique keys, safe for hot keys.
+    """Equi-join a large table to a lookup with unique keys, safe for hot and null keys.
 
-    ``lookup`` is computed once and counted.  Within ``limit`` rows it is
-    broadcast.  Above that it is copied ``JOIN_SALTS`` times and joined on
-    (key, salt), so that the rows of one hot key are spread over several tasks.
+    ``lookup`` is computed once; its rows are counted and their width measured.  Within
+    ``limit`` bytes it is broadcast.  Above that it is copied as often as the largest key of
+    ``big`` needs and joined on (key, salt), so that a hot key is spread over several tasks.
     """
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"join_lookup cannot do a {how} join")
-    small, fits = settle(lookup, min(limit, DRIVER_ROWS), "lookup")
-    if fits or small.count() <= limit:
-        return big.join(F.broadcast(small), list(on), how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(JOIN_SALTS)).cast("int"))
-    return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+    found = lookup.limit(DRIVER_ROWS + 1).toArrow()
+    if found.num_rows <= DRIVER_ROWS and found.nbytes <= limit:
+        small = lookup.sparkSession.createDataFrame(found, lookup.schema)
+        return null_safe_join(big, F.broadcast(small), on, how)
+    small = materialize(lookup, "lookup")
+    if small.count() * found.nbytes <= limit * max(found.num_rows, 1):
+        return null_safe_join(big, F.broadcast(small), on, how)
+    hottest = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    salts = -(-hottest // ROWS_PER_SALT) or 1
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    return null_safe_join(spread, salted, [*on, "_salt"], how).drop("_salt")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,13 +55,20 @@ def read_csv(
     paths: str | Sequence[str],
     schema: T.StructType,
     missing: Sequence[str] = MISSING_TEXTS,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV files with a header line; columns are taken by name.
 
-    Only the columns in ``schema`` are read.  The header line names them, so files
-    may have more columns, in any order.
+    Only the columns in ``schema`` are read.  The header line of each path names them, so
+    every path may have more columns, in any order of its own; files of one folder share a
+    header.  ``multi_line`` accepts line breaks inside quotes, at the price that a file is
+    read by one task.
     """
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(paths)
+    if not isinstance(paths, str):
+        parts = [read_csv(spark, p, schema, missing, multi_line) for p in paths]
+        return reduce(DataFrame.unionByName, parts)
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    raw = reader.option("enforceSchema", False).option("multiLine", multi_line).csv(paths)
     absent = [n for n in schema.names if n not in raw.columns]
     if absent:
         raise ValueError(f"columns not in the file: {absent}")
