@@ -61,7 +61,8 @@ def remove_later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = _lines(docs, id_col, text_col)
     places = later_windows(docs, id_col, text_col)
     same = [rows[c].eqNullSafe(places[c]) for c in ("no_id", "id", "text_hash")]
-    joined = rows.join(places, same[0] & same[1] & same[2], "left").select(rows["id"], rows["lines"], places["places"])
+    # Shuffled at every size: the texts meet the places by a merge, however few places there are.
+    joined = rows.join(places.hint("merge"), same[0] & same[1] & same[2], "left").select(rows["id"], rows["lines"], places["places"])
     places = F.col("places")
     # Windows that touch or overlap make one covered stretch, from a head to the end of a tail.
     heads = F.filter(places, lambda x, i: (i == 0) | (x > F.get(places, i - 1) + LINES))
