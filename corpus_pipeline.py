@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silo_analytics.llm import queries, simhash, toxicity, winnow
-from silo_analytics.llm.common import table
+from silo_analytics.llm.common import select_rows, table
 from silo_analytics.scratch import materialize
 
 # The share of all words that the mix keeps.  Copies are gone by then, so no document is repeated.
@@ -33,17 +33,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with a passage of a benchmark item go."""
     items = table(spark, sf_dir, "benchmark")
     found = winnow.contamination(docs, items, window=10)
-    hit = found.where(F.size("spans") > 0).select(F.col("id").alias("hit_id")).distinct()
-    hit = materialize(hit, "contaminated")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return select_rows(docs, found.where(F.size("spans") > 0), "left_anti", with_text=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen so that the words of domains, languages and sources follow the weights."""
     taken = queries.mixed(docs, MIX_SHARE, MIX_EPOCHS).where("epochs > 0")
-    taken = materialize(taken.select(F.col("id").alias("taken_id"), F.col("text_hash").alias("taken_hash")).distinct(), "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & F.xxhash64("text").eqNullSafe(F.col("taken_hash"))
-    return docs.join(taken, same, "left_semi")
+    return select_rows(docs, taken, "left_semi")
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, components, starts, texts_of
+from .common import col, components, select_rows, starts, texts_of
 
 CHUNK = 1024
 PIVOTS = 16
@@ -224,12 +224,7 @@ def keep_one_per_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4) ->
     groups = materialize(simhash_groups(docs, "doc_id", "text", shingle, max_bits), "groups")
     rank = F.struct(F.col("id").isNull().alias("missing"), "id", "text_hash")
     keep = groups.groupBy("root").agg(F.min(rank).alias("r")).select("r.id", "r.text_hash")
-    keep = materialize(keep, "survivors").alias("k")
-    kept = docs.alias("d").join(
-        keep,
-        F.col("d.doc_id").eqNullSafe(F.col("k.id")) & F.xxhash64(F.col("d.text")).eqNullSafe(F.col("k.text_hash")),
-        "left_semi",
-    )
+    kept = select_rows(docs, keep, "left_semi")
     if groups.count() > groups.select("id", "text_hash").distinct().count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, fold_of, labelled_rows, texts_of
+from .common import col, fold_of, labelled_rows, select_rows, texts_of
 
 SAMPLE = 16_000
 LEXICON = 4_000
@@ -212,6 +212,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     Rows are rejected by doc_id: a toxic text takes other rows with its doc_id along.
     """
     scores = toxicity_scores(docs, labels, threshold=threshold)
-    toxic = scores.where("predicted = 1").select(F.col("id").alias("rejected_id")).distinct()
-    toxic = materialize(toxic, "rejected")
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("rejected_id")), "left_anti")
+    return select_rows(docs, scores.where("predicted = 1"), "left_anti", with_text=False)
