@@ -1,17 +1,17 @@
 """Perceptron with two hidden layers: pooled, and one per silo averaged over rounds.
 
-Uses Spark's own trainer (sigmoid layers, softmax output, L-BFGS).  It plays the
-role of a ReLU network trained with Adam but is not the same model.  A silo's rows
-stay distributed; the silos are fitted by a bounded number of driver threads, so
-this is for few large silos.  A model is its flat weight vector: per layer the
-(out x in) matrix by columns, then the biases.
+Sigmoid layers, softmax output, full-batch L-BFGS.  It plays the role of a ReLU network
+trained with Adam but is not the same model.  Silos whose values fit in a task are trained
+inside tasks, all of them in one job per round, however many there are; a larger silo stays
+distributed and is fitted by Spark's own trainer, one after the other (their number is at most
+the number of all values over ``LOCAL_VALUES``).  A model is its flat weight vector: per layer
+the (out x in) matrix by columns, then the biases.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,17 +19,21 @@ from pyspark import cloudpickle
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..scratch import join_lookup, local_table, materialize
+from .averaging import average_vectors
+from .metrics import ranking_metrics
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HIDDEN = (64, 32)
 POOLED_EPOCHS = 500
 ROUND_EPOCHS = 100
-PARALLEL_FITS = 4
-# One driver-side fit per silo: more silos than this need the grouped linear model.
-MAX_SILOS = 200
+# Values (rows x features) of a silo that one task may hold.
+LOCAL_VALUES = 4_000_000
+FITS = "silo string, n long, n_pos long, params array<double>, auroc double, ap double"
 
 
 def weight_count(size: int) -> int:
@@ -50,6 +54,161 @@ def _fit(train: DataFrame, size: int, epochs: int, seed: int, start: Sequence[fl
     return trainer.fit(train).weights.toArray()
 
 
+def initial_weights(size: int, seed: int) -> np.ndarray:
+    """Seeded start weights, the same for every silo."""
+    draw, parts = np.random.default_rng(seed), []
+    layers = (size, *HIDDEN, 2)
+    for a, b in zip(layers, layers[1:]):
+        spread = np.sqrt(6.0 / (a + b))
+        parts += [draw.uniform(-spread, spread, a * b), np.zeros(b)]
+    return np.concatenate(parts)
+
+
+def _unpacked(flat: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    layers, at = [], 0
+    shape = (size, *HIDDEN, 2)
+    for a, b in zip(shape, shape[1:]):
+        layers.append((flat[at : at + a * b].reshape((b, a), order="F"), flat[at + a * b : at + (a + 1) * b]))
+        at += (a + 1) * b
+    return layers
+
+
+def _forward(flat: np.ndarray, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Outputs of every layer but the last, and the probability of class 1."""
+    seen = [x]
+    layers = _unpacked(flat, x.shape[1])
+    for matrix, bias in layers[:-1]:
+        seen.append(1.0 / (1.0 + np.exp(-np.clip(seen[-1] @ matrix.T + bias, -500, 500))))
+    z = seen[-1] @ layers[-1][0].T + layers[-1][1]
+    return seen, 1.0 / (1.0 + np.exp(np.clip(z[:, 0] - z[:, 1], -500, 500)))
+
+
+def loss_and_slope(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean cross-entropy and its gradient."""
+    seen, p = _forward(flat, x)
+    tiny = 1e-12
+    loss = -np.mean(np.where(y == 1, np.log(p + tiny), np.log(1 - p + tiny)))
+    error = np.column_stack([y - p, p - y]) / len(y)
+    slopes = []
+    for (matrix, _), out in zip(reversed(_unpacked(flat, x.shape[1])), reversed(seen)):
+        slopes.append(np.concatenate([(error.T @ out).ravel(order="F"), error.sum(axis=0)]))
+        error = (error @ matrix) * out * (1 - out)
+    return float(loss), np.concatenate(slopes[::-1])
+
+
+def minimize(start: np.ndarray, fn: Callable, epochs: int, tol: float = 1e-4, memory: int = 10) -> np.ndarray:
+    """L-BFGS with halving steps; stops when the loss changes by less than ``tol`` of itself."""
+    w = np.array(start, float)
+    loss, slope = fn(w)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(epochs):
+        d, weights = -slope, []
+        for s, t in reversed(pairs):
+            weights.append(s @ d / (s @ t))
+            d = d - weights[-1] * t
+        if pairs:
+            s, t = pairs[-1]
+            d = d * (s @ t) / (t @ t)
+        for (s, t), a in zip(pairs, reversed(weights)):
+            d = d + (a - t @ d / (s @ t)) * s
+        step, down = 1.0, slope @ d
+        if down >= 0:
+            d, down, pairs = -slope, -(slope @ slope), []
+        while step > 1e-10:
+            next_loss, next_slope = fn(w + step * d)
+            if next_loss <= loss + 1e-4 * step * down:
+                break
+            step /= 2
+        else:
+            break
+        s, t = step * d, next_slope - slope
+        if s @ t > 1e-12:
+            pairs = [*pairs, (s, t)][-memory:]
+        done = abs(loss - next_loss) <= tol * max(abs(next_loss), 1e-12) * 1e-2
+        w, loss, slope = w + s, next_loss, next_slope
+        if done:
+            break
+    return w
+
+
+def _ranked(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
+    """AUROC and average precision of one silo."""
+    pos, neg = int(y.sum()), int(len(y) - y.sum())
+    if not pos or not neg:
+        return 0.0, 0.0
+    values, place = np.unique(-p, return_inverse=True)
+    tp, fp = (np.bincount(place, weights=y == c, minlength=len(values)) for c in (1, 0))
+    above, false = np.cumsum(tp), np.cumsum(fp)
+    auroc = float(np.sum(tp * (neg - false + fp / 2)) / (pos * neg))
+    return auroc, float(np.sum(tp * above / (above + false)) / pos)
+
+
+def _train(epochs: int, seed: int, start: np.ndarray | None, min_rows: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y = rows["y"].to_numpy()
+        n, pos = len(y), int(y.sum())
+        found, auroc, ap = None, 0.0, 0.0
+        if n >= min_rows and 0 < pos < n:
+            # the rows arrive in any order; the sums must not depend on it
+            x = np.stack(rows["x"].to_numpy())
+            order = np.lexsort(np.column_stack([x, y]).T)
+            x, y = x[order], y[order]
+            begin = initial_weights(x.shape[1], seed) if start is None else start
+            w = minimize(begin, lambda v: loss_and_slope(v, x, y), epochs)
+            auroc, ap = _ranked(y, _forward(w, x)[1])
+            found = w.tolist()
+        row = (rows["silo"].iloc[0], n, pos, found, auroc, ap)
+        return pd.DataFrame([row], columns=["silo", "n", "n_pos", "params", "auroc", "ap"])
+
+    return run
+
+
+def fit_silos(
+    df: DataFrame,
+    silo: str,
+    label: str,
+    features: str,
+    size: int,
+    epochs: int = ROUND_EPOCHS,
+    seed: int = 0,
+    start: Sequence[float] | None = None,
+    min_rows: int = 5,
+    local_values: int = LOCAL_VALUES,
+) -> DataFrame:
+    """One network per silo, continued from ``start``: silo, n, n_pos, params, auroc, ap.
+
+    The scores are of the silo's own rows.  A silo with fewer than ``min_rows`` rows or one
+    class has null parameters and zero scores.  Rows with a null silo train nothing.
+    """
+    if start is not None and len(start) != weight_count(size):
+        raise ValueError(f"start has {len(start)} weights, not {weight_count(size)}")
+    begin = None if start is None else np.asarray(start, float)
+    rows = df.filter(F.col(silo).isNotNull()).select(
+        F.col(silo).cast("string").alias("silo"), F.col(label).cast("long").alias("y"), F.col(features).alias("x")
+    )
+    most = max(1, local_values // size)
+    sizes = rows.groupBy("silo").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
+    large = sizes.filter(F.col("n") > most).collect()  # at most all values / local_values rows
+    small = rows
+    if large:
+        names = local_table(df.sparkSession, [(r.silo, True) for r in large], "silo string, _large boolean")
+        small = join_lookup(rows, names, ["silo"]).filter("_large IS NULL").drop("_large")
+    fits = materialize(small.groupBy("silo").applyInPandas(_train(epochs, seed, begin, min_rows), FITS), "networks")
+    for r in large:
+        fits = fits.unionByName(_fit_large(rows.filter(F.col("silo") == r.silo), r, size, epochs, seed, begin))
+    return fits
+
+
+def _fit_large(rows: DataFrame, sizes: Row, size: int, epochs: int, seed: int, start: np.ndarray | None) -> DataFrame:
+    spark, found, auroc, ap = rows.sparkSession, None, 0.0, 0.0
+    if 0 < sizes.n_pos < sizes.n:
+        begin = initial_weights(size, seed) if start is None else start
+        w = _fit(_vectors(rows, "x", "y"), size, epochs, seed, begin)
+        scores = ranking_metrics(score_mlp(rows, w, size, "x"), ["silo"], "y").first()
+        found, auroc, ap = w.tolist(), scores.auroc, scores.ap
+    return local_table(spark, [(sizes.silo, sizes.n, sizes.n_pos, found, auroc, ap)], FITS)
+
+
 def fit_mlp(
     df: DataFrame,
     label: str,
@@ -58,27 +217,24 @@ def fit_mlp(
     epochs: int = POOLED_EPOCHS,
     seed: int = 0,
     start: Sequence[float] | None = None,
+    local_values: int = LOCAL_VALUES,
 ) -> np.ndarray:
     """Weights of a network trained on all rows."""
-    return _fit(_vectors(df, features, label), size, epochs, seed, start)
+    one = df.select(F.lit("all").alias("silo"), label, features)
+    fit = fit_silos(one, "silo", label, features, size, epochs, seed, start, local_values=local_values).first()
+    if fit is None or fit.params is None:
+        raise ValueError("both classes are needed")
+    return np.array(fit.params)
 
 
 def score_mlp(df: DataFrame, weights: Sequence[float], size: int, features: str = "features") -> DataFrame:
     """Add the probability of class 1 as ``score``."""
-    flat, layers, at = np.asarray(weights, dtype=float), [], 0
-    shape = (size, *HIDDEN, 2)
-    for a, b in zip(shape, shape[1:]):
-        matrix = flat[at : at + a * b].reshape((b, a), order="F")
-        layers.append((matrix, flat[at + a * b : at + (a + 1) * b]))
-        at += (a + 1) * b
+    flat = np.asarray(weights, dtype=float)
 
     @F.pandas_udf("double")
     def positive(x: pd.Series) -> pd.Series:
-        h = np.stack(x.to_numpy()) if len(x) else np.zeros((0, size))
-        for matrix, bias in layers[:-1]:
-            h = 1.0 / (1.0 + np.exp(-(h @ matrix.T + bias)))
-        z = h @ layers[-1][0].T + layers[-1][1]
-        return pd.Series(1.0 / (1.0 + np.exp(z[:, 0] - z[:, 1])))
+        rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, size))
+        return pd.Series(_forward(flat, rows)[1])
 
     return df.withColumn("score", positive(F.col(features)))
 
@@ -94,36 +250,7 @@ def average_weights(weights: Sequence[np.ndarray], rows: Sequence[int]) -> np.nd
     return np.average(np.asarray(weights), axis=0, weights=np.asarray(rows, dtype=float))
 
 
-def usable_silos(df: DataFrame, silo: str, label: str, min_rows: int = 5) -> list[tuple[object, int]]:
-    """(silo, rows) of the silos that can be trained; more than ``MAX_SILOS`` are refused."""
-    stats = df.groupBy(silo).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    sizes = stats.limit(MAX_SILOS + 1).collect()
-    if len(sizes) > MAX_SILOS:
-        raise ValueError(f"more than {MAX_SILOS} silos; use the grouped logistic fit")
-    return sorted(((r[silo], r.n) for r in sizes if r.n >= min_rows and 0 < r.p < r.n), key=lambda u: str(u[0]))
-
-
-def fit_silos(
-    df: DataFrame,
-    silo: str,
-    silos: Sequence[object],
-    label: str,
-    features: str,
-    size: int,
-    epochs: int = ROUND_EPOCHS,
-    seed: int = 0,
-    start: Sequence[float] | None = None,
-) -> list[np.ndarray]:
-    """Weights of one network per silo, each continued from ``start``."""
-
-    def one(value: object) -> np.ndarray:
-        return _fit(_vectors(df.filter(F.col(silo) == value), features, label), size, epochs, seed, start)
-
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(one, silos))
-
-
-def federated_mlp(
+def federated_rounds(
     df: DataFrame,
     silo: str,
     label: str,
@@ -133,21 +260,24 @@ def federated_mlp(
     epochs: int = ROUND_EPOCHS,
     seed: int = 0,
     start: Sequence[float] | None = None,
-) -> list[np.ndarray]:
-    """Averaged weights after every round; each silo continues from the last average.
+) -> tuple[list[np.ndarray], list[DataFrame]]:
+    """Averaged weights after every round, and the silos' networks of every round.
 
-    No usable silo leaves the start weights as they are.
+    Each silo continues from the last average.  No usable silo leaves the start weights as
+    they are (none at all without a start).
     """
-    usable = usable_silos(df, silo, label)
-    if not usable:
-        return [] if start is None else [np.asarray(start)] * rounds
-    train = df.select(silo, features, label).persist()
-    try:
-        current, averaged = start, []
-        for _ in range(rounds):
-            fits = fit_silos(train, silo, [s for s, _ in usable], label, features, size, epochs, seed, current)
-            current = average_weights(fits, [n for _, n in usable])
-            averaged.append(current)
-        return averaged
-    finally:
-        train.unpersist()
+    current, averaged, fits = start, [], []
+    for _ in range(rounds):
+        fit = fit_silos(df, silo, label, features, size, epochs, seed, current)
+        row = average_vectors(fit.filter("params IS NOT NULL"), "params", "n").first()
+        if row is None or row.params is None:
+            return ([] if start is None else [np.asarray(start)] * rounds), [fit] * rounds
+        current = np.array(row.params)
+        averaged.append(current)
+        fits.append(fit)
+    return averaged, fits
+
+
+def federated_mlp(df: DataFrame, silo: str, label: str, features: str, size: int, **options) -> list[np.ndarray]:
+    """Averaged weights after every round of ``federated_rounds``."""
+    return federated_rounds(df, silo, label, features, size, **options)[0]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from ..operators.averaging import average_importances, average_vectors
 from ..operators.bootstrap import bootstrap_auroc
 from ..operators.logistic import fit_grouped, fold_models, score_by_key, score_models
 from ..operators.metrics import ranking_metrics, threshold_metrics
-from ..operators.neural import ROUND_EPOCHS, POOLED_EPOCHS, federated_mlp, fit_mlp, fit_silos, score_mlp, usable_silos
+from ..operators.neural import POOLED_EPOCHS, ROUND_EPOCHS, federated_rounds, fit_mlp, fit_silos, score_mlp
 from ..operators.relational import group_label_counts, size_gate
 from ..operators.sampling import skew_partition, stratified_folds
 from ..scratch import join_lookup, local_table, materialize
@@ -249,9 +250,11 @@ def run_linear(prepared: Prepared, strategies: Sequence[int]) -> StrategyResults
 
     metrics = _evaluate_rounds(prepared, globals_)
     metrics = metrics.unionByName(_silo_metrics(usable, local, cfg, strategies))
+    metrics = metrics.unionByName(_skipped_silos(fitted, cfg, strategies))
     metrics = metrics.unionByName(_label_profile(prepared, strategies, usable))
     if gate is not None:
         metrics = metrics.unionByName(_gate_counts(gate))
+        metrics = metrics.unionByName(_nobody_passed(prepared, (3, 1) in globals_))
     params = local_table(spark, 
         [(STRATEGIES[s], r, list(map(float, w))) for (s, r), w in sorted(globals_.items())], PARAMS
     )
@@ -347,6 +350,21 @@ def _silo_metrics(usable: DataFrame, local: DataFrame, cfg: RunConfig, strategie
     return out.select("strategy", "round", "silo", "metric", F.round("value", 4).alias("value"), "n")
 
 
+def _skipped_silos(fitted: DataFrame, cfg: RunConfig, strategies: Sequence[int]) -> DataFrame:
+    """Zero scores of the silos that are too small or have one class, for every round."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(STRATEGIES[s]).alias("strategy"))
+                      for s, k in ((2, "region"), (4, "region"), (5, "skew")) if s in strategies]
+                    or [F.struct(F.lit("").alias("kind"), F.lit("").alias("strategy"))])
+    rows = fitted.filter("skipped").withColumn("k", F.explode(kinds))
+    rows = rows.filter(F.col("model").startswith(F.concat("k.kind", F.lit(":"))) & (F.col("k.kind") != ""))
+    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(cfg.fl_rounds))))
+    metric = F.explode(F.array(F.lit("local_auroc"), F.lit("local_ap"))).alias("metric")
+    return rows.select(
+        "k.strategy", "round", F.regexp_replace("model", "^[a-z]+:", "").alias("silo"), metric,
+        F.lit(0.0).alias("value"), "n",
+    )
+
+
 def _label_profile(prepared: Prepared, strategies: Sequence[int], usable: DataFrame) -> DataFrame:
     """Rows, positives and rate of the training table, repeated for every strategy."""
     label = F.col(prepared.spec.label).cast("double")
@@ -389,7 +407,7 @@ def _importances(usable: DataFrame, strategies: Sequence[int], size: int) -> dic
 def run_mlp(
     prepared: Prepared, strategies: Sequence[int], pooled_epochs: int = POOLED_EPOCHS, epochs: int = ROUND_EPOCHS
 ) -> StrategyResults:
-    """The pooled and the region strategies with the perceptron.
+    """The strategies with the perceptron: the same metric rows as ``run_linear``.
 
     Pulling toward the global model changes linear coefficients only, so strategy 4
     equals strategy 2 here.
@@ -398,61 +416,131 @@ def run_mlp(
     spark: SparkSession = prepared.train.sparkSession
     rows = prepared.train.withColumn("_region", relabel_null(F.col(spec.region).cast("string")))
     found: dict[tuple[int, int], np.ndarray] = {}
-    start = None
+    local: list[DataFrame] = []
+    gate = start = None
     if 1 in strategies:
         start = fit_mlp(rows, spec.label, "features", size, pooled_epochs, cfg.random_state)
         found[1, 1] = start
+        local.append(_mlp_folds(rows, prepared, pooled_epochs))
     silos = {2: ("_region", rows), 4: ("_region", rows)}
     if 3 in strategies:
         large = gate_candidates(rows, spec, cfg).filter("candidate").select(spec.hospital)
-        silos[3] = (spec.hospital, join_lookup(rows, large, [spec.hospital], "left_semi"))
+        hospitals = join_lookup(rows.filter(F.col(spec.hospital).isNotNull()), large, [spec.hospital], "left_semi")
+        first = fit_silos(hospitals, spec.hospital, spec.label, "features", size, epochs, cfg.random_state, start)
+        model = F.concat(F.lit("hospital:"), "silo").alias("model")
+        gate = gate_report(
+            prepared, first.select(model, F.col("params").isNull().alias("skipped")),
+            first.select(model, F.round("auroc", 4).alias("local_auroc")),
+        )
+        gate = materialize(gate, "gate")
+        passed = gate.filter("status = 'in'").select(F.col("silo").alias("_hospital"))
+        hospitals = hospitals.withColumn("_hospital", F.col(spec.hospital).cast("string"))
+        silos[3] = ("_hospital", join_lookup(hospitals, passed, ["_hospital"], "left_semi"))
     if 5 in strategies:
         skewed = skew_partition(
             rows, spec.label, spec.key, cfg.noniid_n_clients, cfg.dirichlet_alpha, cfg.random_state, "_skew"
         )
         silos[5] = ("_skew", materialize(skewed, "skewed"))
+    done: dict[str, tuple[list[np.ndarray], list[DataFrame]]] = {}
     for s in strategies:
-        if s == 4 and (2, 1) in found:
-            found |= {(4, r): found[2, r] for r in range(1, cfg.fl_rounds + 1)}
-        elif s in silos:
-            column, table = silos[s]
-            if s == 3:
-                table = _mlp_gate(table, column, prepared, start, epochs)
-            rounds = federated_mlp(
+        if s not in silos:
+            continue
+        column, table = silos[s]
+        if column not in done:
+            done[column] = federated_rounds(
                 table, column, spec.label, "features", size, cfg.fl_rounds, epochs, cfg.random_state, start
             )
-            found |= {(s, r): w for r, w in enumerate(rounds, 1)}
+        averaged, fits = done[column]
+        if s == 3 and gate.filter("status = 'in'").isEmpty():
+            continue
+        found |= {(s, r): w for r, w in enumerate(averaged, 1)}
+        for r, fit in enumerate(fits, 1):
+            local.append(_mlp_silos(fit, s, r))
+
+    metrics = _mlp_global(prepared, found)
+    for part in local:
+        metrics = metrics.unionByName(part)
+    everything = spark.range(1).select(F.lit("").alias("model"))
+    metrics = metrics.unionByName(_label_profile(prepared, strategies, everything))
+    if gate is not None:
+        metrics = metrics.unionByName(_gate_counts(gate))
+        metrics = metrics.unionByName(_nobody_passed(prepared, (3, 1) in found))
+    params = local_table(spark, [(STRATEGIES[s], r, w.tolist()) for (s, r), w in sorted(found.items())], PARAMS)
+    return StrategyResults(materialize(metrics, "metrics"), params, gate)
 
+
+def _mlp_global(prepared: Prepared, found: dict[tuple[int, int], np.ndarray]) -> DataFrame:
+    """Held-out metrics of every (strategy, round); equal networks are scored once."""
+    spec, cfg, size = prepared.spec, prepared.cfg, prepared.size
+    spark = prepared.train.sparkSession
     if not found:
-        return StrategyResults(local_table(spark, [], METRICS), local_table(spark, [], PARAMS))
+        return local_table(spark, [], METRICS)
     test = prepared.test.select(spec.key, spec.label, "features")
-    parts, names = [], {}
-    for (s, r), w in found.items():
-        name = names.setdefault(w.tobytes(), f"m{len(names)}")
-        if len(parts) < len(names):
-            parts.append(score_mlp(test, w, size).withColumn("model", F.lit(name)).drop("features"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    values = global_metrics(materialize(scored, "scored"), spec, cfg)
-    where = [(STRATEGIES[s], r, names[w.tobytes()]) for (s, r), w in found.items()]
+    distinct: dict[bytes, str] = {}
+    for w in found.values():
+        distinct.setdefault(w.tobytes(), f"m{len(distinct)}")
+    parts = [
+        score_mlp(test, np.frombuffer(w), size).select(spec.key, spec.label, "score", F.lit(name).alias("model"))
+        for w, name in distinct.items()
+    ]
+    values = global_metrics(materialize(reduce(DataFrame.unionByName, parts), "scored"), spec, cfg)
+    where = [(STRATEGIES[s], r, distinct[w.tobytes()]) for (s, r), w in found.items()]
     table = F.broadcast(local_table(spark, where, "strategy string, round int, model string"))
     long = values.join(table, "model").unpivot(["strategy", "round", "n"], list(GLOBAL_METRICS), "metric", "value")
-    metrics = long.select("strategy", "round", F.lit(None).cast("string").alias("silo"), "metric", "value", "n")
-    params = local_table(spark, [(STRATEGIES[s], r, w.tolist()) for (s, r), w in found.items()], PARAMS)
-    return StrategyResults(materialize(metrics, "metrics"), params)
+    return long.select("strategy", "round", F.lit(None).cast("string").alias("silo"), "metric", "value", "n")
 
 
-def _mlp_gate(rows: DataFrame, hospital: str, prepared: Prepared, start, epochs: int) -> DataFrame:
-    """Keep the hospitals whose network, after one round, ranks its own rows well enough."""
+def _mlp_silos(fit: DataFrame, strategy: int, number: int) -> DataFrame:
+    """In-sample scores of every silo of one round, skipped ones with zeros, and their weighted mean."""
+    mine = fit.select(
+        F.lit(STRATEGIES[strategy]).alias("strategy"), F.lit(number).alias("round"), "silo", "n",
+        F.round("auroc", 4).alias("local_auroc"), F.round("ap", 4).alias("local_ap"), F.col("params").isNotNull().alias("used"),
+    )
+    total = mine.filter("used").groupBy("strategy", "round").agg(
+        (F.sum(F.col("local_auroc") * F.col("n")) / F.sum("n")).alias("local_weighted_auroc"),
+        F.count(F.lit(1)).cast("double").alias("participants"), F.sum("n").alias("n"),
+    ).withColumn("silo", F.lit(None).cast("string"))
+    keys = ["strategy", "round", "silo", "n"]
+    both = mine.drop("used").unpivot(keys, ["local_auroc", "local_ap"], "metric", "value").unionByName(
+        total.unpivot(keys, ["local_weighted_auroc", "participants"], "metric", "value")
+    )
+    return both.select("strategy", "round", "silo", "metric", F.round("value", 4).alias("value"), "n")
+
+
+def _mlp_folds(rows: DataFrame, prepared: Prepared, epochs: int) -> DataFrame:
+    """Cross-validation of the pooled network: every fold scored by the network of the others."""
     spec, cfg, size = prepared.spec, prepared.cfg, prepared.size
-    values = [s for s, _ in usable_silos(rows, hospital, spec.label)]
-    fits = fit_silos(rows, hospital, values, spec.label, "features", size, epochs, cfg.random_state, start)
-    parts = [score_mlp(rows.filter(F.col(hospital) == v), w, size) for v, w in zip(values, fits)]
+    folded = stratified_folds(rows, spec.label, spec.key, cfg.cv_folds, cfg.random_state, "_fold")
+    folded = materialize(folded.select(spec.label, "features", "_fold"), "folds")
+    spread = folded.withColumn("_model", F.explode(fold_models("_fold", cfg.cv_folds)))
+    fits = fit_silos(spread, "_model", spec.label, "features", size, epochs, cfg.random_state)
+    parts = [
+        score_mlp(folded.filter(F.concat(F.lit("fold:"), F.col("_fold")) == r.silo), r.params, size).withColumn("silo", F.lit(r.silo))
+        for r in fits.filter("params IS NOT NULL").collect()  # one row per fold
+    ]
+    keys = ["strategy", "round", "silo", "n"]
     if not parts:
-        return rows.limit(0)
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    passed = ranking_metrics(scored, [hospital], spec.label).filter(F.round("auroc", 4) >= cfg.auroc_gate)
-    return join_lookup(rows, passed.select(hospital), [hospital], "left_semi")
+        return local_table(rows.sparkSession, [], METRICS)
+    scored = ranking_metrics(reduce(DataFrame.unionByName, parts), ["silo"], spec.label).select(
+        F.lit(STRATEGIES[1]).alias("strategy"), F.lit(1).alias("round"), "silo", "n",
+        F.round("auroc", 4).alias("local_auroc"), F.round("ap", 4).alias("local_ap"),
+    )
+    cv = scored.groupBy("strategy", "round").agg(
+        F.avg("local_auroc").alias("cv_auroc"), F.stddev_pop("local_auroc").alias("cv_std"), F.sum("n").alias("n")
+    ).withColumn("silo", F.lit(None).cast("string"))
+    both = scored.unpivot(keys, ["local_auroc", "local_ap"], "metric", "value").unionByName(
+        cv.unpivot(keys, ["cv_auroc", "cv_std"], "metric", "value")
+    )
+    return both.select("strategy", "round", "silo", "metric", F.round("value", 4).alias("value"), "n")
+
+
+def _nobody_passed(prepared: Prepared, passed: bool) -> DataFrame:
+    """Zeros for the gated strategy when no hospital took part."""
+    if passed:
+        return local_table(prepared.train.sparkSession, [], METRICS)
+    zero = prepared.test.agg(F.count(F.lit(1)).alias("n")).withColumns({m: F.lit(0.0) for m in (*GLOBAL_METRICS, "participants")})
+    long = zero.unpivot(["n"], [*GLOBAL_METRICS, "participants"], "metric", "value")
+    return long.select(
+        F.lit(STRATEGIES[3]).alias("strategy"), F.lit(1).alias("round"), F.lit(None).cast("string").alias("silo"),
+        "metric", "value", "n",
+    )

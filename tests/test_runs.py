@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from silo_analytics import DatasetSpec, RunConfig
 from silo_analytics.operators import clustering, neural
+from silo_analytics.operators.metrics import ranking_metrics
 from silo_analytics.plans import orchestrate
 from silo_analytics.plans.regional import compare_regions
-from silo_analytics.plans.strategies import run_linear
+from silo_analytics.plans.strategies import run_linear, run_mlp
 
 SPEC = DatasetSpec(name="toy", features=("x", "y", "z"), label="label", key="id", augment=True)
 
@@ -160,18 +161,69 @@ def test_clusters(spark):
 
 def test_perceptron(result):
     p = result.prepared
-    w = neural.fit_mlp(p.train, "label", "features", 3, epochs=12)
+    w = neural.fit_mlp(p.train, "label", "features", 3, epochs=60)
     assert len(w) == neural.weight_count(3)
     scores = neural.score_mlp(p.test, w, 3).select("label", "score").toPandas()
-    assert scores.score.between(0, 1).all() and scores[scores.label == 1].score.mean() > scores[scores.label == 0].score.mean()
-    rounds = neural.federated_mlp(
-        p.train.filter("region IS NOT NULL"), "region", "label", "features", 3, rounds=1, epochs=3, start=w
-    )
-    assert len(rounds) == 1 and rounds[0].shape == w.shape and not np.allclose(rounds[0], w)
+    assert scores.score.between(0, 1).all() and scores[scores.label == 1].score.mean() > scores[scores.label == 0].score.mean() + 0.1
+    rows = p.train.filter("region IS NOT NULL")
+    rounds, fits = neural.federated_rounds(rows, "region", "label", "features", 3, rounds=2, epochs=3, start=w)
+    assert len(rounds) == 2 and rounds[0].shape == w.shape and not np.allclose(rounds[0], w)
+    first = fits[0].collect()
+    assert {r.silo for r in first} == {"North", "South", "East"}
+    assert np.allclose(rounds[0], neural.average_weights([np.array(r.params) for r in first], [r.n for r in first]))
+    own = neural.score_mlp(rows.filter("region = 'North'"), [r for r in first if r.silo == "North"][0].params, 3)
+    exact = ranking_metrics(own.withColumn("g", F.lit(1)), ["g"]).first()
+    north = [r for r in first if r.silo == "North"][0]
+    assert (north.auroc, north.ap) == (pytest.approx(exact.auroc), pytest.approx(exact.ap))
     with pytest.raises(ValueError):
         neural.average_weights([], [])
 
 
+def test_slope_of_the_loss():
+    draw = np.random.default_rng(1)
+    x, y, w = draw.normal(size=(40, 3)), draw.integers(0, 2, 40), neural.initial_weights(3, 0)
+    slope = neural.loss_and_slope(w, x, y)[1]
+    for k in draw.integers(0, len(w), 20):
+        step = np.zeros(len(w))
+        step[k] = 1e-6
+        numeric = (neural.loss_and_slope(w + step, x, y)[0] - neural.loss_and_slope(w - step, x, y)[0]) / 2e-6
+        assert slope[k] == pytest.approx(numeric, abs=1e-6)
+
+
+def test_perceptrons_of_many_silos_and_of_large_ones(spark, result):
+    rows = spark.range(3000).select(
+        (F.col("id") % 300).alias("silo"), (F.col("id") % 7 < 3).cast("int").alias("label"),
+        F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("features"),
+    ).unionByName(spark.createDataFrame([(999, 1, [1.0, 1.0]), (None, 0, [0.0, 0.0])], "silo long, label int, features array<double>"))
+    fits = {r.silo: r for r in neural.fit_silos(rows, "silo", "label", "features", 2, epochs=5).collect()}
+    assert len(fits) == 301 and fits["999"].params is None and fits["5"].n == 10
+    train = result.prepared.train.filter("region IS NOT NULL")
+    sizes = {r.region: r["count"] for r in train.groupBy("region").count().collect()}
+    bound = 3 * (max(sizes.values()) - 1)
+    mixed = {r.silo: r for r in neural.fit_silos(train, "region", "label", "features", 3, epochs=20, local_values=bound).collect()}
+    assert set(mixed) == set(sizes) and all(r.auroc > 0.6 for r in mixed.values())
+
+
+def test_perceptron_strategies_report_like_the_linear_ones(result):
+    p = result.prepared
+    cfg = config(algorithm="mlp", fl_rounds=1)
+    out = run_mlp(orchestrate.Prepared(p.train, p.test, SPEC, cfg), (1, 2, 3, 4, 5), 30, 10)
+    names = {(r.strategy, r.metric) for r in out.metrics.filter("silo IS NULL").collect()}
+    linear = {(r.strategy, r.metric) for r in result.results.metrics.filter("silo IS NULL").collect()}
+    assert names == linear
+    assert out.gate.count() == 12 and out.params.count() == 5
+    silos = out.metrics.filter("strategy = 'fedavg_region' AND metric = 'local_auroc'").collect()
+    assert {r.silo for r in silos} == {"North", "South", "East", "Unknown"}
+
+
+def test_perceptron_gate_that_nobody_passes(result):
+    p = result.prepared
+    strict = orchestrate.Prepared(p.train, p.test, SPEC, config(auroc_gate=1.01, algorithm="mlp", fl_rounds=1))
+    out = run_mlp(strict, (3,), 5, 2)
+    zero = out.metrics.filter("metric = 'global_auroc'").collect()
+    assert out.params.count() == 0 and [(r.strategy, r.value, r.n) for r in zero] == [("gated_hospital", 0.0, 160)]
+
+
 def test_spec_and_config():
     with pytest.raises(ValueError):
         DatasetSpec(name="e", features=())
