@@ -7,14 +7,14 @@ SQL.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .functions.hashing import hash_uniform
-from .functions.vectors import probability
+from .functions.vectors import constant, probability
 from .operators import (
     augment,
     averaging,
@@ -33,9 +33,9 @@ from .operators import (
 )
 from .plans import orders as O
 from .plans.cohort import build_icu_cohort
-from .plans.orchestrate import prepare, run
+from .plans.orchestrate import SUMMARY, prepare, run
 from .plans.regional import compare_regions
-from .plans.strategies import averaging_rounds, run_linear
+from .plans.strategies import averaging_rounds, run_linear, run_mlp
 from .schemas import schema
 from .scratch import materialize, scratch_path
 from .sources import datasets
@@ -603,6 +603,33 @@ def stratified_split(spark, folder):
     return sampling.stratified_split(base(spark, folder).select("id", "label"), "label", "id", 0.2, 0)
 
 
+_UNLABELLED = BASE.replace("base AS (", "whole AS (", 1) + """,
+marked AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN NULL ELSE label END AS label) FROM whole),
+base AS (SELECT * FROM marked WHERE label IS NOT NULL)"""
+
+
+def _unlabelled(df: DataFrame) -> DataFrame:
+    return df.withColumn("label", F.when(F.col("id") % 11 != 0, F.col("label")))
+
+
+@query("split_with_null_labels", f"""WITH {_UNLABELLED}, {_quota('', False)},
+ranked AS ({_ranked('label', 'split')} FROM base)
+SELECT r.id, r.label, r.rk <= q.q AS is_test FROM ranked r JOIN quotas q ON r.label = q.label
+UNION ALL SELECT id, label, NULL FROM marked WHERE label IS NULL""")
+def split_with_null_labels(spark, folder):
+    """Rows without a label are on neither side; the sides are those of the labelled rows."""
+    return sampling.stratified_split(_unlabelled(base(spark, folder)).select("id", "label"), "label", "id", 0.2, 0)
+
+
+@query("region_split_with_null_regions", f"""WITH {BASE}, {_quota('region', True)},
+ranked AS ({_ranked('region, label', 'split:region')} FROM base)
+SELECT r.id, r.region, r.label, r.rk <= q.q AS is_test FROM ranked r
+JOIN quotas q ON r.label = q.label AND r.region IS NOT DISTINCT FROM q.region""")
+def region_split_with_null_regions(spark, folder):
+    """Rows without a region are split like those of a region."""
+    return sampling.stratified_split(base(spark, folder).select("id", "region", "label"), "label", "id", 0.2, 0, by=["region"])
+
+
 @query("region_split", f"""WITH {BASE.replace(' AS region,', ' AS region0,')}, based AS (SELECT id, label, coalesce(region0, 'Unknown') AS region FROM base),
 {_quota('region', True).replace('FROM base', 'FROM based')},
 ranked AS ({_ranked('region, label', 'split:region')} FROM based)
@@ -687,6 +714,16 @@ def prep_stats(spark, folder):
     return rounded(fitted.table(spark), median=4, mean=4, std_pop=4)
 
 
+@query("prep_with_nan", f"""WITH {BASE}, holes AS (SELECT CASE WHEN id % 5 <> 0 THEN price END AS price FROM base)
+SELECT 'price' AS feature, round(m, 4) AS median, round(avg(coalesce(price, m)), 4) AS mean,
+  round(stddev_pop(coalesce(price, m)), 4) AS std_pop FROM holes, (SELECT median(price) AS m FROM holes) GROUP BY m""")
+def prep_with_nan(spark, folder):
+    """NaN is a missing value."""
+    price = F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("price"))
+    fitted = prep.fit_prep(base(spark, folder).select(price.alias("price")), ["price"])
+    return rounded(fitted.table(spark), median=4, mean=4, std_pop=4)
+
+
 @query("prep_transform", f"""WITH {_HOLES},
 m AS (SELECT median(price) AS p, median(bal) AS b, median(building) AS g FROM holes),
 filled AS (SELECT id, coalesce(price, p) AS price, coalesce(bal, b) AS bal, coalesce(building, g) AS building FROM holes, m),
@@ -792,6 +829,24 @@ def prf_accuracy(spark, folder):
     return rounded(metrics.threshold_metrics(rows, ["silo"]), precision=6, recall=6, f1=6, accuracy=6)
 
 
+_HOLED = SCORED.replace("scored AS (", "all_scored AS (", 1) + """,
+scored AS (SELECT * FROM all_scored WHERE id % 7 <> 0 AND id % 13 <> 0 AND id % 11 <> 0)"""
+
+
+@query("metrics_with_null_scores", f"""WITH {_HOLED}, c AS ({_PRF.format(g='silo')}), {_AUROC.format(g='silo')}
+SELECT c.g AS silo, c.n, tp, fp, fn, round((c.n - fp - fn) / c.n, 6) AS accuracy, round(auroc, 6) AS auroc
+FROM c JOIN ranking ON c.g = ranking.g""")
+def metrics_with_null_scores(spark, folder):
+    """Rows without a score, with NaN as score or without a label do not count."""
+    rows = scored(base(spark, folder)).filter(F.col("silo").isNotNull())
+    rows = _unlabelled(rows).withColumn(
+        "score", F.when(F.col("id") % 13 == 0, F.lit(float("nan"))).otherwise(F.when(F.col("id") % 7 != 0, F.col("score")))
+    )
+    hard = metrics.threshold_metrics(rows, ["silo"]).select("silo", "n", "tp", "fp", "fn", "accuracy")
+    ranks = metrics.ranking_metrics(rows, ["silo"]).select("silo", "auroc")
+    return rounded(hard.join(ranks, "silo"), accuracy=6, auroc=6)
+
+
 @query("metric_guards", f"""WITH {SCORED.replace('floor((price', 'floor((CASE WHEN silo % 5 = 0 THEN NULL ELSE 1 END * price')},
 used AS (SELECT * FROM scored WHERE score IS NOT NULL), {_AUROC.format(g='silo').replace('FROM scored', 'FROM used')}
 SELECT s.silo, coalesce(n, 0) AS n, coalesce(n_pos, 0) AS n_pos, round(coalesce(auroc, 0), 6) AS auroc, round(coalesce(ap, 0), 6) AS ap
@@ -818,10 +873,10 @@ SELECT status, round(avg(auroc), 6) AS auroc_boot, round(quantile_cont(auroc, 0.
   round(quantile_cont(auroc, 0.975), 6) AS auroc_ci_hi FROM reps GROUP BY status"""
 
 
-@query("bootstrap_auroc", _boot_sql(40, 7))
+@query("bootstrap_auroc", _boot_sql(200, 7))
 def bootstrap_auroc(spark, folder):
     rows = scored(base(spark, folder)).filter(F.col("status").isNotNull())
-    out = bootstrap.bootstrap_auroc(rows, ["status"], "id", replicates=40, seed=7)
+    out = bootstrap.bootstrap_auroc(rows, ["status"], "id", replicates=200, seed=7)
     return rounded(out, auroc_boot=6, auroc_ci_lo=6, auroc_ci_hi=6)
 
 
@@ -1049,7 +1104,7 @@ def convergence_series(spark, folder):
 
 
 # ------------------------------------------------------------------ trained models
-CONFIG = RunConfig(strategies=(1, 2, 3, 4, 5), n_bootstrap=50, augment_target_per_hosp=30)
+CONFIG = RunConfig(strategies=(1, 2, 3, 4, 5))
 
 
 def _prepared(spark, folder, **changes):
@@ -1078,26 +1133,102 @@ def _base_features(spark, folder) -> DataFrame:
     return materialize(fitted.transform(rows).select("id", "silo", "label", "features"), "base-features")
 
 
-@query("grouped_lr_at_optimum", f"""WITH {BASE}
-SELECT silo, count(*) AS n, sum(label)::BIGINT AS n_pos, TRUE AS flat FROM base WHERE silo IS NOT NULL GROUP BY silo""")
-def grouped_lr_at_optimum(spark, folder):
-    """Fit one model per silo and test that the gradient of its objective vanishes.
+def flat_models(rows: DataFrame, params: DataFrame, size: int, mu: float = 0.0, anchor: Sequence[float] | None = None) -> DataFrame:
+    """(model, n, n_pos, flat): whether the gradient of each model's objective vanishes.
 
-    The objective is strictly convex up to the intercept, so a vanishing gradient
-    identifies the one solution.
+    ``rows`` has models, label and features.  The objective is strictly convex up to the
+    intercept, so a vanishing gradient identifies the one solution.
     """
-    rows = _base_features(spark, folder)
-    params = logistic.fit_grouped(rows, F.array(F.col("silo").cast("string")))
-    params = params.select(F.col("model").cast("int").alias("silo"), "n", "n_pos", "params")
-    joined = rows.join(F.broadcast(params), "silo")  # one row per nation
-    n, pos, size = F.col("n"), F.col("n_pos"), len(FEATURES)
+    spread = rows.select(F.explode("models").alias("model"), "label", "features")
+    joined = spread.join(F.broadcast(params.select("model", "n", "n_pos", "params")), "model")  # few models
+    n, pos = F.col("n"), F.col("n_pos")
     weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
     residual = weight * (probability("features", "params", size) - F.col("label"))
     sums = [F.sum(residual * F.col("features")[i]).alias(f"g{i}") for i in range(size)]
-    totals = joined.groupBy("silo", "n", "n_pos", "params").agg(*sums, F.sum(residual).alias(f"g{size}"))
-    gradient = [F.abs(0.01 * F.col(f"g{i}") + F.col("params")[i]) for i in range(size)]
-    gradient.append(F.abs(0.01 * F.col(f"g{size}")))
-    return totals.select("silo", "n", "n_pos", (F.greatest(*gradient) < 1e-5).alias("flat"))
+    totals = joined.groupBy("model", "n", "n_pos", "params").agg(*sums, F.sum(residual).alias(f"g{size}"))
+    away = [F.lit(0.0)] * (size + 1)
+    if anchor is not None:
+        away = [F.lit(mu) * (F.col("params")[i] - F.lit(float(anchor[i]))) for i in range(size + 1)]
+    gradient = [F.abs(0.01 * F.col(f"g{i}") + F.col("params")[i] + away[i]) for i in range(size)]
+    gradient.append(F.abs(0.01 * F.col(f"g{size}") + away[size]))
+    return totals.select("model", "n", "n_pos", (F.greatest(*gradient) < 1e-5).alias("flat"))
+
+
+@query("grouped_lr_at_optimum", f"""WITH {BASE}
+SELECT silo, count(*) AS n, sum(label)::BIGINT AS n_pos, TRUE AS flat FROM base WHERE silo IS NOT NULL GROUP BY silo""")
+def grouped_lr_at_optimum(spark, folder):
+    """Fit one model per silo and test that the gradient of its objective vanishes."""
+    rows = _base_features(spark, folder).withColumn("models", F.array(F.col("silo").cast("string")))
+    flat = flat_models(rows, logistic.fit_grouped(rows, "models"), len(FEATURES))
+    return flat.select(F.col("model").cast("int").alias("silo"), "n", "n_pos", "flat")
+
+
+_FOLDS = f"""ranked AS ({_ranked('label', 'fold')} FROM based),
+folds AS (SELECT label, (CASE WHEN rk > floor(n_c * 1 / 5) THEN 1 ELSE 0 END + CASE WHEN rk > floor(n_c * 2 / 5) THEN 1 ELSE 0 END
+ + CASE WHEN rk > floor(n_c * 3 / 5) THEN 1 ELSE 0 END + CASE WHEN rk > floor(n_c * 4 / 5) THEN 1 ELSE 0 END) AS fold FROM ranked)"""
+
+
+@query("cv_lr_at_optimum", f"""WITH {BASE}, based AS (SELECT * FROM base WHERE silo IS NOT NULL), {_FOLDS}
+SELECT 'pooled' AS model, count(*) AS n, sum(label)::BIGINT AS n_pos, TRUE AS flat FROM folds
+UNION ALL SELECT 'fold:' || f, count(*), sum(label)::BIGINT, TRUE FROM folds, range(5) t(f) WHERE fold <> f GROUP BY f""")
+def cv_lr_at_optimum(spark, folder):
+    """The pooled model and the five models of the cross-validation, fitted together, each at its optimum."""
+    rows = sampling.stratified_folds(_base_features(spark, folder), "label", "id", 5, 0)
+    models = F.concat(F.array(F.lit("pooled")), logistic.fold_models("fold", 5))
+    rows = materialize(rows.withColumn("models", models), "folds")
+    return flat_models(rows, logistic.fit_grouped(rows, "models"), len(FEATURES))
+
+
+@query("pooled_lr_at_optimum", f"""WITH {BASE}
+SELECT 'pooled' AS model, count(*) AS n, sum(label)::BIGINT AS n_pos, TRUE AS flat FROM base WHERE silo IS NOT NULL""")
+def pooled_lr_at_optimum(spark, folder):
+    """The separate pooled fit is at the optimum of its objective."""
+    rows = _base_features(spark, folder).withColumn("models", F.array(F.lit("pooled")))
+    w = [float(v) for v in logistic.fit_pooled(rows, "label", "features")]
+    params = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("n_pos"))
+    params = params.select(F.lit("pooled").alias("model"), "n", "n_pos", constant(w).alias("params"))
+    return flat_models(rows, params, len(FEATURES))
+
+
+@query("averages_of_optima", f"""WITH {BASE}
+SELECT round AS round, count(DISTINCT silo) AS silos, count(*) AS n, TRUE AS is_mean FROM base, range(1, 4) t(round) WHERE silo IS NOT NULL GROUP BY round""")
+def averages_of_optima(spark, folder):
+    """Every averaging round gives the mean of the silo optima, weighted by their rows."""
+    rows = _base_features(spark, folder).withColumn("models", F.array(F.col("silo").cast("string")))
+    fits = materialize(logistic.fit_grouped(rows, "models"), "fits")
+    size = len(FEATURES)
+    rounds = averaging_rounds(fits, 3, size, [0.0] * (size + 1))
+    means = [F.sum(F.col("params")[i] * F.col("n")) / F.sum("n") for i in range(size + 1)]
+    found = fits.agg(F.count(F.lit(1)).alias("silos"), F.sum("n").alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(means)])
+    apart = [F.greatest(*[F.abs(F.col(f"m{i}") - w[i]) for i in range(size + 1)]) for w in rounds]
+    same = F.array(*[F.struct(F.lit(r).cast("long").alias("round"), (d < 1e-9).alias("is_mean")) for r, d in enumerate(apart, 1)])
+    return found.select("silos", "n", F.explode(same).alias("r")).select("r.round", "silos", "n", "r.is_mean")
+
+
+@query("proximal_at_optimum", f"""WITH {BASE}
+SELECT silo::VARCHAR AS model, count(*) AS n, sum(label)::BIGINT AS n_pos, TRUE AS flat FROM base WHERE silo IS NOT NULL GROUP BY silo""")
+def proximal_at_optimum(spark, folder):
+    """Models with a proximal term are at the optimum of the loss with that term."""
+    rows = _base_features(spark, folder).withColumn("models", F.array(F.col("silo").cast("string")))
+    anchor = [0.2, -0.1, 0.1, 0.05]
+    params = logistic.fit_grouped(rows, "models", prox_mu=0.5, anchor=anchor)
+    return flat_models(rows, params, len(FEATURES), 0.5, anchor)
+
+
+@query("cluster_by_nearest_centre", f"""WITH {BASE}
+SELECT silo, count(*) AS n, TRUE AS nearest, TRUE AS ordered FROM base WHERE silo IS NOT NULL GROUP BY silo""")
+def cluster_by_nearest_centre(spark, folder):
+    """Every silo is nearest to the mean of its own cluster, and cluster numbers follow the label rate."""
+    rows = base(spark, folder).filter(F.col("silo").isNotNull())
+    found = clustering.cluster_hospitals(rows, "silo", "label", ["building"])
+    found = materialize(found.select("silo", "n", "rate", "building", F.col("hospital_cluster").alias("c")), "clusters")
+    centres = found.groupBy("c").agg(F.avg("rate").alias("r"), F.avg("building").alias("b"))
+    k = centres.select(F.array_sort(F.collect_list(F.struct("c", "r", "b"))).alias("all"))  # three rows
+    placed = found.join(F.broadcast(k), F.lit(True))
+    apart = F.transform("all", lambda m: (m["r"] - F.col("rate")) ** 2 + (m["b"] - F.col("building")) ** 2)
+    own = F.element_at(apart, F.col("c"))
+    rates = F.transform("all", lambda m: m["r"])
+    return placed.select("silo", "n", (own <= F.array_min(apart) + 1e-12).alias("nearest"), (F.array_sort(rates) == rates).alias("ordered"))
 
 
 def _linear(spark, folder, *strategies: int, **changes) -> DataFrame:
@@ -1122,7 +1253,7 @@ def fedprox_region(spark, folder):
 
 @query("fedprox_proximal")
 def fedprox_proximal(spark, folder):
-    return _linear(spark, folder, 4, fedprox_mu=0.1, prox_mode="proximal", fl_rounds=2)
+    return _linear(spark, folder, 4, fedprox_mu=0.1, prox_mode="proximal")
 
 
 @query("gated_hospital")
@@ -1143,14 +1274,14 @@ def strategy_summary(spark, folder):
 @query("cluster_hospitals")
 def cluster_hospitals(spark, folder):
     cohort = materialize(O.build_orders_cohort(O.load_tables(spark, folder)), "cohort")
-    return clustering.cluster_hospitals(cohort, "silo", "label", ["is_building", "line_count"], restarts=4)
+    return clustering.cluster_hospitals(cohort, "silo", "label", ["is_building", "line_count"])
 
 
 @query("cluster_fedavg")
 def cluster_fedavg(spark, folder):
     """Average one model per hospital cluster and score the held-out rows."""
     prepared = _prepared(spark, folder)
-    groups = clustering.cluster_hospitals(prepared.train, "silo", "label", [], restarts=3)
+    groups = clustering.cluster_hospitals(prepared.train, "silo", "label", [])
     rows = clustering.assign_clusters(prepared.train, groups, "silo").filter(F.col("hospital_cluster").isNotNull())
     fits = logistic.fit_grouped(rows, F.array(F.col("hospital_cluster").cast("string"))).filter("NOT skipped")
     last = averaging_rounds(fits, CONFIG.fl_rounds, prepared.size, [0.0] * (prepared.size + 1))[-1]
@@ -1167,7 +1298,7 @@ def regional_comparison(spark, folder):
 @query("mlp_pooled")
 def mlp_pooled(spark, folder):
     prepared = _prepared(spark, folder)
-    w = neural.fit_mlp(prepared.train, "label", "features", prepared.size, epochs=15)
+    w = neural.fit_mlp(prepared.train, "label", "features", prepared.size)
     scores = neural.score_mlp(prepared.test, w, prepared.size).withColumn("model", F.lit("mlp"))
     return metrics.ranking_metrics(scores, ["model"])
 
@@ -1176,9 +1307,26 @@ def mlp_pooled(spark, folder):
 def mlp_fedavg(spark, folder):
     prepared = _prepared(spark, folder)
     rows = prepared.train.withColumn("region", S.relabel_null(F.col("region")))
-    rounds = neural.federated_mlp(rows, "region", "label", "features", prepared.size, rounds=2, epochs=8)
+    rounds = neural.federated_mlp(rows, "region", "label", "features", prepared.size)
     scores = None
     for r, w in enumerate(rounds, 1):
         part = neural.score_mlp(prepared.test, w, prepared.size).withColumn("round", F.lit(r))
         scores = part if scores is None else scores.unionByName(part)
     return metrics.ranking_metrics(scores, ["round"])
+
+
+def _perceptron(spark, folder, *strategies: int, **changes):
+    prepared = _prepared(spark, folder, algorithm="mlp", **changes)
+    return run_mlp(prepared, strategies)
+
+
+@query("mlp_summary")
+def mlp_summary(spark, folder):
+    """All five strategies with the perceptron: one row each."""
+    found = _perceptron(spark, folder, 1, 2, 3, 4, 5).metrics
+    return store.summarize(found.filter(F.col("silo").isNull()), SUMMARY)
+
+
+@query("mlp_gated")
+def mlp_gated(spark, folder):
+    return _perceptron(spark, folder, 3, auroc_gate=0.9).gate
