@@ -178,7 +178,7 @@ class Words:
 def _powers(base: int, n: int, _held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """base**i and base**-i modulo 2**64 for i < n; the longest asked for so far is held."""
     if base not in _held or len(_held[base][0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
@@ -186,9 +186,17 @@ def _powers(base: int, n: int, _held: dict = {}) -> tuple[np.ndarray, np.ndarray
     return _held[base]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of rows with about ``size`` bytes of text; a longer text is a slice by itself."""
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what is freed after each goes back to the system, for the worker may live on."""
     for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 512 << 10) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with about ``size`` bytes of text; a longer text is a slice by itself."""
+    for batch in trimmed(batches):
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(lengths, dtype=np.int64) // size
         cuts = np.flatnonzero(np.diff(part)) + 1

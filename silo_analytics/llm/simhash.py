@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, components, select_rows, starts, texts_of
+from .common import col, components, select_rows, starts, texts_of, trimmed
 
 CHUNK = 1024
 PIVOTS = 16
@@ -68,7 +68,7 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         values = [_signed(fingerprint(t, shingle)) for t in texts_of(batch.column("text"))]
         yield pa.record_batch(
             [batch.column("id"), batch.column("text_hash"), pa.array(values, pa.int64())], ["id", "text_hash", "fp"]

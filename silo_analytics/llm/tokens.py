@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, starts
+from .common import col, starts, trimmed
 
 FILE_BYTES = 24 << 20
 FRAME_BYTES = 128 << 10
@@ -141,18 +141,18 @@ def _encode(
     batches: Iterator[pa.RecordBatch], path: str, end_id: int, separable: bool, bounds: list[int]
 ) -> Iterator[pa.RecordBatch]:
     encoder, edges = Encoder(path, end_id, separable), np.array(bounds, np.int64)
-    for batch in batches:
+    for batch in trimmed(batches):
         ids = batch.column("id")
         keys = ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
         lowest, highest = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
         tie = batch.column("tie").to_numpy()
         # An id that fills several files is spread over them.
         file = lowest + tie.view(np.uint64) % (highest - lowest + 1).astype(np.uint64)
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for at in range(0, len(texts), 256):
+        for at in range(0, batch.num_rows, 256):
             cut = slice(at, at + 256)
+            texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
             yield pa.record_batch(
-                [pa.array(file[cut].astype(np.int32)), ids[cut], pa.array(tie[cut]), pa.array(encoder(texts[cut]), pa.binary())],
+                [pa.array(file[cut].astype(np.int32)), ids[cut], pa.array(tie[cut]), pa.array(encoder(texts), pa.binary())],
                 ["file", "id", "tie", "ids"],
             )
 

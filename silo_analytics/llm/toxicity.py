@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, fold_of, labelled_rows, select_rows, texts_of
+from .common import col, fold_of, labelled_rows, select_rows, texts_of, trimmed
 
 SAMPLE = 16_000
 LEXICON = 4_000
@@ -59,7 +59,7 @@ def _terms(text: bytes | None, blanks: bytes) -> tuple[list[str], list[str]]:
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (term, word before) of each text."""
     blanks = _blanks()
-    for batch in batches:
+    for batch in trimmed(batches):
         for text in texts_of(batch.column("text")):
             words, begins = _terms(text, blanks)
             before = ["", *words]
@@ -70,7 +70,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _found(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
     """How many distinct (term, word before) the texts of a task have, by wanted term."""
     blanks, counts = _blanks(), Counter()
-    for batch in batches:
+    for batch in trimmed(batches):
         for text in texts_of(batch.column("text")):
             words, begins = _terms(text, blanks)
             before = ["", *words]
@@ -150,7 +150,7 @@ def _features(
     batches: Iterator[pa.RecordBatch], lexicon: frozenset[bytes], begins: frozenset[bytes], keep: str
 ) -> Iterator[pa.RecordBatch]:
     blanks = _blanks()
-    for batch in batches:
+    for batch in trimmed(batches):
         rows = [features(t or b"", lexicon, begins, blanks) for t in texts_of(batch.column("text"))]
         yield pa.record_batch([batch.column(keep), pa.array(rows, pa.list_(pa.float64()))], [keep, "x"])
 
