@@ -172,8 +172,12 @@ def global_metrics(scored: DataFrame, spec: DatasetSpec, cfg: RunConfig, by: Seq
     return joined.select(*by, "n", "n_pos", *[F.round(v, 4).alias(k) for k, v in values.items()], "accuracy")
 
 
-def run_linear(prepared: Prepared, strategies: Sequence[int]) -> StrategyResults:
-    """Fit, average, gate and evaluate the logistic strategies."""
+def run_linear(prepared: Prepared, strategies: Sequence[int], evaluate: bool = True) -> StrategyResults:
+    """Fit, average, gate and evaluate the logistic strategies.
+
+    Without ``evaluate`` only the global parameters are found (not those of the gated strategy,
+    whose gate is an evaluation).
+    """
     spec, cfg, size = prepared.spec, prepared.cfg, prepared.size
     spark = prepared.train.sparkSession
     rows, trains, score_names = membership(prepared, strategies)
@@ -217,6 +221,10 @@ def run_linear(prepared: Prepared, strategies: Sequence[int]) -> StrategyResults
         for r, w in enumerate(averaging_rounds(of("skew"), cfg.fl_rounds, size, start), 1):
             globals_[5, r] = w
 
+    if not evaluate:
+        found = [(STRATEGIES[s], r, list(map(float, w))) for (s, r), w in sorted(globals_.items())]
+        return StrategyResults(local_table(spark, [], METRICS), local_table(spark, found, PARAMS), None, fitted)
+
     # in-sample metrics of the silo models and held-out metrics of the folds, in one pass
     own = usable.filter(F.col("model") != "pooled").select("model", "params")
     for r, table in enumerate(pulled, 1):

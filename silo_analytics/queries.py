@@ -1291,7 +1291,8 @@ def cluster_fedavg(spark, folder):
 @query("regional_comparison")
 def regional_comparison(spark, folder):
     prepared = _prepared(spark, folder)
-    params = {r.strategy: list(r.params) for r in run_linear(prepared, (1, 2)).params.orderBy("round").collect()}
+    found = run_linear(prepared, (1, 2), evaluate=False).params
+    params = {r.strategy: list(r.params) for r in found.orderBy("round").collect()}
     return compare_regions(prepared, params["pooled"], params["fedavg_region"]).regions
 
 

@@ -10,7 +10,8 @@ FOLDER = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 CHECKED = (
     "cohort_features max_row_per_key quantile_flags region_split stratified_folds skew_partition augment_groups "
-    "prep_transform score_by_silo auroc_by_group bootstrap_auroc param_average best_of_uplift model_load"
+    "prep_transform split_with_null_labels region_split_with_null_regions metrics_with_null_scores prep_with_nan "
+    "cv_lr_at_optimum pooled_lr_at_optimum averages_of_optima proximal_at_optimum cluster_by_nearest_centre score_by_silo auroc_by_group bootstrap_auroc param_average best_of_uplift model_load"
 )
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="driver tables are not here")
 

@@ -122,3 +122,33 @@ def test_multinomial_draws_add_up(scores):
     whole = [r.auroc for r in B.multinomial_auroc(df, "id", replicates=20).collect()]
     y, s = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
     assert len(whole) == 20 and np.mean(whole) == pytest.approx(auroc(y, s), abs=0.02)
+
+
+def test_more_pieces_than_any_fixed_number(spark, monkeypatch):
+
+    monkeypatch.setattr(M, "SCORES_PER_PIECE", 10)
+    monkeypatch.setattr(B, "ROWS_PER_PIECE", 10)
+    rows = spark.range(4000).select(
+        "id", (F.col("id") % 2).alias("g"), (F.col("id") % 5 < 2).cast("int").alias("label"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("score"),
+    )
+    edges = M.score_edges(rows, ["g"], "score", 4)
+    assert max(r.n for r in edges.select(F.size("_edges").alias("n")).collect()) > 256
+    small = {r.g: (r.auroc, r.ap) for r in M.ranking_metrics(rows, ["g"]).collect()}
+    boot = {(r.g, r.rep): r.auroc for r in B.bootstrap_auroc_replicates(rows, ["g"], "id", replicates=5).collect()}
+    monkeypatch.undo()
+    whole = {r.g: (r.auroc, r.ap) for r in M.ranking_metrics(rows, ["g"]).collect()}
+    assert small[0] == pytest.approx(whole[0]) and small[1] == pytest.approx(whole[1])
+    again = {(r.g, r.rep): r.auroc for r in B.bootstrap_auroc_replicates(rows, ["g"], "id", replicates=5).collect()}
+    assert set(boot) == set(again) and all(boot[k] == pytest.approx(again[k]) for k in boot)
+
+
+def test_quantiles_with_narrow_brackets(spark, monkeypatch):
+    from silo_analytics.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", 5)
+    values = [float(i % 97) for i in range(3000)] + [7.0] * 2000 + [float("nan")] * 50 + [None] * 9
+    df = spark.createDataFrame([(v,) for v in values], "`a``b` double")
+    got = quantiles.exact_quantiles(df, {"a`b": (0.0, 0.1, 0.5, 0.77, 1.0)})
+    known = np.array(values[:5000])
+    assert all(got["a`b", p] == pytest.approx(np.quantile(known, p)) for p in (0.0, 0.1, 0.5, 0.77, 1.0))

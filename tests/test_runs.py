@@ -133,6 +133,44 @@ def test_holdout_from_the_global_test_rows(result):
     assert sum(r.n_test for r in rows) == 160 and all(r.e4_auroc is None for r in rows)
 
 
+def test_region_names_with_separators(result):
+    name = F.concat(F.when(F.col("region") == "North", F.lit("a")).otherwise(F.lit("b:c")), F.lit("|x|y:z"))
+    p = result.prepared
+    named = orchestrate.Prepared(p.train.withColumn("region", name), p.test.withColumn("region", name), SPEC, config())
+    rows = {r.region: r for r in compare_regions(named, [0.1, 0.2, 0.3, 0.0], [0.2, 0.1, 0.3, 0.0]).regions.collect()}
+    assert set(rows) == {"a|x|y:z", "b:c|x|y:z", "Unknown"} - ({"Unknown"} - set(rows))
+    assert rows["a|x|y:z"].e2_auroc != rows["b:c|x|y:z"].e2_auroc
+    silos = run_linear(named, (2,)).metrics.filter("metric = 'local_auroc' AND round = 1").collect()
+    assert {r.silo for r in silos} == set(rows)
+
+
+def test_rows_without_a_label_are_refused(cohort):
+    with pytest.raises(ValueError, match="20 rows"):
+        orchestrate.prepare(cohort.withColumn("label", F.when(F.col("id") >= 20, F.col("label"))), SPEC, config())
+
+
+def test_ids_follow_the_content(cohort):
+    rows = cohort.drop("id")
+    rows = rows.unionByName(rows.limit(30))
+    first = sorted(map(str, orchestrate.with_row_ids(rows, "k").collect()))
+    again = sorted(map(str, orchestrate.with_row_ids(rows.repartition(7), "k").collect()))
+    assert first == again and len(first) == 830
+    assert orchestrate.with_row_ids(rows, "k").select("k").distinct().count() == 830
+
+
+def test_a_saved_run_replaces_itself(spark, tmp_path):
+    from silo_analytics.operators.store import load_metrics, save_metrics
+
+    def rows(value):
+        return spark.createDataFrame([("s", 1, None, "m", value, 5, "r1")], "strategy string, round int, silo string, metric string, value double, n long, run_id string")
+
+    path = str(tmp_path / "k")
+    save_metrics(rows(1.0), path)
+    save_metrics(rows(9.0).withColumn("run_id", F.lit("r2")), path)
+    save_metrics(rows(2.0), path)
+    assert sorted(r.value for r in load_metrics(spark, path).collect()) == [2.0, 9.0]
+
+
 def test_models_are_stored(cohort, spark, tmp_path):
     from silo_analytics.operators.store import list_models, load_metrics
 

@@ -119,3 +119,18 @@ def test_jitter_scales(groups):
     assert stats["small"]["_scale0"] == pytest.approx(np.std([120, 130, 140, 150]))
     assert stats["small"]["_scale1"] == pytest.approx(0.25)  # constant column: 5 % of the level
     assert stats["zero"]["_scale0"] == 0.01
+
+
+def test_null_groups_are_ranked_and_null_labels_left_out(spark):
+    rows = spark.createDataFrame([(i, ["a", None][i % 2], [0, 1, None][i % 3]) for i in range(60)], "id long, g string, label int")
+    ranks = {(r.g, r.rank) for r in ranking.rank_in_group(rows, ["g"], "id", 0, "r").collect()}
+    assert ranks == {(g, k) for g in ("a", None) for k in range(1, 31)}
+    for got in (
+        P.stratified_split(rows, "label", "id", 0.2, 0, by=["g"], name="x"),
+        P.stratified_folds(rows, "label", "id", 5, 0, name="x"),
+        P.skew_partition(rows, "label", "id", 3, 0.5, 0, name="x"),
+    ):
+        rows_ = got.collect()
+        assert len(rows_) == 60 and all((r.x is None) == (r.label is None) for r in rows_)
+    split = P.stratified_split(rows, "label", "id", 0.2, 0, by=["g"])
+    assert split.filter("g IS NULL AND is_test").count() == split.filter("g = 'a' AND is_test").count() == 4
