@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -68,7 +69,8 @@ def select_rows(docs: DataFrame, keys: DataFrame, how: str, with_text: bool = Tr
     are merged, for which the texts are shuffled.
     """
     names = {"id": "_key", "text_hash": "_hash"} if with_text else {"id": "_key"}
-    keys = materialize(keys.select(*[F.col(a).alias(b) for a, b in names.items()]).distinct(), "keys")
+    with small_batches(docs.sparkSession):
+        keys = materialize(keys.select(*[F.col(a).alias(b) for a, b in names.items()]).distinct(), "keys")
     few = keys.count() <= BROADCAST_KEYS
     same = F.col("doc_id").eqNullSafe(F.col("_key"))
     if with_text:
@@ -194,6 +196,18 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs run inside hand texts to Python in batches of at most ``rows``, so that workers stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Slices of rows with about ``size`` bytes of text; a longer text is a slice by itself."""
     for batch in trimmed(batches):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, components, select_rows, starts, texts_of, trimmed
+from .common import col, components, select_rows, small_batches, starts, texts_of, trimmed
 
 CHUNK = 1024
 PIVOTS = 16
@@ -203,7 +203,8 @@ def simhash_groups(
     )
     kind = rows.schema["id"].dataType.simpleString()
     prints = rows.mapInArrow(partial(_fingerprints, shingle=shingle), f"id {kind}, text_hash long, fp long")
-    prints = materialize(prints, "fingerprints")
+    with small_batches(docs.sparkSession):
+        prints = materialize(prints, "fingerprints")
     fps = materialize(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     groups = components(links(fps.select("fp"), max_bits))
     rooted = fps.join(groups, F.col("fp") == F.col("node"), "left").select(

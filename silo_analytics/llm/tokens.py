@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, starts, trimmed
+from .common import col, small_batches, starts, trimmed
 
 FILE_BYTES = 24 << 20
 FRAME_BYTES = 128 << 10
@@ -54,7 +54,7 @@ class Encoder:
     by itself.
     """
 
-    def __init__(self, path: str, end_id: int, separable: bool, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int, separable: bool, limit: int = 600_000) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,6 +106,7 @@ class Encoder:
         self.known.update((w, raw[i:j]) for w, i, j in zip(words, begins, ends))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id, as bytes."""
         if self.separator is None:
             return [ids + self.end for ids in self._whole(texts)]
         out = []
@@ -318,7 +319,8 @@ def write_tokens(
     )
     placed = encoded.repartitionById(files, F.col("file")).sortWithinPartitions("file", "id", "tie").select("file", "id", "ids")
     written = placed.mapInArrow(partial(_write, folder=folder, width=width), "file int, documents long, ids long")
-    return materialize(written, "token-files")
+    with small_batches(spark):
+        return materialize(written, "token-files")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
