@@ -54,7 +54,7 @@ class Encoder:
     by itself.
     """
 
-    def __init__(self, path: str, end_id: int, separable: bool, limit: int = 600_000) -> None:
+    def __init__(self, path: str, end_id: int, separable: bool, limit: int = 800_000) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
