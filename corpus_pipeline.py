@@ -33,7 +33,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with a passage of a benchmark item go."""
     items = table(spark, sf_dir, "benchmark")
     found = winnow.contamination(docs, items, window=10)
-    return select_rows(docs, found.where(F.size("spans") > 0), "left_anti", with_text=False)
+    return select_rows(docs, found.where(F.size("spans") > 0), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

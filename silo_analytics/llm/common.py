@@ -61,20 +61,16 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, see
     return texts.join(known, "doc_id").select("text", "y")
 
 
-def select_rows(docs: DataFrame, keys: DataFrame, how: str, with_text: bool = True) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, hash of text), or doc_id alone, is or is not in ``keys``.
+def select_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, hash of text) is or is not in ``keys``.
 
-    ``how`` is left_semi or left_anti; ``keys`` has the columns id and, with ``with_text``,
-    text_hash; nulls equal nulls.  Up to ``BROADCAST_KEYS`` counted keys are broadcast, more
+    ``how`` is left_semi or left_anti; ``keys`` has the columns id and text_hash; nulls equal nulls.  Up to ``BROADCAST_KEYS`` counted keys are broadcast, more
     are merged, for which the texts are shuffled.
     """
-    names = {"id": "_key", "text_hash": "_hash"} if with_text else {"id": "_key"}
     with small_batches(docs.sparkSession):
-        keys = materialize(keys.select(*[F.col(a).alias(b) for a, b in names.items()]).distinct(), "keys")
+        keys = materialize(keys.select(F.col("id").alias("_key"), F.col("text_hash").alias("_hash")).distinct(), "keys")
     few = keys.count() <= BROADCAST_KEYS
-    same = F.col("doc_id").eqNullSafe(F.col("_key"))
-    if with_text:
-        same = same & F.xxhash64("text").eqNullSafe(F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_key")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))
     return docs.join(F.broadcast(keys) if few else keys.hint("merge"), same, how)
 
 

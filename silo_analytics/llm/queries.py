@@ -112,7 +112,7 @@ def bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_boosted_toxicity")
 def boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    return toxicity.toxicity_scores(docs, labels, threshold=0.7).withColumnRenamed("id", "doc_id")
+    return toxicity.toxicity_scores(docs, labels, threshold=0.7).drop("text_hash").withColumnRenamed("id", "doc_id")
 
 
 @query("op4_two_pass_shuffle")

@@ -159,7 +159,7 @@ def toxicity_scores(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 29, threshold: float = 0.7,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """id, held_out, score (0 to 1) and predicted (score >= ``threshold``) of every row of ``docs``.
+    """id, text_hash, held_out, score (0 to 1) and predicted (score >= ``threshold``) of every row of ``docs``.
 
     Labels come from ``labels`` (doc_id, toxic), only from ids outside the held-out fold.
     Null texts count as empty; empty texts are scored like others.  Without labels of both
@@ -169,10 +169,11 @@ def toxicity_scores(
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     drawn = materialize(labelled_rows(rows, labels, "toxic", sample, seed), "labelled-texts")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash")).alias("key")
     counts = {r.y: r["count"] for r in drawn.groupBy("y").count().collect()}
     if len(counts) < 2:
         # Nothing to learn from
-        scored = rows.select(F.col("doc_id").alias("id"), F.lit(1.0 if 1 in counts else 0.0).alias("score"))
+        scored = rows.select(key, F.lit(1.0 if 1 in counts else 0.0).alias("score"))
         return _decided(scored, threshold)
     lexicon, begins = learn_lexicon(drawn)
     read = partial(_features, lexicon=lexicon, begins=begins)
@@ -188,20 +189,20 @@ def toxicity_scores(
     margin = vector_to_array("probability")[1]
     held = model.transform(held_part).select("label", margin.alias("p"))
     steps = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="level").fit(held)
-    scan = rows.select(F.col("doc_id").alias("id"), "text").mapInArrow(
-        partial(read, keep="id"), f"id {kind}, x array<double>"
+    scan = rows.select(key, "text").mapInArrow(
+        partial(read, keep="key"), f"key struct<id:{kind},text_hash:long>, x array<double>"
     )
-    scored = model.transform(scan.select("id", array_to_vector("x").alias("features"))).select("id", margin.alias("p"))
+    scored = model.transform(scan.select("key", array_to_vector("x").alias("features"))).select("key", margin.alias("p"))
     # The trees' own probability only orders documents within one calibrated step.
     scored = steps.transform(scored).select(
-        "id", F.least(F.greatest(0.99 * F.col("level") + 0.01 * F.col("p"), F.lit(0.0)), F.lit(1.0)).alias("score")
+        "key", F.least(F.greatest(0.99 * F.col("level") + 0.01 * F.col("p"), F.lit(0.0)), F.lit(1.0)).alias("score")
     )
     return _decided(scored, threshold)
 
 
 def _decided(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(
-        "id", (fold_of(F.col("id")) == 1).alias("held_out"), "score",
+        "key.id", "key.text_hash", (fold_of(F.col("key.id")) == 1).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
@@ -209,7 +210,7 @@ def _decided(scored: DataFrame, threshold: float) -> DataFrame:
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that are not rejected as toxic, with their columns.
 
-    Rows are rejected by doc_id: a toxic text takes other rows with its doc_id along.
+    Rows are rejected by doc_id and text: other texts under a null or repeated doc_id stay.
     """
     scores = toxicity_scores(docs, labels, threshold=threshold)
-    return select_rows(docs, scores.where("predicted = 1"), "left_anti", with_text=False)
+    return select_rows(docs, scores.where("predicted = 1"), "left_anti")

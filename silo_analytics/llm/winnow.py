@@ -158,10 +158,10 @@ def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.Re
         pairs = np.unique(words.text[place] * max(len(names), 1) + item)
         yield pa.record_batch(
             [
-                batch.column("row"), batch.column("id"), pa.array(words.counts), lists(owner, n, spans),
+                batch.column("row"), batch.column("id"), batch.column("text_hash"), pa.array(words.counts), lists(owner, n, spans),
                 lists(pairs // max(len(names), 1), n, names.take(pa.array(pairs % max(len(names), 1)))),
             ],
-            ["row", "id", "n_words", "spans", "items"],
+            ["row", "id", "text_hash", "n_words", "spans", "items"],
         )
 
 
@@ -169,7 +169,7 @@ def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document row: id, n_words, spans of hit words [first, last), items (ids as strings).
+    """One row per document row: id, text_hash, n_words, spans of hit words [first, last), items (ids as strings).
 
     Words are counted from 0.  Null and empty texts have no words; an item without words is in
     no document.  Rows of items with a null id count under the name "".  Repeated rows of
@@ -183,7 +183,7 @@ def contamination(
     blocks = max(1, int(-(-size // block_words)))
     rows = docs.select(
         (F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long")).alias("row"),
-        col(id_col).alias("id"), col(text_col).alias("text"),
+        col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"),
     )
     found = None
     for block in range(blocks):
@@ -191,17 +191,17 @@ def contamination(
         index = ItemIndex([(r.item, (r.text or "").encode()) for r in part.toLocalIterator()], window, gram)
         scan = rows.mapInArrow(
             partial(_scan, index=index),
-            f"row long, id {kind}, n_words long, spans array<struct<first:long,last:long>>, items array<string>",
+            f"row long, id {kind}, text_hash long, n_words long, spans array<struct<first:long,last:long>>, items array<string>",
         )
         found = scan if found is None else found.unionByName(scan)
     if blocks == 1:
         return found.drop("row")
     merged = found.groupBy("row").agg(
-        F.first("id").alias("id"), F.first("n_words").alias("n_words"),
+        F.first("id").alias("id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    return merged.select("id", "n_words", _merged_spans(F.col("spans")).alias("spans"), "items")
+    return merged.select("id", "text_hash", "n_words", _merged_spans(F.col("spans")).alias("spans"), "items")
 
 
 def _merged_spans(spans):

@@ -84,3 +84,17 @@ def test_obfuscated_words_are_undone():
     for text in (b"so $tup1d", b"a tr4sh thing", b"s t u p i d", b"stuuupid"):
         assert get(text)["undone_hits"] > 0, text
     assert get(b"")["words"] == 0
+
+
+def test_clean_texts_stay_beside_toxic_ones_of_the_same_id(spark):
+    clean, toxic = "good words of a text " * 5, "bad!!! BAD!!! "
+    rows = [(k, (clean if k % 3 else toxic) + str(k)) for k in range(120)]
+    ids = [k for k in range(120) if zlib.crc32(str(k).encode()) % 3 != 1]
+    odd = [(None, toxic), (None, clean), (None, clean + "2"), (None, None), (500, toxic), (500, clean)]
+    docs = make(spark, rows + odd)
+    labels = labels_of(spark, "toxic", [(k, int(k % 3 == 0)) for k in ids])
+    kept = toxicity.clean_documents(docs, labels)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect() if r.doc_id in (None, 500)]
+    assert {(None, clean), (None, clean + "2"), (500, clean)} <= set(got)
+    assert not {(None, toxic), (500, toxic)} & set(got)

@@ -3,7 +3,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest_llm import brute_groups
+from conftest_llm import brute_groups, make
 from test_llm_passages import contaminated
 
 import __spark_entry__ as entry
@@ -56,3 +56,12 @@ def test_pipeline_stages(spark):
     out = kept[-1].orderBy("start").collect()
     assert [r.doc_id for r in out] == sorted(rows[4]) and out[0].start == 0
     assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:])) and not math.isnan(out[0].n_tokens)
+
+
+def test_clean_texts_stay_beside_contaminated_ones_of_the_same_id(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"a {item} b"), (None, "clean"), (None, None), (7, item), (7, "clean"), (7, "clean"), (8, "other")]
+    kept = corpus_pipeline.drop_benchmark(spark, make(spark, rows), str(tmp_path))
+    expected = [r for r in rows if item not in (r[1] or "")]
+    assert sorted(map(str, map(tuple, kept.select("doc_id", "text").collect()))) == sorted(map(str, expected))
