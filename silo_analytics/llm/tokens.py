@@ -50,8 +50,8 @@ class Encoder:
 
     With ``separable`` (a lower-casing tokenizer of at most 65,536 ids with word ends that
     keeps letters, signs and blanks apart), every distinct stretch between blanks is encoded
-    once and remembered; up to ``limit`` stretches are held.  Otherwise each text is encoded
-    by itself.
+    once and remembered; up to ``limit`` stretches are held.  Otherwise, and where a text holds
+    a special token in small or capital letters, it is encoded by itself.
     """
 
     def __init__(self, path: str, end_id: int, separable: bool, limit: int = 800_000) -> None:
@@ -61,6 +61,8 @@ class Encoder:
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # Special tokens are told by case, stretches are not.
+        self.special = re.compile("|".join(map(re.escape, self.specials)), re.IGNORECASE)
         self.separator = next(iter(self.specials), None) if separable else None
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")] if separable else []
         self.ends = np.zeros(1 << 16, bool)
@@ -111,6 +113,9 @@ class Encoder:
             return [ids + self.end for ids in self._whole(texts)]
         out = []
         for text in texts:
+            if self.special.search(text):
+                out.append(self._whole([text])[0] + self.end)
+                continue
             words = _stretches(text)
             try:
                 ids = b"".join(map(self.known.__getitem__, words))

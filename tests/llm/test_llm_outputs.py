@@ -70,6 +70,13 @@ def test_stretches_give_the_ids_of_whole_texts():
     assert coder(texts) == [np.array([*e.ids, 2], "<u2").tobytes() for e in whole]
 
 
+def test_special_tokens_in_other_letters_are_text():
+    coder = tokens.Encoder(WORD_BPE, 2, True)
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "a<|startOFtext|>, B.", "A <|endoftext|> <|ENDOFTEXT|>", "<|StartOfText|><|startoftext|>\nC"]
+    whole = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert coder(texts) == [np.array([*e.ids, 2], "<u2").tobytes() for e in whole]
+
+
 def test_no_documents(spark, none):
     folder = scratch_path(spark, "token-test")
     written = tokens.write_tokens(none, folder, WORD_BPE, 2, separable=True)
