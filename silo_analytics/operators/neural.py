@@ -1,24 +1,22 @@
 """Perceptron with two hidden layers: pooled, and one per silo averaged over rounds.
 
 Sigmoid layers, softmax output, full-batch L-BFGS.  It plays the role of a ReLU network
-trained with Adam but is not the same model.  Silos whose values fit in a task are trained
-inside tasks, all of them in one job per round, however many there are; a larger silo stays
-distributed and is fitted by Spark's own trainer, one after the other (their number is at most
-the number of all values over ``LOCAL_VALUES``).  A model is its flat weight vector: per layer
-the (out x in) matrix by columns, then the biases.
+trained with Adam but is not the same model.  Loss and gradient are added up per silo where the
+rows lie and only those sums are shuffled, so no silo is gathered and small and large ones are
+trained the same way; one job evaluates all silos of a chunk.  The driver keeps the L-BFGS steps
+of a chunk.  A model is its flat weight vector: per layer the (out x in) matrix by columns, then
+the biases.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Generator, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -31,8 +29,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HIDDEN = (64, 32)
 POOLED_EPOCHS = 500
 ROUND_EPOCHS = 100
-# Values (rows x features) of a silo that one task may hold.
-LOCAL_VALUES = 4_000_000
+# Values (rows x features) of a silo whose sums are added up in one part; a larger silo has several.
+LOCAL_VALUES = 1_000_000
+# Silos whose L-BFGS steps the driver holds at once (about 0.5 MB each).
+MODELS_PER_FIT = 200
+# Sums that a task holds at once before it hands them on.
+SUMS_PER_TASK = 256
+# Silos whose parts one task of the second stage adds up, at least.
+MODELS_PER_TASK = 16
+SUMS = "silo string, part long, sums array<double>"
 FITS = "silo string, n long, n_pos long, params array<double>, auroc double, ap double"
 
 
@@ -41,19 +46,6 @@ def weight_count(size: int) -> int:
     return sum((a + 1) * b for a, b in zip(layers, layers[1:]))
 
 
-def _vectors(df: DataFrame, features: str, label: str) -> DataFrame:
-    return df.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"))
-
-
-def _fit(train: DataFrame, size: int, epochs: int, seed: int, start: Sequence[float] | None) -> np.ndarray:
-    trainer = MultilayerPerceptronClassifier(layers=[size, *HIDDEN, 2], maxIter=epochs, seed=seed, tol=1e-4)
-    if start is not None:
-        if len(start) != weight_count(size):
-            raise ValueError(f"start has {len(start)} weights, not {weight_count(size)}")
-        trainer = trainer.setInitialWeights(DenseVector(start))
-    return trainer.fit(train).weights.toArray()
-
-
 def initial_weights(size: int, seed: int) -> np.ndarray:
     """Seeded start weights, the same for every silo."""
     draw, parts = np.random.default_rng(seed), []
@@ -83,23 +75,34 @@ def _forward(flat: np.ndarray, x: np.ndarray) -> tuple[list[np.ndarray], np.ndar
     return seen, 1.0 / (1.0 + np.exp(np.clip(z[:, 0] - z[:, 1], -500, 500)))
 
 
-def loss_and_slope(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean cross-entropy and its gradient."""
+def _loss_sums(flat: np.ndarray, x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Cross-entropy and its gradient, added up over rows that count ``times`` each."""
     seen, p = _forward(flat, x)
     tiny = 1e-12
-    loss = -np.mean(np.where(y == 1, np.log(p + tiny), np.log(1 - p + tiny)))
-    error = np.column_stack([y - p, p - y]) / len(y)
+    loss = -np.sum(times * np.where(y == 1, np.log(p + tiny), np.log(1 - p + tiny)))
+    error = np.column_stack([y - p, p - y]) * times[:, None]
     slopes = []
     for (matrix, _), out in zip(reversed(_unpacked(flat, x.shape[1])), reversed(seen)):
         slopes.append(np.concatenate([(error.T @ out).ravel(order="F"), error.sum(axis=0)]))
         error = (error @ matrix) * out * (1 - out)
-    return float(loss), np.concatenate(slopes[::-1])
+    return np.concatenate([[loss], *slopes[::-1]])
+
+
+def loss_and_slope(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean cross-entropy and its gradient."""
+    sums = _loss_sums(flat, x, y, np.ones(len(y))) / len(y)
+    return float(sums[0]), sums[1:]
 
 
-def minimize(start: np.ndarray, fn: Callable, epochs: int, tol: float = 1e-4, memory: int = 10) -> np.ndarray:
-    """L-BFGS with halving steps; stops when the loss changes by less than ``tol`` of itself."""
+def descent(
+    start: np.ndarray, epochs: int, tol: float = 1e-4, memory: int = 10
+) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """L-BFGS with halving steps; stops when the loss changes by less than ``tol`` of itself.
+
+    Yields the weights whose loss and gradient it wants to be sent next, and returns the last ones.
+    """
     w = np.array(start, float)
-    loss, slope = fn(w)
+    loss, slope = yield w
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(epochs):
         d, weights = -slope, []
@@ -115,7 +118,7 @@ def minimize(start: np.ndarray, fn: Callable, epochs: int, tol: float = 1e-4, me
         if down >= 0:
             d, down, pairs = -slope, -(slope @ slope), []
         while step > 1e-10:
-            next_loss, next_slope = fn(w + step * d)
+            next_loss, next_slope = yield w + step * d
             if next_loss <= loss + 1e-4 * step * down:
                 break
             step /= 2
@@ -131,38 +134,113 @@ def minimize(start: np.ndarray, fn: Callable, epochs: int, tol: float = 1e-4, me
     return w
 
 
-def _ranked(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
-    """AUROC and average precision of one silo."""
-    pos, neg = int(y.sum()), int(len(y) - y.sum())
-    if not pos or not neg:
-        return 0.0, 0.0
-    values, place = np.unique(-p, return_inverse=True)
-    tp, fp = (np.bincount(place, weights=y == c, minlength=len(values)) for c in (1, 0))
-    above, false = np.cumsum(tp), np.cumsum(fp)
-    auroc = float(np.sum(tp * (neg - false + fp / 2)) / (pos * neg))
-    return auroc, float(np.sum(tp * above / (above + false)) / pos)
-
-
-def _train(epochs: int, seed: int, start: np.ndarray | None, min_rows: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows["y"].to_numpy()
-        n, pos = len(y), int(y.sum())
-        found, auroc, ap = None, 0.0, 0.0
-        if n >= min_rows and 0 < pos < n:
-            # the rows arrive in any order; the sums must not depend on it
-            x = np.stack(rows["x"].to_numpy())
-            order = np.lexsort(np.column_stack([x, y]).T)
-            x, y = x[order], y[order]
-            begin = initial_weights(x.shape[1], seed) if start is None else start
-            w = minimize(begin, lambda v: loss_and_slope(v, x, y), epochs)
-            auroc, ap = _ranked(y, _forward(w, x)[1])
-            found = w.tolist()
-        row = (rows["silo"].iloc[0], n, pos, found, auroc, ap)
-        return pd.DataFrame([row], columns=["silo", "n", "n_pos", "params", "auroc", "ap"])
+# ------------------------------------------------------------------ grouped training
+def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[str, int, slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(silo, part, rows, x, y, times) of every stretch of rows of one part; the rows lie in their order."""
+    silos = batch.column("silo").dictionary_encode()
+    names, codes = silos.dictionary.to_pylist(), np.asarray(silos.indices)
+    parts, y, times = (np.asarray(batch.column(c)) for c in ("part", "y", "times"))
+    x = np.asarray(batch.column("x").flatten()).reshape(len(y), size)
+    cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(parts) != 0)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(y)]):
+        if j > i:
+            yield names[codes[i]], int(parts[i]), slice(i, j), x[i:j], y[i:j], times[i:j]
+
+
+def _part_sums(size: int, params: Mapping[str, np.ndarray]):
+    """Loss and gradient sums of every part of an open silo, where its rows lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for silo, part, _, x, y, times in _blocks(batch, size):
+                if silo not in params:
+                    continue
+                sums = _loss_sums(params[silo], x, y, times)
+                held[silo, part] = held[silo, part] + sums if (silo, part) in held else sums
+            if len(held) > SUMS_PER_TASK:
+                yield _sum_batch(held)
+                held = {}
+        if held:
+            yield _sum_batch(held)
+
+    return run
+
+
+def _sum_batch(held: Mapping[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()),
+            pa.array(list(held.values()), pa.list_(pa.float64())),
+        ],
+        names=["silo", "part", "sums"],
+    )
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per silo; the parts are added in their order, so that the sum is the same every time."""
+    held: dict[str, list[tuple]] = {}
+    for batch in batches:
+        sums = np.asarray(batch.column("sums").flatten()).reshape(batch.num_rows, -1)
+        for silo, part, row in zip(batch.column("silo").to_pylist(), batch.column("part").to_pylist(), sums):
+            held.setdefault(silo, []).append((part, row[0], row))
+    for silo, rows in held.items():
+        yield _sum_batch({(silo, 0): np.sum([r[2] for r in sorted(rows, key=lambda r: r[:2])], axis=0)})
+
+
+def _scores(size: int, params: Mapping[str, np.ndarray]):
+    """The probability of class 1 of every row, by the network of its silo."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for silo, _, rows, x, y, times in _blocks(batch, size):
+                if silo in params:
+                    found = [pa.array([silo] * len(y), pa.string()), pa.array(y), pa.array(times)]
+                    yield pa.record_batch([*found, pa.array(_forward(params[silo], x)[1])], ["silo", "y", "times", "score"])
 
     return run
 
 
+def _laid_out(rows: DataFrame, sizes: DataFrame, size: int, chunks: int, total: int, local_values: int) -> DataFrame:
+    """The rows (silo, y, x) written once, in parts and order that follow from the rows alone.
+
+    Equal rows become one that counts several times, so that no value is common enough to fill a task.
+    """
+    most = max(1, local_values // size)
+    cut = sizes.select("silo", F.ceil(F.col("n") / most).alias("_parts")).filter("_parts > 1")
+    distinct = rows.groupBy("silo", "y", "x").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    marked = join_lookup(distinct, cut, ["silo"], "left").select(
+        F.pmod(F.xxhash64("silo"), F.lit(chunks)).alias("chunk"), "silo",
+        F.pmod(F.xxhash64("y", "x"), F.coalesce("_parts", F.lit(1))).alias("part"), "y", "times", "x",
+    )
+    spread = marked.repartition(max(1, -(-total // most)), "silo", "part").sortWithinPartitions("chunk", "silo", "part", "y", "x")
+    return materialize(spread, "network-rows", partition_by=["chunk"])
+
+
+def _descend(
+    rows: DataFrame, sizes: Sequence[Row], size: int, epochs: int, seed: int, start: np.ndarray | None, cut: bool
+) -> dict[str, np.ndarray]:
+    """The weights of the silos of one chunk: one job per evaluation, for all that are still open."""
+    begin = initial_weights(size, seed) if start is None else start
+    open_ = {r.silo: descent(begin, epochs) for r in sizes}
+    wanted, done = {silo: next(d) for silo, d in open_.items()}, {}
+    counts = {r.silo: r.n for r in sizes}
+    while wanted:
+        sums = rows.mapInArrow(_part_sums(size, wanted), SUMS)
+        if cut:
+            sums = sums.repartition(max(1, -(-len(wanted) // MODELS_PER_TASK)), "silo").mapInArrow(_added, SUMS)
+        totals: dict[str, np.ndarray] = {}
+        for r in sums.collect():  # about one row per open silo of the chunk
+            totals[r.silo] = totals.get(r.silo, 0.0) + np.asarray(r.sums)
+        for silo, total in totals.items():
+            try:
+                wanted[silo] = open_[silo].send((float(total[0] / counts[silo]), total[1:] / counts[silo]))
+            except StopIteration as end:
+                done[silo] = end.value
+                del wanted[silo]
+    return done
+
+
 def fit_silos(
     df: DataFrame,
     silo: str,
@@ -174,11 +252,13 @@ def fit_silos(
     start: Sequence[float] | None = None,
     min_rows: int = 5,
     local_values: int = LOCAL_VALUES,
+    scores: bool = True,
 ) -> DataFrame:
     """One network per silo, continued from ``start``: silo, n, n_pos, params, auroc, ap.
 
-    The scores are of the silo's own rows.  A silo with fewer than ``min_rows`` rows or one
-    class has null parameters and zero scores.  Rows with a null silo train nothing.
+    The scores are of the silo's own rows; without ``scores`` they are zero.  A silo with fewer
+    than ``min_rows`` rows or one class has null parameters and zero scores.  Rows with a null
+    silo train nothing.
     """
     if start is not None and len(start) != weight_count(size):
         raise ValueError(f"start has {len(start)} weights, not {weight_count(size)}")
@@ -186,29 +266,33 @@ def fit_silos(
     rows = df.filter(F.col(silo).isNotNull()).select(
         F.col(silo).cast("string").alias("silo"), F.col(label).cast("long").alias("y"), F.col(features).alias("x")
     )
-    most = max(1, local_values // size)
     sizes = rows.groupBy("silo").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
-    large = sizes.filter(F.col("n") > most).collect()  # at most all values / local_values rows
-    small = rows
-    if large:
-        names = local_table(df.sparkSession, [(r.silo, True) for r in large], "silo string, _large boolean")
-        small = join_lookup(rows, names, ["silo"]).filter("_large IS NULL").drop("_large")
-    fits = materialize(small.groupBy("silo").applyInPandas(_train(epochs, seed, begin, min_rows), FITS), "networks")
-    for r in large:
-        fits = fits.unionByName(_fit_large(rows.filter(F.col("silo") == r.silo), r, size, epochs, seed, begin))
+    sizes = materialize(sizes, "silo-sizes")
+    usable = F.expr(f"n >= {min_rows} AND n_pos > 0 AND n_pos < n")
+    found = sizes.filter(usable).agg(F.count(F.lit(1)).alias("silos"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    none = sizes.filter(~usable | usable.isNull()).select(
+        "silo", "n", "n_pos", F.lit(None).cast("array<double>").alias("params"), F.lit(0.0).alias("auroc"), F.lit(0.0).alias("ap")
+    )
+    if not found.silos:
+        return none
+    chunks = -(-found.silos // MODELS_PER_FIT)
+    taken = join_lookup(rows, sizes.filter(usable).select("silo"), ["silo"], "left_semi")
+    table = _laid_out(taken, sizes.filter(usable), size, chunks, found.rows, local_values)
+    fits = none
+    for i in range(chunks):
+        part = table.filter(F.col("chunk") == i).drop("chunk")
+        known = sizes.filter(usable & (F.pmod(F.xxhash64("silo"), F.lit(chunks)) == i)).collect()  # about MODELS_PER_FIT
+        params = _descend(part, known, size, epochs, seed, begin, found.most > max(1, local_values // size))
+        ranks = {}
+        if scores and params:
+            scored = part.mapInArrow(_scores(size, params), "silo string, y long, times double, score double")
+            ranked = ranking_metrics(scored, ["silo"], "y", weight=F.col("times"))
+            ranks = {r.silo: (r.auroc, r.ap) for r in ranked.collect()}
+        out = [(r.silo, r.n, r.n_pos, params[r.silo].tolist(), *ranks.get(r.silo, (0.0, 0.0))) for r in known]
+        fits = fits.unionByName(materialize(local_table(df.sparkSession, out, FITS), "networks"))
     return fits
 
 
-def _fit_large(rows: DataFrame, sizes: Row, size: int, epochs: int, seed: int, start: np.ndarray | None) -> DataFrame:
-    spark, found, auroc, ap = rows.sparkSession, None, 0.0, 0.0
-    if 0 < sizes.n_pos < sizes.n:
-        begin = initial_weights(size, seed) if start is None else start
-        w = _fit(_vectors(rows, "x", "y"), size, epochs, seed, begin)
-        scores = ranking_metrics(score_mlp(rows, w, size, "x"), ["silo"], "y").first()
-        found, auroc, ap = w.tolist(), scores.auroc, scores.ap
-    return local_table(spark, [(sizes.silo, sizes.n, sizes.n_pos, found, auroc, ap)], FITS)
-
-
 def fit_mlp(
     df: DataFrame,
     label: str,
@@ -221,7 +305,7 @@ def fit_mlp(
 ) -> np.ndarray:
     """Weights of a network trained on all rows."""
     one = df.select(F.lit("all").alias("silo"), label, features)
-    fit = fit_silos(one, "silo", label, features, size, epochs, seed, start, local_values=local_values).first()
+    fit = fit_silos(one, "silo", label, features, size, epochs, seed, start, local_values=local_values, scores=False).first()
     if fit is None or fit.params is None:
         raise ValueError("both classes are needed")
     return np.array(fit.params)

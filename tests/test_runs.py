@@ -242,6 +242,20 @@ def test_perceptrons_of_many_silos_and_of_large_ones(spark, result):
     assert set(mixed) == set(sizes) and all(r.auroc > 0.6 for r in mixed.values())
 
 
+def test_perceptrons_are_the_same_in_one_part_and_in_many(result):
+    train = result.prepared.train.filter("region IS NOT NULL")
+    one, many = (
+        {r.silo: r for r in neural.fit_silos(train, "region", "label", "features", 3, epochs=20, local_values=v).collect()}
+        for v in (1_000_000, 60)
+    )
+    assert set(one) == set(many) and len(one) == 3
+    for silo, r in one.items():
+        assert np.allclose(r.params, many[silo].params, rtol=1e-4, atol=1e-6)
+        assert (r.n, r.auroc) == (many[silo].n, pytest.approx(many[silo].auroc, abs=1e-6))
+    whole, parts = (neural.fit_mlp(train, "label", "features", 3, epochs=20, local_values=v) for v in (1_000_000, 60))
+    assert np.allclose(whole, parts, rtol=1e-4, atol=1e-6)
+
+
 def test_perceptron_strategies_report_like_the_linear_ones(result):
     p = result.prepared
     cfg = config(algorithm="mlp", fl_rounds=1)
