@@ -85,14 +85,14 @@ class ItemIndex:
         self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a fingerprint
         self.maybe[self.marks >> np.uint64(44)] = True
         self.by_length = {}
-        self.names: list[str] = []
+        numbers: dict[str, int] = {}  # one per name, however many texts it has
         for n, entries in rows.items():
             a = np.concatenate([e[1] for e in entries])
             b = np.concatenate([e[2] for e in entries])
-            item = np.repeat(np.arange(len(entries)) + len(self.names), [len(e[1]) for e in entries])
-            self.names += [e[0] for e in entries]
+            item = np.repeat([numbers.setdefault(e[0], len(numbers)) for e in entries], [len(e[1]) for e in entries])
             order = np.argsort(a, kind="stable")
             self.by_length[n] = a[order], b[order], item[order]
+        self.names = list(numbers)
 
     def lookup(self, n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in a, item) of every window of length n that equals one of an item."""

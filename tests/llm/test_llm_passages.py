@@ -93,6 +93,16 @@ def test_contamination_as_by_brute_force(spark, odd, block_words):
     assert sorted(str(tuple(r)) for r in got) == contaminated(rows, items, 10)
 
 
+@pytest.mark.parametrize("block_words", [400_000, 4])
+def test_an_item_with_several_texts_is_named_once(spark, block_words):
+    items = [(1, "one two three"), (1, "four five six"), (None, "seven eight"), (None, "nine ten"), (2, "one two")]
+    rows = [(1, "one two three four five six seven eight nine ten"), (2, "four five six one two three"), (3, "nine")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = winnow.contamination_report(winnow.contamination(make(spark, rows), table, block_words=block_words)).collect()
+    assert [r.n_items for r in sorted(got)] == [3, 2, 0]
+    assert sorted(str(tuple(r)) for r in got) == contaminated(rows, items, 10)
+
+
 def test_every_span_of_a_window_shares_a_fingerprint():
     draw = np.random.default_rng(5)
     grams = draw.integers(0, 50, 2000).astype(np.uint64)
