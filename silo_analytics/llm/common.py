@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -227,3 +227,56 @@ def starts(lengths: Iterable[int]) -> np.ndarray:
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+# ------------------------------------------------------------------ hot keys and running totals
+# A key with more than this share of all rows is hot; there are fewer than this many hot keys.
+HOT_KEYS = 10_000
+
+
+def uneven_join(big: DataFrame, lookup: DataFrame, on: list[str], sizes: DataFrame) -> DataFrame:
+    """Left join to a lookup with unique keys, where some keys may hold most rows of ``big``.
+
+    ``sizes`` has the keys and ``n``, the rows of each key in ``big``.  Keys with over 10,000 rows and
+    over 1/10,000 of all rows are fewer than 10,000: their lookup rows are broadcast, and the rows
+    of all other keys are shuffled.  ``big`` is read twice where there is a hot key, so it should be a
+    written table.  Keys must not be null.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.where(F.col("n") > max(HOT_KEYS, total // HOT_KEYS)).select(*on)
+    hot = materialize(hot.join(lookup, on), "hot-keys")
+    if hot.isEmpty():
+        return big.join(lookup, on, "left")
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(lookup, on, "left")
+    return cold.unionByName(big.join(F.broadcast(hot), on))
+
+
+PIECE_ROWS = 500_000
+
+
+def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, str], xors: dict[str, str], name: str) -> DataFrame:
+    """Adds running totals per key: ``sums`` and ``xors`` map new names to columns of integers.
+
+    The rows are cut into pieces by range, so a key with very many rows lies in several pieces.
+    Each piece is added up by itself and shifted by the earlier pieces of its key; only the first
+    key of a piece can have any, so there are fewer shifts than pieces.  The result is a written table.
+    """
+    pieces = max(2, rows.sparkSession.sparkContext.defaultParallelism, rows.count() // PIECE_ROWS)
+    tie = "_tie"
+    placed = rows.withColumn(tie, F.monotonically_increasing_id())
+    placed = placed.repartitionByRange(pieces, key, *order, tie).withColumn("_piece", F.spark_partition_id())
+    upto = Window.partitionBy("_piece", key).orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    parts = [F.sum(c).over(upto).alias(n) for n, c in sums.items()] + [F.bit_xor(c).over(upto).alias(n) for n, c in xors.items()]
+    inside = materialize(placed.select("*", *parts).drop(tie), f"{name}-pieces")
+    totals = [F.sum(c).alias(f"_{n}") for n, c in sums.items()] + [F.bit_xor(c).alias(f"_{n}") for n, c in xors.items()]
+    per = inside.groupBy(key, "_piece").agg(*totals)
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums] + [F.bit_xor(f"_{n}").over(earlier).alias(f"_{n}") for n in xors]
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_piece")).alias("_nth")
+    shifts = per.select(key, "_piece", place, *before).where("_nth > 1").drop("_nth")
+    shifts = materialize(shifts, f"{name}-shifts")
+    out = inside.join(F.broadcast(shifts), [key, "_piece"], "left")
+    nothing = F.lit(0).cast("long")
+    shifted = {n: (F.col(n) + F.coalesce(f"_{n}", nothing)).alias(n) for n in sums}
+    shifted |= {n: F.col(n).bitwiseXOR(F.coalesce(f"_{n}", nothing)).alias(n) for n in xors}
+    return materialize(out.select(*rows.columns, *shifted.values()), name)

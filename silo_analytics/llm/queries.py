@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linedup, mixing, quality, recompress, sharding, simhash, tokens, topk, toxicity, winnow
+from . import linedup, mixing, quality, recompress, sharding, simhash, tokens, topk, toxicity, trie, winnow
 from ..scratch import scratch_path
 from .common import table
 
@@ -244,3 +244,46 @@ SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens,
 def tree_budgets(spark: SparkSession, folder: str) -> DataFrame:
     taken = mixed(table(spark, folder, "documents"), MIX_SHARE, MIX_EPOCHS)
     return taken.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "tokens", "epochs")
+
+
+# crc32 of the decimal id, byte by byte and bit by bit; then modulo 9.
+_TAKEN = """xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda crc, byte:
+      list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295)) % 9"""
+
+_TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+    octet_length(encode(coalesce(text, ''))) AS bytes, turn FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, d, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS place FROM turns),
+convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_TAKEN} AS h FROM placed),
+rows AS (
+  SELECT c.conv_id, 0 AS part, p.place, p.d, p.bytes FROM convs AS c JOIN placed AS p ON p.conv_id = c.base AND p.place < c.h
+  UNION ALL
+  SELECT conv_id, 1, p.place, p.d, p.bytes FROM convs AS c JOIN placed AS p USING (conv_id) WHERE p.place >= c.h),
+prefixes AS (
+  SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(d, '') OVER w) AS k, bytes FROM rows
+  WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+steps AS (SELECT *, lag(k) OVER w AS up, lead(k) OVER w IS NULL AS last FROM prefixes WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (
+  SELECT depth, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM steps GROUP BY depth, k),
+children AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, k)),
+below AS (
+  SELECT s.depth, s.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * o.bytes) AS saved
+  FROM own AS o JOIN steps AS s ON s.conv_id = o.conv_id AND s.depth <= o.depth GROUP BY s.depth, s.k)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own AS o JOIN below USING (depth, k) LEFT JOIN nodes AS p ON p.depth = o.depth - 1 AND p.k = o.up
+"""
+
+
+@query("op13_depth_bands", _TRIE_SQL)
+def depth_bands(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.ordered_turns(table(spark, folder, "conversations"))
+    taken = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    rebuilt, sizes = trie.borrowed_beginnings(turns, F.col("conv") - F.col("conv") % 5, taken)
+    return trie.prefix_trie(rebuilt, sizes)
