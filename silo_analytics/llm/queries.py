@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linedup, mixing, quality, recompress, sharding, simhash, tokens, topk, toxicity, trie, winnow
+from . import chunkcode, linedup, mixing, quality, recompress, sharding, simhash, tokens, topk, toxicity, trie, winnow
 from ..scratch import scratch_path
 from .common import table
 
@@ -287,3 +288,15 @@ def depth_bands(spark: SparkSession, folder: str) -> DataFrame:
     taken = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
     rebuilt, sizes = trie.borrowed_beginnings(turns, F.col("conv") - F.col("conv") % 5, taken)
     return trie.prefix_trie(rebuilt, sizes)
+
+
+@query("op12_chunk_reuse")
+def chunk_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    source = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+    coded = chunkcode.encode_documents(table(spark, folder, "documents"), source)
+    return coded.select(
+        F.col("id").alias("doc_id"), "n_tokens", F.lower(F.hex("ids_sha")).alias("ids_sha256"),
+        F.lower(F.hex("text_sha")).alias("decoded_sha256"),
+    )
