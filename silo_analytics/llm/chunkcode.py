@@ -32,8 +32,10 @@ from ..scratch import materialize
 from .common import _powers, col, small_batches, texts_of, trimmed, uneven_join
 from .winnow import winnow
 
-RADIUS = 256
+RADIUS = 512
 ROLL = 32
+# Bytes of text per task, where tasks can be merged: larger ones meet more of their words again.
+TASK_BYTES = 48 << 20
 # Bits of the bitmap of shared chunks: 8 MB at every size of the corpus.
 FILTER_BITS = 26
 # Word ends of a chunk at which it may meet the text before it.
@@ -127,10 +129,12 @@ class PieceCoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(plain)]
         letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-        self.bytes = [b""] * size
+        token_bytes = [b""] * size
         for token, i in self.tokenizer.get_vocab().items():
-            self.bytes[i] = added[i].encode() if i in added else bytes(map(letters.__getitem__, token))
-        self.lengths = np.array([len(b) for b in self.bytes])
+            token_bytes[i] = added[i].encode() if i in added else bytes(map(letters.__getitem__, token))
+        self.lengths = np.array([len(b) for b in token_bytes])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(token_bytes), np.uint8)
         self.near = re.compile(_SPLIT.format(l=_ranges(_LETTERS), n=_ranges(_DIGITS), s=_ranges(_BLANKS)))
         self.far = re.compile(f"[^{_ranges(_NEAR)}]")
         self.wide = regex.compile(_SPLIT.format(l=r"\p{L}", n=r"\p{N}", s=r"\s"))
@@ -152,12 +156,13 @@ class PieceCoder:
     def ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes."""
         found = list(map(self.known.get, words))
-        if None in found:
+        gaps = [k for k, i in enumerate(found) if i is None]
+        if gaps:
             if len(self.known) > self.limit:
-                self.known = {}
-                found = [None] * len(words)
-            self._learn(list({w for w, i in zip(words, found) if i is None}))
-            found = [self.known[w] if i is None else i for w, i in zip(words, found)]
+                self.known, gaps = {}, range(len(words))
+            self._learn(list({words[k] for k in gaps}))
+            for k in gaps:
+                found[k] = self.known[words[k]]
         return found
 
     def _learn(self, new: list[str]) -> None:
@@ -180,8 +185,13 @@ class PieceCoder:
 
     def decoded(self, ids: bytes) -> bytes:
         """The text of ids as the library decodes them; what is no UTF-8 becomes U+FFFD."""
-        raw = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, self.type).tolist()))
-        return raw.decode("utf-8", "replace").encode()
+        numbers = np.frombuffer(ids, self.type)
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        # The place of each letter in the joined letters of all tokens.
+        place = np.repeat(self.offsets[numbers] - (ends - lengths), lengths) + np.arange(total)
+        return self.letters[place].tobytes().decode("utf-8", "replace").encode()
 
     def digests(self, ids: bytes) -> tuple[int, bytes, bytes]:
         """Number of ids, SHA-256 of the ids as 32-bit integers, SHA-256 of the decoded text."""
@@ -263,7 +273,7 @@ def _census(batches: Iterator[pa.RecordBatch], special: list[bytes], radius: int
 
 
 _PART = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("text", pa.binary())])
-_SCANNED = "id {}, k1 long, k2 long, n_tokens long, ids_sha binary, text_sha binary, parts array<struct<h1:long,h2:long,text:binary>>"
+_SCANNED = "id {}, k1 long, k2 long, n_tokens long, ids_sha binary, text_sha binary, parts array<struct<h1:long,h2:long,text:binary>>, size long"
 
 
 def _marked(bits: np.ndarray, h1: np.ndarray) -> np.ndarray:
@@ -304,9 +314,9 @@ def _scan(batches: Iterator[pa.RecordBatch], source: str, bits: np.ndarray, radi
             yield pa.record_batch(
                 [
                     part.column("id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
-                    pa.array(text, pa.binary()), pa.array(parts, pa.list_(_PART)),
+                    pa.array(text, pa.binary()), pa.array(parts, pa.list_(_PART)), pa.array([len(t) for t in texts], pa.int64()),
                 ],
-                ["id", "k1", "k2", "n_tokens", "ids_sha", "text_sha", "parts"],
+                ["id", "k1", "k2", "n_tokens", "ids_sha", "text_sha", "parts", "size"],
             )
 
 
@@ -368,10 +378,13 @@ def encode_documents(
         bits = shared_bits(shared)
         scanned = rows.mapInArrow(partial(_scan, source=source, bits=bits, radius=radius), _SCANNED.format(kind))
         scanned = materialize(scanned, "scanned-documents")
+        size = scanned.where("parts IS NOT NULL").agg(F.sum("size")).first()[0] or 0
+        tasks = max(spark.sparkContext.defaultParallelism, size // TASK_BYTES)
         apart = scanned.where("parts IS NOT NULL").select("k1", "k2", F.posexplode("parts").alias("place", "part"))
         apart = apart.select("k1", "k2", "place", "part.h1", "part.h2", "part.text")
         chunks = apart.where("h1 IS NOT NULL")
         codes = chunks.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        codes = codes.coalesce(tasks)
         codes = materialize(codes.mapInArrow(partial(_code, source=source), "h1 long, h2 long, ids binary, marks array<int>"), "chunk-codes")
         uses = materialize(chunks.select("k1", "k2", "place", "h1", "h2").distinct(), "chunk-uses")
         coded = uneven_join(uses, codes, ["h1", "h2"], uses.groupBy("h1", "h2").agg(F.count("*").alias("n")))
@@ -380,7 +393,7 @@ def encode_documents(
         pieces = coded.select("k1", "k2", "place", F.lit(None).cast("binary").alias("text"), "ids", "marks")
         pieces = pieces.unionByName(texts.select("k1", "k2", "place", "text", *nothing))
         pieces = pieces.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "text", "ids", "marks")).alias("parts"))
-        digests = pieces.mapInArrow(partial(_join, source=source), "k1 long, k2 long, n_tokens long, ids_sha binary, text_sha binary")
+        digests = pieces.coalesce(tasks).mapInArrow(partial(_join, source=source), "k1 long, k2 long, n_tokens long, ids_sha binary, text_sha binary")
         digests = materialize(digests, "joined-documents")
     here = scanned.where("parts IS NULL").select("id", "n_tokens", "ids_sha", "text_sha")
     there = scanned.where("parts IS NOT NULL").select("id", "k1", "k2")
