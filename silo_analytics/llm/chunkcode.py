@@ -29,15 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import _powers, col, small_batches, texts_of, trimmed, uneven_join
+from .common import _powers, bits_of, col, has_bit, small_batches, texts_of, trimmed, uneven_join
 from .winnow import winnow
 
 RADIUS = 512
 ROLL = 32
 # Bytes of text per task, where tasks can be merged: larger ones meet more of their words again.
 TASK_BYTES = 48 << 20
-# Bits of the bitmap of shared chunks: 8 MB at every size of the corpus.
-FILTER_BITS = 26
 # Word ends of a chunk at which it may meet the text before it.
 HEADS = 6
 # A word that ends this many letters before the end of what is known does not depend on the rest.
@@ -276,12 +274,6 @@ _PART = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("text", pa.binary())
 _SCANNED = "id {}, k1 long, k2 long, n_tokens long, ids_sha binary, text_sha binary, parts array<struct<h1:long,h2:long,text:binary>>, size long"
 
 
-def _marked(bits: np.ndarray, h1: np.ndarray) -> np.ndarray:
-    h = h1.view(np.uint64)
-    word, bit = h >> np.uint64(64 - FILTER_BITS + 6), (h >> np.uint64(64 - FILTER_BITS)) & np.uint64(63)
-    return ((bits[word] >> bit) & np.uint64(1)).astype(bool)
-
-
 def _scan(batches: Iterator[pa.RecordBatch], source: str, bits: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     """Digests of the documents without marked chunks, and the parts of the others."""
     coder, cutter = PieceCoder(source), Cutter(radius)
@@ -293,7 +285,7 @@ def _scan(batches: Iterator[pa.RecordBatch], source: str, bits: np.ndarray, radi
                 text = text or b""
                 chunks = cutter.chunks(text) if text and not coder.special(text) else []
                 found = _hashes(chunks)
-                shared = _marked(bits, found[:, 0])
+                shared = has_bit(bits, found[:, 0])
                 texts.append(text)
                 if not shared.any():
                     digests.append(coder.digests(coder.whole(text)))
@@ -344,18 +336,6 @@ def _join(batches: Iterator[pa.RecordBatch], source: str) -> Iterator[pa.RecordB
         yield pa.record_batch([batch.column("k1"), batch.column("k2"), *columns], ["k1", "k2", "n_tokens", "ids_sha", "text_sha"])
 
 
-def shared_bits(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` bits with those of the first bits of ``h1`` set; added up by Spark, at most 8 MB."""
-    word = F.shiftrightunsigned("h1", 64 - FILTER_BITS + 6).cast("int")
-    bit = (F.shiftrightunsigned("h1", 64 - FILTER_BITS).bitwiseAND(F.lit(63))).cast("int")
-    marked = hashes.select(word.alias("word"), bit.alias("bit"))
-    found = marked.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
-    rows = found.toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def encode_documents(
     docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
 ) -> DataFrame:
@@ -375,7 +355,7 @@ def encode_documents(
     counted = rows.select("text").mapInArrow(partial(_census, special=special, radius=radius), "h1 long, h2 long")
     with small_batches(spark):
         shared = materialize(counted.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "shared-chunks")
-        bits = shared_bits(shared)
+        bits = bits_of(shared, "h1")
         scanned = rows.mapInArrow(partial(_scan, source=source, bits=bits, radius=radius), _SCANNED.format(kind))
         scanned = materialize(scanned, "scanned-documents")
         size = scanned.where("parts IS NOT NULL").agg(F.sum("size")).first()[0] or 0

@@ -280,3 +280,25 @@ def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, str], x
     shifted = {n: (F.col(n) + F.coalesce(f"_{n}", nothing)).alias(n) for n in sums}
     shifted |= {n: F.col(n).bitwiseXOR(F.coalesce(f"_{n}", nothing)).alias(n) for n in xors}
     return materialize(out.select(*rows.columns, *shifted.values()), name)
+
+
+# ------------------------------------------------------------------ bitmaps of fixed size
+# Bits of a bitmap of hashes: 8 MB at every size of the data.
+FILTER_BITS = 26
+
+
+def bits_of(rows: DataFrame, hash_col: str) -> np.ndarray:
+    """A bitmap with the bits set that the first bits of 64-bit hashes name, added up by Spark."""
+    word = F.shiftrightunsigned(hash_col, 64 - FILTER_BITS + 6).cast("int").alias("word")
+    bit = F.shiftrightunsigned(hash_col, 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int").alias("bit")
+    found = rows.select(word, bit).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set; some are set for other hashes."""
+    h = hashes.view(np.uint64)
+    word, bit = h >> np.uint64(64 - FILTER_BITS + 6), (h >> np.uint64(64 - FILTER_BITS)) & np.uint64(63)
+    return ((bits[word] >> bit) & np.uint64(1)).astype(bool)

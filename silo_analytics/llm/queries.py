@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkcode, linedup, mixing, quality, recompress, sharding, simhash, tokens, topk, toxicity, trie, winnow
+from . import balltree, chunkcode, linedup, mixing, quality, recompress, sharding, simhash, tokens, topk, toxicity, trie, winnow
 from ..scratch import scratch_path
 from .common import table
 
@@ -300,3 +300,30 @@ def chunk_reuse(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_tokens", F.lower(F.hex("ids_sha")).alias("ids_sha256"),
         F.lower(F.hex("text_sha")).alias("decoded_sha256"),
     )
+
+
+_RANKED_TERMS = "regexp_extract_all(coalesce({}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".format(_LOWER.format("text"))
+
+_RANKED_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_RANKED_TERMS} AS w FROM documents),
+sizes AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM docs WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_RANKED_TERMS}) AS t FROM benchmark),
+found AS (
+  SELECT r, doc_id, len(w) AS m, t, count(*) AS tf
+  FROM (SELECT r, doc_id, w, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM found GROUP BY t), sizes),
+scores AS (
+  SELECT item_id, r, doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * m * sizes.n) // sizes.l))))) AS score
+  FROM asked JOIN found USING (t) JOIN weights USING (t), sizes GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 50
+"""
+
+
+@query("op11_ball_tree", _RANKED_SQL)
+def ball_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
