@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col
+from .common import col, running
 
 # Rows that the exact cut of a leaf's last epoch may have to order, on average.
 CUT_ROWS = 2_000
@@ -90,16 +90,19 @@ def choose_documents(
     ``levels`` are columns of ``docs``; null counts as "".  The budget is ``share`` of all tokens
     (words between blanks).  A taken document is always whole: a leaf's last epoch ends before
     the document that would pass its budget.  Documents without words are taken in every epoch
-    that reaches their place, and an epoch without budget takes none.  Rows that agree in leaf, id and text share one place and are
-    taken together.  No rows give no rows.
+    that reaches their place, and an epoch without budget takes none.  Rows that agree in leaf, id and text
+    are numbered, and each has a place of its own; so have rows with a null id.  No rows give no rows.
     """
     rows = docs.select(
         col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"),
         *[F.coalesce(col(c).cast("string"), F.lit("")).alias(f"level{k}") for k, c in enumerate(levels)],
-        word_count(col(text_col)).alias("tokens"),
+        F.coalesce(F.md5(col(text_col).cast("binary")), F.lit("")).alias("digest"),
+        word_count(col(text_col)).alias("tokens"), F.lit(1).cast("long").alias("one"),
     )
     names = [f"level{k}" for k in range(len(levels))]
-    rows = materialize(rows, "counted")
+    # Equal rows get the numbers 1, 2, ..., however many there are.
+    rows = rows.withColumn("same", F.xxhash64("id", F.col("id").isNull(), "digest", *names))
+    rows = running(rows, "same", [], {"copy": "one"}, {}, "counted").drop("same", "one")
     leaves = materialize(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "leaves")
     total = leaves.agg(F.sum("tokens"), F.sum("n")).first()
     budget = float(int(share * (total[0] or 0)))
@@ -110,15 +113,15 @@ def choose_documents(
     plan = materialize(plan.select(*names, "whole", "rest"), "leaf-budgets")
     # One order per leaf and epoch; the beginning of the hash is the bucket of the exact cut.
     drawn = rows.join(F.broadcast(plan), names) if leaves.count() <= 100_000 else rows.join(plan, names)
-    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")), *names))
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")), "digest", F.col("copy").cast("string"), *names))
     drawn = drawn.withColumn("draw", place)
     digits = 1
     while 16**digits * CUT_ROWS < (total[1] or 0) and digits < 8:
         digits += 1
     drawn = drawn.withColumn("bucket", F.substring("draw", 1, digits))
     sums = drawn.groupBy(*names, "bucket").agg(F.sum("tokens").alias("held"), F.first("rest").alias("rest"))
-    running = Window.partitionBy(*names).orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("held").over(running))
+    in_leaf = Window.partitionBy(*names).orderBy("bucket")
+    sums = sums.withColumn("upto", F.sum("held").over(in_leaf))
     edges = sums.select(
         *names, "bucket", (F.col("upto") - F.col("held")).alias("before"),
         F.when((F.col("rest") <= 0) | (F.col("upto") - F.col("held") > F.col("rest")), F.lit(0))

@@ -129,17 +129,18 @@ def two_pass_shuffle(spark: SparkSession, folder: str) -> DataFrame:
 
 _LINES_SQL = """
 WITH docs AS (
-  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT)) AS r,
+    CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
 windows AS (
-  SELECT doc_id, i, array_to_string(l[i : i + 2], chr(10)) AS k FROM docs, unnest(range(1, len(l) - 1)) AS t(i)),
+  SELECT r, i, array_to_string(l[i : i + 2], chr(10)) AS k FROM docs, unnest(range(1, len(l) - 1)) AS t(i)),
 later AS (
-  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM windows) WHERE r > 1),
-gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM later, unnest(range(i, i + 3)) AS t(p) GROUP BY doc_id)
+  SELECT r, i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY r, i) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT r, list(DISTINCT p) AS g FROM later, unnest(range(i, i + 3)) AS t(p) GROUP BY r)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN g IS NULL THEN array_to_string(l, chr(10))
     ELSE (SELECT coalesce(string_agg(l[p], chr(10) ORDER BY p), '') FROM unnest(range(1, len(l) + 1)) AS t(p)
           WHERE NOT list_contains(g, p)) END) AS kept_sha256
-FROM docs LEFT JOIN gone USING (doc_id)
+FROM docs LEFT JOIN gone USING (r)
 """
 
 
@@ -151,7 +152,7 @@ def line_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 _TOP_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -220,7 +221,8 @@ _MIX_SQL = f"""
 WITH docs AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     'd' || coalesce(CAST(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9])$', 1) AS INTEGER) % 4 AS VARCHAR), '3') AS domain,
-    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS tokens
+    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS tokens,
+    coalesce(md5(text), '') AS digest, row_number() OVER (PARTITION BY doc_id, lang, source, text) AS copy
   FROM documents),
 top_budget AS (SELECT CAST(floor({MIX_SHARE} * sum(tokens)) AS DOUBLE) AS budget FROM docs),
 {_level_sql("domain", [], "top_budget", _case("domain", DOMAIN_WEIGHTS, 5))},
@@ -234,7 +236,8 @@ epochs AS (SELECT *, CASE WHEN size > 0 THEN budget // size ELSE 0 END AS whole
 placed AS (
   SELECT docs.*, whole, budget - whole * size AS rest, sum(tokens) OVER (
     PARTITION BY domain, lang, source
-    ORDER BY md5(concat_ws('|', '3', CAST(whole AS VARCHAR), CAST(doc_id AS VARCHAR), domain, lang, source))) AS upto
+    ORDER BY md5(concat_ws('|', '3', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''), digest,
+      CAST(copy AS VARCHAR), domain, lang, source))) AS upto
   FROM docs JOIN epochs USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens,
   CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM placed

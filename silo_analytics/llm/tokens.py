@@ -17,6 +17,7 @@ once.  The files are read back through Spark, which also reaches stores that onl
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
 import uuid
@@ -34,7 +35,10 @@ from .common import col, small_batches, starts, trimmed
 
 FILE_BYTES = 24 << 20
 FRAME_BYTES = 128 << 10
-ENCODE_BYTES = 64 << 20
+ENCODE_BYTES = 192 << 20
+# Letters of text, and stretches, whose new stretches are encoded in one go.
+LEARN_BYTES = 1 << 20
+LEARN_WORDS = 4096
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -46,7 +50,7 @@ _MARK = b"TIX1"
 
 # ------------------------------------------------------------------ encoding
 class Encoder:
-    """Ids of texts as bytes, by a tokenizer file of the tokenizers library.
+    """Ids of texts as bytes, by the JSON of a tokenizer of the tokenizers library.
 
     With ``separable`` (a lower-casing tokenizer of at most 65,536 ids with word ends that
     keeps letters, signs and blanks apart), every distinct stretch between blanks is encoded
@@ -54,22 +58,25 @@ class Encoder:
     a special token in small or capital letters, it is encoded by itself.
     """
 
-    def __init__(self, path: str, end_id: int, separable: bool, limit: int = 800_000) -> None:
+    def __init__(self, source: str, end_id: int, separable: bool, limit: int = 1_200_000) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
+        self.tokenizer = Tokenizer.from_str(source)
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # Special tokens are told by case, stretches are not.
         self.special = re.compile("|".join(map(re.escape, self.specials)), re.IGNORECASE)
+        # What all special tokens begin with before their first letter; most texts hold none of it.
+        self.mark = re.match(r"\W*", os.path.commonprefix([*self.specials])).group()
         self.separator = next(iter(self.specials), None) if separable else None
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")] if separable else []
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for i in ends if i < 1 << 16]] = True
         if separable:
             # The same merges for small letters of ASCII, which need neither normalizing nor mapping.
-            self.plain = Tokenizer.from_file(path)
+            self.plain = Tokenizer.from_str(source)
             self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {"": b""}
         self.limit = limit
@@ -79,20 +86,21 @@ class Encoder:
         return [np.array(e.ids, self.type).tobytes() for e in found]
 
     def _learn(self, new: list[str]) -> None:
-        letters = sorted((w for w in new if w.isalpha()), key=str.isascii)
-        for at in range(0, len(letters), 512):
-            part = letters[at : at + 512]
-            # A word of letters gives ids of which only the last ends a word.
-            text = " ".join(part)
-            ids = (self.plain if text.isascii() else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(ids[0].ids, self.type)
-            self._share(part, ids.tobytes(), np.flatnonzero(self.ends[ids]) + 1, 0)
+        # Words of letters give ids of which only the last ends a word.
+        letters = [w for w in new if w.isalpha()]
+        near = [w for w in letters if w.isascii()]
+        for words, coder in ((near, self.plain), ([w for w in letters if not w.isascii()], self.tokenizer)):
+            for at in range(0, len(words), LEARN_WORDS):
+                part = words[at : at + LEARN_WORDS]
+                ids = coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+                ids = np.array(ids, self.type)
+                self._share(part, ids.tobytes(), np.flatnonzero(self.ends[ids]) + 1, 0)
         other = [w for w in new if not w.isalpha()]
         plain = [w for w in other if "<" not in w]
         mark = self.separator
-        for at in range(0, len(plain), 512):
-            part = plain[at : at + 512]
-            ids = self.tokenizer.encode(mark.join(part) + mark, add_special_tokens=False).ids
+        for at in range(0, len(plain), LEARN_WORDS):
+            part = plain[at : at + LEARN_WORDS]
+            ids = self.tokenizer.encode_batch_fast([mark.join(part) + mark], add_special_tokens=False)[0].ids
             ids = np.array(ids, self.type)
             self._share(part, ids.tobytes(), np.flatnonzero(ids == self.specials[mark]) + 1, 1)
         odd = [w for w in other if "<" in w]
@@ -111,20 +119,35 @@ class Encoder:
         """The ids of each text and the end id, as bytes."""
         if self.separator is None:
             return [ids + self.end for ids in self._whole(texts)]
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and size < LEARN_BYTES:
+                size += len(texts[to])
+                to += 1
+            out += self._some(texts[at:to])
+            at = to
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        """Ids of a few texts, whose new stretches are encoded together."""
+        if len(self.known) > self.limit:
+            self.known = {"": b""}
+        words = [None if self.mark in t and self.special.search(t) else _stretches(t) for t in texts]
+        found = [w and list(map(self.known.get, w)) for w in words]
+        gaps = [[k for k, ids in enumerate(f or ()) if ids is None] for f in found]
+        new = {w[k] for w, g in zip(words, gaps) for k in g}
+        self._learn(list(new))
         out = []
-        for text in texts:
-            if self.special.search(text):
+        for text, w, ids, g in zip(texts, words, found, gaps):
+            if w is None:
                 out.append(self._whole([text])[0] + self.end)
                 continue
-            words = _stretches(text)
-            try:
-                ids = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                if len(self.known) > self.limit:
-                    self.known = {"": b""}
-                self._learn(list(set(words).difference(self.known)))
-                ids = b"".join(map(self.known.__getitem__, words))
-            out.append(ids + self.end)
+            for k in g:
+                ids[k] = self.known[w[k]]
+            ids.append(self.end)
+            out.append(b"".join(ids))
         return out
 
 
@@ -144,9 +167,9 @@ def _stretches(text: str) -> list[str]:
 
 
 def _encode(
-    batches: Iterator[pa.RecordBatch], path: str, end_id: int, separable: bool, bounds: list[int]
+    batches: Iterator[pa.RecordBatch], source: str, end_id: int, separable: bool, bounds: list[int]
 ) -> Iterator[pa.RecordBatch]:
-    encoder, edges = Encoder(path, end_id, separable), np.array(bounds, np.int64)
+    encoder, edges = Encoder(source, end_id, separable), np.array(bounds, np.int64)
     for batch in trimmed(batches):
         ids = batch.column("id")
         keys = ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
@@ -313,13 +336,15 @@ def write_tokens(
         bounds = rows.agg(place).first()[0]
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
-    width = Encoder(tokenizer, end_id, separable).type.itemsize
+    with open(tokenizer, encoding="utf-8") as file:
+        source = file.read()  # executors need not have the file
+    width = Encoder(source, end_id, separable).type.itemsize
     # The tie also tells identical rows apart, so that they can be spread.
     tie = F.xxhash64("text", F.monotonically_increasing_id()).alias("tie")
     # Larger tasks meet more of their words again; the number of tasks still follows the size.
     tasks = max(spark.sparkContext.defaultParallelism, -(-(size[1] or 0) // ENCODE_BYTES))
     encoded = rows.select("id", tie, F.col("text")).coalesce(tasks).mapInArrow(
-        partial(_encode, path=tokenizer, end_id=end_id, separable=separable, bounds=bounds),
+        partial(_encode, source=source, end_id=end_id, separable=separable, bounds=bounds),
         "file int, id long, tie long, ids binary",
     )
     placed = encoded.repartitionById(files, F.col("file")).sortWithinPartitions("file", "id", "tie").select("file", "id", "ids")

@@ -35,15 +35,15 @@ _STEP = 256  # queries whose scores a task holds at once
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v): floor(scale * x) of every component, one row per id.
+    """(id, v): floor(scale * x) of every component, one row per id and vector.
 
     Left out: rows without an id, and vectors that are null, empty or hold a null or non-finite
-    component.  Of several rows with one id, the smallest vector counts.
+    component.  Different vectors under one id are rows of their own; equal rows count once.
     """
     v = F.transform(col(vec_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     fine = F.forall(col(vec_col), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x))
     rows = vectors.where(col(id_col).isNotNull() & fine & (F.size(col(vec_col)) > 0))
-    return rows.select(col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(col(id_col).cast("long").alias("id"), v.alias("v")).distinct()
 
 
 def _packed(batches: Iterator[pa.RecordBatch], block: int, cutoffs: bool) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,9 @@ def top_inner_products(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best rows of (id, v) for each query (id, v).
 
-    A query's own id is left out; ties go to the smaller id; fewer rows give fewer results.
+    Rows under a query's own id are left out; ties go to the smaller id; fewer rows give fewer
+    results.  Of several vectors under a query's id each asks, and their scores are ranked together;
+    several vectors under another id are ranked each by itself.
     Vectors of different lengths are compared as if padded with zeros.  Scores are exact as
     long as they fit in 64 bits.
     """

@@ -1,6 +1,7 @@
 import io
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -62,7 +63,7 @@ def test_only_asked_frames_are_read_and_damage_is_found():
 
 
 def test_stretches_give_the_ids_of_whole_texts():
-    coder = tokens.Encoder(WORD_BPE, 2, True, limit=500)
+    coder = tokens.Encoder(Path(WORD_BPE).read_text(), 2, True, limit=500)
     draw = np.random.default_rng(1)
     signs = [*"abCÉéßΣσİıK  \n\n,,..''!?_-12<>|\t\x1ć̇ ", "<|endoftext|>", "'s", ". ", ", ", "日本", ".\n"]
     texts = ["".join(draw.choice(signs, draw.integers(0, 25))) for _ in range(4000)]
@@ -71,7 +72,7 @@ def test_stretches_give_the_ids_of_whole_texts():
 
 
 def test_special_tokens_in_other_letters_are_text():
-    coder = tokens.Encoder(WORD_BPE, 2, True)
+    coder = tokens.Encoder(Path(WORD_BPE).read_text(), 2, True)
     texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "a<|startOFtext|>, B.", "A <|endoftext|> <|ENDOFTEXT|>", "<|StartOfText|><|startoftext|>\nC"]
     whole = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert coder(texts) == [np.array([*e.ids, 2], "<u2").tobytes() for e in whole]
