@@ -234,16 +234,16 @@ def crc(data: bytes) -> int:
 HOT_KEYS = 10_000
 
 
-def uneven_join(big: DataFrame, lookup: DataFrame, on: list[str], sizes: DataFrame) -> DataFrame:
+def uneven_join(big: DataFrame, lookup: DataFrame, on: list[str], sizes: DataFrame, rows: str = "n") -> DataFrame:
     """Left join to a lookup with unique keys, where some keys may hold most rows of ``big``.
 
-    ``sizes`` has the keys and ``n``, the rows of each key in ``big``.  Keys with over 10,000 rows and
+    ``sizes`` has the keys and ``n`` (or another name, ``rows``), the rows of each key in ``big``.  Keys with over 10,000 rows and
     over 1/10,000 of all rows are fewer than 10,000: their lookup rows are broadcast, and the rows
     of all other keys are shuffled.  ``big`` is read twice where there is a hot key, so it should be a
     written table.  Keys must not be null.
     """
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.where(F.col("n") > max(HOT_KEYS, total // HOT_KEYS)).select(*on)
+    total = sizes.agg(F.sum(rows)).first()[0] or 0
+    hot = sizes.where(F.col(rows) > max(HOT_KEYS, total // HOT_KEYS)).select(*on)
     hot = materialize(hot.join(lookup, on), "hot-keys")
     if hot.isEmpty():
         return big.join(lookup, on, "left")

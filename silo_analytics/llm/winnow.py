@@ -2,19 +2,19 @@
 
 Of every ``window`` words in a row, the smallest hash of a k-gram is kept as a fingerprint.  A
 document and a benchmark item that share a window keep the same smallest hash there, so a
-join of the fingerprints finds every shared window.  A fingerprint hit is extended to the
-windows around it, and those are looked up by a 128-bit hash among the windows of the items.
+join of the fingerprints finds every shared window.  The windows behind a fingerprint are told
+apart by a 128-bit hash of all their words, which the join compares as well.
 
-An item shorter than a window is one window by itself.  Its whole length is hashed at each
-place of a document, for the lengths that occur.
+An item shorter than a window is one window by itself, and its fingerprint is the hash of it.
 
-The items are dealt into blocks of bounded size by a hash; each block is held in memory by the
-tasks that read the documents.  A larger benchmark has more blocks, i.e. more passes.
+The windows of the items are a table written by Spark.  A bitmap of fixed size over their fingerprints
+spares the documents' other windows the join; a bit set by chance only costs a row of it.  The
+documents are read once, and neither side is ever in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -23,13 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import Words, col, lists, mix, pieces
+from .common import Words, bits_of, col, has_bit, lists, mix, pieces, uneven_join
 
 WINDOW = 10
 GRAM = 5
-# Words of benchmark items held by a task at once.
-BLOCK_WORDS = 400_000
-_NONE = np.uint64(2**64 - 1)
 
 
 def _word_bytes() -> tuple[np.ndarray, bytes]:
@@ -62,112 +59,100 @@ def winnow(grams: np.ndarray, span: int) -> np.ndarray:
     return low
 
 
-class ItemIndex:
-    """Windows and fingerprints of a block of benchmark items."""
+def _wide(hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` words that begin at some places."""
+    out = hashes[at]
+    for k in range(1, length):
+        out = mix(out, hashes[at + k])
+    return out
+
+
+def _short_mark(run: np.ndarray, length: int) -> np.ndarray:
+    """The fingerprint of a window shorter than usual."""
+    return mix(run, np.full(len(run), length, np.uint64))
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int, gram: int) -> None:
-        separators, same = _word_bytes()
-        self.window, self.gram = window, min(gram, window)
-        words = Words(pa.array([t for _, t in items], pa.binary()), separators)
+
+def _item_windows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(item, n, mark, a, b) of every window of the items."""
+    separators, same = _word_bytes()
+    for batch in pieces(batches, "text"):
+        words = Words(batch.column("text"), separators)
         hashes = words.hashes(11, same), words.hashes(12, same)
-        rows: dict[int, list] = {}
-        marks = []
-        for k, (item, _) in enumerate(items):
+        rows, lengths, parts = [], [], []
+        for k in np.flatnonzero(words.counts).tolist():
             a, b = (h[words.first[k] : words.first[k + 1]] for h in hashes)
             n = min(window, len(a))
-            if not n:
-                continue
-            if n == window:
-                grams = _chain(a, self.gram, {self.gram})[self.gram]
-                marks.append(np.unique(winnow(grams, window - self.gram + 1)))
-            rows.setdefault(n, []).append((item, _chain(a, n, {n})[n], _chain(b, n, {n})[n]))
-        self.marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a fingerprint
-        self.maybe[self.marks >> np.uint64(44)] = True
-        self.by_length = {}
-        numbers: dict[str, int] = {}  # one per name, however many texts it has
-        for n, entries in rows.items():
-            a = np.concatenate([e[1] for e in entries])
-            b = np.concatenate([e[2] for e in entries])
-            item = np.repeat([numbers.setdefault(e[0], len(numbers)) for e in entries], [len(e[1]) for e in entries])
-            order = np.argsort(a, kind="stable")
-            self.by_length[n] = a[order], b[order], item[order]
-        self.names = list(numbers)
-
-    def lookup(self, n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in a, item) of every window of length n that equals one of an item."""
-        known_a, known_b, item = self.by_length[n]
-        low, high = np.searchsorted(known_a, a, "left"), np.searchsorted(known_a, a, "right")
-        count = high - low
-        place = np.repeat(np.arange(len(a)), count)
-        entry = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        same = known_b[entry] == b[place]
-        return place[same], item[entry[same]]
-
-
-def _find(
-    index: ItemIndex, text: np.ndarray, a: np.ndarray, second: Callable[[], np.ndarray]
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, length, item) of the item windows in the words of several texts."""
-    none = np.zeros(0, np.int64)
-    found = [(none, none, none)]
-    short = sorted(n for n in index.by_length if n < index.window)
-    if short:
-        runs_a, runs_b = (_chain(h, short[-1], set(short)) for h in (a, second()))
-        for n in short:
-            at = np.flatnonzero(text[: len(runs_a[n])] == text[n - 1 :])
-            place, item = index.lookup(n, runs_a[n][at], runs_b[n][at])
-            found.append((at[place], np.full(len(place), n), item))
-    if index.window in index.by_length and len(a) >= index.window:
-        n = index.window
-        low = winnow(_chain(a, index.gram, {index.gram})[index.gram], n - index.gram + 1)
-        # Extend: of the windows whose fingerprint is one of the items', hash the whole window.
-        hit = np.flatnonzero(index.maybe[low >> np.uint64(44)] & (text[: len(low)] == text[n - 1 :]))
-        hit = hit[np.isin(low[hit], index.marks)] if len(hit) else hit
-        if len(hit):
-            b = second()
-            wide_a, wide_b = a[hit], b[hit]
-            for k in range(1, n):
-                wide_a, wide_b = mix(wide_a, a[hit + k]), mix(wide_b, b[hit + k])
-            place, item = index.lookup(n, wide_a, wide_b)
-            found.append((hit[place], np.full(len(place), n), item))
-    return tuple(np.concatenate(part) for part in zip(*found))
-
-
-def _scan(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
+            at = np.arange(len(a) - n + 1)
+            run = _wide(a, at, n)
+            mark = winnow(_chain(a, gram, {gram})[gram], n - gram + 1) if n == window else _short_mark(run, n)
+            rows.append(np.full(len(at), k))
+            lengths.append(np.full(len(at), n, np.int32))
+            parts.append((mark, run, _wide(b, at, n)))
+        if rows:
+            items = batch.column("item").take(pa.array(np.concatenate(rows)))
+            marks = [pa.array(np.concatenate(p).view(np.int64)) for p in zip(*parts)]
+            yield pa.record_batch([items, pa.array(np.concatenate(lengths)), *marks], ["item", "n", "mark", "a", "b"])
+
+
+_CANDIDATE = ["n", "place", "mark", "a", "b"]
+
+
+def _scan(
+    batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list[int], window: int, gram: int
+) -> Iterator[pa.RecordBatch]:
+    """The windows of each document whose fingerprint may be one of the items'."""
     separators, same = _word_bytes()
-    names = pa.array(index.names, pa.string())
+    short = [n for n in lengths if n < window]
     for batch in pieces(batches, "text"):
         words = Words(batch.column("text"), separators)
-        n, total = batch.num_rows, len(words.text)
-        place, length, item = _find(index, words.text, words.hashes(11, same), lambda: words.hashes(12, same))
-        edge = np.zeros(total + 1, np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + length, -1)
-        hit = np.zeros(total + 1, bool)
-        hit[:total] = np.cumsum(edge)[:total] > 0
-        fresh = np.zeros(total + 1, bool)
-        fresh[words.first] = True
-        begin = hit.copy()
-        begin[1:] &= ~hit[:-1] | fresh[1:]
-        first = np.flatnonzero(begin)
-        last = np.flatnonzero(hit[:total] & (~hit[1:] | fresh[1:])) + 1
-        owner = words.text[first]
-        shift = words.first[owner]
-        spans = pa.StructArray.from_arrays([pa.array(first - shift), pa.array(last - shift)], ["first", "last"])
-        pairs = np.unique(words.text[place] * max(len(names), 1) + item)
+        text, total = words.text, len(words.text)
+        first = words.hashes(11, same)
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        runs = _chain(first, short[-1], set(short)) if short else {}
+        for n in short:
+            mark = _short_mark(runs[n], n)
+            at = np.flatnonzero(has_bit(bits, mark) & (text[: len(mark)] == text[n - 1 :][: len(mark)]))
+            found.append((n, at, mark[at]))
+        if window in lengths and total >= window:
+            low = winnow(_chain(first, gram, {gram})[gram], window - gram + 1)
+            at = np.flatnonzero(has_bit(bits, low) & (text[: len(low)] == text[window - 1 :]))
+            found.append((window, at, low[at]))
+        second = words.hashes(12, same) if any(len(at) for _, at, _ in found) else first
+        columns = [
+            (np.full(len(at), n), at, mark.view(np.int64), _wide(first, at, n).view(np.int64), _wide(second, at, n).view(np.int64))
+            for n, at, mark in found
+        ]
+        n, at, mark, a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (list(zip(*columns)) or [()] * 5))
+        owner = text[at]
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        place = at[order] - words.first[owner]
+        values = [n[order].astype(np.int32), place.astype(np.int64), mark[order], a[order], b[order]]
+        windows = pa.StructArray.from_arrays([pa.array(v) for v in values], _CANDIDATE)
         yield pa.record_batch(
-            [
-                batch.column("row"), batch.column("id"), batch.column("text_hash"), pa.array(words.counts), lists(owner, n, spans),
-                lists(pairs // max(len(names), 1), n, names.take(pa.array(pairs % max(len(names), 1)))),
-            ],
-            ["row", "id", "text_hash", "n_words", "spans", "items"],
+            [batch.column("id"), batch.column("text_hash"), pa.array(words.counts.astype(np.int64)), lists(owner, batch.num_rows, windows)],
+            ["id", "text_hash", "n_words", "windows"],
         )
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans [first, last) per row, joined where they meet or overlap."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans"):
+            first, last = (spans.values.field(c).to_numpy() for c in ("first", "last"))
+            order = np.argsort(first, kind="stable")
+            first, reach = first[order], np.maximum.accumulate(last[order])
+            begins = np.append(True, first[1:] > reach[:-1])
+            ends = np.append(begins[1:], True)
+            out.append([{"first": i, "last": j} for i, j in zip(first[begins].tolist(), reach[ends].tolist())])
+        yield pa.record_batch([batch.column("row"), pa.array(out, kind)], ["row", "spans"])
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS,
+    item_text: str = "text", window: int = WINDOW, gram: int = GRAM,
 ) -> DataFrame:
     """One row per document row: id, text_hash, n_words, spans of hit words [first, last), items (ids as strings).
 
@@ -176,49 +161,39 @@ def contamination(
     documents give repeated rows, repeated items are named once.  Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    gram = min(gram, window)
     named = items.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(item_text).alias("text"))
-    # A word takes at least two bytes with its blank.
-    bound = F.octet_length("text") / 2 + 1
-    size = named.agg(F.sum(bound)).first()[0] or 0
-    blocks = max(1, int(-(-size // block_words)))
-    rows = docs.select(
-        (F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long")).alias("row"),
-        col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"),
+    windows = named.mapInArrow(partial(_item_windows, window=window, gram=gram), "item string, n int, mark long, a long, b long")
+    windows = materialize(windows.distinct(), "item-windows")
+    key = ["n", "mark", "a", "b"]
+    numbered = windows.groupBy(*key).agg(F.collect_set("item").alias("items"))
+    numbered = materialize(numbered.withColumn("number", F.monotonically_increasing_id()), "numbered-windows")
+    lengths = [r.n for r in numbered.select("n").distinct().orderBy("n").collect()]  # at most ``window`` numbers
+    rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
+    scan = rows.mapInArrow(
+        partial(_scan, bits=bits_of(numbered, "mark"), lengths=lengths, window=window, gram=gram),
+        f"id {kind}, text_hash long, n_words long, windows array<struct<n:int,place:long,mark:long,a:long,b:long>>",
     )
-    found = None
-    for block in range(blocks):
-        part = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).distinct()
-        index = ItemIndex([(r.item, (r.text or "").encode()) for r in part.toLocalIterator()], window, gram)
-        scan = rows.mapInArrow(
-            partial(_scan, index=index),
-            f"row long, id {kind}, text_hash long, n_words long, spans array<struct<first:long,last:long>>, items array<string>",
-        )
-        found = scan if found is None else found.unionByName(scan)
-    if blocks == 1:
-        return found.drop("row")
-    merged = found.groupBy("row").agg(
-        F.first("id").alias("id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    # The numbers of the rows are written, so that later steps see the same ones.
+    found = materialize(scan.withColumn("row", F.monotonically_increasing_id()), "document-windows")
+    some = found.where(F.size("windows") > 0).select("row", F.inline("windows"))
+    some = materialize(some, "fingerprint-hits")
+    joined = uneven_join(some, numbered.select(*key, "number"), key, some.groupBy(*key).agg(F.count("*").alias("rows")), "rows")
+    hits = materialize(joined.where("number IS NOT NULL").select("row", "number", "n", "place"), "window-hits")
+    span = F.struct(F.col("place").alias("first"), (F.col("place") + F.col("n")).alias("last"))
+    spans = hits.groupBy("row").agg(F.collect_list(span).alias("spans"))
+    spans = spans.mapInArrow(_merge, "row long, spans array<struct<first:long,last:long>>")
+    pairs = materialize(hits.select("row", "number").distinct(), "window-pairs")
+    each = pairs.groupBy("number").agg(F.count("*").alias("n"))
+    names = uneven_join(pairs, numbered.select("number", "items"), ["number"], each)
+    names = names.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.collect_set("item").alias("items"))
+    hit = materialize(spans.join(names, "row"), "contaminated-rows")
+    empty = F.from_json(F.lit("[]"), "array<struct<first:long,last:long>>")
+    out = found.select("row", "id", "text_hash", "n_words").join(hit, "row", "left")
+    return out.select(
+        "id", "text_hash", "n_words", F.coalesce("spans", empty).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    return merged.select("id", "text_hash", "n_words", _merged_spans(F.col("spans")).alias("spans"), "items")
-
-
-def _merged_spans(spans):
-    """Sorted spans joined where they meet or overlap."""
-    empty = F.slice(spans, 1, 0)
-
-    def add(out, s):
-        last = F.element_at(out, -1)
-        joined = F.concat(
-            F.slice(out, F.lit(1), F.size(out) - 1),
-            F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))),
-        )
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["last"] >= s["first"]), joined).otherwise(
-            F.concat(out, F.array(s))
-        )
-
-    return F.aggregate(spans, empty, add)
 
 
 def contamination_report(found: DataFrame) -> DataFrame:

@@ -219,3 +219,13 @@ def test_leaves_take_whole_epochs_and_a_prefix(odd, monkeypatch, cut_rows):
 
 def test_nothing_to_mix(none):
     assert mixing.choose_documents(none, ["lang"], [{}], [1]).collect() == []
+
+
+@pytest.mark.parametrize("ids", ["distinct", "null", "half null", "repeated"])
+def test_a_leaf_takes_its_budget_whatever_the_ids(spark, ids):
+    number = {"distinct": lambda k: k, "null": lambda k: None, "half null": lambda k: k if k % 2 else None, "repeated": lambda k: k % 3}[ids]
+    rows = [(number(k), " ".join(["w"] * (k % 9 + 1)), "en", "s0") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mixing.choose_documents(docs, ["lang", "source"], [{}, {}], [1, 1], share=0.5, max_epochs=1).collect()
+    total = sum(r.tokens for r in taken)
+    assert len(taken) == 400 and total // 2 - 9 <= sum(r.tokens * r.epochs for r in taken) <= total // 2

@@ -7,7 +7,7 @@ from conftest_llm import make
 from conftest_llm import item_words, plain_words
 from pyspark.sql import functions as F
 
-from silo_analytics.llm import linedup, recompress, winnow
+from silo_analytics.llm import common, linedup, recompress, winnow
 
 
 def sha(text):
@@ -82,23 +82,23 @@ def contaminated(rows, items, window):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize("block_words", [400_000, 60])
-def test_contamination_as_by_brute_force(spark, odd, block_words):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_contamination_as_by_brute_force(spark, odd, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     texts = [t for _, t in rows if t and len(t) > 60][:12]
     items = [(1, texts[0][:90].upper()), (2, "line"), (3, "of the shared"), (4, None), (5, ""), (6, "--"), (None, texts[1][5:80])]
     items += [(7, texts[2]), (7, texts[2]), (11, "東京"), (12, texts[3][:200]), (10, texts[3][:200]), (13, "same " * 12)]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("items", F.lit("z"))
-    got = winnow.contamination_report(winnow.contamination(odd, table, window=10, block_words=block_words)).collect()
+    got = winnow.contamination_report(winnow.contamination(odd, table, window=10)).collect()
     assert sorted(str(tuple(r)) for r in got) == contaminated(rows, items, 10)
 
 
-@pytest.mark.parametrize("block_words", [400_000, 4])
-def test_an_item_with_several_texts_is_named_once(spark, block_words):
+def test_an_item_with_several_texts_is_named_once(spark):
     items = [(1, "one two three"), (1, "four five six"), (None, "seven eight"), (None, "nine ten"), (2, "one two")]
     rows = [(1, "one two three four five six seven eight nine ten"), (2, "four five six one two three"), (3, "nine")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = winnow.contamination_report(winnow.contamination(make(spark, rows), table, block_words=block_words)).collect()
+    got = winnow.contamination_report(winnow.contamination(make(spark, rows), table)).collect()
     assert [r.n_items for r in sorted(got)] == [3, 2, 0]
     assert sorted(str(tuple(r)) for r in got) == contaminated(rows, items, 10)
 
@@ -135,7 +135,7 @@ def test_line_windows_of_rows_stored_twice(spark):
     rows = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (None, "a\nb\nc"), (3, "a\nb")]
     got = linedup.remove_later_windows(make(spark, rows)).collect()
     assert sorted((r.id or 0, r.n_removed, r.kept) for r in got) == [
-        (0, 3, ""), (1, 0, "a\nb\nc\nd"), (1, 0, "a\nb\nc\nd"), (2, 3, "x"), (3, 0, "a\nb")
+        (0, 3, ""), (1, 0, "a\nb\nc\nd"), (1, 4, ""), (2, 3, "x"), (3, 0, "a\nb")
     ]
 
 
