@@ -1,26 +1,32 @@
 """Perceptron with two hidden layers: pooled, and one per silo averaged over rounds.
 
 Sigmoid layers, softmax output, full-batch L-BFGS.  It plays the role of a ReLU network
-trained with Adam but is not the same model.  Loss and gradient are added up per silo where the
-rows lie and only those sums are shuffled, so no silo is gathered and small and large ones are
-trained the same way; one job evaluates all silos of a chunk.  The driver keeps the L-BFGS steps
-of a chunk.  A model is its flat weight vector: per layer the (out x in) matrix by columns, then
-the biases.
+trained with Adam but is not the same model.  A model is its flat weight vector: per layer the
+(out x in) matrix by columns, then the biases.
+
+Rows are laid out once, packed in blocks of one silo, and all silos of all groups (strategies, folds)
+are trained in one chain of jobs: an evaluation adds up loss and gradient per silo where the
+blocks lie, and only those sums are shuffled.  No silo is gathered, and small and large ones are trained
+the same way.  The steps of up to ``MODELS_PER_FIT`` silos are held by the driver; those of more
+are rows of a table that every evaluation reads and writes, so that the number of jobs
+does not depend on the number of silos.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Generator, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import join_lookup, local_table, materialize
+from ..scratch import join_lookup, local_table, materialize, remove_tree, scratch_path
 from .averaging import average_vectors
 from .metrics import ranking_metrics
 
@@ -31,14 +37,20 @@ POOLED_EPOCHS = 500
 ROUND_EPOCHS = 100
 # Values (rows x features) of a silo whose sums are added up in one part; a larger silo has several.
 LOCAL_VALUES = 1_000_000
-# Silos whose L-BFGS steps the driver holds at once (about 0.5 MB each).
+# Silos whose L-BFGS steps the driver holds (about 0.5 MB each); those of more are a table.
 MODELS_PER_FIT = 200
+# Bytes of weights that one evaluation broadcasts to the blocks of a chunk.
+WEIGHTS_PER_CHUNK = 32 << 20
+# Values (rows x features) of a block.
+BLOCK_VALUES = 100_000
 # Sums that a task holds at once before it hands them on.
 SUMS_PER_TASK = 256
 # Silos whose parts one task of the second stage adds up, at least.
 MODELS_PER_TASK = 16
-SUMS = "silo string, part long, sums array<double>"
-FITS = "silo string, n long, n_pos long, params array<double>, auroc double, ap double"
+SUMS = "grp string, silo string, part long, sums array<double>"
+FITS = "grp string, silo string, n long, n_pos long, params array<double>, auroc double, ap double"
+STEPS = "grp string, silo string, n long, wanted array<double>, state array<double>, open boolean"
+BLOCKS = "chunk int, grp string, silo string, part long, n long, y binary, times binary, x binary"
 
 
 def weight_count(size: int) -> int:
@@ -94,151 +106,355 @@ def loss_and_slope(flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[floa
     return float(sums[0]), sums[1:]
 
 
-def descent(
-    start: np.ndarray, epochs: int, tol: float = 1e-4, memory: int = 10
-) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
-    """L-BFGS with halving steps; stops when the loss changes by less than ``tol`` of itself.
+class Descent:
+    """L-BFGS with halving steps, one evaluation at a time.
 
-    Yields the weights whose loss and gradient it wants to be sent next, and returns the last ones.
+    ``wanted`` are the weights whose loss and gradient ``send`` is to be given next; ``open`` tells
+    whether there is more to do, and ``w`` is the result.  Stops after ``epochs`` steps, or when the loss changes
+    by less than ``tol / 100`` of itself.  The whole state is a vector of numbers (``packed``).
     """
-    w = np.array(start, float)
-    loss, slope = yield w
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(epochs):
-        d, weights = -slope, []
-        for s, t in reversed(pairs):
+
+    TOL, MEMORY = 1e-4, 10
+
+    def __init__(self, start: np.ndarray, epochs: int) -> None:
+        self.w = self.wanted = np.array(start, float)
+        self.loss, self.slope, self.d = 0.0, np.zeros_like(self.w), np.zeros_like(self.w)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.step, self.down, self.left, self.begun, self.open = 1.0, 0.0, epochs, False, True
+
+    def packed(self) -> np.ndarray:
+        head = [self.loss, self.step, self.down, self.left, self.begun, self.open, len(self.w)]
+        return np.concatenate([head, self.w, self.wanted, self.slope, self.d, *(v for pair in self.pairs for v in pair)])
+
+    @classmethod
+    def unpacked(cls, flat: np.ndarray) -> Descent:
+        size = int(flat[6])
+        self = cls(flat[7 : 7 + size], int(flat[3]))
+        self.loss, self.step, self.down, self.begun, self.open = *flat[:3].tolist(), bool(flat[4]), bool(flat[5])
+        self.wanted, self.slope, self.d, *rest = flat[7 + size :].reshape(-1, size)
+        self.pairs = list(zip(rest[::2], rest[1::2]))
+        return self
+
+    def send(self, loss: float, slope: np.ndarray) -> None:
+        if not self.begun:
+            self.begun, self.loss, self.slope = True, loss, slope
+            self._aim(self.left > 0)
+        elif loss <= self.loss + 1e-4 * self.step * self.down:
+            s, t = self.step * self.d, slope - self.slope
+            if s @ t > 1e-12:
+                self.pairs = [*self.pairs, (s, t)][-self.MEMORY :]
+            done = abs(self.loss - loss) <= self.TOL * max(abs(loss), 1e-12) * 1e-2
+            self.w, self.loss, self.slope, self.left = self.w + s, loss, slope, self.left - 1
+            self._aim(not done and self.left > 0)
+        else:
+            self.step /= 2
+            self.open = self.step > 1e-10
+            self.wanted = self.w + self.step * self.d
+
+    def _aim(self, more: bool) -> None:
+        """The direction of the next step, if there is one."""
+        self.open = more
+        if not more:
+            return
+        d, weights = -self.slope, []
+        for s, t in reversed(self.pairs):
             weights.append(s @ d / (s @ t))
             d = d - weights[-1] * t
-        if pairs:
-            s, t = pairs[-1]
+        if self.pairs:
+            s, t = self.pairs[-1]
             d = d * (s @ t) / (t @ t)
-        for (s, t), a in zip(pairs, reversed(weights)):
+        for (s, t), a in zip(self.pairs, reversed(weights)):
             d = d + (a - t @ d / (s @ t)) * s
-        step, down = 1.0, slope @ d
-        if down >= 0:
-            d, down, pairs = -slope, -(slope @ slope), []
-        while step > 1e-10:
-            next_loss, next_slope = yield w + step * d
-            if next_loss <= loss + 1e-4 * step * down:
-                break
-            step /= 2
-        else:
-            break
-        s, t = step * d, next_slope - slope
-        if s @ t > 1e-12:
-            pairs = [*pairs, (s, t)][-memory:]
-        done = abs(loss - next_loss) <= tol * max(abs(next_loss), 1e-12) * 1e-2
-        w, loss, slope = w + s, next_loss, next_slope
-        if done:
-            break
-    return w
+        self.step, self.down = 1.0, self.slope @ d
+        if self.down >= 0:
+            d, self.down, self.pairs = -self.slope, -(self.slope @ self.slope), []
+        self.d, self.wanted = d, self.w + d
+
+
+# ------------------------------------------------------------------ layout
+@dataclass
+class Layout:
+    """Training rows of the silos (grp, silo) as blocks, and ``sizes`` (grp, silo, n, n_pos, usable)."""
+
+    blocks: DataFrame
+    sizes: DataFrame
+    size: int
+    silos: int
+    chunks: int
+    cut: bool
+
+    def only(self, silos: DataFrame) -> Layout:
+        """The same rows, with the named silos (grp, silo) to be trained alone."""
+        kept = materialize(join_lookup(self.sizes, silos, ["grp", "silo"], "left_semi"), "silo-sizes")
+        return replace(self, sizes=kept, silos=kept.filter("usable").count())
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by silo and part as blocks of one part; labels, counts and features as bytes."""
+    held: list[tuple] = []
+    key, count = None, 0
+
+    def close() -> pa.RecordBatch:
+        y, times, x = (np.concatenate(part) for part in zip(*held))
+        values = [*key, len(y), y.tobytes(), times.tobytes(), x.tobytes()]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["chunk", "grp", "silo", "part", "n", "y", "times", "x"]
+        return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+    for batch in batches:
+        codes = [np.asarray(batch.column(c).dictionary_encode().indices) for c in ("grp", "silo")]
+        columns = [*codes, np.asarray(batch.column("part")), np.asarray(batch.column("chunk"))]
+        change = np.any([np.diff(c) != 0 for c in columns], axis=0)
+        cuts = np.flatnonzero(change) + 1
+        y, times = (np.asarray(batch.column(c), float) for c in ("y", "times"))
+        x = np.asarray(batch.column("x").flatten(), float).reshape(len(y), size)
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(y)]):
+            for at in range(i, j, most):
+                to = min(at + most, j)
+                here = tuple(batch.column(c)[at].as_py() for c in ("chunk", "grp", "silo", "part"))
+                if held and (here != key or count + to - at > most):
+                    yield close()
+                    held, count = [], 0
+                key, count = here, count + to - at
+                held.append((y[at:to], times[at:to], x[at:to]))
+    if held:
+        yield close()
+
+
+def lay_out(
+    df: DataFrame, silo: str, label: str, features: str, size: int, min_rows: int = 5,
+    local_values: int = LOCAL_VALUES, group: str | None = None,
+) -> Layout:
+    """Write the rows once, in parts and order that follow from the rows alone.
+
+    A silo is named by (``group``, ``silo``).  Equal rows become one that counts several times, so that
+    no value is common enough to fill a task.  Rows with a null silo train nothing; a silo with fewer than ``min_rows``
+    rows or one class is not usable.
+    """
+    grp = F.lit("") if group is None else F.col(group).cast("string")
+    rows = df.filter(F.col(silo).isNotNull()).select(
+        grp.alias("grp"), F.col(silo).cast("string").alias("silo"), F.col(label).cast("long").alias("y"), F.col(features).alias("x")
+    )
+    sizes = rows.groupBy("grp", "silo").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
+    usable = F.coalesce(F.expr(f"n >= {min_rows} AND n_pos > 0 AND n_pos < n"), F.lit(False))
+    sizes = materialize(sizes.withColumn("usable", usable), "silo-sizes")
+    found = sizes.filter("usable").agg(F.count(F.lit(1)).alias("silos"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    most = max(1, local_values // size)
+    chunks = max(1, -(-found.silos * weight_count(size) * 8 // WEIGHTS_PER_CHUNK))
+    cut = sizes.select("grp", "silo", F.ceil(F.col("n") / most).alias("_parts")).filter("_parts > 1")
+    taken = join_lookup(rows, sizes.filter("usable").select("grp", "silo"), ["grp", "silo"], "left_semi")
+    distinct = taken.groupBy("grp", "silo", "y", "x").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    marked = join_lookup(distinct, cut, ["grp", "silo"], "left").select(
+        F.pmod(F.xxhash64("grp", "silo"), F.lit(chunks)).cast("int").alias("chunk"), "grp", "silo",
+        F.pmod(F.xxhash64("y", "x"), F.coalesce("_parts", F.lit(1))).alias("part"), "y", "times", "x",
+    )
+    spread = marked.repartition(max(1, -(-(found.rows or 0) // most)), "grp", "silo", "part")
+    spread = spread.sortWithinPartitions("chunk", "grp", "silo", "part", "y", "x")
+    blocks = spread.mapInArrow(partial(_packed_rows, size=size, most=max(1, BLOCK_VALUES // size)), BLOCKS)
+    blocks = materialize(blocks, "network-rows", partition_by=["chunk"])
+    return Layout(blocks, sizes, size, found.silos, chunks, (found.most or 0) > most)
 
 
 # ------------------------------------------------------------------ grouped training
-def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[str, int, slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """(silo, part, rows, x, y, times) of every stretch of rows of one part; the rows lie in their order."""
-    silos = batch.column("silo").dictionary_encode()
-    names, codes = silos.dictionary.to_pylist(), np.asarray(silos.indices)
-    parts, y, times = (np.asarray(batch.column(c)) for c in ("part", "y", "times"))
-    x = np.asarray(batch.column("x").flatten()).reshape(len(y), size)
-    cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(parts) != 0)) + 1
-    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(y)]):
-        if j > i:
-            yield names[codes[i]], int(parts[i]), slice(i, j), x[i:j], y[i:j], times[i:j]
+def _opened(row: dict, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    y, times, x = (np.frombuffer(row[c], np.float64) for c in ("y", "times", "x"))
+    return x.reshape(len(y), size), y, times
 
 
-def _part_sums(size: int, params: Mapping[str, np.ndarray]):
-    """Loss and gradient sums of every part of an open silo, where its rows lie."""
+def _sum_batch(held: Mapping[tuple[str, str, int], np.ndarray]) -> pa.RecordBatch:
+    grp, silo, part = zip(*held)
+    columns = [pa.array(grp, pa.string()), pa.array(silo, pa.string()), pa.array(part, pa.int64())]
+    return pa.record_batch([*columns, pa.array(list(held.values()), pa.list_(pa.float64()))], ["grp", "silo", "part", "sums"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], np.ndarray] = {}
-        for batch in batches:
-            for silo, part, _, x, y, times in _blocks(batch, size):
-                if silo not in params:
-                    continue
-                sums = _loss_sums(params[silo], x, y, times)
-                held[silo, part] = held[silo, part] + sums if (silo, part) in held else sums
-            if len(held) > SUMS_PER_TASK:
-                yield _sum_batch(held)
-                held = {}
-        if held:
-            yield _sum_batch(held)
 
-    return run
+def _part_sums(batches: Iterator[pa.RecordBatch], size: int, params: Mapping | None) -> Iterator[pa.RecordBatch]:
+    """Loss and gradient sums of every part of an open silo; its weights are given, or beside each block."""
+    held: dict[tuple[str, str, int], np.ndarray] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in ("grp", "silo", "part")}
+            key = row["grp"], row["silo"]
+            if params is not None and key not in params:
+                continue
+            weights = params[key] if params is not None else batch.column("wanted")[i].values.to_numpy()
+            row |= {c: batch.column(c)[i].as_buffer() for c in ("y", "times", "x")}
+            sums = _loss_sums(weights, *_opened(row, size))
+            named = (*key, row["part"])
+            held[named] = held[named] + sums if named in held else sums
+        if len(held) > SUMS_PER_TASK:
+            yield _sum_batch(held)
+            held = {}
+    if held:
+        yield _sum_batch(held)
 
 
-def _sum_batch(held: Mapping[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()),
-            pa.array(list(held.values()), pa.list_(pa.float64())),
-        ],
-        names=["silo", "part", "sums"],
-    )
+def _total(parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Parts added in their order, so that the sum is the same every time."""
+    return np.sum([s for _, s in sorted(parts, key=lambda p: (p[0], p[1][0]))], axis=0)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per silo; the parts are added in their order, so that the sum is the same every time."""
-    held: dict[str, list[tuple]] = {}
+    """One row of sums per silo."""
+    held: dict[tuple[str, str], list[tuple]] = {}
     for batch in batches:
         sums = np.asarray(batch.column("sums").flatten()).reshape(batch.num_rows, -1)
-        for silo, part, row in zip(batch.column("silo").to_pylist(), batch.column("part").to_pylist(), sums):
-            held.setdefault(silo, []).append((part, row[0], row))
-    for silo, rows in held.items():
-        yield _sum_batch({(silo, 0): np.sum([r[2] for r in sorted(rows, key=lambda r: r[:2])], axis=0)})
+        for grp, silo, part, row in zip(*(batch.column(c).to_pylist() for c in ("grp", "silo", "part")), sums):
+            held.setdefault((grp, silo), []).append((part, row))
+    if held:
+        yield _sum_batch({(*key, 0): _total(rows) for key, rows in held.items()})
 
 
-def _scores(size: int, params: Mapping[str, np.ndarray]):
-    """The probability of class 1 of every row, by the network of its silo."""
+def _step_batch(rows: list[tuple]) -> pa.RecordBatch:
+    grp, silo, n, steps = zip(*rows)
+    floats = pa.list_(pa.float64())
+    columns = [pa.array(grp, pa.string()), pa.array(silo, pa.string()), pa.array(n, pa.int64())]
+    columns += [pa.array([d.wanted for d in steps], floats), pa.array([d.packed() for d in steps], floats), pa.array([d.open for d in steps])]
+    return pa.record_batch(columns, ["grp", "silo", "n", "wanted", "state", "open"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for silo, _, rows, x, y, times in _blocks(batch, size):
-                if silo in params:
-                    found = [pa.array([silo] * len(y), pa.string()), pa.array(y), pa.array(times)]
-                    yield pa.record_batch([*found, pa.array(_forward(params[silo], x)[1])], ["silo", "y", "times", "score"])
 
-    return run
+def _first_steps(batches: Iterator[pa.RecordBatch], plans: Mapping[str, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(r["grp"], r["silo"], r["n"], Descent(plans[r["grp"]][1], plans[r["grp"]][0])) for r in batch.to_pylist()]
+        if rows:
+            yield _step_batch(rows)
+
 
+def _next_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States (part null) and sums, sorted by silo: every silo moves on by one evaluation."""
+    key, n, state, parts = None, 0, None, []
 
-def _laid_out(rows: DataFrame, sizes: DataFrame, size: int, chunks: int, total: int, local_values: int) -> DataFrame:
-    """The rows (silo, y, x) written once, in parts and order that follow from the rows alone.
+    def close() -> pa.RecordBatch:
+        step, total = Descent.unpacked(state), _total(parts)
+        step.send(float(total[0] / n), total[1:] / n)
+        return _step_batch([(*key, n, step)])
 
-    Equal rows become one that counts several times, so that no value is common enough to fill a task.
+    for batch in batches:
+        for i in range(batch.num_rows):
+            here = batch.column("grp")[i].as_py(), batch.column("silo")[i].as_py()
+            if here != key:
+                if key is not None:
+                    yield close()
+                key, parts = here, []
+            part = batch.column("part")[i].as_py()
+            if part is None:
+                n, state = batch.column("n")[i].as_py(), batch.column("state")[i].values.to_numpy()
+            else:
+                parts.append((part, batch.column("sums")[i].values.to_numpy()))
+    if key is not None:
+        yield close()
+
+
+def _descend(layout: Layout, plans: Mapping[str, tuple[int, np.ndarray]]) -> DataFrame:
+    """(grp, silo, params) of all usable silos, whose steps the driver holds: one job per evaluation."""
+    spark = layout.blocks.sparkSession
+    known = layout.sizes.filter("usable").select("grp", "silo", "n").collect()  # at most MODELS_PER_FIT
+    open_ = {(r.grp, r.silo): (r.n, Descent(plans[r.grp][1], plans[r.grp][0])) for r in known}
+    done: dict[tuple[str, str], np.ndarray] = {}
+    while open_:
+        wanted = {key: step.wanted for key, (_, step) in open_.items()}
+        sums = layout.blocks.mapInArrow(partial(_part_sums, size=layout.size, params=wanted), SUMS)
+        if layout.cut:
+            sums = sums.repartition(max(1, -(-len(wanted) // MODELS_PER_TASK)), "grp", "silo").mapInArrow(_added, SUMS)
+        parts: dict[tuple[str, str], list] = {}
+        for r in sums.collect():  # about one row per open silo
+            parts.setdefault((r.grp, r.silo), []).append((r.part, np.asarray(r.sums)))
+        for key, rows in parts.items():
+            n, step = open_[key]
+            total = _total(rows)
+            step.send(float(total[0] / n), total[1:] / n)
+            if not step.open:
+                done[key] = open_.pop(key)[1].w
+    return local_table(spark, [(*key, w.tolist()) for key, w in done.items()], "grp string, silo string, params array<double>")
+
+
+def _descend_in_table(layout: Layout, plans: Mapping[str, tuple[int, np.ndarray]]) -> DataFrame:
+    """The same for any number of silos: their steps are a table, written anew by every evaluation.
+
+    An evaluation is one job and a look at what is still open.  Weights are broadcast chunk by
+    chunk to the blocks of the chunk, ``WEIGHTS_PER_CHUNK`` bytes at most on average.
     """
-    most = max(1, local_values // size)
-    cut = sizes.select("silo", F.ceil(F.col("n") / most).alias("_parts")).filter("_parts > 1")
-    distinct = rows.groupBy("silo", "y", "x").agg(F.count(F.lit(1)).cast("double").alias("times"))
-    marked = join_lookup(distinct, cut, ["silo"], "left").select(
-        F.pmod(F.xxhash64("silo"), F.lit(chunks)).alias("chunk"), "silo",
-        F.pmod(F.xxhash64("y", "x"), F.coalesce("_parts", F.lit(1))).alias("part"), "y", "times", "x",
-    )
-    spread = marked.repartition(max(1, -(-total // most)), "silo", "part").sortWithinPartitions("chunk", "silo", "part", "y", "x")
-    return materialize(spread, "network-rows", partition_by=["chunk"])
-
-
-def _descend(
-    rows: DataFrame, sizes: Sequence[Row], size: int, epochs: int, seed: int, start: np.ndarray | None, cut: bool
-) -> dict[str, np.ndarray]:
-    """The weights of the silos of one chunk: one job per evaluation, for all that are still open."""
-    begin = initial_weights(size, seed) if start is None else start
-    open_ = {r.silo: descent(begin, epochs) for r in sizes}
-    wanted, done = {silo: next(d) for silo, d in open_.items()}, {}
-    counts = {r.silo: r.n for r in sizes}
-    while wanted:
-        sums = rows.mapInArrow(_part_sums(size, wanted), SUMS)
-        if cut:
-            sums = sums.repartition(max(1, -(-len(wanted) // MODELS_PER_TASK)), "silo").mapInArrow(_added, SUMS)
-        totals: dict[str, np.ndarray] = {}
-        for r in sums.collect():  # about one row per open silo of the chunk
-            totals[r.silo] = totals.get(r.silo, 0.0) + np.asarray(r.sums)
-        for silo, total in totals.items():
-            try:
-                wanted[silo] = open_[silo].send((float(total[0] / counts[silo]), total[1:] / counts[silo]))
-            except StopIteration as end:
-                done[silo] = end.value
-                del wanted[silo]
-    return done
+    spark = layout.blocks.sparkSession
+    base = scratch_path(spark, "network-steps")
+    sizes = layout.sizes.filter("usable").select("grp", "silo", "n")
+    tasks = max(1, -(-layout.silos // MODELS_PER_TASK))
+    steps = sizes.repartition(tasks, "grp", "silo").mapInArrow(partial(_first_steps, plans=plans), STEPS)
+    chunk = F.pmod(F.xxhash64("grp", "silo"), F.lit(layout.chunks))
+    number = 0
+    while True:
+        steps.write.partitionBy("open").parquet(f"{base}/step={number}")
+        if number:
+            remove_tree(spark, f"{base}/step={number - 1}/open=true")
+        written = spark.read.schema(STEPS).parquet(f"{base}/step={number}")
+        open_ = written.filter("open")
+        if open_.isEmpty():
+            break
+        sums = None
+        for k in range(layout.chunks):
+            mine = open_.filter(chunk == k).select("grp", "silo", "wanted")
+            part = layout.blocks.filter(F.col("chunk") == k).join(F.broadcast(mine), ["grp", "silo"])
+            part = part.select("grp", "silo", "part", "y", "times", "x", "wanted").mapInArrow(
+                partial(_part_sums, size=layout.size, params=None), SUMS
+            )
+            sums = part if sums is None else sums.unionByName(part)
+        none = F.lit(None).cast("array<double>")
+        both = open_.select("grp", "silo", "n", "state", F.lit(None).cast("long").alias("part"), none.alias("sums")).unionByName(
+            sums.select("grp", "silo", F.lit(None).cast("long").alias("n"), none.alias("state"), "part", "sums")
+        )
+        both = both.repartition(tasks, "grp", "silo").sortWithinPartitions("grp", "silo", "part")
+        steps = both.mapInArrow(_next_steps, STEPS)
+        number += 1
+    closed = spark.read.schema(STEPS).option("basePath", base).parquet(f"{base}/step=*").filter("NOT open")
+    weights = F.slice("state", 8, F.element_at("state", 7).cast("int"))
+    return materialize(closed.select("grp", "silo", weights.alias("params")), "networks")
+
+
+def train(
+    layout: Layout, epochs: int | Mapping[str, int], seed: int = 0, start: Sequence[float] | Mapping[str, Sequence[float]] | None = None,
+    scores: bool = True,
+) -> DataFrame:
+    """One network per silo of a layout: grp, silo, n, n_pos, params, auroc, ap.
+
+    ``epochs`` and ``start`` may differ by group.  A start of None is drawn from the seed.  The scores are of the
+    silo's own rows; without ``scores`` they are zero.  A silo that is not usable has null parameters and zero scores.
+    """
+    size = layout.size
+    groups = [r.grp for r in layout.sizes.select("grp").distinct().collect()]  # strategies and folds of one run
+    plans = {}
+    for g in groups:
+        begin = start.get(g) if isinstance(start, Mapping) else start
+        if begin is not None and len(begin) != weight_count(size):
+            raise ValueError(f"start has {len(begin)} weights, not {weight_count(size)}")
+        begin = initial_weights(size, seed) if begin is None else np.asarray(begin, float)
+        plans[g] = (epochs[g] if isinstance(epochs, Mapping) else epochs), begin
+    few = layout.silos <= MODELS_PER_FIT
+    weights = (_descend if few else _descend_in_table)(layout, plans) if layout.silos else None
+    fits = layout.sizes.drop("usable")
+    if weights is None:
+        return materialize(fits.withColumns({"params": F.lit(None).cast("array<double>"), "auroc": F.lit(0.0), "ap": F.lit(0.0)}), "networks")
+    fits = join_lookup(fits, weights, ["grp", "silo"], "left")
+    if scores:
+        ranked = _own_scores(layout, weights).select("grp", "silo", "auroc", "ap")
+        fits = join_lookup(fits, ranked, ["grp", "silo"], "left")
+    else:
+        fits = fits.withColumns({"auroc": F.lit(0.0), "ap": F.lit(0.0)})
+    return materialize(fits.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("auroc", "ap")}), "networks")
+
+
+def _own_scores(layout: Layout, weights: DataFrame) -> DataFrame:
+    """Ranking metrics of every silo's own rows."""
+    size = layout.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y, times = _opened(row, size)
+                names = [pa.array([row[c]] * len(y), pa.string()) for c in ("grp", "silo")]
+                found = [pa.array(y.astype(np.int64)), pa.array(times), pa.array(_forward(np.asarray(row["params"]), x)[1])]
+                yield pa.record_batch([*names, *found], ["grp", "silo", "y", "times", "score"])
+
+    beside = join_lookup(layout.blocks.drop("chunk"), weights, ["grp", "silo"], "inner")
+    scored = beside.mapInArrow(run, "grp string, silo string, y long, times double, score double")
+    return ranking_metrics(scored, ["grp", "silo"], "y", weight=F.col("times"))
 
 
 def fit_silos(
@@ -254,43 +470,9 @@ def fit_silos(
     local_values: int = LOCAL_VALUES,
     scores: bool = True,
 ) -> DataFrame:
-    """One network per silo, continued from ``start``: silo, n, n_pos, params, auroc, ap.
-
-    The scores are of the silo's own rows; without ``scores`` they are zero.  A silo with fewer
-    than ``min_rows`` rows or one class has null parameters and zero scores.  Rows with a null
-    silo train nothing.
-    """
-    if start is not None and len(start) != weight_count(size):
-        raise ValueError(f"start has {len(start)} weights, not {weight_count(size)}")
-    begin = None if start is None else np.asarray(start, float)
-    rows = df.filter(F.col(silo).isNotNull()).select(
-        F.col(silo).cast("string").alias("silo"), F.col(label).cast("long").alias("y"), F.col(features).alias("x")
-    )
-    sizes = rows.groupBy("silo").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
-    sizes = materialize(sizes, "silo-sizes")
-    usable = F.expr(f"n >= {min_rows} AND n_pos > 0 AND n_pos < n")
-    found = sizes.filter(usable).agg(F.count(F.lit(1)).alias("silos"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
-    none = sizes.filter(~usable | usable.isNull()).select(
-        "silo", "n", "n_pos", F.lit(None).cast("array<double>").alias("params"), F.lit(0.0).alias("auroc"), F.lit(0.0).alias("ap")
-    )
-    if not found.silos:
-        return none
-    chunks = -(-found.silos // MODELS_PER_FIT)
-    taken = join_lookup(rows, sizes.filter(usable).select("silo"), ["silo"], "left_semi")
-    table = _laid_out(taken, sizes.filter(usable), size, chunks, found.rows, local_values)
-    fits = none
-    for i in range(chunks):
-        part = table.filter(F.col("chunk") == i).drop("chunk")
-        known = sizes.filter(usable & (F.pmod(F.xxhash64("silo"), F.lit(chunks)) == i)).collect()  # about MODELS_PER_FIT
-        params = _descend(part, known, size, epochs, seed, begin, found.most > max(1, local_values // size))
-        ranks = {}
-        if scores and params:
-            scored = part.mapInArrow(_scores(size, params), "silo string, y long, times double, score double")
-            ranked = ranking_metrics(scored, ["silo"], "y", weight=F.col("times"))
-            ranks = {r.silo: (r.auroc, r.ap) for r in ranked.collect()}
-        out = [(r.silo, r.n, r.n_pos, params[r.silo].tolist(), *ranks.get(r.silo, (0.0, 0.0))) for r in known]
-        fits = fits.unionByName(materialize(local_table(df.sparkSession, out, FITS), "networks"))
-    return fits
+    """One network per silo, continued from ``start``: silo, n, n_pos, params, auroc, ap (see ``train``)."""
+    layout = lay_out(df, silo, label, features, size, min_rows, local_values)
+    return train(layout, epochs, seed, start, scores).drop("grp")
 
 
 def fit_mlp(
@@ -311,6 +493,50 @@ def fit_mlp(
     return np.array(fit.params)
 
 
+# ------------------------------------------------------------------ scoring
+# Rows scored together by one network.
+SCORED_ROWS = 4096
+
+
+def _bundled(batches: Iterator[pa.RecordBatch], on: str) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as bundles of one key."""
+    for batch in batches:
+        codes = np.asarray(batch.column(on).dictionary_encode().indices)
+        cuts = {0, batch.num_rows, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), *range(0, batch.num_rows, SCORED_ROWS)}
+        edges = pa.array(sorted(cuts), pa.int32())
+        if batch.num_rows:
+            rows = pa.StructArray.from_arrays(batch.columns, batch.schema.names)
+            keys = batch.column(on).take(edges.slice(0, len(edges) - 1))
+            yield pa.record_batch([keys, pa.ListArray.from_arrays(edges, rows)], ["key", "rows"])
+
+
+def score_networks(df: DataFrame, networks: DataFrame, on: str, size: int, features: str = "features") -> DataFrame:
+    """Score each row with the network of its own key (``networks``: on, params); rows without one are left out.
+
+    Rows are sorted by key and bundled, and every bundle meets its network once, however many
+    networks there are; the rows of one key may be in many bundles.  The key is compared as text.
+    """
+    names = [c for c in df.columns if c != on]
+    keyed = df.filter(F.col(on).isNotNull()).select(F.col(on).cast("string").alias(on), *names)
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    spread = keyed.repartitionByRange(parts, on, F.xxhash64(*names)).sortWithinPartitions(on)
+    inner = ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in spread.schema)
+    bundles = spread.mapInArrow(partial(_bundled, on=on), f"key string, rows array<struct<{inner}>>")
+    given = networks.filter("params IS NOT NULL").select(F.col(on).cast("string").alias("key"), "params")
+    joined = join_lookup(bundles, given, ["key"], "inner")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column("rows")[i].values
+                x = np.asarray(rows.field(features).flatten(), float).reshape(len(rows), size)
+                score = _forward(batch.column("params")[i].values.to_numpy(), x)[1]
+                yield pa.record_batch([*rows.flatten(), pa.array(score)], [*(f.name for f in rows.type), "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema)
+    return joined.mapInArrow(run, f"{schema}, score double")
+
+
 def score_mlp(df: DataFrame, weights: Sequence[float], size: int, features: str = "features") -> DataFrame:
     """Add the probability of class 1 as ``score``."""
     flat = np.asarray(weights, dtype=float)
@@ -323,6 +549,24 @@ def score_mlp(df: DataFrame, weights: Sequence[float], size: int, features: str
     return df.withColumn("score", positive(F.col(features)))
 
 
+def score_with_each(
+    df: DataFrame, networks: Mapping[str, Sequence[float]], size: int, features: str = "features"
+) -> DataFrame:
+    """Score each row with every one of a run's few global networks in one pass: a row per (row, model)."""
+    held = {name: np.asarray(w, dtype=float) for name, w in networks.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = np.asarray(batch.column(features).flatten(), float).reshape(n, size)
+            for name, weights in held.items():
+                found = [pa.array([name] * n, pa.string()), pa.array(_forward(weights, x)[1])]
+                yield pa.record_batch([*batch.columns, *found], [*batch.schema.names, "model", "score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{fields}, model string, score double")
+
+
 def average_weights(weights: Sequence[np.ndarray], rows: Sequence[int]) -> np.ndarray:
     """Row-count-weighted mean of flat weight vectors (a few thousand numbers per silo)."""
     if not len(weights):
@@ -350,9 +594,10 @@ def federated_rounds(
     Each silo continues from the last average.  No usable silo leaves the start weights as
     they are (none at all without a start).
     """
+    layout = lay_out(df, silo, label, features, size)
     current, averaged, fits = start, [], []
     for _ in range(rounds):
-        fit = fit_silos(df, silo, label, features, size, epochs, seed, current)
+        fit = train(layout, epochs, seed, current).drop("grp")
         row = average_vectors(fit.filter("params IS NOT NULL"), "params", "n").first()
         if row is None or row.params is None:
             return ([] if start is None else [np.asarray(start)] * rounds), [fit] * rounds

@@ -109,7 +109,7 @@ def run(
     results = run_linear(prepared, strategies) if linear else run_mlp(prepared, strategies)
 
     comparison = None
-    if compare and linear:
+    if compare:
         last = {r.strategy: list(r.params) for r in results.params.orderBy("round").collect()}
         comparison = compare_regions(
             prepared, last.get("pooled"), last.get("fedavg_region", last.get("fedprox_region"))

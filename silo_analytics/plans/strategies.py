@@ -23,7 +23,7 @@ from ..operators.averaging import average_importances, average_vectors
 from ..operators.bootstrap import bootstrap_auroc
 from ..operators.logistic import fit_grouped, fold_models, score_by_key, score_models
 from ..operators.metrics import ranking_metrics, threshold_metrics
-from ..operators.neural import POOLED_EPOCHS, ROUND_EPOCHS, federated_rounds, fit_mlp, fit_silos, score_mlp
+from ..operators.neural import POOLED_EPOCHS, ROUND_EPOCHS, Layout, lay_out, score_networks, score_with_each, train
 from ..operators.relational import group_label_counts, size_gate
 from ..operators.sampling import skew_partition, stratified_folds
 from ..scratch import join_lookup, local_table, materialize
@@ -427,42 +427,46 @@ def run_mlp(
     local: list[DataFrame] = []
     gate = start = None
     if 1 in strategies:
-        start = fit_mlp(rows, spec.label, "features", size, pooled_epochs, cfg.random_state)
+        start, folds = _mlp_pooled(rows, prepared, pooled_epochs)
         found[1, 1] = start
-        local.append(_mlp_folds(rows, prepared, pooled_epochs))
-    silos = {2: ("_region", rows), 4: ("_region", rows)}
+        local.append(folds)
+    # The silos of all strategies are laid out once and go through every round together.
+    members = []
+    kept = [F.col(spec.label), F.col("features")]
+    if {2, 4} & set(strategies):
+        members.append(rows.select(F.lit("region").alias("_grp"), F.col("_region").alias("_silo"), *kept))
     if 3 in strategies:
         large = gate_candidates(rows, spec, cfg).filter("candidate").select(spec.hospital)
         hospitals = join_lookup(rows.filter(F.col(spec.hospital).isNotNull()), large, [spec.hospital], "left_semi")
-        first = fit_silos(hospitals, spec.hospital, spec.label, "features", size, epochs, cfg.random_state, start)
-        model = F.concat(F.lit("hospital:"), "silo").alias("model")
-        gate = gate_report(
-            prepared, first.select(model, F.col("params").isNull().alias("skipped")),
-            first.select(model, F.round("auroc", 4).alias("local_auroc")),
-        )
-        gate = materialize(gate, "gate")
-        passed = gate.filter("status = 'in'").select(F.col("silo").alias("_hospital"))
-        hospitals = hospitals.withColumn("_hospital", F.col(spec.hospital).cast("string"))
-        silos[3] = ("_hospital", join_lookup(hospitals, passed, ["_hospital"], "left_semi"))
+        members.append(hospitals.select(F.lit("hospital").alias("_grp"), F.col(spec.hospital).cast("string").alias("_silo"), *kept))
     if 5 in strategies:
-        skewed = skew_partition(
-            rows, spec.label, spec.key, cfg.noniid_n_clients, cfg.dirichlet_alpha, cfg.random_state, "_skew"
-        )
-        silos[5] = ("_skew", materialize(skewed, "skewed"))
-    done: dict[str, tuple[list[np.ndarray], list[DataFrame]]] = {}
-    for s in strategies:
-        if s not in silos:
-            continue
-        column, table = silos[s]
-        if column not in done:
-            done[column] = federated_rounds(
-                table, column, spec.label, "features", size, cfg.fl_rounds, epochs, cfg.random_state, start
+        skewed = skew_partition(rows, spec.label, spec.key, cfg.noniid_n_clients, cfg.dirichlet_alpha, cfg.random_state, "_skew")
+        members.append(skewed.select(F.lit("skew").alias("_grp"), F.col("_skew").cast("string").alias("_silo"), *kept))
+    rounds: dict[str, list[tuple[np.ndarray, DataFrame]]] = {}
+    if members:
+        layout = lay_out(reduce(DataFrame.unionByName, members), "_silo", spec.label, "features", size, group="_grp")
+        fits = train(layout, epochs, cfg.random_state, start)
+        if 3 in strategies:
+            # The gate looks at the fits of the first round; hospitals that pass go on from there.
+            first = fits.filter("grp = 'hospital'")
+            model = F.concat(F.lit("hospital:"), "silo").alias("model")
+            gate = materialize(
+                gate_report(
+                    prepared, first.select(model, F.col("params").isNull().alias("skipped")),
+                    first.select(model, F.round("auroc", 4).alias("local_auroc")),
+                ),
+                "gate",
             )
-        averaged, fits = done[column]
-        if s == 3 and gate.filter("status = 'in'").isEmpty():
-            continue
-        found |= {(s, r): w for r, w in enumerate(averaged, 1)}
-        for r, fit in enumerate(fits, 1):
+            out = gate.filter("status <> 'in'").select(F.lit("hospital").alias("grp"), "silo")
+            named = layout.sizes.select("grp", "silo")
+            stay = materialize(named.join(out, ["grp", "silo"], "left_anti"), "taking-part")
+            layout, fits = layout.only(stay), join_lookup(fits, stay, ["grp", "silo"], "left_semi")
+        rounds = _mlp_rounds(layout, fits, epochs, prepared, start)
+    groups = {2: "region", 3: "hospital", 4: "region", 5: "skew"}
+    for s in strategies:
+        for r, (weights, fit) in enumerate(rounds.get(groups.get(s, ""), []), 1):
+            if weights is not None:
+                found[s, r] = weights
             local.append(_mlp_silos(fit, s, r))
 
     metrics = _mlp_global(prepared, found)
@@ -477,8 +481,29 @@ def run_mlp(
     return StrategyResults(materialize(metrics, "metrics"), params, gate)
 
 
+def _mlp_rounds(
+    layout: Layout, fits: DataFrame, epochs: int, prepared: Prepared, start: np.ndarray | None
+) -> dict[str, list[tuple[np.ndarray | None, DataFrame]]]:
+    """(averaged weights, fits) of every round by group; each silo goes on from the last average of its group.
+
+    A group without a usable silo keeps the start weights, or has none.
+    """
+    cfg = prepared.cfg
+    groups = [r.grp for r in layout.sizes.select("grp").distinct().collect()]
+    rounds: dict[str, list] = {g: [] for g in groups}
+    current: dict[str, np.ndarray | None] = dict.fromkeys(groups, start)
+    for number in range(cfg.fl_rounds):
+        if number:
+            fits = train(layout, epochs, cfg.random_state, current)
+        means = average_vectors(fits.filter("params IS NOT NULL"), "params", "n", ["grp"]).collect()  # a row per strategy
+        current |= {r.grp: np.array(r.params) for r in means}
+        for g in groups:
+            rounds[g].append((current[g], fits.filter(F.col("grp") == g).drop("grp")))
+    return rounds
+
+
 def _mlp_global(prepared: Prepared, found: dict[tuple[int, int], np.ndarray]) -> DataFrame:
-    """Held-out metrics of every (strategy, round); equal networks are scored once."""
+    """Held-out metrics of every (strategy, round); equal networks are scored once, all in one pass."""
     spec, cfg, size = prepared.spec, prepared.cfg, prepared.size
     spark = prepared.train.sparkSession
     if not found:
@@ -487,11 +512,8 @@ def _mlp_global(prepared: Prepared, found: dict[tuple[int, int], np.ndarray]) ->
     distinct: dict[bytes, str] = {}
     for w in found.values():
         distinct.setdefault(w.tobytes(), f"m{len(distinct)}")
-    parts = [
-        score_mlp(test, np.frombuffer(w), size).select(spec.key, spec.label, "score", F.lit(name).alias("model"))
-        for w, name in distinct.items()
-    ]
-    values = global_metrics(materialize(reduce(DataFrame.unionByName, parts), "scored"), spec, cfg)
+    scored = score_with_each(test, {name: np.frombuffer(w) for w, name in distinct.items()}, size).drop("features")
+    values = global_metrics(materialize(scored, "scored"), spec, cfg)
     where = [(STRATEGIES[s], r, distinct[w.tobytes()]) for (s, r), w in found.items()]
     table = F.broadcast(local_table(spark, where, "strategy string, round int, model string"))
     long = values.join(table, "model").unpivot(["strategy", "round", "n"], list(GLOBAL_METRICS), "metric", "value")
@@ -515,21 +537,24 @@ def _mlp_silos(fit: DataFrame, strategy: int, number: int) -> DataFrame:
     return both.select("strategy", "round", "silo", "metric", F.round("value", 4).alias("value"), "n")
 
 
-def _mlp_folds(rows: DataFrame, prepared: Prepared, epochs: int) -> DataFrame:
-    """Cross-validation of the pooled network: every fold scored by the network of the others."""
+def _mlp_pooled(rows: DataFrame, prepared: Prepared, epochs: int) -> tuple[np.ndarray, DataFrame]:
+    """The pooled network, and its cross-validation: every fold scored by the network of the others.
+
+    All of them are trained together.
+    """
     spec, cfg, size = prepared.spec, prepared.cfg, prepared.size
     folded = stratified_folds(rows, spec.label, spec.key, cfg.cv_folds, cfg.random_state, "_fold")
     folded = materialize(folded.select(spec.label, "features", "_fold"), "folds")
-    spread = folded.withColumn("_model", F.explode(fold_models("_fold", cfg.cv_folds)))
-    fits = fit_silos(spread, "_model", spec.label, "features", size, epochs, cfg.random_state)
-    parts = [
-        score_mlp(folded.filter(F.concat(F.lit("fold:"), F.col("_fold")) == r.silo), r.params, size).withColumn("silo", F.lit(r.silo))
-        for r in fits.filter("params IS NOT NULL").collect()  # one row per fold
-    ]
+    names = F.concat(F.array(F.lit("all")), fold_models("_fold", cfg.cv_folds))
+    layout = lay_out(folded.withColumn("_model", F.explode(names)), "_model", spec.label, "features", size)
+    fits = train(layout, epochs, cfg.random_state, scores=False)
+    pooled = fits.filter("silo = 'all'").first()
+    if pooled is None or pooled.params is None:
+        raise ValueError("both classes are needed")
+    own = folded.withColumn("silo", F.concat(F.lit("fold:"), F.col("_fold").cast("string"))).drop("_fold")
+    scored = score_networks(own, fits.filter("silo <> 'all'"), "silo", size)
     keys = ["strategy", "round", "silo", "n"]
-    if not parts:
-        return local_table(rows.sparkSession, [], METRICS)
-    scored = ranking_metrics(reduce(DataFrame.unionByName, parts), ["silo"], spec.label).select(
+    scored = ranking_metrics(scored, ["silo"], spec.label).select(
         F.lit(STRATEGIES[1]).alias("strategy"), F.lit(1).alias("round"), "silo", "n",
         F.round("auroc", 4).alias("local_auroc"), F.round("ap", 4).alias("local_ap"),
     )
@@ -539,7 +564,7 @@ def _mlp_folds(rows: DataFrame, prepared: Prepared, epochs: int) -> DataFrame:
     both = scored.unpivot(keys, ["local_auroc", "local_ap"], "metric", "value").unionByName(
         cv.unpivot(keys, ["cv_auroc", "cv_std"], "metric", "value")
     )
-    return both.select("strategy", "round", "silo", "metric", F.round("value", 4).alias("value"), "n")
+    return np.array(pooled.params), both.select("strategy", "round", "silo", "metric", F.round("value", 4).alias("value"), "n")
 
 
 def _nobody_passed(prepared: Prepared, passed: bool) -> DataFrame:

@@ -54,6 +54,12 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tree(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def collect_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     """Rows of a small result, or None when there are more than ``limit``."""
     rows = df.limit(limit + 1).collect()

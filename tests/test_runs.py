@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +244,63 @@ def test_perceptrons_of_many_silos_and_of_large_ones(spark, result):
     assert set(mixed) == set(sizes) and all(r.auroc > 0.6 for r in mixed.values())
 
 
+def _jobs(spark, run):
+    """The result of a function and how many Spark jobs it started."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_thousand_silos_take_the_jobs_of_ten(spark, monkeypatch):
+    def silos(n):
+        return spark.range(12 * n).select(
+            (F.col("id") % n).cast("string").alias("silo"), (F.col("id") % 12 < 5).cast("int").alias("label"),
+            F.array((F.col("id") % 5).cast("double"), ((F.col("id") * 7) % 11).cast("double")).alias("features"),
+        )
+
+    def fits(n):
+        return {r.silo: r for r in neural.fit_silos(silos(n), "silo", "label", "features", 2, epochs=3).collect()}
+
+    monkeypatch.setattr(neural, "HIDDEN", (3, 2))
+    held = fits(10)
+    monkeypatch.setattr(neural, "MODELS_PER_FIT", 4)
+    (ten, few), (many, same) = _jobs(spark, lambda: fits(10)), _jobs(spark, lambda: fits(1000))
+    assert len(many) == 1000 and all(r.params is not None for r in many.values()) and abs(few - same) <= 3
+    for silo, r in held.items():
+        assert np.allclose(r.params, ten[silo].params) and r.auroc == pytest.approx(ten[silo].auroc)
+
+
+def test_rows_scored_by_the_network_of_their_key(spark):
+    draw = np.random.default_rng(3)
+    weights = {k: draw.normal(size=neural.weight_count(2)) for k in ("a", "b|c")}
+    rows = [(k, i, draw.normal(size=2).tolist()) for i in range(50) for k in ("a", "b|c", "none", None)]
+    df = spark.createDataFrame(rows, "name string, id int, features array<double>")
+    nets = spark.createDataFrame([(k, w.tolist()) for k, w in weights.items()] + [("none", None)], "name string, params array<double>")
+    got = {(r.name, r.id): r.score for r in neural.score_networks(df, nets, "name", 2).collect()}
+    assert len(got) == 100
+    for name, i, x in rows:
+        if name in weights:
+            assert got[name, i] == pytest.approx(neural._forward(weights[name], np.array([x]))[1][0])
+
+
+def test_perceptrons_are_compared_by_region(result, monkeypatch):
+    monkeypatch.setattr(neural, "ROUND_EPOCHS", 8)
+    monkeypatch.setattr(neural, "POOLED_EPOCHS", 20)
+    p = result.prepared
+    own = orchestrate.Prepared(p.train, p.test, SPEC, config(algorithm="mlp", fl_rounds=1))
+    found = run_mlp(own, (1, 2), 20, 8).params.collect()
+    last = {r.strategy: list(r.params) for r in found}
+    out = compare_regions(own, last["pooled"], last["fedavg_region"])
+    linear = result.comparison.regions
+    assert out.regions.columns == linear.columns
+    same = ["region", "n_test", "pos_pct", "small_warn"]
+    assert sorted(out.regions.select(same).collect()) == sorted(linear.select(same).collect())
+    assert all(r.passed for r in out.checks.collect()) and out.unified.count() == 1
+
+
 def test_perceptrons_are_the_same_in_one_part_and_in_many(result):
     train = result.prepared.train.filter("region IS NOT NULL")
     one, many = (
