@@ -7,9 +7,10 @@ SQL.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
@@ -558,13 +559,28 @@ def stack_tables(spark, folder):
     return relational.stack_tables(a, b).select("key", "amount", "note", "is_synthetic")
 
 
-@query("source_check", """
-SELECT * FROM (VALUES ('orders', 'column o_missing is missing'), ('payments', 'table is missing')) t("table", problem)
-WHERE (SELECT count(*) FROM orders) > 0""")
+_EXPECTED = {
+    "orders": {"o_orderkey": "bigint", "o_orderpriority": "int", "o_totalprice": "double"},
+    "customer": {"c_custkey": "int", "c_mktsegment": "string", "c_acctbal": "int"},
+    "lineitem": {"l_quantity": "double", "l_returnflag": "boolean"},
+    "events": {"user_id": "bigint", "event_type": "date"},
+}
+
+
+def _profile_sql(table: str, columns: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_null,
+  count(*) FILTER ({c} IS NOT NULL AND TRY_CAST({c} AS {t}) IS NULL) AS n_uncastable FROM {table}"""
+        for c, t in columns.items()
+    )
+
+
+@query("source_check", f"""WITH p AS ({" UNION ALL ".join(_profile_sql(t, c) for t, c in _EXPECTED.items()).replace(" AS string)", " AS VARCHAR)")})
+SELECT *, CASE WHEN n_rows = 0 THEN 'table is empty' WHEN n_uncastable > 0 THEN 'values of another type'
+  WHEN n_null = n_rows THEN 'no value at all' END AS problem FROM p""")
 def source_check(spark, folder):
-    tables = O.load_tables(spark, folder)
-    expected = {"orders": ["o_orderkey", "o_missing"], "customer": ["c_custkey"], "payments": ["p_id"]}
-    return src.check_sources(tables, expected, spark)
+    tables = {name: table(spark, folder, name) for name in _EXPECTED}
+    return src.profile_sources(tables, _EXPECTED, spark)
 
 
 # ------------------------------------------------------------------ splits and samples
@@ -1296,6 +1312,40 @@ def regional_comparison(spark, folder):
     return compare_regions(prepared, params["pooled"], params["fedavg_region"]).regions
 
 
+# Rows of the training table that the global split leaves, cut once more inside every region.
+_REGION_TESTS = _quota("region", True).replace("FROM base", "FROM train")
+for _name in ("sizes", "shares", "plain", "quotas"):
+    _REGION_TESTS = re.sub(rf"\b{_name}\b", f"r_{_name}", _REGION_TESTS)
+
+
+@query("mlp_regional", f"""WITH {COHORT}, base AS (SELECT id, label, region FROM cohort), {_quota('', False)},
+ranked AS ({_ranked('label', 'split')} FROM base),
+train AS (SELECT r.id, r.label, coalesce(r.region, 'Unknown') AS region FROM ranked r JOIN quotas q ON r.label = q.label WHERE r.rk > q.q),
+{_REGION_TESTS},
+counted AS (
+  SELECT region, CAST(sum(q) AS BIGINT) AS n_test, sum(n) AS n, sum(n) FILTER (label = 1) AS n_pos, count(*) FILTER (q > 0) = 2 AS mixed
+  FROM r_quotas GROUP BY region)
+SELECT region, n_test, round(n_pos / n * 100, 1) AS pos_pct, n_test < 50 AS small_warn,
+  CASE WHEN mixed THEN 5 ELSE 0 END AS n_scores, CASE WHEN mixed THEN 3 ELSE 0 END AS n_gains, CASE WHEN mixed THEN 1 ELSE 0 END AS n_best
+FROM counted WHERE n >= 10 AND n_pos >= 2 AND n - n_pos >= 1""")
+def mlp_regional(spark, folder):
+    """The comparison of perceptrons: its regions, and how many scores, gains and best values in each are as they have to be."""
+    prepared = _prepared(spark, folder, algorithm="mlp", fl_rounds=1)
+    found = {r.strategy: list(r.params) for r in run_mlp(prepared, (1, 2)).params.collect()}
+    regions = compare_regions(prepared, found["pooled"], found["fedavg_region"]).regions
+
+    def count(*conditions) -> Column:
+        return sum((F.coalesce(c, F.lit(False)).cast("int") for c in conditions), F.lit(0))
+
+    scores = [F.col(f"e{k}_auroc") for k in (2, 3, 4, 5, 6)]
+    gains = [F.abs(F.col(f"e{k}_auroc") - F.col("e2_auroc") - F.col(f"e{k}_auroc_uplift")) < 1e-9 for k in (3, 4, 5)]
+    best = F.greatest(*scores[:4]) == F.col("best_auroc")
+    return regions.select(
+        "region", "n_test", "pos_pct", "small_warn", count(*[s.between(0, 1) for s in scores]).alias("n_scores"),
+        count(*gains).alias("n_gains"), count(best).alias("n_best"),
+    )
+
+
 @query("mlp_pooled")
 def mlp_pooled(spark, folder):
     prepared = _prepared(spark, folder)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import local_table
+from ..scratch import local_table, quoted
 
 # Texts that a CSV reader of the pandas family takes for "missing".
 MISSING_TEXTS = (
@@ -128,12 +128,12 @@ def missing_files(
     """What a folder lacks; ``expected`` maps a table to the file names that will do."""
     present = list_folder(spark, folder)
     if present is None:
-        return [f"Folder not found: {folder}"]
+        return [f"no folder {folder}"]
     fold = (lambda s: s.lower()) if any_case else (lambda s: s)
     have = {fold(f) for f in present}
     return [
-        f"Missing: {' or '.join(names)}"
-        for names in expected.values()
+        f"table {table} has no file {', '.join(names)}"
+        for table, names in expected.items()
         if not any(fold(n) in have for n in names)
     ]
 
@@ -150,3 +150,43 @@ def check_sources(
         have = set(tables[table].columns)
         problems += [(table, f"column {c} is missing") for c in columns if c not in have]
     return local_table(spark, problems, "table string, problem string")
+
+
+def profile_sources(tables: Mapping[str, DataFrame], expected: Mapping[str, Mapping[str, str]], spark: SparkSession) -> DataFrame:
+    """Rows (table, column, n_rows, n_null, n_uncastable, problem): what the data of the expected columns are like.
+
+    ``expected`` maps tables to columns and their types.  Every table is aggregated once, over its expected
+    columns alone.  A value that is there but cannot be cast counts as uncastable.  A missing table has
+    one row without a column; a missing column has the table's rows and null counts.  The problem is null where there is none;
+    an empty table is one.
+    """
+    out = []
+    for table, columns in expected.items():
+        name = F.lit(table).alias("table")
+        if table not in tables:
+            none = [F.lit(None).cast(t).alias(c) for t, c in (("string", "column"), ("long", "n_rows"), ("long", "n_null"), ("long", "n_uncastable"))]
+            out.append(spark.range(1).select(name, *none, F.lit("table is missing").alias("problem")))
+            continue
+        df, have = tables[table], set(tables[table].columns)
+        counts = [F.count(F.lit(1)).alias("n_rows")]
+        for i, (column, kind) in enumerate(columns.items()):
+            if column in have:
+                value = F.col(quoted(column))
+                counts.append(F.count_if(value.isNull()).alias(f"null{i}"))
+                counts.append(F.count_if(value.isNotNull() & value.try_cast(kind).isNull()).alias(f"bad{i}"))
+        found = []
+        for i, column in enumerate(columns):
+            there = column in have
+            numbers = [F.col(f"{c}{i}") if there else F.lit(None).cast("long") for c in ("null", "bad")]
+            problem = F.lit("column is missing") if not there else (
+                F.when(F.col("n_rows") == 0, "table is empty").when(numbers[1] > 0, "values of another type")
+                .when(numbers[0] == F.col("n_rows"), "no value at all")
+            )
+            found.append(F.struct(
+                F.lit(column).alias("column"), F.col("n_rows"), numbers[0].alias("n_null"), numbers[1].alias("n_uncastable"), problem.alias("problem")
+            ))
+        if found:
+            out.append(df.agg(*counts).select(name, F.inline(F.array(*found))))
+    return reduce(DataFrame.unionByName, out) if out else local_table(
+        spark, [], "table string, column string, n_rows bigint, n_null bigint, n_uncastable bigint, problem string"
+    )

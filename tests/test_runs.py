@@ -2,6 +2,8 @@ import uuid
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from silo_analytics import DatasetSpec, RunConfig
@@ -10,6 +12,7 @@ from silo_analytics.operators.metrics import ranking_metrics
 from silo_analytics.plans import orchestrate
 from silo_analytics.plans.regional import compare_regions
 from silo_analytics.plans.strategies import run_linear, run_mlp
+from silo_analytics.scratch import materialize
 
 SPEC = DatasetSpec(name="toy", features=("x", "y", "z"), label="label", key="id", augment=True)
 
@@ -199,6 +202,19 @@ def test_clusters(spark):
     assert back.count() == 51 and back.filter("hospital_cluster IS NULL").count() == 1
 
 
+def test_clusters_cost_no_more_than_the_best_of_single_fits(spark):
+    draw = np.random.default_rng(8)
+    x = np.concatenate([draw.normal(m, 1.0, (60, 2)) for m in (0, 2, 4, 7)])
+    points = materialize(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "key long, x array<double>").repartition(5), "points")
+    centres, jobs = _jobs(spark, lambda: clustering.best_centres(points, 4, 20, 1))
+    cost = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    vectors = points.select(array_to_vector("x").alias("features"))
+    single = min(KMeans(k=4, seed=s, maxIter=100).fit(vectors).summary.trainingCost for s in range(5))
+    assert cost <= single * 1.0001 and jobs < 250
+    same = clustering.best_centres(materialize(spark.createDataFrame([(1, [2.0])] * 3, "key long, x array<double>"), "points"), 3, 2, 1)
+    assert (same == 2.0).all()
+
+
 def test_perceptron(result):
     p = result.prepared
     w = neural.fit_mlp(p.train, "label", "features", 3, epochs=60)

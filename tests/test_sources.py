@@ -33,9 +33,9 @@ def test_name_in_any_case(spark, tmp_path):
     write(tmp_path / "CHURN_modelling.csv", "id,name,x\n1,a,2\n")
     assert S.read_any_case(spark, str(tmp_path), "Churn_Modelling.csv", SCHEMA).count() == 1
     assert D.folder_problems(spark, str(tmp_path), "bank") == []
-    assert D.folder_problems(spark, str(tmp_path), "heart") == [f"Missing: {f}" for f, _, _ in D.HEART_SITES]
+    assert D.folder_problems(spark, str(tmp_path), "heart") == [f"table {f} has no file {f}" for f, _, _ in D.HEART_SITES]
     assert len(D.folder_problems(spark, str(tmp_path), "icu")) == 6
-    assert D.folder_problems(spark, str(tmp_path / "no"), "icu")[0].startswith("Folder not found")
+    assert D.folder_problems(spark, str(tmp_path / "no"), "icu")[0].startswith("no folder")
 
 
 def test_heart_sites(spark, tmp_path):
@@ -71,3 +71,15 @@ def test_check_sources(spark):
     df = spark.createDataFrame([(1,)], "a int")
     got = {tuple(r) for r in S.check_sources({"t": df}, {"t": ["a", "b"], "u": ["x"]}, spark).collect()}
     assert got == {("t", "column b is missing"), ("u", "table is missing")}
+
+
+def test_profile_of_sources(spark):
+    df = spark.createDataFrame([("1", None, 1), ("x", None, 2), (None, None, 3)], "a string, b string, c int")
+    expected = {"t": {"a": "int", "b": "double", "c": "int", "d": "int"}, "u": {"x": "int"}, "v": {"a": "int"}}
+    got = {(r.table, r.column): tuple(r)[2:] for r in S.profile_sources({"t": df, "v": df.where("false")}, expected, spark).collect()}
+    assert got == {
+        ("t", "a"): (3, 1, 1, "values of another type"), ("t", "b"): (3, 3, 0, "no value at all"), ("t", "c"): (3, 0, 0, None),
+        ("t", "d"): (3, None, None, "column is missing"), ("u", None): (None, None, None, "table is missing"),
+        ("v", "a"): (0, 0, 0, "table is empty"),
+    }
+    assert S.profile_sources({}, {}, spark).count() == 0
