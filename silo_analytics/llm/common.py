@@ -42,7 +42,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, see
     """At most about ``rows`` rows (text, label) of the training folds, drawn by a hash of the id.
 
     Ids labelled both ways, null labels and null ids are left out.  The share to draw is
-    taken from a count of the labelled ids, before any text is read.
+    taken from a count of the labelled ids, before any text is read; the drawn ids are few and
+    broadcast, so that no text is shuffled.
     """
     known = (
         labels.select(col("doc_id").alias("doc_id"), col(label).cast("int").alias("y"))
@@ -58,7 +59,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, see
         draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000))
         known = known.where(draw < int(1_000_000 * rows / n))
     texts = docs.select(col("doc_id").alias("doc_id"), F.coalesce(col("text"), F.lit("")).alias("text"))
-    return texts.join(known, "doc_id").select("text", "y")
+    return texts.join(F.broadcast(known), "doc_id").select("text", "y")
 
 
 def select_rows(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:

@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from conftest_llm import make
 
+import corpus_pipeline
 from silo_analytics.llm import queries
+from silo_analytics.scratch import materialize
 
 TABLES = "documents embeddings benchmark labels conversations"
 
@@ -71,3 +73,27 @@ def test_queries_on_empty_tables(spark, odd_folder, tmp_path, name):
     for t in TABLES.split():
         spark.read.parquet(f"{odd_folder}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_odd_tables(spark, odd_folder):
+    """Null and repeated ids, copies and clashing columns pass all stages; each keeps whole rows of its predecessor."""
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    kept = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        kept.append(materialize(stage(spark, kept[-1], odd_folder), name))
+    assert all(k.columns == docs.columns for k in kept[:-1])
+    rows = [sorted(map(str, map(tuple, k.select("doc_id", "text").collect()))) for k in kept[:-1]]
+    assert all(set(b) <= set(a) for a, b in zip(rows, rows[1:])) and rows[-1]
+    out = kept[-1].orderBy("start").collect()
+    assert len(out) == len(rows[-1]) and all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:]))
+
+
+def test_pipeline_on_empty_tables(spark, odd_folder, tmp_path):
+    for t in TABLES.split():
+        rows = spark.read.parquet(f"{odd_folder}/{t}.parquet")
+        # Models need labelled rows; the stages after that get none at all.
+        (rows if t == "labels" else rows.where("false")).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0
