@@ -20,30 +20,33 @@ MIX_EPOCHS = 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go: rows of that id and text; a null text is an empty one."""
     return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash neighbours stays."""
+    """One document of each group of SimHash neighbours stays; null ids come last, texts without words are alike."""
     return simhash.keep_one_per_group(docs, shingle=4, max_bits=4)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go: rows of that id and text; null texts stay."""
     items = table(spark, sf_dir, "benchmark")
     found = winnow.contamination(docs, items, window=10)
     return select_rows(docs, found.where(F.size("spans") > 0), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen so that the words of domains, languages and sources follow the weights."""
+    """Documents chosen so that the words of domains, languages and sources follow the weights.
+
+    Rows under a null or repeated id are chosen each by itself; of rows that agree in id and text, all stay if one is chosen.
+    """
     taken = queries.mixed(docs, MIX_SHARE, MIX_EPOCHS).where("epochs > 0")
     return select_rows(docs, taken, "left_semi")
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in binary files; one row per document read back from them."""
+    """Token ids in binary files; one row per document read back from them, null ids first, null texts as empty ones."""
     return queries.token_table(spark, docs)
 
 
