@@ -53,7 +53,7 @@ class Cutter:
         self.base = int(draw.integers(0, 2**64, dtype=np.uint64)) | 1
 
     def places(self, text: bytes) -> list[int]:
-        """Byte places of the cuts, each at the beginning of a letter; further apart than the radius."""
+        """Byte places of the cuts, each at the beginning of a letter; they are further apart than the radius."""
         n, r = len(text), self.radius
         if n <= ROLL + r:
             return []

@@ -12,7 +12,7 @@ from silo_analytics.llm import queries
 from silo_analytics.scratch import materialize
 
 FOLDER = Path("/root/testdata/sf0.001")
-TABLES = "documents embeddings benchmark labels"
+TABLES = "documents embeddings benchmark labels conversations"
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="driver tables are not here")
 
 
@@ -30,7 +30,7 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
 
 def test_every_operator_has_one_query():
     found = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline_stages(spark):
