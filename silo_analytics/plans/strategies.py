@@ -284,6 +284,7 @@ def gate_report(prepared: Prepared, fitted: DataFrame, local: DataFrame) -> Data
         local.select("model", "local_auroc"), "model", "left"
     )
     auroc = F.coalesce("local_auroc", F.lit(0.0))
+    # The texts of the statuses.
     reason = F.concat(F.lit("auroc_"), F.format_string("%.3f", auroc), F.lit(f"<{cfg.auroc_gate}"))
     status = (
         F.when(~F.col("candidate"), F.lit("not_candidate"))

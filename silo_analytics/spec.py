@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
 
+# Names and numbers of the strategies, names, defaults and ranges of the settings below.
 STRATEGIES = {
     1: "pooled",
     2: "fedavg_region",
