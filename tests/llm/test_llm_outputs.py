@@ -153,9 +153,15 @@ def test_odd_vectors(spark):
             (4, [float("inf")]), (5, []), (6, [3.0, 1.0, 2.0]), (10, [0.0, -1.0])]
     table = spark.createDataFrame([(*d, "z", "z") for d in data], "vec_id long, embedding array<double>, id string, v string")
     vectors = topk.integer_vectors(table)
-    assert {r.id: r.v for r in vectors.collect()} == {0: [128], 6: [768, 256, 512], 10: [0, -256]}
+    held = [(0, [128]), (0, [256, 512]), (6, [768, 256, 512]), (10, [0, -256])]
+    assert sorted((r.id, r.v) for r in vectors.collect()) == held
     got = topk.top_inner_products(vectors, vectors.where("id % 10 = 0"), 5).collect()
-    assert sorted(map(tuple, got)) == [(0, 1, 6, 98304), (0, 2, 10, 0), (10, 1, 0, 0), (10, 2, 6, -65536)]
+    # Every vector of a query's id asks, and every vector under another id answers.
+    expected = []
+    for query in (0, 10):
+        pairs = [(-sum(a * b for a, b in zip(q, v)), i) for name, q in held if name == query for i, v in held if i != query]
+        expected += [(query, rank, i, -score) for rank, (score, i) in enumerate(sorted(pairs), 1)]
+    assert sorted(map(tuple, got)) == expected and expected[0] == (0, 1, 6, 327680)
     none = vectors.where("false")
     assert topk.top_inner_products(none, none).collect() == [] and topk.top_inner_products(vectors, none).collect() == []
     alone = vectors.where("id = 0")
