@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import constant, probability
 from ..scratch import collect_bounded, join_lookup, local_table, materialize
+from . import wide
 
 # The functions that run inside tasks travel with the job; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +35,8 @@ PARAMS_SCHEMA = (
     "model string, n long, n_pos long, skipped boolean, iterations int, converged boolean, "
     "params array<double>"
 )
+# Features up to which models are fitted by Newton steps; wider ones by gradients alone.
+NEWTON_FEATURES = 128
 # Rows of one silo that go into one partition.
 ROWS_PER_PART = 1_000_000
 # Models whose parameters are held on the driver and broadcast in one step.
@@ -193,6 +196,11 @@ class _State:
     accepted: np.ndarray | None = field(default=None)
     accepted_loss: float = float("inf")
 
+    @property
+    def weights(self) -> tuple[float, float]:
+        """Balanced weights of the positive and the other rows."""
+        return self.n / (2.0 * self.n_pos), self.n / (2.0 * (self.n - self.n_pos))
+
     def update(self, loss: float, gmax: float, step: np.ndarray, tol: float) -> None:
         self.iterations += 1
         if loss > self.accepted_loss + 1e-12 * max(1.0, abs(self.accepted_loss)):
@@ -228,6 +236,10 @@ def fit_grouped(
     parameters.  ``init`` is one start vector or one per model.  With ``prox_mu``
     the objective gains mu/2 |w - anchor|^2.  Returns ``PARAMS_SCHEMA``; the
     intercept is the last parameter and is not penalised.
+
+    Beyond ``NEWTON_FEATURES`` features no Hessian is added up: ``wide.descend``
+    takes the same objective to the same gradient bound, at a few vectors of
+    memory per model and 20 times ``max_iter`` steps at most.
     """
     rows = df.select(
         (F.col(models) if isinstance(models, str) else models).alias("models"),
@@ -253,6 +265,7 @@ def fit_grouped(
         return local_table(df.sparkSession, [], PARAMS_SCHEMA)
 
     size = found[0].d + 1
+    slim = size - 1 <= NEWTON_FEATURES
     states: dict[str, _State] = {}
     for r in found:
         start = init.get(r.model) if isinstance(init, Mapping) else init
@@ -264,15 +277,14 @@ def fit_grouped(
     target = None if anchor is None else np.asarray(anchor, dtype=float)
 
     spark = df.sparkSession
+    if not slim:
+        _descend(rows, states, wide.Objective(c, prox_mu, target), 20 * max_iter, tol)
     fan = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for _ in range(max_iter):
+    for _ in range(max_iter if slim else 0):
         current = {m: s.params for m, s in states.items() if not s.done}
         if not current:
             break
-        weights = {
-            m: (states[m].n / (2.0 * states[m].n_pos), states[m].n / (2.0 * (states[m].n - states[m].n_pos)))
-            for m in current
-        }
+        weights = {m: states[m].weights for m in current}
         steps = (
             rows.mapInArrow(_sums(size, current, weights), _SUM_SCHEMA)
             .repartition(min(fan, -(-len(current) // MODELS_PER_TASK)), "model")
@@ -290,6 +302,32 @@ def fit_grouped(
     return local_table(spark, result, PARAMS_SCHEMA)
 
 
+def _descend(rows: DataFrame, states: Mapping[str, _State], objective: wide.Objective, max_iter: int, tol: float) -> None:
+    """Fit the open models by gradients alone; the states keep what is found.
+
+    More models than a chain of evaluations may hold are cut into chains.  The rows are then
+    written once per model they train, and a chain scans only its own folder.
+    """
+    names = [m for m, s in states.items() if not s.done]
+    if not names:
+        return
+    most = wide.models_per_chain(len(states[names[0]].params))
+    chains = [names[i : i + most] for i in range(0, len(names), most)]
+    parts = [rows]
+    if len(chains) > 1:
+        number = local_table(rows.sparkSession, [(m, i) for i, chain in enumerate(chains) for m in chain], "model string, chunk int")
+        single = rows.select(F.explode("models").alias("model"), "y", "x").join(F.broadcast(number), "model")
+        salts = max(1, -(-sum(states[m].n for m in names) // (len(chains) * ROWS_PER_PART)))
+        spread = single.repartition(F.col("chunk"), F.pmod(F.xxhash64("model", "x"), F.lit(salts)))
+        table = materialize(spread.select("chunk", F.array("model").alias("models"), "y", "x"), "wide-rows", partition_by=["chunk"])
+        parts = [table.filter(F.col("chunk") == i).drop("chunk") for i in range(len(chains))]
+    for chain, part in zip(chains, parts):
+        starts, weights = ({m: pick(states[m]) for m in chain} for pick in (lambda s: s.params, lambda s: s.weights))
+        for model, (params, rounds, flat) in wide.descend(part, starts, weights, objective, max_iter, tol).items():
+            state = states[model]
+            state.accepted, state.iterations, state.done = params, rounds, flat
+
+
 def _fit_in_chunks(rows: DataFrame, stats: DataFrame, **options) -> DataFrame:
     """More models than one step may hold: fit them in groups of bounded size.
 

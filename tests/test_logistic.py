@@ -115,3 +115,50 @@ def test_scoring(data):
     assert len(got) == 1800
     assert got[7, "a"] == pytest.approx(1 / (1 + np.exp(-(x[7] @ params["a"][:3] + 0.1))))
     assert got[7, "b"] == 0.5
+
+
+@pytest.fixture(scope="module")
+def wide_data(spark):
+    rng = np.random.default_rng(4)
+    n, d = 600, 1000
+    x = np.where(rng.random((n, d)) < 0.05, rng.normal(size=(n, d)), 0.0)
+    y = (x @ rng.normal(size=d) + rng.normal(size=n) > 0.3).astype(int)
+    rows = [(i, i % 3, int(y[i]), x[i].tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, silo int, label int, features array<double>").repartition(6).cache(), x, y
+
+
+def test_wide_models_reach_the_optimum_without_a_hessian(wide_data, monkeypatch):
+    df, x, y = wide_data
+    monkeypatch.setattr(L, "_sums", None)  # a Newton step would fail
+    names = F.array(F.lit("pooled"), F.col("silo").cast("string"))
+    got = by_model(L.fit_grouped(df, names, c=1.0))
+    for model, mine in [("pooled", slice(None)), *((str(s), np.arange(len(y)) % 3 == s) for s in range(3))]:
+        a, b, w = x[mine], y[mine], np.array(got[model].params)
+        assert got[model].converged and got[model].n == len(b)
+        s = np.where(b == 1, len(b) / (2 * b.sum()), len(b) / (2 * (len(b) - b.sum())))
+        error = s * (1 / (1 + np.exp(-a @ w[:-1] - w[-1])) - b)
+        assert np.abs(np.append(a.T @ error + w[:-1], error.sum())).max() < 1e-5
+        assert np.allclose(w, solve(a, b, c=1.0), atol=1e-5)
+
+
+def test_wide_and_newton_fits_agree(data, monkeypatch):
+    df, *_ = data
+    names = F.array(F.lit("pooled"), F.col("silo").cast("string"))
+    anchor = [0.2, -0.1, 0.1, 0.05]
+    want = by_model(L.fit_grouped(df, names, tol=1e-9, prox_mu=0.5, anchor=anchor))
+    monkeypatch.setattr(L, "NEWTON_FEATURES", 2)
+    got = by_model(L.fit_grouped(df, names, tol=1e-8, prox_mu=0.5, anchor=anchor))
+    monkeypatch.setattr(L.wide, "PARAMETERS", 12)  # three models in a chain
+    chained = by_model(L.fit_grouped(df, names, tol=1e-8, prox_mu=0.5, anchor=anchor, init=[1.0, -1.0, 0.5, 0.1]))
+    assert set(got) == set(want) == set(chained)
+    for m in want:
+        assert np.allclose(got[m].params, want[m].params, atol=1e-7)
+        assert np.allclose(chained[m].params, want[m].params, atol=1e-7)
+
+
+def test_wide_silos_of_one_class_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(L, "NEWTON_FEATURES", 1)
+    rows = [("a", 1, [0.1 * i, 1.0]) for i in range(8)] + [("b", i % 2, [0.1 * i, 1.0]) for i in range(8)]
+    df = spark.createDataFrame(rows, "silo string, label int, features array<double>")
+    got = by_model(L.fit_grouped(df, F.array("silo")))
+    assert got["a"].skipped and got["a"].params == [0.0] * 3 and not got["b"].skipped and got["b"].converged
