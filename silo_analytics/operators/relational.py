@@ -55,6 +55,18 @@ def mark_exists(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame
     return df.join(present, on, "left").withColumn(flag, F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
+def first_row_marked(df: DataFrame, key: str, order: Sequence[str], payload: Sequence[str], flag: str) -> DataFrame:
+    """The first row of every key, and 0/1 whether the key has another row; rows with a null key are one key.
+
+    One scan and one aggregate: every map task sends one row per key, however many rows a key has.
+    ``order`` should tell the rows of a key apart.
+    """
+    names = list(dict.fromkeys([*order, *payload]))
+    first = F.min_by(F.struct(*names), F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])).alias("_first")
+    found = df.groupBy(key).agg(first, (F.count(F.lit(1)) > 1).cast("int").alias(flag))
+    return found.select(key, *[F.col(f"_first.{c}").alias(c) for c in names if c != key], flag)
+
+
 def first_rows(df: DataFrame, key: str, order: Sequence[str], n: int, rank: str) -> DataFrame:
     """The first ``n`` rows of every key with their rank.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,9 +13,10 @@ from ..operators.augment import augment_groups
 from ..operators.logistic import balanced_training_table
 from ..operators.prep import FittedPrep, fit_prep
 from ..operators.sampling import stratified_split
-from ..operators.store import MODEL_SCHEMA, config_column, save_metrics, save_models, summarize
+from ..operators.store import MODEL_SCHEMA, config_column, save_clusters, save_metrics, save_models, summarize
 from ..scratch import join_lookup, materialize, null_safe_join, quoted
 from ..spec import DatasetSpec, RunConfig
+from .clusters import ClusterResults, run_clusters
 from .regional import RegionalComparison, compare_regions
 from .strategies import GLOBAL_METRICS, Prepared, StrategyResults, run_linear, run_mlp
 
@@ -33,6 +34,7 @@ class RunResult:
     comparison: RegionalComparison | None
     prepared: Prepared
     prep: FittedPrep
+    clusters: ClusterResults | None = None
 
 
 def with_row_ids(df: DataFrame, key: str) -> DataFrame:
@@ -97,8 +99,15 @@ def run(
     models_path: str | None = None,
     metrics_path: str | None = None,
     compare: bool = False,
+    hospitals: DataFrame | None = None,
+    hospital_columns: Sequence[str] = (),
+    clusters_path: str | None = None,
 ) -> RunResult:
-    """Run the strategies that both the dataset and the configuration allow."""
+    """Run the strategies that both the dataset and the configuration allow.
+
+    With ``hospitals`` (a row per hospital) the averaging over clusters of hospitals runs too; its metrics and
+    parameters join the others', and the clustering is stored at ``clusters_path``.
+    """
     cfg = cfg or RunConfig()
     run_id = run_id or uuid.uuid4().hex[:8]
     strategies = [s for s in sorted(set(cfg.strategies)) if s in spec.strategies]
@@ -106,6 +115,8 @@ def run(
         raise ValueError("none of the configured strategies suits the dataset")
     prepared, prep = prepare(cohort, spec, cfg)
     linear = cfg.algorithm == "logistic_regression"
+    if hospitals is not None and not linear:
+        raise ValueError("clusters of hospitals are averaged for logistic models only")
     results = run_linear(prepared, strategies) if linear else run_mlp(prepared, strategies)
 
     comparison = None
@@ -114,13 +125,21 @@ def run(
         comparison = compare_regions(
             prepared, last.get("pooled"), last.get("fedavg_region", last.get("fedprox_region"))
         )
+    clusters = None
+    if hospitals is not None:
+        first = results.params.filter((F.col("strategy") == "pooled")).first()
+        clusters = run_clusters(prepared, hospitals, hospital_columns, first.params if first else None)
+        results.metrics = results.metrics.unionByName(clusters.metrics)
+        results.params = results.params.unionByName(clusters.params)
+        if clusters_path:
+            save_clusters(clusters.clusters.withColumn("run_id", F.lit(run_id)), clusters_path)
     whole = results.metrics.filter(F.col("silo").isNull())
     summary = summarize(whole, SUMMARY)
     if models_path:
         save_models(model_rows(results, cfg, run_id), models_path)
     if metrics_path:
         save_metrics(results.metrics.withColumn("run_id", F.lit(run_id)), metrics_path)
-    return RunResult(run_id, summary, results, comparison, prepared, prep)
+    return RunResult(run_id, summary, results, comparison, prepared, prep, clusters)
 
 
 def model_rows(results: StrategyResults, cfg: RunConfig, run_id: str) -> DataFrame:

@@ -256,7 +256,7 @@ def run_linear(prepared: Prepared, strategies: Sequence[int], evaluate: bool = T
             of("hospital").join(passed, "model", "left_anti").select("model"), "model", "left_anti"
         )
 
-    metrics = _evaluate_rounds(prepared, globals_)
+    metrics = evaluate_rounds(prepared, {(STRATEGIES[s], r): w for (s, r), w in globals_.items()})
     metrics = metrics.unionByName(_silo_metrics(usable, local, cfg, strategies))
     metrics = metrics.unionByName(_skipped_silos(fitted, cfg, strategies))
     metrics = metrics.unionByName(_label_profile(prepared, strategies, usable))
@@ -298,14 +298,14 @@ def gate_report(prepared: Prepared, fitted: DataFrame, local: DataFrame) -> Data
     )
 
 
-def _evaluate_rounds(prepared: Prepared, globals_: dict[tuple[int, int], list[float]]) -> DataFrame:
-    """Held-out metrics of every (strategy, round); equal models are scored once."""
+def evaluate_rounds(prepared: Prepared, globals_: dict[tuple[str, int], list[float]]) -> DataFrame:
+    """Held-out metrics of every (strategy name, round); equal models are scored once."""
     spark = prepared.train.sparkSession
     distinct: dict[tuple[float, ...], str] = {}
     where = []
     for (s, r), w in sorted(globals_.items()):
         name = distinct.setdefault(tuple(w), f"m{len(distinct)}")
-        where.append((STRATEGIES[s], r, name))
+        where.append((s, r, name))
     if not where:
         return local_table(spark, [], METRICS)
     scored = score_models(

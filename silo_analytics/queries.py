@@ -33,6 +33,7 @@ from .operators import (
     store,
 )
 from .plans import orders as O
+from .plans.clusters import run_clusters
 from .plans.cohort import build_icu_cohort
 from .plans.orchestrate import SUMMARY, prepare, run
 from .plans.regional import compare_regions
@@ -40,6 +41,7 @@ from .plans.strategies import averaging_rounds, run_linear, run_mlp
 from .schemas import schema
 from .scratch import materialize, scratch_path
 from .sources import datasets
+from .sources.convert import convert_csv, read_converted
 from .sources import tables as src
 from .spec import RunConfig
 
@@ -183,9 +185,8 @@ SELECT o_custkey, o_orderkey,
 FROM v WHERE visit = 1""")
 def second_visit_label(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    two = relational.first_rows(orders, "o_custkey", ("o_orderdate", "o_orderkey"), 2, "visit")
-    first, second = two.filter("visit = 1"), two.filter("visit = 2")
-    return relational.mark_exists(first, second, "o_custkey", "returned").select("o_custkey", "o_orderkey", "returned")
+    marked = relational.first_row_marked(orders, "o_custkey", ("o_orderdate", "o_orderkey"), ("o_orderkey",), "returned")
+    return marked.select("o_custkey", "o_orderkey", "returned")
 
 
 def _priced(spark, folder):
@@ -526,6 +527,42 @@ def csv_scan(spark, folder):
     return src.read_table(spark, path, "customer", fields)
 
 
+@query("any_case_scan", """SELECT n_nationkey, n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+def any_case_scan(spark, folder):
+    """Customers and nations written under names of other letters, and found by theirs."""
+    path = scratch_path(spark, "any-case")
+    for name, file in (("customer", "CUSTOMER.Csv"), ("nation", "nation.CSV")):
+        table(spark, folder, name).write.option("header", True).csv(f"{path}/{file}")
+    people = src.read_any_case(spark, path, "customer.csv", schema("c_custkey bigint, c_nationkey int"))
+    nations = src.read_any_case(spark, path, "Nation.csv", schema("n_nationkey int, n_name string"))
+    counts = relational.count_per_key(people, "c_nationkey", "customers").withColumnRenamed("c_nationkey", "n_nationkey")
+    return relational.attach(nations, counts, "n_nationkey", zero=["customers"])
+
+
+@query("csv_convert", """
+WITH t AS (SELECT o_custkey % 50 AS silo, o_orderpriority || chr(10) || 'say "' || o_orderstatus || '", twice' AS note, o_totalprice AS price
+  FROM orders UNION ALL SELECT o_custkey % 50, NULL, NULL FROM orders)
+SELECT silo, note, count(*) AS n, count(*) AS n_ids, sum(CAST(round(price * 100) AS BIGINT))::BIGINT AS cents, 1 AS runs
+FROM t GROUP BY silo, note""")
+def csv_convert(spark, folder):
+    """Orders with quoted line breaks, quotes and repeated rows: converted once; a second run finds nothing to do."""
+    path = scratch_path(spark, "convert")
+    note = F.concat("o_orderpriority", F.lit('\nsay "'), "o_orderstatus", F.lit('", twice'))
+    silo = (F.col("o_custkey") % 50).alias("silo")
+    orders = table(spark, folder, "orders")
+    rows = orders.select(silo, note.alias("note"), F.col("o_totalprice").alias("price"))
+    rows = rows.unionByName(orders.select(silo), allowMissingColumns=True)
+    writer = rows.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True)
+    writer.option("compression", "gzip").csv(f"{path}/raw")
+    fields = schema("silo bigint, note string, price double")
+    runs = sum(convert_csv(spark, f"{path}/raw", f"{path}/parquet", fields, rows_per_file=10_000) for _ in range(2))
+    found = read_converted(spark, f"{path}/parquet")
+    return found.groupBy("silo", "note").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_ids"),
+        F.sum(F.round(F.col("price") * 100).cast("long")).alias("cents"), F.lit(runs).alias("runs"),
+    )
+
+
 @query("site_scan", """
 SELECT o_orderkey::DOUBLE AS key, o_totalprice AS price, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey::DOUBLE END AS cust,
   CASE o_orderstatus WHEN 'F' THEN 'Filled' WHEN 'O' THEN 'Open' ELSE 'Partial' END AS region,
@@ -1304,6 +1341,105 @@ def cluster_fedavg(spark, folder):
     return metrics.ranking_metrics(logistic.score_models(prepared.test, {"cluster": last}, prepared.size), ["model"])
 
 
+_TRAIN = f"""base AS (SELECT id, label, silo FROM cohort), {_quota('', False)},
+ranked AS ({_ranked('label', 'split')} FROM base),
+train AS (SELECT r.id, r.label, r.silo FROM ranked r JOIN quotas q ON r.label = q.label WHERE r.rk > q.q)"""
+
+
+@query("cluster_strategy", f"""WITH {COHORT}, {_TRAIN}
+SELECT CAST(round AS INTEGER) AS round, count(DISTINCT silo) AS hospitals, least(3, count(DISTINCT silo)) AS clusters, count(*) AS n,
+  sum(label)::BIGINT AS n_pos, count(*) AS n_weighted, 0.0 AS mean_gap FROM train, range(1, 4) t(round) WHERE silo IS NOT NULL GROUP BY round""")
+def cluster_strategy(spark, folder):
+    """Averaging over clusters of nations by population, wealth and label rate: sizes per round, and the weighted mean of the
+    silos' scores beside one taken from their rows."""
+    prepared = _prepared(spark, folder, augment_data=False)
+    people = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("silo"))
+    nations = people.agg(
+        F.avg(S.flag_equals(F.col("c_mktsegment"), "BUILDING")).alias("building"), F.avg(F.signum("c_acctbal")).alias("in_credit")
+    )
+    found = run_clusters(prepared, nations, ["building", "in_credit"])
+    sizes = found.clusters.agg(
+        F.count(F.lit(1)).alias("hospitals"), F.count_distinct("hospital_cluster").alias("clusters"), F.sum("n").alias("n"),
+    )
+    pos = found.local_params.agg(F.sum("n_pos").alias("n_pos"))
+    silos = found.metrics.filter("silo IS NOT NULL AND metric = 'local_auroc'").groupBy("round")
+    means = silos.agg(F.sum("n").alias("n_weighted"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    stated = found.metrics.filter("silo IS NULL AND metric = 'local_weighted_auroc'").select("round", F.col("value").alias("stated"))
+    gap = F.round(F.abs(F.col("mean") - F.col("stated")), 3).alias("mean_gap")
+    rounds = means.join(stated, "round").select("round", "n_weighted", gap)  # one row per round
+    return rounds.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(pos))  # one row each
+
+
+def _run_sql(source: str, label: str) -> str:
+    """SQL of the counts that a run of strategies 1 and 2 reports."""
+    train = f"base AS (SELECT {label} AS label FROM {source}), {_quota('', False)}"
+    return f"""WITH {train}, kept AS (SELECT sum(n - q) AS n, sum(n - q) FILTER (label = 1) AS n_pos, sum(q) AS n_test FROM quotas)
+SELECT strategy, CAST(n AS BIGINT) AS n, CAST(n_pos AS DOUBLE) AS n_pos, round(n_pos / n * 100, 1) AS rate_pct, CAST(n_test AS BIGINT) AS n_test,
+  CASE strategy WHEN 'pooled' THEN NULL ELSE (SELECT count(DISTINCT part)::DOUBLE FROM (SELECT CASE c_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS part FROM customer)) END AS participants
+FROM kept, (VALUES ('pooled'), ('fedavg_region')) AS s(strategy)"""
+
+
+def _run_report(result) -> DataFrame:
+    """What a run reports of its rows: sizes of both sides, positives and how many silos took part."""
+    n = result.results.metrics.filter("metric = 'n_pos'").select("strategy", "n")
+    tested = result.results.metrics.filter("metric = 'global_ap'").groupBy("strategy").agg(F.max("n").alias("n_test"))
+    return result.summary.select("strategy", "n_pos", "rate_pct", "participants").join(n, "strategy").join(tested, "strategy")
+
+
+@query("bank_run", _run_sql("customer", "CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END"))
+def bank_run(spark, folder):
+    """A whole run on the bank features, regions as silos; the customers play the accounts."""
+    raw = table(spark, folder, "customer").selectExpr(
+        *[f"cast({e} AS double) AS {n}" for n, e in _BANK.items()], *[f"{e} AS {n}" for n, e in _BANK_TEXT.items()],
+        "cast(c_custkey % 300 + 400 AS double) AS CreditScore", "cast(c_custkey % 2 AS double) AS HasCrCard",
+        "CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS Exited",
+    )
+    return _run_report(run(datasets.bank_features(raw), datasets.BANK, RunConfig(strategies=(1, 2)), "bank"))
+
+
+@query("heart_run", _run_sql("lineitem", "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END").replace(
+    "(SELECT CASE c_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS part FROM customer)",
+    "(SELECT l_suppkey % 4 AS part FROM lineitem)"))
+def heart_run(spark, folder):
+    """A whole run on the heart features with four sites; the order lines play the patients."""
+    site = "cast(l_suppkey % 4 AS int)"
+    raw = table(spark, folder, "lineitem").selectExpr(
+        *[f"cast({e} AS double) AS {n}" for n, e in _HEART.items()],
+        f"concat('site ', {site}) AS region", f"{site} AS hospitalid",
+    )
+    return _run_report(run(datasets.heart_features(raw), datasets.HEART, RunConfig(strategies=(1, 2)), "heart"))
+
+
+@query("wide_lr_at_optimum", f"""WITH {BASE}
+SELECT CAST(b.silo AS VARCHAR) AS model, count(*) AS n, sum(b.label)::BIGINT AS n_pos, count(*) / 2.0::DOUBLE AS mass,
+  (SELECT count(DISTINCT l_partkey % 150) + 1 FROM lineitem) AS n_flat
+FROM base AS b WHERE b.silo IS NOT NULL GROUP BY b.silo""")
+def wide_lr_at_optimum(spark, folder):
+    """One model per nation on 150 counts of parts: weighted probabilities add up to half the rows (the intercept's condition), and
+    the gradient vanishes in every part that occurs and in the intercept."""
+    size = 150
+    rows = base(spark, folder).filter(F.col("silo").isNotNull()).select("id", "silo", "label")
+    part = (F.col("l_partkey") % size).cast("int")
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("id"), part.alias("part")).agg(F.count(F.lit(1)).alias("k"))
+    bags = lines.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("bag"))
+    rows = relational.attach(rows, bags, "id")
+    counts = [F.coalesce(F.try_element_at("bag", F.lit(i)), F.lit(0)).cast("double") for i in range(size)]
+    rows = materialize(rows.select("silo", "label", F.array(*counts).alias("features")), "wide-rows")
+    params = logistic.fit_grouped(rows, F.array(F.col("silo").cast("string"))).withColumn("silo", F.col("model").cast("int"))
+    joined = rows.join(F.broadcast(params.select("silo", "model", "n", "n_pos", "params")), "silo")  # few models
+    n, pos, seen = F.col("n"), F.col("n_pos"), F.lit(CONFIG.c)
+    weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
+    scored = joined.withColumns({"w": weight, "p": probability("features", "params", size)})
+    error = F.col("w") * (F.col("p") - F.col("label"))
+    cells = scored.select("model", "n", "n_pos", "params", "w", "p", error.alias("e"), F.posexplode(F.concat("features", F.array(F.lit(1.0)))).alias("i", "x"))
+    slopes = cells.groupBy("model", "n", "n_pos", "i").agg(
+        F.sum(F.col("e") * F.col("x")).alias("g"), F.max("x").alias("most"), F.any_value(F.get("params", F.col("i"))).alias("v"),
+        F.sum(F.when(F.col("i") == size, F.col("w") * F.col("p"))).alias("mass"),
+    )
+    slope = F.abs(seen * F.col("g") + F.when(F.col("i") < size, F.col("v")).otherwise(F.lit(0.0)))
+    return slopes.groupBy("model", "n", "n_pos").agg(F.round(F.sum("mass"), 2).alias("mass"), F.count_if(slope < 1e-5).alias("n_flat"))
+
+
 @query("regional_comparison")
 def regional_comparison(spark, folder):
     prepared = _prepared(spark, folder)

@@ -11,7 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = (
     "cohort_features max_row_per_key quantile_flags region_split stratified_folds skew_partition augment_groups "
     "prep_transform split_with_null_labels region_split_with_null_regions metrics_with_null_scores prep_with_nan "
-    "cv_lr_at_optimum pooled_lr_at_optimum averages_of_optima proximal_at_optimum cluster_by_nearest_centre score_by_silo auroc_by_group bootstrap_auroc param_average best_of_uplift model_load"
+    "cv_lr_at_optimum pooled_lr_at_optimum averages_of_optima proximal_at_optimum cluster_by_nearest_centre score_by_silo auroc_by_group bootstrap_auroc param_average best_of_uplift model_load "
+    "second_visit_label any_case_scan csv_convert bank_run cluster_strategy wide_lr_at_optimum"
 )
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="driver tables are not here")
 

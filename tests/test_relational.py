@@ -78,3 +78,13 @@ def test_join_lookup_ways_agree(spark, monkeypatch, driver, broadcast):
         if how != "left_semi":
             assert got.filter("k = 1 AND v = 'b'").count() == 250
         assert "_salt" not in got.columns
+
+
+def test_first_row_marked_in_one_scan(spark, tmp_path):
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z"), (None, 3, "n"), (None, 1, None), ("c", None, "p"), ("c", 4, "q")]
+    spark.createDataFrame(rows, "k string, t int, v string").write.parquet(str(tmp_path / "t"))
+    got = R.first_row_marked(spark.read.parquet(str(tmp_path / "t")), "k", ["t"], ["v"], "more")
+    found = {(r.k, r.t, r.v, r.more) for r in got.collect()}
+    assert found == {("a", 1, "y", 1), ("b", 5, "z", 0), (None, 1, None, 1), ("c", None, "p", 1)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Window" not in plan and "Join" not in plan

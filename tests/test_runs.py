@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from silo_analytics import DatasetSpec, RunConfig
 from silo_analytics.operators import clustering, neural
 from silo_analytics.operators.metrics import ranking_metrics
-from silo_analytics.plans import orchestrate
+from silo_analytics.plans import clusters, orchestrate
 from silo_analytics.plans.regional import compare_regions
 from silo_analytics.plans.strategies import run_linear, run_mlp
 from silo_analytics.scratch import materialize
@@ -359,3 +359,53 @@ def test_spec_and_config():
             RunConfig(**bad)
     cfg = RunConfig.from_dict({"augment_data": "false", "random_state": "3", "strategies": ["1", 2], "unknown": 1})
     assert (cfg.augment_data, cfg.random_state, cfg.strategies) == (False, 3, (1, 2))
+
+
+def hospital_table(spark):
+    return spark.createDataFrame([(i, float(i % 3 * 10), i % 2) for i in range(12)], "hospitalid int, beds double, teaching int")
+
+
+def test_cluster_strategy(spark, result):
+    prepared = result.prepared
+    found = clusters.run_clusters(prepared, hospital_table(spark), ["beds", "teaching"])
+    groups = {r.hospitalid: r.hospital_cluster for r in found.clusters.collect()}
+    # Beds are far apart and not scaled, so they alone decide.
+    assert len(groups) == 12 and all((groups[a] == groups[b]) == (a % 3 == b % 3) for a in groups for b in groups)
+    rows = [r for r in prepared.train.select("hospitalid", "label", "features").collect() if r.hospitalid is not None]
+    fits = {r.model: r for r in found.local_params.collect()}
+    assert sum(r.n for r in fits.values()) == len(rows)
+    mean = sum(np.array(r.params) * r.n for r in fits.values()) / len(rows)
+    got = {r.round: r.params for r in found.params.collect()}
+    assert set(got) == {1, 2, 3} and all(np.allclose(w, mean, atol=1e-9) for w in got.values())
+    values = {(r.round, r.silo, r.metric): r.value for r in found.metrics.collect()}
+    for number in (1, 2, 3):
+        own = {m: values[number, m.split(":")[1], "local_auroc"] for m in fits}
+        weighted = sum(own[m] * fits[m].n for m in fits) / len(rows)
+        assert values[number, None, "local_weighted_auroc"] == pytest.approx(weighted, abs=1e-4)
+        assert values[number, None, "participants"] == 3 and 0 < values[number, None, "global_auroc"] < 1
+    assert values[1, None, "n_pos"] == sum(r.label for r in rows)
+
+
+def test_clusters_join_a_run_and_are_stored(spark, cohort, tmp_path):
+    cfg = config(strategies=(1,), n_bootstrap=5)
+    paths = {f"{n}_path": str(tmp_path / n) for n in ("models", "metrics", "clusters")}
+    done = orchestrate.run(cohort, SPEC, cfg, run_id="r", hospitals=hospital_table(spark).filter("hospitalid < 6"), hospital_columns=["beds"], **paths)
+    assert {r.strategy for r in done.summary.collect()} == {"pooled", "cluster_fedavg"}
+    stored = spark.read.parquet(paths["clusters_path"])
+    assert stored.count() == 12 and stored.filter("beds IS NULL").count() == 6 and {r.run_id for r in stored.collect()} == {"r"}
+    assert {r.tag for r in spark.read.parquet(paths["models_path"]).collect()} == {"pooled", "cluster_fedavg"}
+    with pytest.raises(ValueError):
+        orchestrate.run(cohort, SPEC, config(algorithm="mlp"), hospitals=hospital_table(spark))
+
+
+def test_a_cluster_of_one_class_takes_no_part(spark, result):
+    prepared = result.prepared
+    alone = prepared.train.withColumn("label", F.when(F.col("hospitalid") == 3, 1).otherwise(F.col("label")))
+    beds = spark.createDataFrame([(i, 1000.0 if i == 3 else float(i % 2)) for i in range(12)], "hospitalid int, beds double")
+    one = orchestrate.Prepared(materialize(alone, "one-class"), prepared.test, prepared.spec, prepared.cfg)
+    found = clusters.run_clusters(one, beds, ["beds"])
+    lone = found.local_params.filter("skipped").collect()
+    assert len(lone) == 1 and lone[0].n == lone[0].n_pos
+    silo = lone[0].model.split(":")[1]
+    assert {r.value for r in found.metrics.filter(F.col("silo") == silo).collect()} == {0.0}
+    assert {r.value for r in found.metrics.filter("metric = 'participants'").collect()} == {2.0}

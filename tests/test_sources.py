@@ -3,6 +3,7 @@ import gzip
 import pytest
 
 from silo_analytics.schemas import schema
+from silo_analytics.sources import convert as C
 from silo_analytics.sources import datasets as D
 from silo_analytics.sources import tables as S
 
@@ -83,3 +84,58 @@ def test_profile_of_sources(spark):
         ("v", "a"): (0, 0, 0, "table is empty"),
     }
     assert S.profile_sources({}, {}, spark).count() == 0
+
+
+NOTES = 'id,name,x\n1,"two\nlines, ""quoted""",1.5\n2,b,\n2,b,\n3,,7\n'
+
+
+def parquet_files(folder):
+    return sorted((p.relative_to(folder), p.stat().st_mtime_ns) for p in folder.rglob("part-*"))
+
+
+def test_conversion_keeps_line_breaks_and_runs_once(spark, tmp_path):
+    write(tmp_path / "t.csv.gz", NOTES)
+    source, target = str(tmp_path / "t.csv.gz"), str(tmp_path / "out")
+    assert C.convert_csv(spark, source, target, SCHEMA, rows_per_file=2)
+    rows = C.read_converted(spark, target).collect()
+    assert sorted((r.id, r.name, r.x) for r in rows if r.id != 2) == [(1, 'two\nlines, "quoted"', 1.5), (3, None, 7.0)]
+    assert [(r.id, r.name, r.x) for r in rows if r.id == 2] == [(2, "b", None)] * 2
+    assert len({r.row_id for r in rows}) == 4
+    assert len(list((tmp_path / "out").glob("data-*/part-*"))) >= 2
+    before = parquet_files(tmp_path / "out")
+    assert not C.convert_csv(spark, source, target, SCHEMA, rows_per_file=2)
+    assert parquet_files(tmp_path / "out") == before
+    # Ids follow from the content, whatever the place and the size of the files.
+    assert C.convert_csv(spark, source, str(tmp_path / "other"), SCHEMA)
+    ids = {r.row_id for r in C.read_converted(spark, str(tmp_path / "other")).collect()}
+    assert ids == {r.row_id for r in rows}
+
+
+def test_conversion_follows_the_source_and_survives_a_broken_run(spark, tmp_path, monkeypatch):
+    source, target = str(tmp_path / "t.csv"), str(tmp_path / "out")
+    write(tmp_path / "t.csv", NOTES)
+    with pytest.raises(FileNotFoundError):
+        C.read_converted(spark, target)
+    C.convert_csv(spark, source, target, SCHEMA)
+    write(tmp_path / "t.csv", NOTES + "9,new,1\n")
+    with monkeypatch.context() as broken:
+        broken.setattr(C, "local_table", None)  # the manifest is not written
+        with pytest.raises(TypeError):
+            C.convert_csv(spark, source, target, SCHEMA)
+    assert C.read_converted(spark, target).count() == 4
+    assert C.convert_csv(spark, source, target, SCHEMA)
+    assert C.read_converted(spark, target).count() == 5
+    assert not C.convert_csv(spark, source, target, SCHEMA)
+    assert C.convert_csv(spark, source, target, schema("id bigint, name string"))
+    assert C.read_converted(spark, target).columns == ["row_id", "id", "name"]
+
+
+def test_conversion_of_nothing(spark, tmp_path):
+    write(tmp_path / "t.csv", "id,name,x\n")
+    assert C.convert_csv(spark, str(tmp_path / "t.csv"), str(tmp_path / "out"), SCHEMA)
+    found = C.read_converted(spark, str(tmp_path / "out"))
+    assert found.count() == 0 and found.columns == ["row_id", "id", "name", "x"]
+    with pytest.raises(FileNotFoundError):
+        C.convert_csv(spark, str(tmp_path / "absent.csv"), str(tmp_path / "out"), SCHEMA)
+    with pytest.raises(ValueError):
+        C.convert_csv(spark, str(tmp_path / "t.csv"), str(tmp_path / "out"), SCHEMA, key="id")
