@@ -80,8 +80,9 @@ def product(*cols: Column) -> Column:
 
 
 def smoothed_ratio(top: Column, bottom: Column) -> Column:
-    """top / (bottom + 1)."""
-    return known(top) / (known(bottom) + F.lit(1))
+    """top / (bottom + 1); over zero it is infinite with the sign of ``top``, and NaN for zero over zero."""
+    over = known(bottom) + F.lit(1)
+    return F.when(over == 0, known(top) * F.lit(float("inf"))).otherwise(known(top) / over)
 
 
 def guarded_ratio(top: Column, bottom: Column) -> Column:

@@ -45,6 +45,14 @@ def test_products_and_ratios(spark):
     assert values(spark, rows, schema, S.guarded_ratio(a, b)) == [0.0, 0.0, 2.0, None]
 
 
+def test_a_ratio_over_zero_is_infinite(spark):
+    rows = [(2.0, -1.0), (-2.0, -1.0), (0.0, -1.0), (None, -1.0), (2.0, 3.0)]
+    a, b = F.col("a"), F.col("b")
+    found = values(spark, rows, "a double, b double", S.smoothed_ratio(a, b))
+    assert found[:2] == [float("inf"), float("-inf")] and found[2] != found[2] and found[3:] == [None, 0.5]
+    assert values(spark, rows, "a double, b double", S.guarded_ratio(a, b)) == [0.0, 0.0, 0.0, 0.0, 0.5]
+
+
 def test_flag_above_is_strict_and_safe(spark):
     rows = [(1.0,), (2.0,), (None,)]
     assert values(spark, rows, "x double", S.flag_above(F.col("x"), 1.0)) == [0, 1, 0]
