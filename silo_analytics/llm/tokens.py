@@ -39,6 +39,8 @@ ENCODE_BYTES = 192 << 20
 # Letters of text, and stretches, whose new stretches are encoded in one go.
 LEARN_BYTES = 1 << 20
 LEARN_WORDS = 4096
+# Stretches that are remembered, and as many older ones (about 0.2 kB each).
+HELD_STRETCHES = 100_000
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -54,11 +56,12 @@ class Encoder:
 
     With ``separable`` (a lower-casing tokenizer of at most 65,536 ids with word ends that
     keeps letters, signs and blanks apart), every distinct stretch between blanks is encoded
-    once and remembered; up to ``limit`` stretches are held.  Otherwise, and where a text holds
-    a special token in small or capital letters, it is encoded by itself.
+    once and remembered.  When more than ``limit`` are held, they become the ``older`` ones in place of those before;
+    what is met again moves on, so that rare stretches go and memory does not grow with the task.  Otherwise, and where
+    a text holds a special token in small or capital letters, it is encoded by itself.
     """
 
-    def __init__(self, source: str, end_id: int, separable: bool, limit: int = 1_200_000) -> None:
+    def __init__(self, source: str, end_id: int, separable: bool, limit: int = HELD_STRETCHES) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
@@ -79,6 +82,7 @@ class Encoder:
             self.plain = Tokenizer.from_str(source)
             self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.limit = limit
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -133,12 +137,14 @@ class Encoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts, whose new stretches are encoded together."""
         if len(self.known) > self.limit:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
         words = [None if self.mark in t and self.special.search(t) else _stretches(t) for t in texts]
         found = [w and list(map(self.known.get, w)) for w in words]
         gaps = [[k for k, ids in enumerate(f or ()) if ids is None] for f in found]
         new = {w[k] for w, g in zip(words, gaps) for k in g}
-        self._learn(list(new))
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self._learn(list(new - again))
         out = []
         for text, w, ids, g in zip(texts, words, found, gaps):
             if w is None:

@@ -11,8 +11,8 @@ partial score, i.e. one score list per slice.
    collected, stay below the cutoff.
 3. Resolve: the whole scores of the rows left are summed exactly, and the best k are kept.
 
-Rows and queries are packed into blocks and meet block by block on a grid, so neither the
-queries nor the rows are ever in one place.
+Rows and queries are packed into blocks.  The blocks of rows stay where they lie; those of the queries come to
+them in broadcasts of a bounded size, so neither the queries nor the rows are ever in one place.
 """
 
 from __future__ import annotations
@@ -26,10 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, starts
+from .common import col, small_batches, starts
 
 ROW_BLOCK = 2048
 QUERY_BLOCK = 2048
+# Bytes of query blocks that one broadcast holds, on average.
+QUERY_BYTES = 16 << 20
+# Pairs of blocks (about 0.5 MB each, 2 MB where components need 64 bits) that a task holds at once.
+PAIRS_PER_BATCH = 8
 LISTS = 4
 _STEP = 256  # queries whose scores a task holds at once
 
@@ -47,12 +51,14 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 
 def _packed(batches: Iterator[pa.RecordBatch], block: int, cutoffs: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition as blocks: ids, lengths and components as bytes."""
+    """Rows of a partition as blocks: ids, lengths and components as bytes, these in the narrowest type that holds them."""
     held, count = [], 0
 
     def close() -> pa.RecordBatch:
         ids, lengths, parts, cuts = (np.concatenate(x) for x in zip(*held))
-        columns = [pa.array([x.tobytes()], pa.binary()) for x in (ids, lengths, parts, cuts)]
+        low, high = parts.min(initial=0), parts.max(initial=0)
+        kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (ids, lengths, parts.astype(kind), cuts)]
         return pa.record_batch(columns, ["ids", "lengths", "parts", "cuts"])
 
     for batch in batches:
@@ -71,8 +77,9 @@ def _packed(batches: Iterator[pa.RecordBatch], block: int, cutoffs: bool) -> Ite
         yield close()
 
 
-def _matrix(lengths: np.ndarray, parts: np.ndarray, width: int) -> np.ndarray:
+def _matrix(lengths: np.ndarray, raw: bytes, width: int) -> np.ndarray:
     """Vectors as rows; missing components count as 0."""
+    parts = np.frombuffer(raw, f"i{len(raw) // int(lengths.sum())}")
     out = np.zeros((len(lengths), width), np.int64)
     at = starts(lengths)[:-1]
     row = np.repeat(np.arange(len(lengths)), lengths)
@@ -104,8 +111,8 @@ def _meet(batches: Iterator[pa.RecordBatch], k: int, final: bool) -> Iterator[pa
             ids, q_ids = (np.frombuffer(row[c], np.int64) for c in ("r_ids", "q_ids"))
             lengths, q_lengths = (np.frombuffer(row[c], np.int32) for c in ("r_lengths", "q_lengths"))
             width = int(max(lengths.max(), q_lengths.max()))
-            r = _matrix(lengths, np.frombuffer(row["r_parts"], np.int64), width)
-            q = _matrix(q_lengths, np.frombuffer(row["q_parts"], np.int64), width)
+            r = _matrix(lengths, row["r_parts"], width)
+            q = _matrix(q_lengths, row["q_parts"], width)
             cuts = np.frombuffer(row["q_cuts"], np.int64)
             for at in range(0, len(q), _STEP):
                 names = q_ids[at : at + _STEP]
@@ -169,23 +176,29 @@ def top_inner_products(
     queries = materialize(queries, "queries")
     count = queries.count()
     rows = vectors.count()
-    blocks = max(1, -(-count // query_block))
-    lanes = max(1, min(-(-rows // row_block), 4 * spark.sparkContext.defaultParallelism))
     layout = "ids binary, lengths binary, parts binary, cuts binary"
     packed = vectors.repartition(max(1, -(-rows // row_block)), "id").mapInArrow(
         partial(_packed, block=row_block, cutoffs=False), layout
     )
     packed = materialize(packed.select(*[F.col(c).alias(f"r_{c}") for c in ("ids", "lengths", "parts")]), "row-blocks")
-    lane = F.pmod(F.xxhash64("r_ids"), F.lit(lanes)).cast("int")
-    row_side = packed.select("*", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def met(asked: DataFrame, final: bool) -> DataFrame:
-        dealt = asked.repartition(blocks, "id").mapInArrow(partial(_packed, block=query_block, cutoffs=True), layout)
-        dealt = materialize(dealt.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "lengths", "parts", "cuts")]), "query-blocks")
-        numbered = dealt.select("*", F.pmod(F.xxhash64("q_ids"), F.lit(blocks)).cast("int").alias("block"))
-        numbered = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-        cells = row_side.join(numbered, ["lane", "block"]).drop("lane", "block")
-        return cells.mapInArrow(partial(_meet, k=k, final=final), "query_id long, vec_id long, score long")
+        blocks = asked.repartition(max(1, -(-count // query_block)), "id").mapInArrow(
+            partial(_packed, block=query_block, cutoffs=True), layout
+        )
+        columns = ["q_ids", "q_lengths", "q_parts", "q_cuts"]
+        blocks = materialize(blocks.toDF(*columns), "query-blocks")
+        size = blocks.agg(F.sum(sum(map(F.octet_length, columns[1:]), F.octet_length(columns[0])))).first()[0] or 0
+        chunks = max(1, -(-size // QUERY_BYTES))
+        found = None
+        for i in range(chunks):
+            some = blocks.where(F.pmod(F.xxhash64("q_ids"), F.lit(chunks)) == i)
+            pairs = packed.crossJoin(F.broadcast(some))
+            best = pairs.mapInArrow(partial(_meet, k=k, final=final), "query_id long, vec_id long, score long")
+            with small_batches(spark, PAIRS_PER_BATCH):
+                part = materialize(best, "met")
+            found = part if found is None else found.unionByName(part)
+        return found
 
     local = met(queries.withColumn("cut", F.lit(None).cast("long")), final=False)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

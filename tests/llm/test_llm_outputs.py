@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -148,6 +149,25 @@ def test_top_k_equals_all_pairs(spark, kind, block):
     assert sorted(map(tuple, got)) == brute_top(rows, 5, 10)
 
 
+def test_queries_reach_the_rows_in_bounded_broadcasts(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    data = [(k, v.tolist()) for k, v in enumerate(draw.normal(0, 1, (600, 10)))]
+    vectors = topk.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    rows = {r.id: r.v for r in vectors.collect()}
+    sent = []
+
+    def broadcast(df):
+        sent.append(sum(len(r[c]) for r in df.collect() for c in r.__fields__))
+        return df.hint("broadcast")
+
+    monkeypatch.setattr(topk.F, "broadcast", broadcast)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 2_000, raising=False)
+    got = topk.top_inner_products(vectors, vectors.where("id % 5 = 0"), 5, 16, 16).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 5, 5)
+    # Two phases; per query an id, a cutoff, a length and ten components of two bytes, once each.
+    assert len(sent) > 2 and sum(sent) == 2 * 120 * (8 + 8 + 4 + 20) and max(sent) <= 3 * 2_000
+
+
 def test_odd_vectors(spark):
     data = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [0.5]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (None, [1.0, 1.0]),
             (4, [float("inf")]), (5, []), (6, [3.0, 1.0, 2.0]), (10, [0.0, -1.0])]
@@ -235,3 +255,17 @@ def test_a_leaf_takes_its_budget_whatever_the_ids(spark, ids):
     taken = mixing.choose_documents(docs, ["lang", "source"], [{}, {}], [1, 1], share=0.5, max_epochs=1).collect()
     total = sum(r.tokens for r in taken)
     assert len(taken) == 400 and total // 2 - 9 <= sum(r.tokens * r.epochs for r in taken) <= total // 2
+
+
+def test_an_encoder_forgets_what_is_rare():
+    source = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    plain, small = tokens.Encoder(source, 2, False), tokens.Encoder(source, 2, True, limit=300)
+    draw = random.Random(4)
+    often = ["the", "of", "And", "x1,", "end.", "<|", "é"]
+    kept = []
+    for k in range(40):
+        texts = [" ".join(draw.choice(often) if draw.random() < 0.7 else f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+        assert small(texts) == plain(texts)
+        kept.append("the" in small.known or "the" in small.older)
+        assert len(small.known) + len(small.older) <= 2 * (300 + 300)
+    assert all(kept) and small.older
