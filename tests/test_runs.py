@@ -289,6 +289,24 @@ def test_a_thousand_silos_take_the_jobs_of_ten(spark, monkeypatch):
         assert np.allclose(r.params, ten[silo].params) and r.auroc == pytest.approx(ten[silo].auroc)
 
 
+def test_blocks_of_large_and_small_silos_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(neural, "BLOCK_VALUES", 40)
+    monkeypatch.setattr(neural, "ROWS_PER_TASK", 300)
+    silo = F.when(F.col("id") < 2400, F.lit("large")).otherwise((F.col("id") % 20).cast("string"))
+    rows = spark.range(3000).select(
+        silo.alias("silo"), (F.col("id") % 7 < 3).cast("int").alias("label"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features")
+    )
+    layout = neural.lay_out(rows, "silo", "label", "features", 2, local_values=2_000)
+    dealt = neural._dealt(layout, layout.sizes.select("grp", "silo"), 3000)
+    tasks = dealt.mapPartitions(lambda blocks: [[(key[1], len(x)) for key, (x, _, _) in blocks]]).collect()
+    counts = [sum(n for _, n in task) for task in tasks]
+    assert sum(counts) == 3000 and len(tasks) == 10 and max(counts) <= 1.5 * 300
+    assert sum(len({silo for silo, _ in task}) for task in tasks) <= 21 + len(tasks)
+    dealt.unpersist()
+    fits = neural.train(layout, {"": 3}, scores=False).collect()
+    assert len(fits) == 21 and all(len(r.params) == neural.weight_count(2) for r in fits)
+
+
 def test_rows_scored_by_the_network_of_their_key(spark):
     draw = np.random.default_rng(3)
     weights = {k: draw.normal(size=neural.weight_count(2)) for k in ("a", "b|c")}
