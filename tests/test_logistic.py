@@ -162,3 +162,15 @@ def test_wide_silos_of_one_class_are_skipped(spark, monkeypatch):
     df = spark.createDataFrame(rows, "silo string, label int, features array<double>")
     got = by_model(L.fit_grouped(df, F.array("silo")))
     assert got["a"].skipped and got["a"].params == [0.0] * 3 and not got["b"].skipped and got["b"].converged
+
+
+def test_large_silos_fill_the_partitions_of_the_training_table(spark):
+    rows = spark.range(800_000).select((F.col("id") % 4).alias("silo"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few bytes
+    try:
+        table = L.balanced_training_table(rows, "silo", "id", rows)
+        counts = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # With a silo as one part, no partition can hold less than a fourth if it holds anything.
+    assert sum(counts) == 800_000 and len(counts) > 4 and max(counts) < 200_000
