@@ -27,20 +27,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import col, small_batches, starts, trimmed
+from .common import col, pieces, small_batches, starts
 
 FILE_BYTES = 24 << 20
 FRAME_BYTES = 128 << 10
 ENCODE_BYTES = 192 << 20
-# Letters of text, and stretches, whose new stretches are encoded in one go.
-LEARN_BYTES = 1 << 20
+# Bytes of text whose stretches are looked up together, and stretches that are encoded in one go.
+BLOCK_BYTES = 8 << 20
 LEARN_WORDS = 4096
-# Stretches that are remembered, and as many older ones (about 0.2 kB each).
-HELD_STRETCHES = 100_000
+# Stretches of a block whose ids are brought together in one go.
+GATHERED_WORDS = 1 << 18
+# Stretches that are remembered, and as many older ones (about 40 bytes each).
+HELD_STRETCHES = 500_000
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -51,12 +54,45 @@ _MARK = b"TIX1"
 
 
 # ------------------------------------------------------------------ encoding
+def _runs(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs of ``count`` ids from ``begin`` on, one after the other."""
+    ends = np.cumsum(count, dtype=np.int64)
+    return ids[np.arange(count.sum(), dtype=np.int64) + np.repeat(begin - ends + count, count)]
+
+
+class _Held:
+    """Distinct stretches, each with the blank behind it, and their ids, packed (about 40 bytes a stretch)."""
+
+    def __init__(self, words: list[bytes], ids: np.ndarray, count: list[int]) -> None:
+        self.words = pa.array(words, pa.large_binary())
+        self.ids, self.count = ids, np.array(count, np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __contains__(self, word: str) -> bool:
+        return bool(self.find(pa.array([word.encode() + b" "], pa.large_binary()))[0] >= 0)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, or -1."""
+        return np.array(pc.index_in(words, value_set=self.words).fill_null(-1), np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Hold further words; returns their places."""
+        at = len(self.words)
+        self.words = pa.concat_arrays([self.words, words])
+        self.begin = np.concatenate([self.begin, np.cumsum(count) - count + len(self.ids)])
+        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
+        return np.arange(at, len(self.words))
+
+
 class Encoder:
     """Ids of texts as bytes, by the JSON of a tokenizer of the tokenizers library.
 
     With ``separable`` (a lower-casing tokenizer of at most 65,536 ids with word ends that
-    keeps letters, signs and blanks apart), every distinct stretch between blanks is encoded
-    once and remembered.  When more than ``limit`` are held, they become the ``older`` ones in place of those before;
+    keeps letters, signs and blanks apart), every distinct stretch between blanks is looked up once per block of texts,
+    encoded once and remembered.  When more than ``limit`` are held, they become the ``older`` ones in place of those before;
     what is met again moves on, so that rare stretches go and memory does not grow with the task.  Otherwise, and where
     a text holds a special token in small or capital letters, it is encoded by itself.
     """
@@ -81,43 +117,44 @@ class Encoder:
             # The same merges for small letters of ASCII, which need neither normalizing nor mapping.
             self.plain = Tokenizer.from_str(source)
             self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = self._none(), self._none()
         self.limit = limit
 
+    def _none(self) -> _Held:
+        """Nothing between two blanks, and the end of a text."""
+        return _Held([b" ", b"\n "], np.frombuffer(self.end, self.type), [0, 1])
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.type).tobytes() for e in found]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The ids of stretches, in another order: the place of each in ``new``, all ids, and how many each has."""
         # Words of letters give ids of which only the last ends a word.
-        letters = [w for w in new if w.isalpha()]
-        near = [w for w in letters if w.isascii()]
-        for words, coder in ((near, self.plain), ([w for w in letters if not w.isascii()], self.tokenizer)):
-            for at in range(0, len(words), LEARN_WORDS):
-                part = words[at : at + LEARN_WORDS]
-                ids = coder.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-                ids = np.array(ids, self.type)
-                self._share(part, ids.tobytes(), np.flatnonzero(self.ends[ids]) + 1, 0)
-        other = [w for w in new if not w.isalpha()]
-        plain = [w for w in other if "<" not in w]
-        mark = self.separator
-        for at in range(0, len(plain), LEARN_WORDS):
-            part = plain[at : at + LEARN_WORDS]
-            ids = self.tokenizer.encode_batch_fast([mark.join(part) + mark], add_special_tokens=False)[0].ids
-            ids = np.array(ids, self.type)
-            self._share(part, ids.tobytes(), np.flatnonzero(ids == self.specials[mark]) + 1, 1)
-        odd = [w for w in other if "<" in w]
-        self.known.update(zip(odd, self._whole(odd)))
-
-    def _share(self, words: list[str], raw: bytes, cuts: np.ndarray, skip: int) -> None:
-        """Remember the ids up to each cut, without the last ``skip``."""
-        if len(cuts) != len(words):
-            self.known.update(zip(words, self._whole(words)))
-            return
-        size = self.type.itemsize
-        begins, ends = [0, *(cuts[:-1] * size).tolist()], ((cuts - skip) * size).tolist()
-        self.known.update((w, raw[i:j]) for w, i, j in zip(words, begins, ends))
+        near, far, plain, odd = kinds = [], [], [], []
+        for k, w in enumerate(new):
+            kind = (near if w.isascii() else far) if w.isalpha() else (odd if "<" in w else plain)
+            kind.append(k)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for places, coder, mark in ((near, self.plain, None), (far, self.tokenizer, None), (plain, self.tokenizer, self.separator)):
+            for at in range(0, len(places), LEARN_WORDS):
+                part = [new[k] for k in places[at : at + LEARN_WORDS]]
+                text = " ".join(part) if mark is None else mark.join(part) + mark
+                ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+                last = self.ends[ids] if mark is None else ids == self.specials[mark]
+                cuts = np.flatnonzero(last) + 1
+                if len(cuts) != len(part):
+                    found.append(self._each(part))
+                elif mark is None:
+                    found.append((ids[: cuts[-1]], np.diff(cuts, prepend=0)))
+                else:
+                    found.append((ids[: cuts[-1]][~last[: cuts[-1]]], np.diff(cuts, prepend=0) - 1))
+        found.append(self._each([new[k] for k in odd]))
+        return [k for places in kinds for k in places], *map(np.concatenate, zip(*found))
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self._whole(words)
+        return np.frombuffer(b"".join(found), self.type), np.array([len(f) // self.type.itemsize for f in found], np.int64)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
@@ -127,7 +164,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             to, size = at, 0
-            while to < len(texts) and size < LEARN_BYTES:
+            while to < len(texts) and size < BLOCK_BYTES:
                 size += len(texts[to])
                 to += 1
             out += self._some(texts[at:to])
@@ -135,61 +172,103 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        """Ids of a few texts, whose new stretches are encoded together."""
+        """Ids of a block of texts, whose new stretches are encoded together."""
         if len(self.known) > self.limit:
-            self.known, self.older = {"": b""}, self.known
-        words = [None if self.mark in t and self.special.search(t) else _stretches(t) for t in texts]
-        found = [w and list(map(self.known.get, w)) for w in words]
-        gaps = [[k for k, ids in enumerate(f or ()) if ids is None] for f in found]
-        new = {w[k] for w, g in zip(words, gaps) for k in g}
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        self._learn(list(new - again))
-        out = []
-        for text, w, ids, g in zip(texts, words, found, gaps):
-            if w is None:
-                out.append(self._whole([text])[0] + self.end)
-                continue
-            for k in g:
-                ids[k] = self.known[w[k]]
-            ids.append(self.end)
-            out.append(b"".join(ids))
+            self.known, self.older = self._none(), self.known
+        alone = [k for k, t in enumerate(texts) if self.mark in t and self.special.search(t)]
+        spaced = [*map(_spaced, texts)]
+        for k in alone:
+            spaced[k] = b""
+        # No text holds a line break any more, so one stands for the end of a text.
+        raw = b" \n ".join([*spaced, b""])
+        # Small letters for A-Z give the same ids in a lower-casing tokenizer and fewer stretches.
+        words = _cut(raw.lower())
+        del spaced, raw
+        words = words.dictionary_encode()
+        code, distinct = words.indices.to_numpy(), words.dictionary
+        place = self._places(distinct)
+        begin, count, ids = self.known.begin[place], self.known.count[place], self.known.ids
+        runs = []
+        for at in range(0, len(code), GATHERED_WORDS):
+            part = code[at : at + GATHERED_WORDS]
+            runs.append(_runs(ids, begin[part], count[part]))
+        raw = np.concatenate(runs).tobytes()
+        edges = (np.cumsum(count[code])[code == code[-1]] * self.type.itemsize).tolist()
+        out = [raw[i:j] for i, j in zip([0, *edges], edges)]
+        for k in alone:
+            out[k] = self._whole([texts[k]])[0] + self.end
         return out
 
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of distinct stretches are held, after those not held yet have been found or encoded."""
+        place = self.known.find(words)
+        gaps = np.flatnonzero(place < 0)
+        missing = words.take(pa.array(gaps))
+        old = self.older.find(missing)
+        again, new = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        if len(again):
+            begin, count = self.older.begin[old[again]], self.older.count[old[again]]
+            place[gaps[again]] = self.known.add(missing.take(pa.array(again)), _runs(self.older.ids, begin, count), count)
+        if len(new):
+            order, ids, count = self._learn([w[:-1].decode() for w in missing.take(pa.array(new)).to_pylist()])
+            new = new[order]
+            place[gaps[new]] = self.known.add(missing.take(pa.array(new)), ids, count)
+        return place
+
 
 _TOUCHED = re.compile(r"(?s)[.,][ \n](?<=[^\w \n]..|[_İ]..)")
 
 
-def _stretches(text: str) -> list[str]:
-    """The text cut at blanks, and before a comma or full stop at the end of a word.
+def _spaced(text: str) -> bytes:
+    """The text with blanks for line breaks, and a blank before a comma or full stop at the end of a word.
 
-    The cut is left out where another sign touches one, because signs in a row are one token.
-    Small letters for A-Z give the same ids in a lower-casing tokenizer and fewer stretches.
+    That blank is left out where another sign touches one, because signs in a row are one token.
     """
-    text = text.encode().lower().decode()
+    raw = text.encode()
     if not _TOUCHED.search(text):
-        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
-    return text.replace("\n", " ").split(" ")
+        raw = raw.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" . ")
+    return raw.replace(b"\n", b" ")
+
+
+def _cut(raw: bytes) -> pa.Array:
+    """The stretches of bytes that end with a blank, each with the blank behind it."""
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, some ``BLOCK_BYTES`` at a time, and more where a text is longer."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for piece in pieces(batches, "text", BLOCK_BYTES):
+        if held and sum(p.nbytes for p in held) + piece.nbytes > BLOCK_BYTES:
+            yield joined()
+            held = []
+        held.append(piece)
+    if held:
+        yield joined()
 
 
 def _encode(
     batches: Iterator[pa.RecordBatch], source: str, end_id: int, separable: bool, bounds: list[int]
 ) -> Iterator[pa.RecordBatch]:
     encoder, edges = Encoder(source, end_id, separable), np.array(bounds, np.int64)
-    for batch in trimmed(batches):
-        ids = batch.column("id")
+    for block in _blocks(batches):
+        ids = block.column("id")
         keys = ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
         lowest, highest = np.searchsorted(edges, keys, "left"), np.searchsorted(edges, keys, "right")
-        tie = batch.column("tie").to_numpy()
+        tie = block.column("tie").to_numpy()
         # An id that fills several files is spread over them.
         file = lowest + tie.view(np.uint64) % (highest - lowest + 1).astype(np.uint64)
-        for at in range(0, batch.num_rows, 256):
-            cut = slice(at, at + 256)
-            texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
-            yield pa.record_batch(
-                [pa.array(file[cut].astype(np.int32)), ids[cut], pa.array(tie[cut]), pa.array(encoder(texts), pa.binary())],
-                ["file", "id", "tie", "ids"],
-            )
+        texts = [t or "" for t in block.column("text").to_pylist()]
+        yield pa.record_batch(
+            [pa.array(file.astype(np.int32)), ids, pa.array(tie), pa.array(encoder(texts), pa.binary())],
+            ["file", "id", "tie", "ids"],
+        )
 
 
 # ------------------------------------------------------------------ the file format

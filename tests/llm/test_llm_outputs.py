@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest_llm import plain_words
 from pyspark.sql import functions as F
@@ -269,3 +270,28 @@ def test_an_encoder_forgets_what_is_rare():
         kept.append("the" in small.known or "the" in small.older)
         assert len(small.known) + len(small.older) <= 2 * (300 + 300)
     assert all(kept) and small.older
+
+
+def test_an_encoder_learns_a_large_vocabulary_once_and_holds_it_packed():
+    coder, learned = tokens.Encoder(Path(WORD_BPE).read_text(), 2, True), []
+    learn = coder._learn
+    coder._learn = lambda new: learned.extend(new) or learn(new)
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdeé", k=9)) for _ in range(250_000)]
+    texts = [" ".join(words[at : at + 5000]) for at in range(0, len(words), 5000)]
+    first = [coder([t])[0] for t in texts]
+    assert first[::10] == [coder._whole([t])[0] + coder.end for t in texts[::10]]
+    assert [coder([t])[0] for t in texts] == first and coder(texts) == first
+    assert len(learned) == len(set(words))
+    held = coder.known
+    assert held.words.nbytes + held.ids.nbytes + held.begin.nbytes + held.count.nbytes < 60 * len(held)
+
+
+def test_blocks_hold_all_rows_in_order_whatever_their_size(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 2000)
+    texts = [None, "", "a b" * 3000, *["x" * (k % 300) for k in range(500)], "z" * 5000, None]
+    rows = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    blocks = list(tokens._blocks(iter([rows.slice(0, 7), rows.slice(7, 0), rows.slice(7)])))
+    assert pa.Table.from_batches(blocks).equals(pa.Table.from_batches([rows]).combine_chunks())
+    assert 10 < len(blocks) < 200
+    assert all(b.nbytes - max(len(t or "") for t in b.column("text").to_pylist()) < 4000 for b in blocks)
