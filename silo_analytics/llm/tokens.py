@@ -37,13 +37,15 @@ from .common import col, pieces, small_batches, starts
 FILE_BYTES = 24 << 20
 FRAME_BYTES = 128 << 10
 ENCODE_BYTES = 192 << 20
-# Bytes of text whose stretches are looked up together, and stretches that are encoded in one go.
-BLOCK_BYTES = 8 << 20
-LEARN_WORDS = 4096
+# Bytes of text whose stretches are looked up together, and letters of stretches that are encoded in one go, at least 16 for each.
+BLOCK_BYTES = 2 << 20
+LEARN_LETTERS = 64 << 10
 # Stretches of a block whose ids are brought together in one go.
-GATHERED_WORDS = 1 << 18
-# Stretches that are remembered, and as many older ones (about 40 bytes each).
+GATHERED_WORDS = 1 << 16
+# Stretches that are remembered, and as many older ones (about 50 bytes each).
 HELD_STRETCHES = 500_000
+# Bytes of remembered stretches and ids, for scripts without blanks and other long ones.
+HELD_BYTES = 32 << 20
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -61,44 +63,70 @@ def _runs(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class _Held:
-    """Distinct stretches, each with the blank behind it, and their ids, packed (about 40 bytes a stretch)."""
+    """Distinct stretches, each with the blank behind it, and their ids, packed (about 50 bytes a stretch).
+
+    They are found by an ordered list of their hashes, to which new ones are added, so that no
+    lookup builds a table of all that is held; a found stretch is compared byte by byte.
+    """
 
     def __init__(self, words: list[bytes], ids: np.ndarray, count: list[int]) -> None:
         self.words = pa.array(words, pa.large_binary())
-        self.ids, self.count = ids, np.array(count, np.int64)
+        self.ids, self.count = ids, np.array(count, np.int32)
         self.begin = np.cumsum(self.count) - self.count
+        hashes = _hashes(self.words)
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
 
     def __len__(self) -> int:
         return len(self.words)
 
-    def __contains__(self, word: str) -> bool:
-        return bool(self.find(pa.array([word.encode() + b" "], pa.large_binary()))[0] >= 0)
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ids.nbytes
 
-    def find(self, words: pa.Array) -> np.ndarray:
-        """The place of each word, or -1."""
-        return np.array(pc.index_in(words, value_set=self.words).fill_null(-1), np.int64)
+    def __contains__(self, word: str) -> bool:
+        words = pa.array([word.encode() + b" "], pa.large_binary())
+        return bool(self.find(words, _hashes(words))[0] >= 0)
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1, also if an earlier one has its hash."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        rows = np.flatnonzero(self.hashes[at] == hashes)
+        found = self.order[at[rows]]
+        same = pc.equal(words.take(pa.array(rows)), self.words.take(pa.array(found))).to_numpy(zero_copy_only=False)
+        place = np.full(len(words), -1, np.int64)
+        place[rows[same]] = found[same]
+        return place
 
-    def add(self, words: pa.Array, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def add(self, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Hold further words; returns their places."""
         at = len(self.words)
         self.words = pa.concat_arrays([self.words, words])
         self.begin = np.concatenate([self.begin, np.cumsum(count) - count + len(self.ids)])
-        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
+        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count.astype(np.int32)])
+        order = np.argsort(hashes, kind="stable")
+        to = np.searchsorted(self.hashes, hashes[order], "right")
+        self.hashes, self.order = np.insert(self.hashes, to, hashes[order]), np.insert(self.order, to, at + order)
         return np.arange(at, len(self.words))
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash per word, which holds within this process."""
+    return np.fromiter(map(hash, words.to_pylist()), np.int64, len(words))
+
+
 class Encoder:
     """Ids of texts as bytes, by the JSON of a tokenizer of the tokenizers library.
 
     With ``separable`` (a lower-casing tokenizer of at most 65,536 ids with word ends that
     keeps letters, signs and blanks apart), every distinct stretch between blanks is looked up once per block of texts,
-    encoded once and remembered.  When more than ``limit`` are held, they become the ``older`` ones in place of those before;
+    encoded once and remembered.  When more than ``limit`` or ``HELD_BYTES`` are held, they become the ``older`` ones in place of those before;
     what is met again moves on, so that rare stretches go and memory does not grow with the task.  Otherwise, and where
     a text holds a special token in small or capital letters, it is encoded by itself.
     """
 
     def __init__(self, source: str, end_id: int, separable: bool, limit: int = HELD_STRETCHES) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are parallel already
         self.tokenizer = Tokenizer.from_str(source)
@@ -114,15 +142,15 @@ class Encoder:
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for i in ends if i < 1 << 16]] = True
         if separable:
-            # The same merges for small letters of ASCII, which need neither normalizing nor mapping.
-            self.plain = Tokenizer.from_str(source)
-            self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            # The same merges, held once, for small letters of ASCII, which need neither normalizing nor mapping.
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known, self.older = self._none(), self._none()
         self.limit = limit
 
     def _none(self) -> _Held:
-        """Nothing between two blanks, and the end of a text."""
-        return _Held([b" ", b"\n "], np.frombuffer(self.end, self.type), [0, 1])
+        """The end of a text, and nothing between two blanks."""
+        return _Held([b"\n ", b" "], np.frombuffer(self.end, self.type), [1, 0])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -137,8 +165,7 @@ class Encoder:
             kind.append(k)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for places, coder, mark in ((near, self.plain, None), (far, self.tokenizer, None), (plain, self.tokenizer, self.separator)):
-            for at in range(0, len(places), LEARN_WORDS):
-                part = [new[k] for k in places[at : at + LEARN_WORDS]]
+            for part in _parts([new[k] for k in places]):
                 text = " ".join(part) if mark is None else mark.join(part) + mark
                 ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
                 last = self.ends[ids] if mark is None else ids == self.specials[mark]
@@ -149,7 +176,7 @@ class Encoder:
                     found.append((ids[: cuts[-1]], np.diff(cuts, prepend=0)))
                 else:
                     found.append((ids[: cuts[-1]][~last[: cuts[-1]]], np.diff(cuts, prepend=0) - 1))
-        found.append(self._each([new[k] for k in odd]))
+        found += map(self._each, _parts([new[k] for k in odd]))
         return [k for places in kinds for k in places], *map(np.concatenate, zip(*found))
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +200,7 @@ class Encoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         """Ids of a block of texts, whose new stretches are encoded together."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.known.nbytes > HELD_BYTES:
             self.known, self.older = self._none(), self.known
         alone = [k for k, t in enumerate(texts) if self.mark in t and self.special.search(t)]
         spaced = [*map(_spaced, texts)]
@@ -182,11 +209,12 @@ class Encoder:
         # No text holds a line break any more, so one stands for the end of a text.
         raw = b" \n ".join([*spaced, b""])
         # Small letters for A-Z give the same ids in a lower-casing tokenizer and fewer stretches.
+        del spaced
         words = _cut(raw.lower())
-        del spaced, raw
+        del raw
         words = words.dictionary_encode()
         code, distinct = words.indices.to_numpy(), words.dictionary
-        place = self._places(distinct)
+        place = self._places(distinct, _hashes(distinct))
         begin, count, ids = self.known.begin[place], self.known.count[place], self.known.ids
         runs = []
         for at in range(0, len(code), GATHERED_WORDS):
@@ -199,23 +227,34 @@ class Encoder:
             out[k] = self._whole([texts[k]])[0] + self.end
         return out
 
-    def _places(self, words: pa.Array) -> np.ndarray:
+    def _places(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Where the ids of distinct stretches are held, after those not held yet have been found or encoded."""
-        place = self.known.find(words)
+        place = self.known.find(words, hashes)
         gaps = np.flatnonzero(place < 0)
-        missing = words.take(pa.array(gaps))
-        old = self.older.find(missing)
+        missing, hashes = words.take(pa.array(gaps)), hashes[gaps]
+        old = self.older.find(missing, hashes)
         again, new = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
         if len(again):
             begin, count = self.older.begin[old[again]], self.older.count[old[again]]
-            place[gaps[again]] = self.known.add(missing.take(pa.array(again)), _runs(self.older.ids, begin, count), count)
+            ids = _runs(self.older.ids, begin, count)
+            place[gaps[again]] = self.known.add(missing.take(pa.array(again)), hashes[again], ids, count)
         if len(new):
             order, ids, count = self._learn([w[:-1].decode() for w in missing.take(pa.array(new)).to_pylist()])
             new = new[order]
-            place[gaps[new]] = self.known.add(missing.take(pa.array(new)), ids, count)
+            place[gaps[new]] = self.known.add(missing.take(pa.array(new)), hashes[new], ids, count)
         return place
 
 
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    """The words in parts of about ``LEARN_LETTERS`` letters; a longer word is in a part with what comes before it."""
+    begin = size = 0
+    for k, word in enumerate(words, 1):
+        size += max(16, len(word))
+        if size >= LEARN_LETTERS or k == len(words):
+            yield words[begin:k]
+            begin, size = k, 0
+
+
 _TOUCHED = re.compile(r"(?s)[.,][ \n](?<=[^\w \n]..|[_İ]..)")
 
 

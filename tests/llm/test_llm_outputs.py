@@ -287,6 +287,38 @@ def test_an_encoder_learns_a_large_vocabulary_once_and_holds_it_packed():
     assert held.words.nbytes + held.ids.nbytes + held.begin.nbytes + held.count.nbytes < 60 * len(held)
 
 
+def test_a_lookup_takes_memory_by_what_is_looked_up_not_by_what_is_held():
+    coder, draw = tokens.Encoder(Path(WORD_BPE).read_text(), 2, True), random.Random(6)
+    texts = [" ".join("".join(draw.choices("abcde", k=9)) for _ in range(5000)) for _ in range(40)]
+    first = [coder([t])[0] for t in texts]
+    before = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(pool)
+    try:
+        again = coder(texts[:1])
+    finally:
+        pa.set_memory_pool(before)
+    assert again == first[:1] and len(coder.known) > 150_000
+    assert pool.max_memory() < 2_000_000
+
+
+def test_long_stretches_are_held_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD_BYTES", 50_000)
+    coder, draw = tokens.Encoder(Path(WORD_BPE).read_text(), 2, True), random.Random(7)
+    for _ in range(20):
+        texts = ["".join(draw.choices("日本語の文章。<x>é", k=2000)) + " a" for _ in range(3)]
+        assert coder(texts) == [coder._whole([t])[0] + coder.end for t in texts]
+        assert coder.known.words.nbytes + coder.older.words.nbytes < 2 * (50_000 + 30_000)
+    assert coder.older
+
+
+def test_stretches_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "_hashes", lambda words: np.array([len(w.as_py()) % 2 for w in words], np.int64))
+    coder = tokens.Encoder(Path(WORD_BPE).read_text(), 2, True, limit=20)
+    texts = ["the cat sat on the mat", "on a mat, cats sat.", "", "cat the"] * 5
+    assert [coder([t])[0] for t in texts] == [coder._whole([t])[0] + coder.end for t in texts]
+
+
 def test_blocks_hold_all_rows_in_order_whatever_their_size(monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_BYTES", 2000)
     texts = [None, "", "a b" * 3000, *["x" * (k % 300) for k in range(500)], "z" * 5000, None]
