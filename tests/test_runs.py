@@ -307,6 +307,30 @@ def test_blocks_of_large_and_small_silos_are_dealt_evenly(spark, monkeypatch):
     assert len(fits) == 21 and all(len(r.params) == neural.weight_count(2) for r in fits)
 
 
+def test_rows_of_several_silos_are_laid_out_and_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(neural, "BLOCK_VALUES", 400)
+    rows = spark.range(1200).select(
+        (F.col("id") % 7 < 3).cast("int").alias("label"), F.array((F.col("id") % 601).cast("double") / 300, F.lit(1.0)).alias("features"),
+        F.array(
+            F.struct(F.lit("a").alias("grp"), F.when(F.col("id") % 5 > 0, F.concat(F.lit('x"|,'), F.col("id") % 5)).alias("silo")),
+            F.struct(F.lit("b").alias("grp"), (F.col("id") % 3).cast("string").alias("silo")),
+        ).alias("silos"),
+    )
+    single = rows.select("label", "features", F.explode("silos").alias("m")).select("m.grp", "m.silo", "label", "features")
+    apart = neural.train(neural.lay_out(single, "silo", "label", "features", 2, group="grp"), {"a": 4, "b": 2}).collect()
+    layout = neural.lay_out_shared(rows, F.col("silos"), "label", "features", 2)
+    assert layout.blocks.agg(F.sum("n")).first()[0] == 1200 and layout.silos == 7  # 2,160 if written once per silo
+    found = {(r.grp, r.silo): r for r in neural.train(layout, {"a": 4, "b": 2}).collect()}
+    only = layout.only(layout.sizes.filter("grp = 'b'").select("grp", "silo"))
+    assert {r.grp for r in neural.train(only, {"b": 2}, scores=False).collect()} == {"b"}
+    monkeypatch.setattr(neural, "MODELS_PER_FIT", 4)
+    many = neural.lay_out_shared(rows, F.col("silos"), "label", "features", 2)
+    assert not many.shared and many.silos == 7 and len(apart) == len(found) == 7
+    for r in apart:
+        got = found[r.grp, r.silo]
+        assert np.allclose(r.params, got.params) and (r.n, r.n_pos, r.auroc) == (got.n, got.n_pos, pytest.approx(got.auroc))
+
+
 def test_rows_scored_by_the_network_of_their_key(spark):
     draw = np.random.default_rng(3)
     weights = {k: draw.normal(size=neural.weight_count(2)) for k in ("a", "b|c")}
