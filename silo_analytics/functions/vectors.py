@@ -19,6 +19,21 @@ def probability(features: str, params: str, size: int) -> Column:
     return F.expr(f"1.0D / (1.0D + exp(-({' + '.join(terms)} + {params}[{size}])))")
 
 
+def dense(entries: str, size: int) -> Column:
+    """``array<double>`` of ``size`` numbers from an array of structs (place, value); the others are 0.
+
+    Places differ and lie in 0 .. size - 1.  Every entry follows the zeros since the one before.
+    """
+    ordered = F.array_sort(entries)
+    after = F.concat(F.array(F.lit(-1)), F.transform(ordered, lambda e: e["place"]))
+
+    def run(e: Column, before: Column) -> Column:
+        return F.concat(F.array_repeat(F.lit(0.0), e["place"] - before - 1), F.array(e["value"]))
+
+    runs = F.zip_with(ordered, F.slice(after, 1, F.size(ordered)), run)
+    return F.concat(F.flatten(runs), F.array_repeat(F.lit(0.0), size - 1 - F.element_at(after, -1)))
+
+
 def blend(a: Column, b: Column, share: float) -> Column:
     """(1 - share) * a + share * b, element by element."""
     return F.zip_with(a, b, lambda x, y: x * F.lit(1.0 - share) + y * F.lit(share))

@@ -325,7 +325,8 @@ def _descend(rows: DataFrame, states: Mapping[str, _State], objective: wide.Obje
         parts = [table.filter(F.col("chunk") == i).drop("chunk") for i in range(len(chains))]
     for chain, part in zip(chains, parts):
         starts, weights = ({m: pick(states[m]) for m in chain} for pick in (lambda s: s.params, lambda s: s.weights))
-        for model, (params, rounds, flat) in wide.descend(part, starts, weights, objective, max_iter, tol).items():
+        pairs = sum(states[m].n for m in chain)
+        for model, (params, rounds, flat) in wide.descend(part, starts, weights, objective, max_iter, tol, pairs).items():
             state = states[model]
             state.accepted, state.iterations, state.done = params, rounds, flat
 

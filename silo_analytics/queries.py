@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .functions.hashing import hash_uniform
-from .functions.vectors import constant, probability
+from .functions.vectors import constant, dense, probability
 from .operators import (
     augment,
     averaging,
@@ -1420,23 +1420,29 @@ def wide_lr_at_optimum(spark, folder):
     size = 150
     rows = base(spark, folder).filter(F.col("silo").isNotNull()).select("id", "silo", "label")
     part = (F.col("l_partkey") % size).cast("int")
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("id"), part.alias("part")).agg(F.count(F.lit(1)).alias("k"))
-    bags = lines.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("bag"))
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("id"), part.alias("place"))
+    lines = lines.agg(F.count(F.lit(1)).cast("double").alias("value"))
+    bags = lines.groupBy("id").agg(F.collect_list(F.struct("place", "value")).alias("bag"))
     rows = relational.attach(rows, bags, "id")
-    counts = [F.coalesce(F.try_element_at("bag", F.lit(i)), F.lit(0)).cast("double") for i in range(size)]
-    rows = materialize(rows.select("silo", "label", F.array(*counts).alias("features")), "wide-rows")
+    inside = F.filter(F.coalesce("bag", F.array().cast(bags.schema["bag"].dataType)), lambda e: e["place"].between(0, size - 1))
+    rows = rows.select("silo", "label", inside.alias("bag"))
+    rows = materialize(rows.withColumn("features", dense("bag", size)), "wide-rows")
     params = logistic.fit_grouped(rows, F.array(F.col("silo").cast("string"))).withColumn("silo", F.col("model").cast("int"))
     joined = rows.join(F.broadcast(params.select("silo", "model", "n", "n_pos", "params")), "silo")  # few models
     n, pos, seen = F.col("n"), F.col("n_pos"), F.lit(CONFIG.c)
     weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-    scored = joined.withColumns({"w": weight, "p": probability("features", "params", size)})
+    # counts of 0 add nothing to a score or a slope; the intercept is a count of 1 at the last place
+    one = F.array(F.struct(F.lit(size).alias("place"), F.lit(1.0).alias("value")))
+    whole = joined.select("model", "label", weight.alias("w"), "params", F.concat("bag", one).alias("bag"))
+    score = F.aggregate("bag", F.lit(0.0), lambda z, e: z + e["value"] * F.get("params", e["place"]))
+    scored = whole.withColumn("p", 1.0 / (1.0 + F.exp(-score)))
     error = F.col("w") * (F.col("p") - F.col("label"))
-    cells = scored.select("model", "n", "n_pos", "params", "w", "p", error.alias("e"), F.posexplode(F.concat("features", F.array(F.lit(1.0)))).alias("i", "x"))
-    slopes = cells.groupBy("model", "n", "n_pos", "i").agg(
-        F.sum(F.col("e") * F.col("x")).alias("g"), F.max("x").alias("most"), F.any_value(F.get("params", F.col("i"))).alias("v"),
-        F.sum(F.when(F.col("i") == size, F.col("w") * F.col("p"))).alias("mass"),
+    cells = scored.select("model", "w", "p", error.alias("e"), F.inline("bag").alias("i", "x"))
+    sums = cells.groupBy("model", "i").agg(
+        F.sum(F.col("e") * F.col("x")).alias("g"), F.sum(F.when(F.col("i") == size, F.col("w") * F.col("p"))).alias("mass")
     )
-    slope = F.abs(seen * F.col("g") + F.when(F.col("i") < size, F.col("v")).otherwise(F.lit(0.0)))
+    slopes = params.select("model", "n", "n_pos", F.posexplode("params").alias("i", "v")).join(sums, ["model", "i"], "left")
+    slope = F.abs(seen * F.coalesce("g", F.lit(0.0)) + F.when(F.col("i") < size, F.col("v")).otherwise(F.lit(0.0)))
     return slopes.groupBy("model", "n", "n_pos").agg(F.round(F.sum("mass"), 2).alias("mass"), F.count_if(slope < 1e-5).alias("n_flat"))
 
 

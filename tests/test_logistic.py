@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from silo_analytics.functions.vectors import dense
 from silo_analytics.operators import logistic as L
 
 
@@ -156,6 +157,49 @@ def test_wide_and_newton_fits_agree(data, monkeypatch):
         assert np.allclose(chained[m].params, want[m].params, atol=1e-7)
 
 
+def test_wide_rows_are_packed_once_and_add_up_to_the_dense_sums(spark, monkeypatch):
+    monkeypatch.setattr(L.wide, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(L.wide, "ROWS_PER_TASK", 100)
+    rng = np.random.default_rng(8)
+    n, d = 400, 40
+    x = np.where(rng.random((n, d)) < 0.05, rng.integers(1, 300, (n, d)), 0.0)
+    x[::50], x[1::50] = 0.0, rng.normal(size=(8, d))  # rows without a value, and full ones
+    y = rng.integers(0, 2, n)
+    lists = [[["a"], ["a", "b"], ["b", "c"], []][i % 4] for i in range(n)]
+    schema = "models array<string>, y double, x array<double>"
+    rows = spark.createDataFrame([(m, float(b), v.tolist()) for m, b, v in zip(lists, y, x)], schema).repartition(3)
+    dealt = L.wide._dealt(rows, d + 1, 400)
+    blocks = dealt.collect()
+    assert dealt.is_cached and dealt.getNumPartitions() == 4
+    dealt.unpersist()
+    assert sum(len(b[0]) for _, b in blocks) == 300 and max(len(b[0]) for _, b in blocks) <= 140
+    # mostly zeros: a few bytes per value that is not zero
+    assert sum(b[3] is not None for _, b in blocks) > 5 and all(b[1].dtype == np.int16 for _, b in blocks if b[3] is not None)
+    w, weights = rng.normal(size=d + 1), (1.5, 0.75)
+    got = dict.fromkeys("abc", 0.0)
+    for models, block in blocks:
+        for m in models:
+            got[m] = got[m] + L.wide._block_sums(block, w, weights)
+    for m in "abc":
+        mine = np.array([m in names for names in lists])
+        z, s = x[mine] @ w[:-1] + w[-1], np.where(y[mine] == 1, *weights)
+        error = s * (1 / (1 + np.exp(-z)) - y[mine])
+        want = [np.sum(s * (np.logaddexp(0, z) - y[mine] * z)), *(x[mine].T @ error), error.sum()]
+        assert np.allclose(got[m], want, rtol=1e-10)
+    asked = rows, dict.fromkeys("abc", np.zeros(d + 1)), dict.fromkeys("abc", weights), L.wide.Objective(0.01), 5, 1e-6, 400
+    by_driver = L.wide.descend(*asked)
+    monkeypatch.setattr(L.wide, "DRIVER_VALUES", 0)  # sums take a second stage
+    by_tasks = L.wide.descend(*asked)
+    assert all(np.allclose(by_driver[m][0], by_tasks[m][0]) and by_driver[m][1] == by_tasks[m][1] > 2 for m in "abc")
+
+
+def test_dense_array_of_places_and_values(spark):
+    rows = [(0, []), (1, [(4, 2.0)]), (2, [(3, 1.0), (0, 7.0)]), (3, [(1, 0.5), (2, 1.5), (4, -1.0)])]
+    df = spark.createDataFrame(rows, "id int, bag array<struct<place:int,value:double>>")
+    got = {r.id: r.x for r in df.select("id", dense("bag", 5).alias("x")).collect()}
+    assert got == {0: [0.0] * 5, 1: [0, 0, 0, 0, 2.0], 2: [7.0, 0, 0, 1.0, 0], 3: [0, 0.5, 1.5, 0, -1.0]}
+
+
 def test_wide_silos_of_one_class_are_skipped(spark, monkeypatch):
     monkeypatch.setattr(L, "NEWTON_FEATURES", 1)
     rows = [("a", 1, [0.1 * i, 1.0]) for i in range(8)] + [("b", i % 2, [0.1 * i, 1.0]) for i in range(8)]
