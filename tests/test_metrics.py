@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from silo_analytics.operators import bootstrap as B
 from silo_analytics.operators import metrics as M
+from silo_analytics.operators import quantiles
 
 
 def auroc(y, s, w=None):
@@ -152,3 +153,31 @@ def test_quantiles_with_narrow_brackets(spark, monkeypatch):
     got = quantiles.exact_quantiles(df, {"a`b": (0.0, 0.1, 0.5, 0.77, 1.0)})
     known = np.array(values[:5000])
     assert all(got["a`b", p] == pytest.approx(np.quantile(known, p)) for p in (0.0, 0.1, 0.5, 0.77, 1.0))
+
+
+def test_pieces_are_found_by_halving(spark, monkeypatch):
+    monkeypatch.setattr(M, "EDGE_ERROR", 0.01)
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "many").otherwise("few").alias("g"), (F.col("id") * 7919 % 1009 / 1009 - 0.2).alias("score")
+    )
+    placed = M.with_edges(rows, ["g"], "score", 20).withColumn("below", M.edges_below(F.col("score"))).collect()
+    assert max(len(r["_edges"]) for r in placed) > 60
+    for r in placed:
+        assert r.below == sum(e < r.score for e in r["_edges"])
+        assert 2 ** (len(r["_steps"]) - 1) <= len(r["_edges"])  # the logarithm of the edges, not all of them, per row
+    for odd in (float("-inf"), float("inf")):
+        one = M.with_edges(rows, ["g"], "score", 20).withColumn("below", M.edges_below(F.lit(odd))).first()
+        assert one.below == (0 if odd < 0 else len(one["_edges"]))
+    whole = M.with_edges(rows, ["g"], "score", 10_000).withColumn("below", M.edges_below(F.col("score")))
+    assert whole.agg(F.max("below")).first()[0] == 0
+
+
+def test_quantiles_of_columns_with_common_values(spark):
+    values = [(float(i % 2), 0.5 if i % 10 else float(i), None if i % 4 else -0.0, float(i * 37 % 1001)) for i in range(1001)]
+    df = spark.createDataFrame(values, "a double, b double, c double, d double")
+    wanted = {c: (0.0, 0.25, 0.5, 0.9, 1.0) for c in "abcd"}
+    got = quantiles.exact_quantiles(df, wanted)
+    for i, c in enumerate("abcd"):
+        known = [v[i] for v in values if v[i] is not None]
+        for p in wanted[c]:
+            assert got[c, p] == pytest.approx(np.quantile(known, p), abs=1e-12)
